@@ -110,3 +110,21 @@ def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     path = path or new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: At most so many keys can each hold more than this share of all rows.
+HOT_KEYS = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``left`` with the row of ``right`` for its key; ``right`` has each key once and how often ``left`` has it.
+
+    Keys with more than a thousandth of the ``total`` rows are joined by broadcast: there can be no
+    more than ``HOT_KEYS`` of them, whatever the table. All other keys are joined by shuffle,
+    where none is large any more. Rows whose key is null or not in ``right`` are left out.
+    """
+    least = max(1, total // HOT_KEYS)
+    hot = F.broadcast(right.filter(F.col(count) > least))
+    common = left.join(hot, key)
+    rest = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col(count) <= least), key)
+    return common.unionByName(rest)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklens.llm.common import map_columns, new_path, quoted, remove, staged, utf8
+from tracklens.llm.common import join_counted, map_columns, new_path, quoted, remove, staged, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -157,16 +157,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keep = df.columns if keep is None else keep
     marked = df.withColumn("component_id", quoted(id_col))
     made = staged(with_fingerprint(marked, text_col, [*[c for c in keep if c.lower() not in ("component_id", "simhash")], "component_id"], width), "simhash")
-    own = staged(made.groupBy("simhash").agg(F.min("component_id").alias("first_id")), "simhash-ids")
+    own = staged(made.groupBy("simhash").agg(F.min("component_id").alias("first_id"), F.count("*").alias("_n")), "simhash-ids")
     linked = components(links(own).select("a", "b"))
     ids = linked.join(own, linked["node"] == own["simhash"]).select("node", "root", "first_id")
     smallest = ids.groupBy("root").agg(F.min("first_id").alias("least_id"))
     merged = ids.select("node", "root").join(smallest, "root").select(F.col("node").alias("simhash"), "least_id")
-    resolved = own.join(merged, "simhash", "left").select(
-        F.col("simhash").alias("print"), F.coalesce("least_id", "first_id").alias("resolved_id")
-    )
-    out = made.drop("component_id").join(resolved, F.col("simhash") == F.col("print"), "left")
-    return out.withColumn("component_id", F.col("resolved_id")).drop("print", "resolved_id")
+    resolved = own.join(merged, "simhash", "left").select("simhash", F.coalesce("least_id", "first_id").alias("_resolved"), "_n")
+    out = join_counted(made.drop("component_id"), resolved, "simhash", "_n", made.count())
+    return out.select(*[quoted(c) for c in made.columns if c != "component_id"], F.col("_resolved").alias("component_id"))
 
 
 def hex_fingerprint(fp: str = "simhash") -> Column:
