@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import quoted, staged
+from tracklens.llm.common import join_counted, quoted, staged
 
 #: Fixed patterns, Java syntax. ``hex`` and ``access`` state their least length, which matches
 #: the same as dropping shorter maximal runs; ``assign`` is filtered afterwards, without retries.
@@ -106,7 +106,7 @@ def scan(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", kee
     some, none = found.filter(F.size("secrets") > 0), found.filter(F.size("secrets") == 0)
     counts = ownership(some, F.col("_repo"), F.col("_owner"))
     each = some.select("_row", F.explode("secrets").alias("s")).withColumn("digest", F.sha2(F.col("s.value"), 256))
-    told = each.join(counts, "digest").select(
+    told = join_counted(each, counts, "digest", "n_seen", each.count()).select(
         "_row",
         F.struct(
             "s.start", "s.kind_no", "s.end", "n_owners", "n_repos",
