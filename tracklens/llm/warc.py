@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import quoted, staged
+from tracklens.llm.common import join_counted, quoted, staged
 
 VERSION = "WARC/1.1"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # RFC 4648
@@ -55,14 +55,14 @@ def captures_of(pages: DataFrame, least_bytes: int, id_col: str, url_col: str, h
     ).withColumns({"row": F.monotonically_increasing_id(), "digest": sha1_base32(F.col("payload")), "size": F.octet_length("payload")})
     rows = staged(rows, "captures")
     # Counted before it is moved: payloads in a third of all pages cost one row per task.
-    first = rows.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(
+    first = rows.filter(F.col("size") >= least_bytes).groupBy("digest").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "row")).alias("first"), F.count("*").alias("n")
     )
-    first = first.filter("n > 1").select(F.col("digest").alias("d"), F.col("size").alias("z"), "first")
-    joined = rows.join(first, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("z")), "left")
-    return joined.withColumn("revisits", F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))).select(
-        "page_id", "url", "payload", "digest", "size", "revisits", F.col("first.page_id").alias("target_page"), F.col("first.row").alias("target_row"), "row"
-    )
+    names = ["page_id", "url", "payload", "digest", "size", "row"]
+    compared = join_counted(rows.filter(F.col("size") >= least_bytes), first, "digest", "n", rows.count())
+    compared = compared.select(*names, (F.col("first.row") != F.col("row")).alias("revisits"), F.col("first.row").alias("target_row"))
+    short = rows.filter(F.col("size") < least_bytes).select(*names, F.lit(False).alias("revisits"), F.lit(None).cast("long").alias("target_row"))
+    return compared.unionByName(short)
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
@@ -139,6 +139,8 @@ def assemble(records: DataFrame) -> DataFrame:
         F.struct("type", "record_id", "refers_to", "digest", "url", F.substring("body", F.lit(1), cut + 1).alias("http")).alias("capture"),
         F.substring(F.col("body"), cut + 4, F.length("body")).alias("payload"),
     )
+    # Measured here, so that the joins move a payload only where it is asked for.
+    captures = captures.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload"))})
     requests = checked.filter("type = 'request'").select(F.col("concurrent_to").alias("id"), F.struct("record_id", "url", "body").alias("request"))
     metadata = checked.filter("type = 'metadata'").select(
         F.col("concurrent_to").alias("id"),
@@ -160,13 +162,15 @@ def capture_digests(assembled: DataFrame) -> DataFrame:
     rows = assembled.select(
         "id",
         F.col("metadata.page_id").alias("page_id"),
-        F.when(is_response, F.octet_length("payload").cast("long")).otherwise(F.col("metadata.payload_bytes")).alias("payload_bytes"),
-        F.when(is_response, sha1_base32(F.col("payload"))).otherwise(F.col("capture.digest")).alias("payload_digest"),
+        F.when(is_response, F.col("payload_bytes")).otherwise(F.col("metadata.payload_bytes")).alias("payload_bytes"),
+        F.when(is_response, F.col("payload_digest")).otherwise(F.col("capture.digest")).alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
         F.col("capture.refers_to").alias("target"),
     )
     rows = staged(rows, "capture-digests")
-    targets = rows.filter("record_type = 'response'").select(F.col("id").alias("target"), F.col("page_id").alias("refers_to"))
     plain, revisits = rows.filter("target IS NULL"), rows.filter("target IS NOT NULL")
+    counted = revisits.groupBy("target").agg(F.count("*").alias("n"))
+    targets = rows.filter("record_type = 'response'").select(F.col("id").alias("target"), F.col("page_id").alias("refers_to"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return plain.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(revisits.join(targets, "target", "left").select(*columns))
+    referred = join_counted(revisits, counted.join(targets, "target", "left"), "target", "n", revisits.count())
+    return plain.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(referred.select(*columns))
