@@ -1,5 +1,93 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+Personal data (context scores), byte-level BPE, SimHash components, lattice scores and page text
+are left to brute-force tests.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from tracklens.llm import quality, secrets
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HIT_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, {_HIT_WORD}) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_HIT_WORD}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS k, least(len(w), 10) AS n
+    FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0) AS x),
+sizes AS (SELECT DISTINCT n FROM win),
+spot AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n) AS x),
+occ AS (SELECT rid, item, spot.n, i FROM spot JOIN win ON spot.k = win.k AND spot.n = win.n),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM occ) AS x GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item FROM occ) AS x GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
+
+_MEASURED = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8) AS x),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM rep) AS x GROUP BY rid),
+lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters, len(regexp_extract_all(t, '[A-Z]')) AS n_upper
+    FROM d JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+f AS (SELECT *, CAST(""" + " + ".join(f"CASE WHEN {rule} THEN {quality.BIT[name]} ELSE 0 END" for name, rule in quality.RULES) + """ AS BIGINT) AS failed FROM m)"""
+
+OP3 = f"""{_MEASURED}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {quality.POLICIES["base"]} <> 0 AS base_failed, failed & {quality.POLICIES["v1"]} = 0 AS kept, failed FROM f"""
+
+ABLATIONS = f"""{_MEASURED}, r AS (SELECT * FROM (VALUES {", ".join(f"('{n}', CAST({b} AS BIGINT))" for n, b in quality.BIT.items())}) AS v(rule, bit))
+SELECT rule, bit, count(*) FILTER (failed & bit <> 0) AS n_rejected, count(*) FILTER (failed = bit) AS n_only_by_it, count(*) FILTER (failed & ~bit = 0) AS n_kept_without, count(*) AS n_docs
+FROM f, r GROUP BY rule, bit"""
+
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, row_number() OVER (PARTITION BY h ORDER BY page_id) AS n FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+    CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n = 1 THEN NULL ELSE first END AS refers_to
+FROM q"""
+
+
+def _matches(kind: str) -> str:
+    pattern, k = secrets.PATTERNS[kind].replace("'", "''"), secrets.KINDS.index(kind)
+    value = f"regexp_extract_all(t, '{pattern}', 1)" if kind == "assign" else f"regexp_extract_all(t, '{pattern}')"
+    return f"SELECT rid, src, {k} AS kind, regexp_extract_all(t, '{pattern}') AS m, {value} AS v, string_split_regex(t, '{pattern}') AS g FROM d"
+
+
+_NAMES = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS src, coalesce(text, '') AS t FROM documents),
+every AS ({" UNION ALL ".join(_matches(k) for k in secrets.KINDS)}),
+each AS (SELECT rid, src, kind, unnest(m) AS x, unnest(v) AS value, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM every WHERE len(m) > 0),
+placed AS (SELECT *, sum(length(gap) + length(x)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM each),
+s AS (SELECT rid, src, kind, CAST(e - length(x) AS BIGINT) AS b, CAST(e AS BIGINT) AS e, value FROM placed WHERE kind <> 0 OR length(value) >= {secrets.LEAST_ASSIGNED}),
+own AS (SELECT value, count(DISTINCT src) AS owners FROM s GROUP BY value),
+told AS (SELECT s.*, CASE WHEN owners >= {secrets.WIDE_OWNERS} THEN 'copied' WHEN length(value) >= {secrets.LEAST_LIVE} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict,
+    {_NAMES}[kind + 1] || ':' || b || ':' || e AS span FROM s JOIN own USING (value)),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.KINDS))}, {", ".join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in ("live", "copied", "weak"))},
+    string_agg(span, ',' ORDER BY b, kind) FILTER (kind < {len(secrets.BASE_KINDS)}) AS base, string_agg(span, ',' ORDER BY b, kind) AS spans FROM told GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*secrets.KINDS, "live", "copied", "weak"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)"""
+
+_ESCAPED = "replace(replace({0}, '&', '&amp;'), '<', '&lt;')"
+OP10 = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('<turn></turn>') + 2 + length(replace({_ESCAPED.format("role")}, chr(10), '&nl;')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2,
+    "op3_quality_rules": OP3,
+    "quality_ablations": ABLATIONS,
+    "op8_warc": OP8,
+    "op9_secrets": OP9,
+    "op10_chat": OP10,
+}

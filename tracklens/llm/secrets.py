@@ -21,18 +21,17 @@ from pyspark.sql import functions as F
 
 from tracklens.llm.common import join_counted, quoted, staged
 
-#: Fixed patterns, Java syntax. ``hex`` and ``access`` state their least length, which matches
+#: Fixed patterns, in the syntax that Java and RE2 share. ``hex`` and ``access`` state their least length, which matches
 #: the same as dropping shorter maximal runs; ``assign`` is filtered afterwards, without retries.
 PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
     "provider": "|".join([
-        r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}",
-        r"(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{10,}",
-        r"(?<![A-Za-z0-9_])[sr]k_live_[A-Za-z0-9]{16,}",
-        r"(?<![A-Za-z0-9_-])AIza[A-Za-z0-9_-]{35}",
-        r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
+        r"gh[pousr]_[A-Za-z0-9]{36,}",
+        r"xox[abprs]-[A-Za-z0-9-]{10,}",
+        r"[sr]k_live_[A-Za-z0-9]{16,}",
+        r"AIza[A-Za-z0-9_-]{35}",
         r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
     ]),
 }
