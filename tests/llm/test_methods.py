@@ -1,0 +1,366 @@
+"""What the methods promise beyond their queries: intermediate results, exactness, recovery, plans."""
+
+import math
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm import plain
+from tracklens.llm import bpe, chat, decontaminate, html_text, lattice, near_dup, pii, quality, secrets, warc
+from tracklens.llm.common import join_counted, new_path, staged
+
+PATH = public_tokenizers.path(bpe.VOCABULARY)
+
+
+# ---- 4: prefix tables ----
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=" aeinrstbé你🙂\n\t'0123!?#", max_size=60))
+def test_bpe_equals_plain_merging(text):
+    assert bpe.vocabulary(PATH).encode(text) == plain.encoder().encode_ordinary(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=40), st.binary(max_size=20), st.data())
+def test_bpe_append_and_edit(first, more, data):
+    v = bpe.vocabulary(PATH)
+    table = bpe.PrefixTable(v, first)
+    table.append(more)
+    whole = bpe.PrefixTable(v, first + more)
+    assert table.last == whole.last and table.tokens() == v.merge(first + more)
+    k = data.draw(st.integers(0, len(first)))
+    assert whole.tokens(k) == v.merge(first[:k])
+    table.replace(k, len(first), b"xyz")
+    assert table.tokens() == v.merge(first[:k] + b"xyz" + more)
+
+
+def test_bpe_columns(spark):
+    df = spark.createDataFrame([("a b", 1), (None, 2), ("", 3)], "text string, n_tokens int")
+    out = bpe.decode(bpe.encode(df)).collect()
+    assert [bytes(r.decoded) for r in out] == [b"a b", b"", b""] and [r.n_tokens for r in out] == [2, 0, 0]
+
+
+# ---- 2: suffix arrays ----
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abc ", max_size=60), max_size=6), st.lists(st.text(alphabet="abcd ", max_size=40), min_size=1, max_size=4))
+def test_suffix_array(docs, items):
+    bench = decontaminate.Benchmark([(str(i), t.encode()) for i, t in enumerate(items)], window=3)
+    shard = decontaminate._Shard(bench.vocabulary)
+    for d in docs:
+        shard.add(d.encode())
+    words, left, doc, starts = shard.arrays()
+    size, where = decontaminate.SuffixArray(words, left, 1).longest(bench)
+    texts = [d.split() for d in docs]
+    for k in range(len(bench.words)):
+        own = bench.words[k : k + bench.left[k]].tolist()
+        best = 0
+        for t in texts:
+            ids = [bench.vocabulary.get(w.encode(), 0) for w in t]
+            for p in range(len(ids)):
+                n = 0
+                while n < len(own) and p + n < len(ids) and ids[p + n] == own[n]:
+                    n += 1
+                best = max(best, n)
+        assert size[k] == best
+        if best:
+            assert words[where[k] : where[k] + best].tolist() == own[:best] and left[where[k]] >= best
+
+
+def test_many_words_and_long_matches(spark, monkeypatch):
+    """Vocabularies beyond a byte, matches beyond the sorted depth, several shards and blocks."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(vocab) for _ in range(60)]
+    docs = [" ".join([rng.choice(vocab) for _ in range(rng.randint(0, 80))] + (passage if i % 3 == 0 else passage[5:12])) for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(40))) for i in range(30)] + [(99, " ".join(passage)), (98, " ".join(passage[:30]))]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((i, *w) for i, w in enumerate(plain.hits(docs, items)))
+    query = lambda: sorted(tuple(r) for r in decontaminate.digests(decontaminate.hits(d, b, keep=["doc_id"])).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+    assert query() == want
+    best = {(r.item, r.item_word): r for r in decontaminate.longest_matches(d, b).collect()}
+    assert best["99", 0].n_match == 60 and best["99", 0].doc == "0" and best["99", 30].n_match == 30
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1500)
+    assert query() == want
+    assert decontaminate.clean(d, b).count() == sum(not w[-1] for w in want)
+
+
+# ---- 3: ledger ----
+
+
+def test_ledger_policies_and_ablations(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(1, good), (2, "short"), (3, good + " ### ### ###" * 4), (4, good.upper()), (5, None), (6, "a b c d e f g h " * 9)], "doc_id long, text string")
+    led = quality.ledger(df).withColumn("names", quality.failed_names())
+    got = {r.doc_id: r.names for r in led.collect()}
+    assert got[1] == "" and "too_short" in got[2] and "symbol_heavy" in got[3] and "shouting" in got[4] and got[5] == "too_short" and "repeated_windows" in got[6]
+    assert sorted(r.doc_id for r in led.filter(quality.passes("base")).collect()) == [1, 3, 4]
+    ab = {r.rule: r for r in quality.ablations(led).collect()}
+    assert ab["too_short"].n_only_by_it == 2 and ab["too_short"].n_kept_without == 3 and ab["shouting"].n_kept_without == 2 and ab["shouting"].n_docs == 6
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\x0b é#", max_size=120))
+def test_measures(text):
+    m = quality.measure(text.encode())
+    assert (*m[:3], m[4], m[5]) == plain.measures(text)[:5]
+
+
+# ---- 5: embedding, grid, components ----
+
+
+def test_embedding_is_a_lower_bound_and_grid_finds_all(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(2**63), 2**63, 60)
+    near = [int(x) ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for x in base for k in (1, 2, 3, 4)]
+    values = sorted({int(x) for x in base} | set(near))
+    df = spark.createDataFrame([(v,) for v in values], "simhash long")
+    counts = {r.simhash: r.v for r in df.withColumn("v", near_dup.segment_counts(F.col("simhash"))).collect()}
+    ones = lambda x: (x & (2**64 - 1)).bit_count()
+    want = set()
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            manhattan = sum(abs(ones(a >> 2 * k & 3) - ones(b >> 2 * k & 3)) for k in range(32))
+            assert manhattan == ones(counts[a] ^ counts[b]) <= ones(a ^ b)
+            if ones(a ^ b) <= 3:
+                want.add((a, b, ones(a ^ b)))
+    got = [tuple(r) for r in near_dup.links(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_large_cells_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CELL_ROWS", 3)
+    values = [1 << i for i in range(12)] + [0]
+    df = spark.createDataFrame([(v,) for v in values], "simhash long")
+    assert near_dup.links(df).count() == len(values) * (len(values) - 1) // 2
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        root[max(ra, rb)] = min(ra, rb)
+    got = {r.node: r.root for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
+    assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_join_counted(spark):
+    left = spark.createDataFrame([(i % 7 if i > 50 else 0, i) for i in range(3000)], "k long, x long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("top"))
+    assert join_counted(left, right, "k", "n", 3000).count() == 3000
+    plan = join_counted(left, right, "k", "n", 3000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan
+
+
+# ---- 6: lattice ----
+
+
+def test_lattice_sums_all_spellings():
+    lat = lattice.Lattice(public_tokenizers.path(lattice.VOCABULARY), {300: 50, 400: 7, -1: 3})
+    for word in ("a", "thand", "é", "日", "x\x01y"):
+        data = lattice.MARK + word.encode()
+
+        def spell(i, data=data):
+            if i == len(data):
+                return 1.0
+            return sum(math.exp(p) * spell(j) for j in range(i + 1, len(data) + 1) if (p := lat.pieces.get(data[i:j])) is not None)
+
+        assert lat.log10(word.encode()) == pytest.approx(math.log10(spell(0)), rel=1e-9)
+    total = sum(math.exp(p) for p in lat.pieces.values() if p is not None) + 10**lat.end
+    assert total == pytest.approx(1)
+
+
+def test_lattice_rare_words_and_held_out(spark, monkeypatch):
+    """The same scores whether words are broadcast or joined; unseen words still have a probability."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(1)) % 500}" for _ in range(30))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a = {r.doc_id: r for r in lattice.score(df).collect()}
+    monkeypatch.setattr(lattice.common_words, "__defaults__", (10,))
+    b = {r.doc_id: r for r in lattice.score(df).collect()}
+    for i in a:
+        assert a[i].score == pytest.approx(b[i].score) and a[i].base_score == pytest.approx(b[i].base_score) and a[i].n_known == b[i].n_known
+    assert any(r.held_out and r.n_known < r.n_tokens for r in a.values()) and all(math.isfinite(r.score) for r in a.values())
+
+
+# ---- 7: trees and decoding ----
+
+
+def page(inner, tag="article", cls=""):
+    return f'<html><head><title>T</title><script>var x="<p>no</p>"</script></head><body><nav><ul><li><a href="/a">Menu one</a></li><li><a href="/b">Menu two</a></li></ul></nav><{tag} class="{cls}">{inner}</{tag}><footer>&copy; someone</footer></body></html>'
+
+
+def test_extract(spark):
+    paras = lambda i: "".join(f"<p>Paragraph {i} {k} with <b>bold</b>, a&amp;b and   some more words to read.</p>" for k in range(6))
+    rows = [(i, page(f"<h1>Head {i}</h1>" + paras(i))) for i in range(60)]
+    rows += [(100, page('<p>First</p><div class="newsletter"><p>Sign up now</p></div><p>Second<br>line</p>')), (101, "plain &lt;text&gt; only"), (102, None), (103, "<p>unclosed <i>one<p>two <!-- c --> three<script>x</script>")]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert got[3].split("\n\n")[:2] == ["Head 3", "Paragraph 3 0 with bold, a&b and some more words to read."] and "Menu" not in got[3] and "someone" not in got[3]
+    assert got[100] == "First\n\nSecond line" and got[102] == ""
+    bare = {r.page_id: r.text for r in html_text.extract(df.filter("page_id > 100")).collect()}
+    assert bare[101] == "plain <text> only" and bare[103] == "unclosed one\n\ntwo three"
+
+
+def test_held_out_nodes(spark, tiny):
+    """Accuracy on nodes of pages that the trees have not seen."""
+    pages = spark.read.parquet(f"{tiny}/pages.parquet")
+    model = html_text.fit(pages.filter("page_id % 2 = 0"))
+    right = total = 0
+    for r in pages.filter("page_id % 2 = 1").collect():
+        for p, y in html_text.variants(r.html, random.Random(r.page_id)):
+            taken = html_text.decode(p, model.odds(p.features()))
+            right += int((taken == (y > 0)).sum())
+            total += len(y)
+            assert all(x.parent is None or taken[x.parent.order] for x in p.nodes if taken[x.order])
+    assert right / total > 0.97
+
+
+def test_decoding_is_the_best_choice():
+    rng = random.Random(4)
+    for _ in range(30):
+        p = html_text.Page("<div><p>a</p><ul><li>b</li></ul></div><p>c</p>")
+        odds = np.array([rng.gauss(0, 2) for _ in p.nodes])
+        n, best = len(p.nodes), 0.0
+        for mask in range(1 << n):
+            on = [mask >> i & 1 for i in range(n)]
+            if all(not on[x.order] or x.parent is None or on[x.parent.order] for x in p.nodes):
+                best = max(best, sum(o for o, t in zip(odds, on) if t))
+        taken = html_text.decode(p, odds)
+        assert odds[taken].sum() == pytest.approx(best)
+
+
+# ---- 8: captures ----
+
+
+def test_warc_rows(spark):
+    df = spark.createDataFrame([(1, "u1", "same é"), (2, "u2", "same é"), (3, None, None), (4, "u4", "ab")], "page_id long, url string, html string")
+    path = new_path(spark, "warc-test")
+    archive = warc.write_archives(df, path, least_bytes=3)
+    rows = {r.metadata.page_id: r for r in warc.assemble(warc.read_records(spark, path, archive)).collect()}
+    assert rows[1].capture.type == "response" and rows[1].payload == "same é" and rows[1].request.body.startswith("GET u1 HTTP/1.1")
+    assert rows[2].capture.type == "revisit" and rows[2].capture.refers_to == rows[1].id and rows[2].payload == ""
+    assert rows[3].capture.type == rows[4].capture.type == "response" and rows[3].payload == ""
+    with pytest.raises(Exception, match="cut short"):
+        warc.assemble(warc.read_records(spark, path, archive).withColumn("whole", F.lit(False))).collect()
+
+
+# ---- 1, 9: spans ----
+
+
+def test_added_personal_data():
+    spans = pii.scan("IBAN DE89 3704 0044 0532 0130 00 and DE88 3704 0044 0532 0130 00; amex card 378282246310005")
+    kinds = [s.kind for s in spans]
+    assert kinds.count("iban") == 1 and kinds.count("card_short") == 1
+    assert [s.kind for s in pii.scan("call tel. 030 1234 5678")] == ["phone_local"] and not pii.scan("order no. 030 1234 5678 of a test")
+    assert pii.redact("mail a@b.cd now", pii.scan("mail a@b.cd now")) == "mail [EMAIL] now"
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("GB82 WEST 1234 5698 7654 32")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab1.@-+ ()49_é", max_size=80))
+def test_base_spans_equal_the_patterns(text):
+    want = plain.pii(text)[0]
+    base = [s for s in pii.scan(text) if s.kind in pii.BASE_KINDS]
+    assert pii.digest(base) == want["base_sha256"]
+
+
+def test_verdicts_and_redaction(spark):
+    key = "sk8f7a6b5c4d3e2f"
+    rows = [(i, f"token = 'a1b2c3d4e5f6' {i}", f"src{i}") for i in range(4)] + [(10, f"x password: {key} y", "src1"), (11, "password: changeme1", "src1"), (12, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = secrets.scan(df, F.col("source"), F.col("source")).withColumn("clean", secrets.redacted(F.col("text")))
+    got = {r.doc_id: ([s.verdict for s in r.secrets], r.clean) for r in out.collect()}
+    assert got[0][0] == ["copied"] and got[0][1] == rows[0][1]
+    assert got[10] == (["live"], "x [SECRET] y") and got[11][0] == ["weak"] and got[12] == ([], None)
+
+
+# ---- 10: parts ----
+
+
+def test_chat_parts(spark):
+    parts = "array<struct<kind:string, text:string, ref:string, units:double>>"
+    rows = [
+        (1, 0, "user", [("text", "see <image:0/>", None, None), ("image", None, "s3/a.png", 4.0), ("audio", None, "b.wav", 2.5)]),
+        (1, 1, "assistant", [("text", "a & b", None, None)]),
+        (1, 2, "us\ner", [("document", None, "c.pdf", None), ("text", None, None, None)]),
+        (2, 0, "user", None),
+    ]
+    df = spark.createDataFrame(rows, f"c long, t long, r string, p {parts}")
+    got = {r.conv: r for r in chat.format_turns(df, F.col("c"), F.col("t"), F.col("r"), F.col("p")).collect()}
+    assert got[1].formatted == "<turn>user\nsee &lt;image:0/><image:0/><audio:1/></turn>\n<turn>assistant\na &amp; b</turn>\n<turn>us&nl;er\n<document:2/></turn>\n"
+    assert [(a.number, a.kind, a.ref, a.tokens) for a in got[1].attachments] == [(0, "image", "s3/a.png", 1024), (1, "audio", "b.wav", 63), (2, "document", "c.pdf", 1024)]
+    assert got[1].expanded_tokens == 2111 and got[2].attachments == []
+    a, b = got[1].loss_spans[0]
+    assert got[1].formatted[a:b] == "a &amp; b"
+
+
+# ---- pipeline ----
+
+
+def test_pipeline_against_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    out = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, tiny).collect()}
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    led = {r.doc_id: r.failed for r in quality.ledger(docs).collect()}
+    kept = [r for r in rows if not plain.measures(r[1])[5] and not led[r[0]] & quality.POLICIES["v1"]]
+    roots = {i: c for i, _, c in plain.simhash_components([(i, t) for i, t, _ in kept])}
+    kept = [r for r in kept if roots[r[0]] == r[0]]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    hit = plain.hits([t for _, t, _ in kept], items)
+    kept = [r for r, h in zip(kept, hit) if not h[4]]
+    assert set(out) == {r[0] for r in kept} and 0 < len(out) < len(rows)
+    for i, t, _ in kept:
+        text = bpe.vocabulary(PATH).decode(out[i]).decode()
+        if text == t:
+            assert out[i] == plain.encoder().encode_ordinary(t)
+        else:
+            assert secrets.MARK in text and plain.secrets(t)[4]
+
+
+def test_pipeline_hard_rows(spark, tmp_path):
+    """Nulls, repeats, empty texts and extra columns go through every stage."""
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, "en", "s", 5, 1, 1), (1, text, "en", "s", 5, 1, 1), (None, text + " more", None, None, None, 2, 2), (3, None, None, None, None, 3, 3), (4, "", "en", "s", 0, 4, 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long, failed long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == corpus_pipeline.COLUMNS
+    assert docs.filter("doc_id = 1").count() == 1 and docs.filter("doc_id IN (3, 4)").count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = staged(stage(spark, empty, str(tmp_path)), name)
+    assert empty.count() == 0
+
+
+# ---- plans ----
+
+
+def test_native_plans_have_no_python(spark, tiny):
+    from tracklens.llm import queries as q
+
+    for name in ("op8_warc", "op9_secrets", "op10_chat"):
+        plan = q.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Cartesian" not in plan
