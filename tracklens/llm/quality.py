@@ -12,6 +12,8 @@ text is linear in its length but for one sort of its windows.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,7 @@ MEASURES = T.StructType([
     T.StructField("n_repeat_words", T.LongType()),
     T.StructField("n_letters", T.LongType()),
     T.StructField("n_upper", T.LongType()),
+    T.StructField("n_stutter", T.LongType()),
 ])
 
 #: Bit, name and failing condition of every rule, over the measures. Conditions compare
@@ -47,6 +50,7 @@ RULES: list[tuple[str, str]] = [
     ("short_words", "n_words >= 20 AND word_chars < 2 * n_words"),
     ("long_words", "n_words >= 20 AND word_chars > 25 * n_words"),
     ("shouting", "n_letters >= 50 AND 2 * n_upper > n_letters"),
+    ("stuttering", "n_words >= 20 AND 2 * n_stutter > n_words"),
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 #: Versions are never edited: a new policy gets a new name.
@@ -100,6 +104,7 @@ def measure(text: bytes) -> tuple[int, ...]:
         repeated_words(words),
         upper + lower,
         upper,
+        sum(map(eq, words, words[1:])),
     )
 
 
