@@ -98,10 +98,8 @@ def range_join(queries: DataFrame, tracks: DataFrame, bucket_ms: int = 1000, wid
     Windows of at most ``widest`` are cut into buckets and joined by bucket; wider ones by coarse
     buckets of that width, an open side reaching to the longest track. Both are equi-joins.
     """
-    longest = tracks.agg(F.max("duration_ms").alias("longest"))
-    q = queries.crossJoin(F.broadcast(longest)).withColumns({  # one row
-        "_low": F.coalesce("min_ms", F.lit(0)), "_high": F.least(F.coalesce("max_ms", "longest"), "longest"),
-    }).drop("longest").filter("_low <= _high")
+    longest = tracks.agg(F.max("duration_ms")).scalar()
+    q = queries.withColumns({"_low": F.coalesce("min_ms", F.lit(0)), "_high": F.least(F.coalesce("max_ms", longest), longest)}).filter("_low <= _high")
     parts = []
     for width, keep in ((bucket_ms, F.col("_high") - F.col("_low") <= widest), (widest, F.col("_high") - F.col("_low") > widest)):
         cut = q.filter(keep).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))))
@@ -304,8 +302,7 @@ def work_batch(queue: DataFrame, n: int = 80, fill: bool = False) -> DataFrame:
     order = [F.col("priority").desc(), F.col("track_id")]
     if fill:
         return queue.orderBy(*order).limit(n)
-    top = queue.agg(F.max("priority").alias("_top"))
-    return queue.join(F.broadcast(top), F.col("priority") == F.col("_top")).drop("_top").orderBy(*order).limit(n)  # one row
+    return queue.filter(F.col("priority") == queue.agg(F.max("priority")).scalar()).orderBy(*order).limit(n)
 
 
 def cursor_batch(df: DataFrame, after: int, n: int, key: str = "id") -> DataFrame:

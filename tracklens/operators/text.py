@@ -87,10 +87,10 @@ def bm25(postings: DataFrame, stats: DataFrame, terms: list[str], weights: dict[
         weight = F.when(F.col("col") == c, F.lit(w)).otherwise(weight)
     tf = postings.filter(F.col("term").isin(wanted)).groupBy("term", "doc_id").agg(F.sum(weight).alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    whole = stats.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    docs, mean = stats.agg(F.count("*")).scalar(), stats.agg(F.avg("length")).scalar()
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = tf.join(F.broadcast(df), "term").join(stats, "doc_id").crossJoin(F.broadcast(whole))  # a row per term, and one row
+    scored = tf.join(F.broadcast(df), "term").join(stats, "doc_id").withColumns({"docs": docs, "mean": mean})  # df: a row per term
     return scored.groupBy("doc_id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("n")).filter(F.col("n") == len(wanted)).drop("n")
 
 

@@ -109,8 +109,8 @@ def rescue_unfound(tracks: DataFrame, secondary: DataFrame, dry_run: bool = Fals
     waiting = tracks.filter("popularity_source = 'unfound'")
     found = rel.rescue_join(waiting.select("id", "mb_id"), secondary)
     if dry_run:
-        hits, n = found.agg(F.count("*").alias("hits")), waiting.agg(F.count("*").alias("scanned"))
-        return n.crossJoin(hits).withColumn("coverage_percent", F.round(100.0 * F.col("hits") / F.greatest("scanned", F.lit(1)), 1))  # one row each
+        both = waiting.agg(F.count("*").alias("scanned")).withColumn("hits", found.agg(F.count("*")).scalar())
+        return both.withColumn("coverage_percent", F.round(100.0 * F.col("hits") / F.greatest("scanned", F.lit(1)), 1))
     found = found.select("id", F.col("new_popularity").alias("popularity"), F.lit("listenbrainz").alias("popularity_source"))
     return rel.apply_updates(tracks, found, "id", {"popularity": "keep_non_null", "popularity_source": "keep_non_null"})
 

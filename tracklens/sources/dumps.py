@@ -83,5 +83,5 @@ def result_envelope(page: DataFrame, total: DataFrame, number: int, per_page: in
         F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*cols).alias("r")))), lambda x: x["r"]).alias("results"),
         F.coalesce(F.bool_or("has_more"), F.lit(False)).alias("hasMore"),
     )
-    both = rows.crossJoin(F.broadcast(total))  # one row each
+    both = rows.withColumns({c: total.select(c).scalar() for c in ("total", "capped")})
     return both.select(F.to_json(F.struct("results", "total", "capped", F.lit(number).alias("page"), F.lit(per_page).alias("perPage"), "hasMore")).alias("body"))
