@@ -252,7 +252,7 @@ on_tracks(
     f"""{T}, q AS (SELECT id AS query_id, id % 4 AS kind, title, {BATCH} AS query FROM tracks WHERE id % 20 = 3 OR id % 20 = 6),
     p AS (SELECT query_id, kind, CASE kind WHEN 3 THEN split_part(title, ' ', 2) ELSE split_part(title, ' ', 1) END AS w,
         CASE WHEN kind = 3 THEN (3 * 60 + 10 + query_id % 10) * 1000 WHEN kind = 2 THEN (3 * 60 + query_id % 10) * 1000 END AS lo, CASE WHEN kind = 2 THEN (3 * 60 + query_id % 10) * 1000 + 999 ELSE 99999999 END AS hi FROM q),
-    h AS (SELECT query_id, t.*, row_number() OVER (PARTITION BY query_id ORDER BY {RANK_SQL} DESC NULLS LAST, duration_ms, id) AS position FROM p JOIN tracks t ON (split_part(t.title, ' ', 1) = w OR split_part(t.title, ' ', 2) = w) AND t.duration_ms BETWEEN lo AND hi)
+    h AS (SELECT query_id, t.*, row_number() OVER (PARTITION BY query_id ORDER BY {RANK_SQL} DESC NULLS LAST, duration_ms, id) AS position FROM p JOIN tracks t ON (split_part(t.title, ' ', 1) = w OR split_part(t.title, ' ', 2) = w OR lower(t.album) = w) AND t.duration_ms BETWEEN lo AND hi)
     SELECT query_id, position, id FROM h WHERE position <= 10""",
 )
 
