@@ -8,9 +8,9 @@ from tracklens.schemas import read, tracks
 from tracklens.streaming import ops
 
 
-def run(spark, tmp_path, df, op, mode):
-    """The last result of an operator on a stream of the rows, which arrive in three files."""
-    df.repartition(3).write.parquet(f"{tmp_path}/in")
+def run(spark, tmp_path, df, op, mode, files=3):
+    """The results of an operator, batch by batch, on a stream of the rows, which arrive in so many files."""
+    df.repartition(files).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = []
     ops.run_available(op(stream), f"{tmp_path}/ck", lambda b, i: out.append([tuple(r) for r in b.collect()]), mode)
@@ -43,7 +43,7 @@ def test_credit_rules(spark):
 def test_rate_limit(spark, tiny, tmp_path):
     df = spark.createDataFrame([(f"2024-01-01 00:{m:02d}:{s:02d}", "a" if m else "b") for m, n in ((0, 3), (1, 4), (40, 1)) for s in range(n)], "ts string, client string").withColumn("ts", F.to_timestamp("ts"))
     want = {tuple(r) for r in ops.rate_limit_flags(df, 3).collect()}
-    assert len(want) == 1 and {r for b in run(spark, tmp_path, df, lambda s: ops.rate_limit_flags(s, 3), "append") for r in b} == want
+    assert len(want) == 1 and {r for b in run(spark, tmp_path, df, lambda s: ops.rate_limit_flags(s, 3), "append", files=1) for r in b} == want
 
 
 def sequential(rows, ttl):
