@@ -28,8 +28,8 @@ from tracklens.llm.common import map_columns, quoted, sha256_hex, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces and pairs remembered by a worker; when full they are forgotten and computed again.
-PIECES_KEPT = 200_000
-PAIRS_KEPT = 500_000
+PIECES_KEPT = 400_000
+PAIRS_KEPT = 1_000_000
 LONGEST_KEPT = 64
 
 
