@@ -94,7 +94,7 @@ def _envelope(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-_LOVE_SQL = "title ILIKE '_%ring' AND duration_ms BETWEEN 185000 AND 210999"
+_LOVE_SQL = "title ILIKE '_%ring' AND duration_ms BETWEEN 181000 AND 210999"
 add(
     "a10_result_envelope",
     _envelope,

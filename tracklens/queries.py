@@ -446,8 +446,8 @@ on_tracks("a7_ensure_columns", _ensured, "SELECT id, title, CAST(NULL AS STRING)
 
 # ---- J: jobs -------------------------------------------------------------------------------
 
-LOVE = SearchSpec(title="*ring", min_ms=185_000, max_ms=210_999, page=1, per_page=50)
-on_tracks("j10_search_tracks", lambda t: search.search_tracks(t, LOVE).select(F.col("position").cast("long").alias("position"), "id", "title", "duration_ms"), f"SELECT row_number() OVER (ORDER BY {RELEVANCE_SQL}) AS position, id, title, duration_ms FROM tracks WHERE title ILIKE '_%ring' AND duration_ms BETWEEN 185000 AND 210999 ORDER BY {RELEVANCE_SQL} LIMIT 50")
+LOVE = SearchSpec(title="*ring", min_ms=181_000, max_ms=210_999, page=1, per_page=50)
+on_tracks("j10_search_tracks", lambda t: search.search_tracks(t, LOVE).select(F.col("position").cast("long").alias("position"), "id", "title", "duration_ms"), f"SELECT row_number() OVER (ORDER BY {RELEVANCE_SQL}) AS position, id, title, duration_ms FROM tracks WHERE title ILIKE '_%ring' AND duration_ms BETWEEN 181000 AND 210999 ORDER BY {RELEVANCE_SQL} LIMIT 50")
 on_tracks("j10_search_grouped", lambda t: search.search_tracks(t, SearchSpec(wildcard="*ol*", group=True, per_page=200)).select(F.col("position").cast("long").alias("position"), "id", "version_count"), f"SELECT row_number() OVER (ORDER BY {RELEVANCE_SQL}) AS position, id, version_count FROM (SELECT *, row_number() OVER (PARTITION BY lower(title), lower(artist) ORDER BY {HEAD_SQL} DESC, duration_ms, id) AS rn, count(*) OVER (PARTITION BY lower(title), lower(artist)) AS version_count FROM tracks WHERE title ILIKE '_%ol%_' OR artist ILIKE '_%ol%_') AS s WHERE rn = 1 ORDER BY {RELEVANCE_SQL} LIMIT 200")
 on_tracks("j10_search_keywords", lambda t: search.search_tracks(t, SearchSpec(keywords="blue economy", per_page=50)).select("id", "title"), f"SELECT id, title FROM tracks WHERE starts_with(title, 'blue') AND album = 'ECONOMY' ORDER BY {RELEVANCE_SQL} LIMIT 50")
 on_tracks("j11_search_artists", lambda t: search.search_artists(t, SearchSpec(mode="artists", min_ms=180_000, max_ms=220_000, per_page=10)).select(F.col("position").cast("long").alias("position"), "artist", "score"), "SELECT row_number() OVER (ORDER BY score DESC, artist) AS position, artist, score FROM (" + SCORE_SQL.replace("FROM tracks)", "FROM tracks WHERE duration_ms BETWEEN 180000 AND 220000)") + ") AS s ORDER BY score DESC, artist LIMIT 10")
