@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each on all that the one before it kept.
 
 1. ``quality_rules``: documents that the rules of policy v1 reject go.
-2. ``near_dedup``: of each group of linked SimHash fingerprints one document stays.
+2. ``near_dedup``: of each group of documents that share 0.8 or more of their five-word runs one stays.
 3. ``decontaminate``: documents that hold a benchmark window go.
 4. ``secret_scan``: live-looking, owner-specific credentials are replaced in the text.
 5. ``encode``: token ids of what is left.
@@ -26,12 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id stays; of repeated rows of it, one."""
+    """Of documents that share 0.8 of their five-word runs the one with the smallest id stays; of repeated rows of it, one."""
     rows = docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id())
-    found = near_dup.near_duplicates(rows.select("doc_id", "text", "row"), keep=["doc_id", "row"])
-    # Counted by component before rows move, so a large group costs one row per task.
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
-    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
+    return rows.join(near_dup.without_copies(rows.select("doc_id", "text", "row")), "row", "left_semi").select(*COLUMNS)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

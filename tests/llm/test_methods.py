@@ -364,3 +364,42 @@ def test_native_plans_have_no_python(spark, tiny):
     for name in ("op8_warc", "op9_secrets", "op10_chat"):
         plan = q.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Cartesian" not in plan
+
+
+# ---- near copies in the pipeline ----
+
+
+def five_word_share(a, b):
+    runs = lambda t: {" ".join(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    a, b = runs(a), runs(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("bucket_rows", [100, 3])
+def test_near_dedup_leaves_no_copies(spark, monkeypatch, bucket_rows):
+    """Copies with some replaced words go, whatever their length; texts below 0.8 stay."""
+    monkeypatch.setattr(near_dup, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, n = [], 0
+    for length, changes in ((60, 1), (150, 3), (400, 8)):
+        for _ in range(15):
+            base = [word() for _ in range(length)]
+            for k in (0, changes, changes, length // 5):
+                copy = list(base)
+                for p in rng.sample(range(length), k):
+                    copy[p] = word()
+                rows.append((n, " ".join(copy), "en", "s", 0))
+                n += 1
+    crowd = [word() for _ in range(200)]
+    for _ in range(40):
+        rows.append((n, " ".join([*crowd[:-1], word()]), "en", "s", 0))
+        n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, staged(df, "near-dedup-test"), "").collect()}
+    text = {r[0]: r[1] for r in rows}
+    pairs = [(a, b) for a in text for b in text if a < b and five_word_share(text[a], text[b]) >= 0.8]
+    assert len(pairs) > 60 and not [p for p in pairs if p[0] in kept and p[1] in kept]
+    linked = {x for p in pairs for x in p}
+    assert all(i in kept for i in text if i not in linked)
+    assert sum(i in kept for i in range(n - 40, n)) == 1

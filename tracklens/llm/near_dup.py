@@ -167,5 +167,110 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(*[quoted(c) for c in made.columns if c != "component_id"], F.col("_resolved").alias("component_id"))
 
 
+# ---- near copies by shared shingles: the corpus pipeline's rule ----------------------------------
+
+#: Copies share at least this part of all their distinct runs of so many words.
+COPY_WIDTH, COPY_SHARE = 5, 0.8
+#: Two texts at 0.8 meet in one of 20 bands of 5 minima with probability 0.9996.
+BANDS, BAND_ROWS = 20, 5
+#: Up to this size, all pairs of a bucket are compared at once; in larger ones, most members first leave as copies of one.
+BUCKET_ROWS = 100
+#: Pairs of one text that go to one task.
+SHARE_ROWS = 500
+_ODD = np.random.default_rng(SEED).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MORE = np.random.default_rng(SEED + 1).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: bytes, width: int = COPY_WIDTH) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def shared_part(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets; two empty ones are equal."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A number for each band of minima; of an empty set, zeros."""
+    if not len(shingles):
+        return [0] * BANDS
+    least = np.full(len(_ODD), 2**64 - 1, np.uint64)
+    for k in range(0, len(shingles), 1024):
+        block = shingles[k : k + 1024]
+        for i, (a, b) in enumerate(zip(_ODD, _MORE)):
+            least[i] = min(least[i], (block * a + b).min())
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in least.reshape(BANDS, BAND_ROWS)]
+
+
+def with_bands(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns with ``set_id`` (the same for the same set of shingles) and ``bands``."""
+    made = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def work(columns: list[pa.Array]) -> list[pa.Array]:
+        sets = [shingle_set(t) for t in utf8(columns[0])]
+        return [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+
+    return map_columns(df, [quoted(text_col)], keep, made, work)
+
+
+def _confirmed(pairs: DataFrame, texts_: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs ``(a, b, n)`` whose texts share enough; a text of many pairs goes to several tasks."""
+    pairs = pairs.withColumn("share", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / F.lit(SHARE_ROWS))).cast("int"))
+    one = texts_.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
+    other = pairs.select("b", "share").distinct().join(texts_.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+    wide = pairs.join(other, ["b", "share"]).join(one, "a")
+    made = T.StructType([T.StructField("similar", T.DoubleType())])
+
+    def work(columns: list[pa.Array]) -> list[pa.Array]:
+        return [pa.array([shared_part(shingle_set(x), shingle_set(y)) for x, y in zip(utf8(columns[0]), utf8(columns[1]))], pa.float64())]
+
+    return map_columns(wide, [F.col("text_a"), F.col("text_b")], ["a", "b"], made, work).filter(F.col("similar") >= least)
+
+
+def without_copies(rows: DataFrame, least: float = COPY_SHARE) -> DataFrame:
+    """The ``row`` numbers of ``rows`` (``doc_id``, ``text``, ``row``) that stay: no two of them are copies.
+
+    Rows of the same set go first. The others meet in buckets of equal bands, and every pair is
+    confirmed by its exact similarity; of linked rows the one with the smallest id stays. While
+    there are large buckets, their members are compared with one of them per bucket, and those
+    that leave shrink it; then all pairs that are left are compared.
+    """
+    made = staged(with_bands(rows.select("doc_id", "text", "row"), "text", ["doc_id", "row"]), "bands")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    alive = made.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "bands")).alias("first"))
+    alive = staged(alive.select("first.doc_id", "first.row", "first.bands"), "alive")
+    texts_, last = rows.select("row", "text"), False
+    while True:
+        each = alive.select("row", F.posexplode("bands").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
+        full = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row", "bucket").alias("h"), "row"))["row"].alias("b")).filter("n > 1")
+        full = staged(full, "buckets")
+        sizes = full.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+        if not sizes.most:
+            break
+        last = last or sizes.most <= BUCKET_ROWS
+        met = join_counted(each, full, "bucket", "n", sizes.total)
+        if last:
+            met = met.select("bucket", "n", F.col("row").alias("a"))
+            found = met.join(met.select("bucket", F.col("a").alias("b")), "bucket").filter("a < b")
+        else:
+            found = met.select(F.col("row").alias("a"), "b", "n").filter("a != b")
+        links_ = staged(_confirmed(found.groupBy("a", "b").agg(F.max("n").alias("n")), texts_, least).select("a", "b"), "copies")
+        if links_.limit(1).count():
+            linked = staged(components(links_), "linked")
+            named = linked.join(alive.select(F.col("row").alias("node"), "doc_id"), "node").select("root", "doc_id", F.col("node").alias("row"))
+            kept = named.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("row"))
+            gone = named.select("row").join(kept, "row", "left_anti")
+            alive = staged(alive.join(gone, "row", "left_anti"), "alive")
+        elif not last:
+            last = True
+            continue
+        if last:
+            break
+    return alive.select("row")
+
+
 def hex_fingerprint(fp: str = "simhash") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
