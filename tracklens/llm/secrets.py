@@ -43,6 +43,11 @@ WIDE_OWNERS = 3
 #: A live-looking value has a digit, a letter, this many characters, and no such word.
 LEAST_LIVE = 8
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your|test|xxxx|0000|1234"
+#: For redaction: a private key from its header to its END line or, where that is missing, its last line of the body.
+WHOLE_KEY = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,\\-]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----|(?:(?:\s|\\[rn])+[A-Za-z0-9+/=]{16,})*)"
+WHOLE_PATTERNS = PATTERNS | {"provider": PATTERNS["provider"].rpartition("|")[0] + "|" + WHOLE_KEY}
+#: Placeholder words count only as whole words of assigned values.
+PLACEHOLDER_WORD = r"(?i)(?<![A-Za-z0-9])(?:example|sample|changeme|placeholder|dummy|your|test|x{4,}|0000|1234)(?![A-Za-z0-9])"
 MARK = "[SECRET]"
 
 
@@ -66,13 +71,13 @@ def _spans(kind: str) -> str:
 _NO_SPANS = "cast(array() as array<struct<start:int, kind_no:int, end:int, value:string>>)"
 
 
-def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
+def candidates(df: DataFrame, text_col: str = "text", patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """``df`` with ``secrets``: all spans by start, then kind as listed; code points, end exclusive."""
     wide = df.withColumn("_text", F.coalesce(quoted(text_col), F.lit("")))
-    wide = wide.withColumns({f"_m_{k}": F.expr(f"regexp_extract_all(_text, {_literal(p)}, 0)") for k, p in PATTERNS.items()})
+    wide = wide.withColumns({f"_m_{k}": F.expr(f"regexp_extract_all(_text, {_literal(p)}, 0)") for k, p in patterns.items()})
     some = "CASE WHEN size(_m_{0}) = 0 THEN cast(array() as array<string>) ELSE {1} END"
-    groups = {k: f"regexp_extract_all(_text, {_literal(PATTERNS[k])}, 1)" if k == "assign" else f"_m_{k}" for k in KINDS}
-    gaps = {k: f"slice(split(_text, {_literal(PATTERNS[k])}, -1), 1, size(_m_{k}))" for k in KINDS}
+    groups = {k: f"regexp_extract_all(_text, {_literal(patterns[k])}, 1)" if k == "assign" else f"_m_{k}" for k in KINDS}
+    gaps = {k: f"slice(split(_text, {_literal(patterns[k])}, -1), 1, size(_m_{k}))" for k in KINDS}
     wide = wide.withColumns({f"_v_{k}": F.expr(some.format(k, groups[k])) for k in KINDS} | {f"_g_{k}": F.expr(some.format(k, gaps[k])) for k in KINDS})
     wide = wide.withColumns({f"_s_{k}": F.expr(_spans(k)) for k in KINDS})
     wide = wide.withColumn("secrets", F.array_sort(F.concat(*[F.col(f"_s_{k}") for k in KINDS])))
@@ -83,6 +88,11 @@ def live_looking(value: Column) -> Column:
     return (F.length(value) >= LEAST_LIVE) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
 
 
+def live_by_kind(kind_no: Column, value: Column) -> Column:
+    """Ids, keys and long hex are told by their format alone; assigned values by length and placeholder words."""
+    return (kind_no != KINDS.index("assign")) | ((F.length(value) >= LEAST_LIVE) & ~value.rlike(PLACEHOLDER_WORD))
+
+
 def ownership(found: DataFrame, repo: Column, owner: Column) -> DataFrame:
     """``(digest, n_seen, n_repos, n_owners)`` of every candidate value of the corpus."""
     each = found.select(repo.alias("repo"), owner.alias("owner"), F.explode("secrets").alias("s"))
@@ -91,25 +101,27 @@ def ownership(found: DataFrame, repo: Column, owner: Column) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.sum("n").alias("n_seen"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scan(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", keep: list[str] | None = None, whole: bool = False) -> DataFrame:
     """``keep`` columns with ``secrets``, each span with ``n_owners``, ``n_repos`` and ``verdict``.
 
-    The verdict is ``copied``, ``live`` or ``weak``. The spans are written once; only rows that
+    With ``whole``, spans hold private keys to their end and verdicts are those of ``live_by_kind``;
+    without, those of op9's contract. The verdict is ``copied``, ``live`` or ``weak``. The spans are written once; only rows that
     have any are moved again to learn their counts.
     """
     keep = df.columns if keep is None else keep
     kept = [c for c in keep if c.lower() != "secrets"]
     inner = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)], repo.alias("_repo"), owner.alias("_owner"), quoted(text_col).alias("_body"))
-    found = candidates(inner, "_body").drop("_body").withColumn("_row", F.monotonically_increasing_id())
+    found = candidates(inner, "_body", WHOLE_PATTERNS if whole else PATTERNS).drop("_body").withColumn("_row", F.monotonically_increasing_id())
     found = staged(found, "secrets")
     some, none = found.filter(F.size("secrets") > 0), found.filter(F.size("secrets") == 0)
+    live = live_by_kind(F.col("s.kind_no"), F.col("s.value")) if whole else live_looking(F.col("s.value"))
     counts = ownership(some, F.col("_repo"), F.col("_owner"))
     each = some.select("_row", F.explode("secrets").alias("s")).withColumn("digest", F.sha2(F.col("s.value"), 256))
     told = join_counted(each, counts, "digest", "n_seen", each.count()).select(
         "_row",
         F.struct(
             "s.start", "s.kind_no", "s.end", "n_owners", "n_repos",
-            F.when(F.col("n_owners") >= WIDE_OWNERS, "copied").when(live_looking(F.col("s.value")), "live").otherwise("weak").alias("verdict"),
+            F.when(F.col("n_owners") >= WIDE_OWNERS, "copied").when(live, "live").otherwise("weak").alias("verdict"),
         ).alias("s"),
     )
     told = told.groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("secrets"))
