@@ -423,3 +423,18 @@ def test_pipeline_redacts_whole_secrets(spark):
         assert got[i] == f"{c} [SECRET] z"
     assert got[7] == "h [SECRET]\nand then prose"
     assert all(got[i] == texts[i] for i in (8, 9, 10, 11))
+
+
+# ---- IBANs before other groups ----
+
+
+@pytest.mark.parametrize("text, iban", [
+    ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+    ("GB82 WEST 1234 5698 7654 32 2024", "GB82 WEST 1234 5698 7654 32"),
+    ("DE89370400440532013000 EUR 500", "DE89370400440532013000"),
+    ("GB82WEST12345698765432 DE89370400440532013000 NOW", "GB82WEST12345698765432"),
+    ("AB12 GB82 WEST 1234 5698 7654 32 EUR", "GB82 WEST 1234 5698 7654 32"),
+])
+def test_iban_before_other_groups(text, iban):
+    found = [text[s.start : s.end] for s in pii.scan(text) if s.kind == "iban"]
+    assert found[0] == iban and len(found) == 1 + ("DE89" in text[5:])

@@ -63,6 +63,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: The longest IBAN at each place; shorter ends are tried down to the least length.
+_IBAN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _GROUPS = re.compile(r"(?<![\w+.-])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){2,5}(?![\w+-])")
 
 
@@ -122,10 +124,26 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", *m.span()
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest run of groups from each start that passes mod 97; the scan goes on behind it.
+
+    Words behind an IBAN (a BIC, a currency, a year) look like groups of it, so every end of a
+    group is tried. A start has at most 34 characters, so the time stays linear.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        for end in reversed([e.end() for e in _IBAN_END.finditer(text, m.start() + 4, m.end())]):
+            code = text[m.start() : end]
+            if len(code.replace(" ", "")) >= 15 and mod97(code):
+                yield m.start(), end
+                at = end
+                break
+
+
 def additions(text: str) -> Iterator[tuple[str, int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for a, b in ibans(text):
+        yield "iban", a, b
     for m in _DIGITS.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 15 and luhn(digits):
