@@ -123,3 +123,22 @@ def test_page_plan(spark, tiny):
 @pytest.mark.parametrize("word, stem", [x.split(":") for x in "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration digitizer:digit operator:oper feudalism:feudal triplicate:triplic formative:form hopeful:hope goodness:good revival:reviv allowance:allow inference:infer adjustment:adjust adoption:adopt homologous:homolog effective:effect rate:rate cease:ceas controll:control roll:roll missing:miss".split()])
 def test_porter(word, stem):
     assert porter_stem(word) == stem
+
+
+def test_batch_wildcards(spark, tiny):
+    """Wildcards alone, with words and with times, against every track."""
+    from tracklens.plans import search
+
+    rows = tracks(spark, tiny).select("id", "title", "artist", "album", "duration_ms").collect()
+    first = rows[0].title.split()[0]
+    asked = [(1, "*ol*"), (2, f"{first} *ol*"), (3, "*ol* >3:05"), (4, "b*"), (5, "*#3"), (6, "*"), (7, "*zzzqqq*"), (8, "*in*")]
+    has = {1: ("ol", 1, 1), 2: ("ol", 1, 1), 3: ("ol", 1, 1), 4: ("b", 0, 1), 5: ("#3", 1, 0), 8: ("in", 1, 1)}
+    want = set()
+    for q, (core, before, after) in has.items():
+        for r in rows:
+            match = any(core in n[before : len(n) - after] if before and after else n.startswith(core) and len(n) > len(core) if after else n.endswith(core) and len(n) > len(core) for n in (r.title.lower(), r.artist.lower()))
+            words = f"{r.title} {r.artist} {r.album}".lower().split()
+            if match and (q != 2 or first.lower() in words) and (q != 3 or r.duration_ms >= 185_000):
+                want.add((q, r.id))
+    df = spark.createDataFrame(asked, "query_id long, query string")
+    assert {(r.query_id, r.id) for r in search.batch_search(df, tracks(spark, tiny), 10_000).collect()} == want and len({q for q, _ in want}) >= 5

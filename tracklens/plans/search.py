@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions import expr
@@ -72,13 +72,17 @@ def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10) ->
 
     Words are joined by term and counted per query and track; duration windows are joined by
     bucket. Searches without words take their rows from the windows alone, searches without
-    a window theirs from the words alone; a search that asks for nothing finds nothing.
+    a window theirs from the words alone; a search that asks for nothing finds nothing. A wildcard
+    keeps those hits whose title or artist it matches; alone, it is looked up in the distinct
+    titles and artists by runs of three characters.
     """
     spec = normalize_search_log(queries, "query").withColumns({
         "low": F.coalesce("min_ms", "exact_ms"),
         "high": F.coalesce("max_ms", F.col("exact_ms") + F.col("window_ms") - 1),
         "terms": F.array_distinct(expr.word_tokens(F.coalesce("keywords", F.lit("")))),
-    }).select("query_id", "low", "high", "terms")
+        "like": F.when(~F.coalesce("wildcard", F.lit("")).rlike(r"^\**$"), expr.like_pattern(F.col("wildcard"))),
+        "core": F.lower(F.regexp_replace(F.coalesce("wildcard", F.lit("")), r"^\*+|\*+$", "")),
+    }).select("query_id", "low", "high", "terms", "like", "core")
     timed = F.col("low").isNotNull() | F.col("high").isNotNull()
     postings = text.build_postings(tracks, "id", COLUMNS).select(F.col("doc_id").alias("id"), "term").distinct()
     words = spec.filter(F.size("terms") > 0).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
@@ -88,6 +92,29 @@ def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10) ->
     untimed = by_words.join(spec.filter(~timed).select("query_id"), "query_id", "left_semi")
     both = by_words.join(by_time.filter("worded").select("query_id", "id"), ["query_id", "id"], "left_semi")
     hits = untimed.unionByName(both).unionByName(by_time.filter("NOT worded").select("query_id", "id"))
-    rows = hits.join(tracks, "id")
+    hits = hits.join(spec.select("query_id", "like"), "query_id")
+    rows = hits.join(tracks, "id").filter(F.col("like").isNull() | expr.wildcard_match(F.col("title"), F.col("like")) | expr.wildcard_match(F.col("artist"), F.col("like")))
+    alone = wildcard_hits(spec.filter((F.size("terms") == 0) & ~timed & F.col("like").isNotNull()), tracks)
+    rows = rows.drop("like").unionByName(alone.join(tracks, "id").select(*[c for c in rows.columns if c != "like"]))
     w = Window.partitionBy("query_id").orderBy(*rel.relevance_order())
     return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= per_query)
+
+
+def _grams(c: Column, size: int) -> Column:
+    """All runs of ``size`` characters; of a shorter text, none."""
+    return F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def wildcard_hits(spec: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``(query_id, id)`` of searches that are a wildcard alone (``like``, ``core``).
+
+    The first three characters of the core (or all, if it has fewer) meet the runs of that length
+    in the distinct titles and artists; the pattern then decides.
+    """
+    names = tracks.select("id", F.explode(F.array("title", "artist")).alias("name")).filter("name IS NOT NULL")
+    each = names.select("name").distinct()
+    low = F.lower(F.col("name"))
+    runs = F.array_distinct(F.concat(*[_grams(low, n) for n in (1, 2, 3)]))
+    asked = spec.withColumn("gram", F.substring("core", 1, 3))
+    found = asked.join(each.select("name", F.explode(runs).alias("gram")), "gram").filter(expr.wildcard_match(F.col("name"), F.col("like")))
+    return found.select("query_id", "name").join(names, "name").select("query_id", "id").distinct()

@@ -256,6 +256,10 @@ on_tracks(
     SELECT query_id, position, id FROM h WHERE position <= 10""",
 )
 
+STARRED = "CASE (id DIV 20) % 4 WHEN 0 THEN '*' || substr(title, 2, 4) || '*' WHEN 1 THEN split_part(title, ' ', 1) || ' *' || substr(artist, 3, 4) || '*' WHEN 2 THEN substr(title, 1, 4) || '* >3:00' ELSE title END"
+# Held against every track in tests; ids divisible by 20 ask.
+on_tracks("d10_batch_wildcards", lambda t: search.batch_search(t.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.expr(STARRED).alias("query")), t).select("query_id", F.col("position").cast("long").alias("position"), "id"))
+
 # ---- E: joins ------------------------------------------------------------------------------
 
 on_tracks("e1_matches_to_rows", lambda t: rel.matches_to_rows(text.match_all(text.build_postings(t, "id", ["title"]), ["blue"]).select(F.col("doc_id").alias("id")), t).select("id", "title", "duration_ms"), "SELECT id, title, duration_ms FROM tracks WHERE starts_with(title, 'blue')")
