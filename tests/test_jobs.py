@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracklens import queries as q
 from tracklens.operators import relational as rel
 from tracklens.operators.text import porter_stem
 from tracklens.plans import enrich
@@ -142,3 +143,8 @@ def test_batch_wildcards(spark, tiny):
                 want.add((q, r.id))
     df = spark.createDataFrame(asked, "query_id long, query string")
     assert {(r.query_id, r.id) for r in search.batch_search(df, tracks(spark, tiny), 10_000).collect()} == want and len({q for q, _ in want}) >= 5
+
+
+def test_scan_all_ids(spark, tiny):
+    t = tracks(spark, tiny)
+    assert sorted(r.id for r in q.QUERIES["a3_scan_all_ids"](spark, tiny).collect()) == sorted(r.id for r in t.select("id").collect())

@@ -46,6 +46,11 @@ def scan_ids(df: DataFrame, low: int, high: int, n: int, key: str = "id") -> Dat
     return df.filter((F.col(key) >= low) & (F.col(key) < high)).select(key).repartitionByRange(n, key)
 
 
+def scan_all_ids(df: DataFrame, key: str = "id") -> DataFrame:
+    """All keys from the least to the greatest, dealt by range; the table's size tells how many ranges."""
+    return df.filter(F.col(key).isNotNull()).select(key).repartitionByRange(key)
+
+
 # ---- joins ---------------------------------------------------------------------------------
 
 

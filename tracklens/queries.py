@@ -431,6 +431,7 @@ on_tracks("i4_drain_queue", lambda t: rel.drain_queue(queue_of(t), rel.work_batc
 # ---- A: sources and sinks, on tables -------------------------------------------------------
 
 on_tracks("a3_scan_ids", lambda t: rel.scan_ids(t, 100, 900, 4), "SELECT id FROM tracks WHERE id >= 100 AND id < 900")
+on_tracks("a3_scan_all_ids", rel.scan_all_ids, "SELECT id FROM tracks")
 on_tracks("a4_insert_ignore", lambda t: rel.insert_ignore(t.select("artist", "album", "id"), t.filter("artist LIKE '%1%'").select("artist"), "artist", [F.col("id")]), "SELECT artist, arg_min(album, id) AS album, min(id) AS id FROM tracks WHERE artist NOT LIKE '%1%' GROUP BY artist")
 on_tracks(
     "a5_apply_updates",
