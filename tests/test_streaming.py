@@ -61,3 +61,9 @@ def test_cached_dedup(spark, tiny):
     assert got == sequential([tuple(r) for r in rows], 300_000)
     edges = [("k", t * 1000, i) for i, t in enumerate((0, 299, 300, 301, 599, 600))]
     assert sequential(edges, 300_000) == {("k", 0), ("k", 2), ("k", 5)}
+
+
+def test_cached_dedup_by_client(spark, tiny):
+    got = {tuple(r) for r in q.QUERIES["k4_cached_dedup_by_client"](spark, tiny).collect()}
+    rows = read(spark, tiny, "events").select(F.expr(file_queries.CLIENT_KEY), F.unix_millis(F.col("ts").cast("timestamp")), "event_id").collect()
+    assert got == sequential([tuple(r) for r in rows], 300_000)

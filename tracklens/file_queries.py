@@ -167,10 +167,10 @@ add(
 )
 
 
-def dedup_stream(s: SparkSession, d: str) -> DataFrame:
-    """Requests by client and kind within 300 seconds of the one that filled the cache are dropped."""
+def dedup_stream(s: SparkSession, d: str, key: str = "event_type") -> DataFrame:
+    """Requests of one key, by default a kind, within 300 seconds of the one that filled the cache are dropped."""
     folder, out = shared_path(s, "requests"), shared_path(s, "counted")
-    e = read(s, d, "events").select(F.col("event_type").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
+    e = read(s, d, "events").select(F.expr(key).alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
     e.write.parquet(folder)
     name = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(name)
@@ -184,6 +184,8 @@ def dedup_stream(s: SparkSession, d: str) -> DataFrame:
 
 
 add("k4_cached_dedup", dedup_stream)
+CLIENT_KEY = "event_type || ':' || CAST(user_id AS STRING)"
+add("k4_cached_dedup_by_client", lambda s, d: dedup_stream(s, d, CLIENT_KEY))
 
 # ---- jobs on dump tables --------------------------------------------------------------------
 
