@@ -121,6 +121,28 @@ def simhash_components(rows):
     return [(i, f"{p:016x}", least.get(find(p))) for (i, _), p in zip(rows, prints)]
 
 
+def copy_components(rows):
+    """rows: (id, text); the least id that links of Jaccard 0.8 over sets of five-word runs reach, by comparing all pairs."""
+    runs = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(ASCII_LOWER))
+        runs.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (a, _) in enumerate(rows):
+        for j in range(k):
+            both = len(runs[k] & runs[j])
+            if both >= 0.8 * (len(runs[k]) + len(runs[j]) - both):
+                x, y = find(a), find(rows[j][0])
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
 def unigram(rows):
     """rows: (id, text); gives (id, held_out, n_tokens, n_known, N, base_score)."""
     toks = [[*WORD.findall((t or "").translate(ASCII_LOWER)), None] for _, t in rows]

@@ -323,7 +323,7 @@ def test_pipeline_against_brute_force(spark, tiny):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     led = {r.doc_id: r.failed for r in quality.ledger(docs).collect()}
     kept = [r for r in rows if not plain.measures(r[1])[5] and not led[r[0]] & quality.POLICIES["v1"]]
-    roots = {i: c for i, _, c in plain.simhash_components([(i, t) for i, t, _ in kept])}
+    roots = plain.copy_components([(i, t) for i, t, _ in kept])
     kept = [r for r in kept if roots[r[0]] == r[0]]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     hit = plain.hits([t for _, t, _ in kept], items)
@@ -375,10 +375,10 @@ def five_word_share(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("bucket_rows", [100, 3])
-def test_near_dedup_leaves_no_copies(spark, monkeypatch, bucket_rows):
-    """Copies with some replaced words go, whatever their length; texts below 0.8 stay."""
-    monkeypatch.setattr(near_dup, "BUCKET_ROWS", bucket_rows)
+@pytest.mark.parametrize("cell_rows", [2000, 3])
+def test_near_dedup_leaves_no_copies(spark, monkeypatch, cell_rows):
+    """Copies with some replaced words go, whatever their length and the size of blocks; texts below 0.8 stay."""
+    monkeypatch.setattr(near_dup, "CELL_ROWS", cell_rows)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     rows, n = [], 0
@@ -405,6 +405,45 @@ def test_near_dedup_leaves_no_copies(spark, monkeypatch, bucket_rows):
     assert sum(i in kept for i in range(n - 40, n)) == 1
 
 
+def test_near_dedup_whatever_the_partitions(spark, tmp_path):
+    """The same rows stay, with all their columns, when partitions change between reading and the last join."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        rows += [(3 * i, " ".join(base), "en", "s", 1), (3 * i + 1, " ".join([*base[:-1], "x"]), "en", "s", 2), (3 * i + 2, " ".join(base[30:]), None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(12).write.parquet(f"{tmp_path}/d")
+    kept = []
+    name, cost = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost)
+    spark.conf.set(cost, "1")
+    try:
+        for first, last in ((4, 4), (4, 9), (1, 12)):
+            spark.conf.set(name, str(first))
+            out = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{tmp_path}/d"), "")
+            spark.conf.set(name, str(last))
+            kept.append(sorted(tuple(str(x) for x in r) for r in out.collect()))
+    finally:
+        spark.conf.unset(name)
+        spark.conf.set(cost, before)
+    assert kept[0] == kept[1] == kept[2] == sorted(tuple(str(x) for x in r) for r in rows if r[0] % 3 != 1)
+
+
+def test_groups_grow_with_the_table():
+    assert near_dup.groups_for(10**6) == 6 and near_dup.groups_for(10**8) == 8
+    assert [len(near_dup.grid_masks(3, g)) for g in (6, 8)] == [20, 56]
+
+
+@pytest.mark.parametrize("groups", [7, 9])
+def test_finer_grids_find_the_same_links(spark, groups):
+    rng = np.random.default_rng(7)
+    values = {int(x) for x in rng.integers(-(2**63), 2**63, 40)}
+    values |= {x ^ sum(1 << int(b) for b in rng.choice(63, 3, replace=False)) for x in values}
+    df = spark.createDataFrame([(v,) for v in values], "simhash long")
+    pairs = lambda g: {tuple(r) for r in near_dup.links(df, groups=g).collect()}
+    assert len(pairs(6)) >= 40 and pairs(groups) == pairs(6)
+
+
 # ---- whole secrets in the pipeline ----
 
 

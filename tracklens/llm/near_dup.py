@@ -55,9 +55,8 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])], np.uint64)
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+def simhash_of(hashes: np.ndarray) -> int:
     """The SimHash as a signed long: a bit is one if it is set in over half of the hashes."""
-    hashes = shingle_hashes(text, width)
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -67,6 +66,10 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    return simhash_of(shingle_hashes(text, width))
+
+
 def with_fingerprint(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, width: int = SHINGLE) -> DataFrame:
     made = T.StructType([T.StructField("simhash", T.LongType())])
 
@@ -94,22 +97,36 @@ def grid_masks(max_distance: int = MAX_DISTANCE, groups: int = GROUPS) -> list[i
     return [_signed(sum(c)) for c in combinations(parts, groups - max_distance)]
 
 
-def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, groups: int = GROUPS) -> DataFrame:
+def groups_for(distinct: int, max_distance: int = MAX_DISTANCE) -> int:
+    """So many groups that a cell holds about one vector of that many, so that candidates do not grow with the table.
+
+    Two random counts of a segment agree in 3 of 8 cases, and a cell fixes all but ``max_distance`` of the groups.
+    """
+    groups = 2 * max_distance
+    while distinct > (8 / 3) ** (32 * (groups - max_distance) / groups) and groups < 32:
+        groups += 1
+    return groups
+
+
+def blocked(rows: DataFrame, n: str, own: str, mine: str, other: str, key: Column) -> DataFrame:
+    """``rows`` of a cell of ``n`` rows dealt into blocks of about ``CELL_ROWS`` by ``key``: the own block and, one row each, all others."""
+    blocks = F.ceil(F.col(n) / F.lit(CELL_ROWS)).cast("int")
+    return rows.withColumn(mine, F.pmod(F.xxhash64(key), blocks).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), blocks - 1)))
+
+
+def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, groups: int | None = None) -> DataFrame:
     """Pairs ``(a, b, distance)``, a < b, of the distinct values of ``prints.simhash`` that link."""
-    masks = grid_masks(max_distance, groups)
     vectors = prints.select("simhash").distinct().withColumn("v", segment_counts(F.col("simhash")))
+    masks = grid_masks(max_distance, groups or groups_for(vectors.count(), max_distance))
     # One number for the cell: which groups agree, and on what. Other cells may share it; the check below decides.
     cells = vectors.select(
         "simhash", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "counts")
     ).withColumn("cell", F.xxhash64("choice", "counts"))
     full = cells.groupBy("cell").count().filter(F.col("count") > 1)
     shared = cells.join(full, "cell")
-    # In a large cell, block i meets the blocks from i on: each pair meets in exactly one of the tasks.
-    blocks = F.ceil(F.col("count") / F.lit(CELL_ROWS)).cast("int")
-    own = F.pmod(F.xxhash64("simhash"), blocks).cast("int")
-    placed = shared.withColumn("blocks", blocks).withColumn("own", own)
-    left = placed.select("cell", "choice", F.col("simhash").alias("a"), F.col("v").alias("va"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    right = placed.select("cell", F.col("simhash").alias("b"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("own").alias("j"))
+    # In a large cell every block meets every block: each pair meets in exactly one of the tasks.
+    left = blocked(shared, "count", "simhash", "i", "j", F.col("simhash")).select("cell", "i", "j", "choice", F.col("simhash").alias("a"), F.col("v").alias("va"))
+    right = blocked(shared, "count", "simhash", "j", "i", F.col("simhash")).select("cell", "i", "j", F.col("simhash").alias("b"), F.col("v").alias("vb"))
     bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     # A pair is told by the first choice of groups on which it agrees, so only once.
     first = F.lit(len(masks))
@@ -154,29 +171,31 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, width: int = SHINGLE) -> DataFrame:
     """``keep`` columns with ``simhash`` (long) and ``component_id``, one row per input row."""
-    keep = df.columns if keep is None else keep
-    marked = df.withColumn("component_id", quoted(id_col))
-    made = staged(with_fingerprint(marked, text_col, [*[c for c in keep if c.lower() not in ("component_id", "simhash")], "component_id"], width), "simhash")
-    own = staged(made.groupBy("simhash").agg(F.min("component_id").alias("first_id"), F.count("*").alias("_n")), "simhash-ids")
-    linked = components(links(own).select("a", "b"))
-    ids = linked.join(own, linked["node"] == own["simhash"]).select("node", "root", "first_id")
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("component_id", "simhash")]
+    inner = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)], quoted(id_col).alias("own"), quoted(text_col).alias("body"))
+    made = staged(with_fingerprint(inner, "body", [*[f"k{i}" for i in range(len(kept))], "own"], width), "simhash")
+    prints = staged(made.groupBy("simhash").agg(F.min("own").alias("first_id"), F.count("*").alias("n")), "simhash-ids")
+    linked = components(links(prints).select("a", "b"))
+    ids = linked.join(prints, linked["node"] == prints["simhash"]).select("node", "root", "first_id")
     smallest = ids.groupBy("root").agg(F.min("first_id").alias("least_id"))
     merged = ids.select("node", "root").join(smallest, "root").select(F.col("node").alias("simhash"), "least_id")
-    resolved = own.join(merged, "simhash", "left").select("simhash", F.coalesce("least_id", "first_id").alias("_resolved"), "_n")
-    out = join_counted(made.drop("component_id"), resolved, "simhash", "_n", made.count())
-    return out.select(*[quoted(c) for c in made.columns if c != "component_id"], F.col("_resolved").alias("component_id"))
+    resolved = prints.join(merged, "simhash", "left").select("simhash", F.coalesce("least_id", "first_id").alias("component"), "n")
+    out = join_counted(made.drop("own"), resolved, "simhash", "n", made.count())
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "simhash", F.col("component").alias("component_id"))
 
 
-# ---- near copies by shared shingles: the corpus pipeline's rule ----------------------------------
+# ---- one document of each group: the corpus pipeline's rule -------------------------------------
 
 #: Copies share at least this part of all their distinct runs of so many words.
 COPY_WIDTH, COPY_SHARE = 5, 0.8
-#: Two texts at 0.8 meet in one of 20 bands of 5 minima with probability 0.9996.
+#: The second index: two texts at 0.8 meet in one of 20 bands of 5 minima with probability 0.9996.
 BANDS, BAND_ROWS = 20, 5
-#: Up to this size, all pairs of a bucket are compared at once; in larger ones, most members first leave as copies of one.
-BUCKET_ROWS = 100
+#: Of the 100 lowest bits of the minima, texts at 0.8 differ in 10; in more than so many with probability 3e-6.
+DIFFERING_BITS = 25
 #: Pairs of one text that go to one task.
 SHARE_ROWS = 500
+#: Sets of shingles that a task remembers while it compares.
+SETS_HELD = 50
 _ODD = np.random.default_rng(SEED).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MORE = np.random.default_rng(SEED + 1).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
 
@@ -193,83 +212,135 @@ def shared_part(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A number for each band of minima; of an empty set, zeros."""
-    if not len(shingles):
-        return [0] * BANDS
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each of the hash functions over a set; the greatest number for an empty one."""
     least = np.full(len(_ODD), 2**64 - 1, np.uint64)
-    for k in range(0, len(shingles), 1024):
-        block = shingles[k : k + 1024]
-        for i, (a, b) in enumerate(zip(_ODD, _MORE)):
-            least[i] = min(least[i], (block * a + b).min())
+    for k in range(0, len(shingles), 256):
+        mixed = np.multiply.outer(_ODD, shingles[k : k + 256])
+        mixed += _MORE[:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """A number for each band of minima."""
     return [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in least.reshape(BANDS, BAND_ROWS)]
 
 
-def with_bands(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``set_id`` (the same for the same set of shingles) and ``bands``."""
-    made = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def lowest_bits(least: np.ndarray) -> np.ndarray:
+    """The lowest bit of every minimum, as two longs."""
+    bits = np.zeros(128, np.uint8)
+    bits[: len(least)] = least & np.uint64(1)
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def with_sketch(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns with ``set_id`` (the same for the same set of shingles), ``simhash``, ``bands``, ``low`` and ``high``."""
+    names = {"set_id": T.BinaryType(), "simhash": T.LongType(), "bands": T.ArrayType(T.LongType()), "low": T.LongType(), "high": T.LongType()}
+    made = T.StructType([T.StructField(n, t) for n, t in names.items()])
+    kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def work(columns: list[pa.Array]) -> list[pa.Array]:
-        sets = [shingle_set(t) for t in utf8(columns[0])]
-        return [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+        rows = []
+        for text in utf8(columns[0]):
+            hashes = shingle_hashes(text, COPY_WIDTH)
+            distinct = np.unique(hashes)
+            least = minima(distinct)
+            rows.append((xxhash.xxh3_128_digest(distinct.tobytes()), simhash_of(hashes), band_keys(least), *lowest_bits(least).tolist()))
+        by = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+        return [pa.array(c, k) for c, k in zip(by, kinds, strict=True)]
 
     return map_columns(df, [quoted(text_col)], keep, made, work)
 
 
-def _confirmed(pairs: DataFrame, texts_: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs ``(a, b, n)`` whose texts share enough; a text of many pairs goes to several tasks."""
+def confirmed(pairs: DataFrame, texts_: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs ``(a, b, n)`` whose texts share enough; the pairs of one text, at most ``n``, go to several tasks."""
     pairs = pairs.withColumn("share", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / F.lit(SHARE_ROWS))).cast("int"))
     one = texts_.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     other = pairs.select("b", "share").distinct().join(texts_.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-    wide = pairs.join(other, ["b", "share"]).join(one, "a")
+    wide = pairs.select("a", "b", "share").join(one, "a").join(other, ["b", "share"])
     made = T.StructType([T.StructField("similar", T.DoubleType())])
 
-    def work(columns: list[pa.Array]) -> list[pa.Array]:
-        return [pa.array([shared_part(shingle_set(x), shingle_set(y)) for x, y in zip(utf8(columns[0]), utf8(columns[1]))], pa.float64())]
+    def setup():
+        held: dict[int, np.ndarray] = {}
+
+        def work(columns: list[pa.Array]) -> list[pa.Array]:
+            out = []
+            for x, b, y in zip(utf8(columns[0]), columns[1].to_pylist(), utf8(columns[2]), strict=True):
+                if b not in held:
+                    if len(held) >= SETS_HELD:
+                        held.clear()
+                    held[b] = shingle_set(y)
+                out.append(shared_part(shingle_set(x), held[b]))
+            return [pa.array(out, pa.float64())]
+
+        return work
+
+    return map_columns(wide, [F.col("text_a"), F.col("b"), F.col("text_b")], ["a", "b"], made, None, setup).filter(F.col("similar") >= least).select("a", "b")
 
-    return map_columns(wide, [F.col("text_a"), F.col("text_b")], ["a", "b"], made, work).filter(F.col("similar") >= least)
 
+def first_candidates(alive: DataFrame, members: DataFrame, total: int) -> DataFrame:
+    """``(a, b, n)``: every text with the first of its fingerprint and of each of its buckets, and the first texts of linked fingerprints."""
+    prints = staged(alive.groupBy("simhash").agg(F.min("row").alias("b"), F.count("*").alias("n")), "copy-prints")
+    same = join_counted(alive.select("row", "simhash"), prints.filter("n > 1"), "simhash", "n", total).select(F.col("row").alias("a"), "b", "n")
+    ends = links(prints).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    ends = ends.join(prints.select(F.col("simhash").alias("x"), F.col("b").alias("a")), "x").join(prints.select(F.col("simhash").alias("y"), "b"), "y")
+    near = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(1).cast("long").alias("n"))
+    every = same.unionByName(near).unionByName(members.select(F.col("row").alias("a"), "b", "n"))
+    return every.filter("a != b").groupBy("a", "b").agg(F.max("n").alias("n"))
 
-def without_copies(rows: DataFrame, least: float = COPY_SHARE) -> DataFrame:
-    """The ``row`` numbers of ``rows`` (``doc_id``, ``text``, ``row``) that stay: no two of them are copies.
 
-    Rows of the same set go first. The others meet in buckets of equal bands, and every pair is
-    confirmed by its exact similarity; of linked rows the one with the smallest id stays. While
-    there are large buckets, their members are compared with one of them per bucket, and those
-    that leave shrink it; then all pairs that are left are compared.
+def other_candidates(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(a, b, n)``: pairs of a bucket that no links join yet and that no check of a first text has met.
+
+    Only buckets with several components are looked at, and in them not the pairs within the largest one. A large
+    bucket is cut into blocks that meet in many tasks; pairs whose lowest bits differ too often do not leave them.
     """
-    made = staged(with_bands(rows.select("doc_id", "text", "row"), "text", ["doc_id", "row"]), "bands")
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    alive = made.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "bands")).alias("first"))
-    alive = staged(alive.select("first.doc_id", "first.row", "first.bands"), "alive")
-    texts_, last = rows.select("row", "text"), False
-    while True:
-        each = alive.select("row", F.posexplode("bands").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
-        full = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row", "bucket").alias("h"), "row"))["row"].alias("b")).filter("n > 1")
-        full = staged(full, "buckets")
-        sizes = full.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
-        if not sizes.most:
-            break
-        last = last or sizes.most <= BUCKET_ROWS
-        met = join_counted(each, full, "bucket", "n", sizes.total)
-        if last:
-            met = met.select("bucket", "n", F.col("row").alias("a"))
-            found = met.join(met.select("bucket", F.col("a").alias("b")), "bucket").filter("a < b")
-        else:
-            found = met.select(F.col("row").alias("a"), "b", "n").filter("a != b")
-        links_ = staged(_confirmed(found.groupBy("a", "b").agg(F.max("n").alias("n")), texts_, least).select("a", "b"), "copies")
-        if links_.limit(1).count():
-            linked = staged(components(links_), "linked")
-            named = linked.join(alive.select(F.col("row").alias("node"), "doc_id"), "node").select("root", "doc_id", F.col("node").alias("row"))
-            kept = named.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row").alias("row"))
-            gone = named.select("row").join(kept, "row", "left_anti")
-            alive = staged(alive.join(gone, "row", "left_anti"), "alive")
-        elif not last:
-            last = True
-            continue
-        if last:
-            break
-    return alive.select("row")
+    groups = members.join(linked.select(F.col("node").alias("row"), "root"), "row", "left").select("bucket", "row", "low", "high", "b", F.coalesce("root", "row").alias("comp"))
+    groups = staged(groups, "copy-groups")
+    mixed = groups.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"))
+    mixed = staged(mixed.filter("kinds > 1"), "copy-mixed")
+    inside = join_counted(groups.filter("row != b"), mixed.select("bucket", "main", "n"), "bucket", "n", groups.count())
+    left = blocked(inside.filter("comp != main"), "n", "row", "i", "j", F.col("row")).select("bucket", "i", "j", "n", *[F.col(c).alias(f"{c}_a") for c in ("row", "comp", "low", "high")])
+    right = blocked(inside, "n", "row", "j", "i", F.col("row")).select("bucket", "i", "j", *[F.col(c).alias(f"{c}_b") for c in ("row", "comp", "low", "high")])
+    bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    pairs = left.join(right, ["bucket", "i", "j"]).filter((F.col("comp_a") != F.col("comp_b")) & (bits("low") + bits("high") <= DIFFERING_BITS))
+    return pairs.groupBy(F.greatest("row_a", "row_b").alias("a"), F.least("row_a", "row_b").alias("b")).agg(F.max("n").alias("n"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = COPY_SHARE) -> DataFrame:
+    """The rows of ``df`` without near copies: of the rows that links join one stays, the one with the smallest id.
+
+    Texts link whose distinct runs of five words have a Jaccard similarity of ``least`` or more. Candidates come from the
+    SimHash grid over five-word shingles and, as at 0.8 two fingerprints differ in about ten bits, from bands of
+    minima beside it; every link is confirmed by the texts. First each text meets the first text of its fingerprint
+    and of its buckets; then those that are not linked yet meet each other. Rows of the same set of runs are one text.
+
+    Null and blank texts are copies of each other; a null id comes after all others; of repeated rows one stays.
+    """
+    names = df.columns
+    body = f"c{names.index(text_col)}"
+    inner = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], quoted(id_col).alias("own")).withColumn("row", F.monotonically_increasing_id())
+    # Written once with its numbers: whatever is read later, by however many tasks, a row keeps its number.
+    made = staged(with_sketch(inner, body, inner.columns), "sketches")
+    rank = [F.col("own").isNull().alias("unnamed"), "own", "row"]
+    alive = made.groupBy("set_id").agg(F.min(F.struct(*rank, "simhash", "bands", "low", "high")).alias("first"))
+    alive = staged(alive.select(*[f"first.{c}" for c in ("own", "row", "simhash", "bands", "low", "high")]), "alive")
+
+    each = alive.select("row", "low", "high", F.posexplode("bands").alias("band", "key")).select("row", "low", "high", F.xxhash64("band", "key").alias("bucket"))
+    full = staged(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("row").alias("b")).filter("n > 1"), "buckets")
+    total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = staged(join_counted(each, full, "bucket", "n", total), "members")
+    texts_ = made.select("row", F.col(body).alias("text"))
+    links_ = staged(confirmed(first_candidates(alive, members, alive.count()), texts_, least), "copies")
+    more = staged(confirmed(other_candidates(members, staged(components(links_), "linked")), texts_, least), "more-copies")
+    linked = staged(components(links_.unionByName(more)), "linked")
+
+    named = linked.join(alive.select(F.col("row").alias("node"), "own"), "node").select("root", "own", F.col("node").alias("row"))
+    kept = named.groupBy("root").agg(F.min(F.struct(*rank)).alias("first")).select(F.col("first.row").alias("row"))
+    gone = named.select("row").join(kept, "row", "left_anti")
+    stay = staged(alive.select("row").join(gone, "row", "left_anti"), "stay")
+    return made.join(stay, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def hex_fingerprint(fp: str = "simhash") -> Column:
