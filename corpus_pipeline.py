@@ -26,9 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 of their five-word runs the one with the smallest id stays; of repeated rows of it, one."""
-    rows = docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id())
-    return rows.join(near_dup.without_copies(rows.select("doc_id", "text", "row")), "row", "left_semi").select(*COLUMNS)
+    """Of documents that links of 0.8 of their five-word runs join, the one with the smallest id stays; of repeated rows of it, one."""
+    return near_dup.one_of_each(docs.select(*COLUMNS))
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
