@@ -190,12 +190,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 COPY_WIDTH, COPY_SHARE = 5, 0.8
 #: The second index: two texts at 0.8 meet in one of 20 bands of 5 minima with probability 0.9996.
 BANDS, BAND_ROWS = 20, 5
-#: Of the 100 lowest bits of the minima, texts at 0.8 differ in 10; in more than so many with probability 3e-6.
-DIFFERING_BITS = 25
+#: Minima are held against each other by their lowest bits. Of 100, texts at 0.8 differ in 19; in more than so many with probability 2e-5.
+PLANES, DIFFERING = 4, 36
+#: Rounds in which each text that is not linked yet meets its likeliest partner, before all that are left meet.
+ROUNDS = 1
 #: Pairs of one text that go to one task.
 SHARE_ROWS = 500
-#: Sets of shingles that a task remembers while it compares.
-SETS_HELD = 50
+#: Bytes of sets of shingles that a task remembers while it compares.
+SETS_HELD = 64 << 20
 _ODD = np.random.default_rng(SEED).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MORE = np.random.default_rng(SEED + 1).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
 
@@ -208,7 +210,8 @@ def shared_part(a: np.ndarray, b: np.ndarray) -> float:
     """The Jaccard similarity of two sets; two empty ones are equal."""
     if not len(a) and not len(b):
         return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    both = int((large.take(np.searchsorted(large, small), mode="clip") == small).sum())
     return both / (len(a) + len(b) - both)
 
 
@@ -227,18 +230,34 @@ def band_keys(least: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in least.reshape(BANDS, BAND_ROWS)]
 
 
-def lowest_bits(least: np.ndarray) -> np.ndarray:
-    """The lowest bit of every minimum, as two longs."""
-    bits = np.zeros(128, np.uint8)
-    bits[: len(least)] = least & np.uint64(1)
-    return np.packbits(bits, bitorder="little").view(np.int64)
+def lowest_bits(least: np.ndarray) -> list[int]:
+    """The lowest bits of every minimum: bit k of all of them, for each k, in two longs."""
+    bits = np.zeros((PLANES, 128), np.uint8)
+    for k in range(PLANES):
+        bits[k, : len(least)] = least >> np.uint64(k) & np.uint64(1)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+SKETCH = [f"s{k}" for k in range(2 * PLANES)]
+
+
+def differing() -> Column:
+    """How many minima of ``s0_a, ...`` and ``s0_b, ...`` differ."""
+    words = []
+    for half in (0, 1):
+        either = F.lit(0).cast("long")
+        for k in range(PLANES):
+            name = SKETCH[2 * k + half]
+            either = either.bitwiseOR(F.col(f"{name}_a").bitwiseXOR(F.col(f"{name}_b")))
+        words.append(F.bit_count(either))
+    return words[0] + words[1]
 
 
 def with_sketch(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``set_id`` (the same for the same set of shingles), ``simhash``, ``bands``, ``low`` and ``high``."""
-    names = {"set_id": T.BinaryType(), "simhash": T.LongType(), "bands": T.ArrayType(T.LongType()), "low": T.LongType(), "high": T.LongType()}
+    """``keep`` columns with ``set_id`` (the same for the same set of shingles), ``simhash``, ``bands`` and the longs of ``lowest_bits``."""
+    names = {"set_id": T.BinaryType(), "simhash": T.LongType(), "bands": T.ArrayType(T.LongType())} | {c: T.LongType() for c in SKETCH}
     made = T.StructType([T.StructField(n, t) for n, t in names.items()])
-    kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * len(SKETCH)]
 
     def work(columns: list[pa.Array]) -> list[pa.Array]:
         rows = []
@@ -246,7 +265,7 @@ def with_sketch(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             hashes = shingle_hashes(text, COPY_WIDTH)
             distinct = np.unique(hashes)
             least = minima(distinct)
-            rows.append((xxhash.xxh3_128_digest(distinct.tobytes()), simhash_of(hashes), band_keys(least), *lowest_bits(least).tolist()))
+            rows.append((xxhash.xxh3_128_digest(distinct.tobytes()), simhash_of(hashes), band_keys(least), *lowest_bits(least)))
         by = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
         return [pa.array(c, k) for c, k in zip(by, kinds, strict=True)]
 
@@ -254,7 +273,10 @@ def with_sketch(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts_: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs ``(a, b, n)`` whose texts share enough; the pairs of one text, at most ``n``, go to several tasks."""
+    """Those of the distinct pairs ``(a, b)`` whose texts share enough, written; the pairs of a hot ``b`` go to many tasks."""
+    pairs = staged(pairs.select("a", "b"), "copy-pairs")
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    pairs = join_counted(pairs, counts, "b", "n", pairs.count())
     pairs = pairs.withColumn("share", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / F.lit(SHARE_ROWS))).cast("int"))
     one = texts_.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     other = pairs.select("b", "share").distinct().join(texts_.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
@@ -263,49 +285,56 @@ def confirmed(pairs: DataFrame, texts_: DataFrame, least: float) -> DataFrame:
 
     def setup():
         held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def set_of(row: int, text: bytes) -> np.ndarray:
+            nonlocal size
+            if row not in held:
+                if size > SETS_HELD:
+                    held.clear()
+                    size = 0
+                held[row] = shingle_set(text)
+                size += held[row].nbytes
+            return held[row]
 
         def work(columns: list[pa.Array]) -> list[pa.Array]:
-            out = []
-            for x, b, y in zip(utf8(columns[0]), columns[1].to_pylist(), utf8(columns[2]), strict=True):
-                if b not in held:
-                    if len(held) >= SETS_HELD:
-                        held.clear()
-                    held[b] = shingle_set(y)
-                out.append(shared_part(shingle_set(x), held[b]))
-            return [pa.array(out, pa.float64())]
+            rows = zip(columns[0].to_pylist(), utf8(columns[1]), columns[2].to_pylist(), utf8(columns[3]), strict=True)
+            return [pa.array([shared_part(set_of(a, x), set_of(b, y)) for a, x, b, y in rows], pa.float64())]
 
         return work
 
-    return map_columns(wide, [F.col("text_a"), F.col("b"), F.col("text_b")], ["a", "b"], made, None, setup).filter(F.col("similar") >= least).select("a", "b")
+    done = map_columns(wide, [F.col("a"), F.col("text_a"), F.col("b"), F.col("text_b")], ["a", "b"], made, None, setup)
+    return staged(done.filter(F.col("similar") >= least).select("a", "b"), "copies")
 
 
-def first_candidates(alive: DataFrame, members: DataFrame, total: int) -> DataFrame:
-    """``(a, b, n)``: every text with the first of its fingerprint and of each of its buckets, and the first texts of linked fingerprints."""
+def first_candidates(alive: DataFrame, members: DataFrame) -> DataFrame:
+    """``(a, b)``: every text with the first of its fingerprint and of each of its buckets, and the first texts of linked fingerprints."""
     prints = staged(alive.groupBy("simhash").agg(F.min("row").alias("b"), F.count("*").alias("n")), "copy-prints")
-    same = join_counted(alive.select("row", "simhash"), prints.filter("n > 1"), "simhash", "n", total).select(F.col("row").alias("a"), "b", "n")
+    same = join_counted(alive.select("row", "simhash"), prints.filter("n > 1"), "simhash", "n", alive.count()).select(F.col("row").alias("a"), "b")
     ends = links(prints).select(F.col("a").alias("x"), F.col("b").alias("y"))
     ends = ends.join(prints.select(F.col("simhash").alias("x"), F.col("b").alias("a")), "x").join(prints.select(F.col("simhash").alias("y"), "b"), "y")
-    near = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(1).cast("long").alias("n"))
-    every = same.unionByName(near).unionByName(members.select(F.col("row").alias("a"), "b", "n"))
-    return every.filter("a != b").groupBy("a", "b").agg(F.max("n").alias("n"))
+    near = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return same.unionByName(near).unionByName(members.select(F.col("row").alias("a"), "b")).filter("a != b").distinct()
 
 
-def other_candidates(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """``(a, b, n)``: pairs of a bucket that no links join yet and that no check of a first text has met.
+def other_candidates(alive: DataFrame, members: DataFrame, linked: DataFrame) -> DataFrame | None:
+    """``(a, b, d)``: pairs of a bucket that no links join yet, ``d`` of their minima differing; nothing if there are no such buckets.
 
     Only buckets with several components are looked at, and in them not the pairs within the largest one. A large
-    bucket is cut into blocks that meet in many tasks; pairs whose lowest bits differ too often do not leave them.
+    bucket is cut into blocks that meet in many tasks; pairs of which too many minima differ do not leave them.
     """
-    groups = members.join(linked.select(F.col("node").alias("row"), "root"), "row", "left").select("bucket", "row", "low", "high", "b", F.coalesce("root", "row").alias("comp"))
-    groups = staged(groups, "copy-groups")
+    named = linked.select(F.col("node").alias("row"), "root")
+    groups = staged(members.join(named, "row", "left").select("bucket", "row", "b", F.coalesce("root", "row").alias("comp")), "copy-groups")
     mixed = groups.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"))
-    mixed = staged(mixed.filter("kinds > 1"), "copy-mixed")
-    inside = join_counted(groups.filter("row != b"), mixed.select("bucket", "main", "n"), "bucket", "n", groups.count())
-    left = blocked(inside.filter("comp != main"), "n", "row", "i", "j", F.col("row")).select("bucket", "i", "j", "n", *[F.col(c).alias(f"{c}_a") for c in ("row", "comp", "low", "high")])
-    right = blocked(inside, "n", "row", "j", "i", F.col("row")).select("bucket", "i", "j", *[F.col(c).alias(f"{c}_b") for c in ("row", "comp", "low", "high")])
-    bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    pairs = left.join(right, ["bucket", "i", "j"]).filter((F.col("comp_a") != F.col("comp_b")) & (bits("low") + bits("high") <= DIFFERING_BITS))
-    return pairs.groupBy(F.greatest("row_a", "row_b").alias("a"), F.least("row_a", "row_b").alias("b")).agg(F.max("n").alias("n"))
+    mixed = staged(mixed.filter("kinds > 1").select("bucket", "main", "n"), "copy-mixed")
+    if not mixed.limit(1).count():
+        return None
+    inside = join_counted(groups.filter("row != b"), mixed, "bucket", "n", groups.count()).join(alive.select("row", *SKETCH), "row")
+    inside = staged(inside, "copy-inside")
+    side = lambda df, x: df.select("bucket", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "comp", *SKETCH)])
+    left, right = blocked(inside.filter("comp != main"), "n", "row", "i", "j", F.col("row")), blocked(inside, "n", "row", "j", "i", F.col("row"))
+    pairs = side(left, "a").join(side(right, "b"), ["bucket", "i", "j"]).filter((F.col("comp_a") != F.col("comp_b")) & (differing() <= DIFFERING))
+    return pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), differing().alias("d"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = COPY_SHARE) -> DataFrame:
@@ -314,7 +343,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Texts link whose distinct runs of five words have a Jaccard similarity of ``least`` or more. Candidates come from the
     SimHash grid over five-word shingles and, as at 0.8 two fingerprints differ in about ten bits, from bands of
     minima beside it; every link is confirmed by the texts. First each text meets the first text of its fingerprint
-    and of its buckets; then those that are not linked yet meet each other. Rows of the same set of runs are one text.
+    and of its buckets; then, for some rounds, the likeliest partner that it is not linked to; then all pairs of a
+    bucket that are still not linked meet. Rows of the same set of runs are one text.
 
     Null and blank texts are copies of each other; a null id comes after all others; of repeated rows one stays.
     """
@@ -324,17 +354,26 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     # Written once with its numbers: whatever is read later, by however many tasks, a row keeps its number.
     made = staged(with_sketch(inner, body, inner.columns), "sketches")
     rank = [F.col("own").isNull().alias("unnamed"), "own", "row"]
-    alive = made.groupBy("set_id").agg(F.min(F.struct(*rank, "simhash", "bands", "low", "high")).alias("first"))
-    alive = staged(alive.select(*[f"first.{c}" for c in ("own", "row", "simhash", "bands", "low", "high")]), "alive")
+    alive = made.groupBy("set_id").agg(F.min(F.struct(*rank, "simhash", "bands", *SKETCH)).alias("first"))
+    alive = staged(alive.select(*[f"first.{c}" for c in ("own", "row", "simhash", "bands", *SKETCH)]), "alive")
 
-    each = alive.select("row", "low", "high", F.posexplode("bands").alias("band", "key")).select("row", "low", "high", F.xxhash64("band", "key").alias("bucket"))
+    each = alive.select("row", F.posexplode("bands").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
     full = staged(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("row").alias("b")).filter("n > 1"), "buckets")
     total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     members = staged(join_counted(each, full, "bucket", "n", total), "members")
     texts_ = made.select("row", F.col(body).alias("text"))
-    links_ = staged(confirmed(first_candidates(alive, members, alive.count()), texts_, least), "copies")
-    more = staged(confirmed(other_candidates(members, staged(components(links_), "linked")), texts_, least), "more-copies")
-    linked = staged(components(links_.unionByName(more)), "linked")
+    found = confirmed(first_candidates(alive, members), texts_, least)
+    linked = staged(components(found), "linked")
+    for k in range(ROUNDS + 1):
+        pairs = other_candidates(alive, members, linked)
+        if pairs is None:
+            break
+        if k < ROUNDS:
+            likeliest = pairs.groupBy("a").agg(F.min(F.struct("d", F.xxhash64("a", "b", F.lit(k)).alias("h"), "b")).alias("m"))
+            pairs = likeliest.select("a", F.col("m.b").alias("b"))
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        found = found.unionByName(confirmed(pairs, texts_, least))
+        linked = staged(components(found), "linked")
 
     named = linked.join(alive.select(F.col("row").alias("node"), "own"), "node").select("root", "own", F.col("node").alias("row"))
     kept = named.groupBy("root").agg(F.min(F.struct(*rank)).alias("first")).select(F.col("first.row").alias("row"))
