@@ -288,12 +288,51 @@ def test_verdicts_and_redaction(spark):
     key = "sk8f7a6b5c4d3e2f"
     rows = [(i, f"token = 'a1b2c3d4e5f6' {i}", f"src{i}") for i in range(4)] + [(10, f"x password: {key} y", "src1"), (11, "password: changeme1", "src1"), (12, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = secrets.scan(df, F.col("source"), F.col("source")).withColumn("clean", secrets.redacted(F.col("text")))
+    out = secrets.redact(secrets.scan(df, F.col("source"), F.col("source")).withColumn("clean", F.col("text")), "clean")
     got = {r.doc_id: ([s.verdict for s in r.secrets], r.clean) for r in out.collect()}
     assert got[0][0] == ["copied"] and got[0][1] == rows[0][1]
     assert got[10] == (["live"], "x [SECRET] y") and got[11][0] == ["weak"] and got[12] == ([], None)
 
 
+def test_running_values_and_pieces(spark, monkeypatch):
+    """Running sums and maxima over several blocks, and pieces of a text that lie in one block or many."""
+    from tracklens.llm import common
+
+    monkeypatch.setattr(common, "BLOCK_ELEMENTS", 4)
+    monkeypatch.setattr(common, "BLOCK_CHARS", 5)
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(9) for _ in range(i)], "".join(rng.choice("aé😀\n") for _ in range(i))) for i in (0, 1, 3, 4, 5, 8, 9, 30)]
+    df = spark.createDataFrame(rows, "n int, v array<int>, t string").withColumn("b", common.text_blocks(F.col("t")))
+    cuts = [(a, b) for a in range(0, 31, 3) for b in range(a, 31, 2)]
+    out = df.select(
+        "n", common.before_each(F.col("v"), F.lit(7), lambda a, x: a + x).alias("sums"), common.before_each(F.col("v"), F.lit(2), lambda a, x: F.greatest(a, x)).alias("tops"),
+        F.array(*[common.piece(F.col("b"), F.lit(a), F.lit(b)) for a, b in cuts]).alias("pieces"),
+    ).collect()
+    for (_, v, t), r in zip(rows, sorted(out, key=lambda r: r.n)):
+        assert r.sums == [7 + sum(v[:k]) for k in range(len(v))] and r.tops == [max([2, *v[:k]]) for k in range(len(v))]
+        assert r.pieces == [t[a:b] for a, b in cuts]
+
+
+def test_redaction_of_overlapping_spans(spark):
+    spans = [(2, 5), (4, 9), (4, 6), (9, 10), (15, 20), (16, 17), (30, 31)]
+    text = "".join(chr(97 + i % 26) for i in range(40))
+    df = spark.createDataFrame([(text, [(a, 0, b, 1, 1, "live") for a, b in spans]), (None, []), ("x", [])], "text string, secrets array<struct<start:int, kind_no:int, end:int, n_owners:bigint, n_repos:bigint, verdict:string>>")
+    assert [r.text for r in secrets.redact(df).collect()] == [text[:2] + "[SECRET][SECRET]" + text[10:15] + "[SECRET]" + text[20:30] + "[SECRET]" + text[31:], None, "x"]
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    took = {}
+    for n in (8_000, 32_000):
+        df = spark.createDataFrame([(1, " ".join("token=" + "".join(chr(98 + int(d)) for d in str(i + 10_000)) + "p7q8r9" for i in range(n)), "s")], "doc_id long, text string, source string")
+        began = time.time()
+        out = secrets.redact(secrets.scan(df, F.col("source"), F.col("source"))).collect()
+        took[n] = time.time() - began
+        assert len(out[0].secrets) == n and out[0].text == " ".join(["[SECRET]"] * n)
+    assert took[32_000] < 12 * took[8_000]
+
+
 # ---- 10: parts ----
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,11 +80,13 @@ def sha256_hex(data: bytes) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark, "_tracklens_shared", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark._tracklens_shared = found
     return found.rstrip("/")
@@ -128,3 +131,38 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total:
     common = left.join(hot, key)
     rest = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col(count) <= least), key)
     return common.unionByName(rest)
+
+
+#: Elements, and characters, that are gone through one by one; beyond, whole blocks of them are.
+BLOCK_ELEMENTS, BLOCK_CHARS = 256, 4096
+
+
+def before_each(values: Column, first: Column, join: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """For each element of an array, what ``join`` makes of ``first`` and all elements before it: running sums or maxima.
+
+    Appending to an array copies it, so the ends of blocks are found first and each block is then gone through by itself.
+    ``values`` should be a column, not an expression, as it is looked at in many places.
+    """
+    cut = lambda k: F.slice(values, k * BLOCK_ELEMENTS + 1, F.lit(BLOCK_ELEMENTS))
+    state = lambda at: F.struct(at.cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("done"))
+    step = lambda x, now: F.struct(now.cast(kind).alias("at"), F.array_append(x["done"], x["at"]).alias("done"))
+    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / BLOCK_ELEMENTS).cast("int")))
+    starts = F.aggregate(blocks, state(first), lambda x, k: step(x, F.aggregate(cut(k), x["at"], lambda a, v: join(a, v).cast(kind))), lambda x: x["done"])
+    inside = F.transform(starts, lambda at, k: F.aggregate(cut(k), state(at), lambda x, v: step(x, join(x["at"], v)), lambda x: x["done"]))
+    return F.flatten(inside)
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks of ``BLOCK_CHARS`` code points, for ``piece``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text in blocks: the cost does not depend on the place, as it does with a substring of the text."""
+    i, j = F.floor(start / BLOCK_CHARS).cast("int"), F.floor(end / BLOCK_CHARS).cast("int")
+    block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    one = F.substring(block(i), start % BLOCK_CHARS + 1, end - start)
+    several = F.concat(
+        F.substring(block(i), start % BLOCK_CHARS + 1, F.lit(BLOCK_CHARS)), F.array_join(F.slice(blocks, i + 2, F.greatest(F.lit(0), j - i - 1)), ""), F.substring(block(j), F.lit(1), end % BLOCK_CHARS)
+    )
+    return F.when(i == j, one).otherwise(several)

@@ -55,22 +55,22 @@ FROM q"""
 def _matches(kind: str) -> str:
     pattern, k = secrets.PATTERNS[kind].replace("'", "''"), secrets.KINDS.index(kind)
     value = f"regexp_extract_all(t, '{pattern}', 1)" if kind == "assign" else f"regexp_extract_all(t, '{pattern}')"
-    return f"SELECT rid, src, {k} AS kind, regexp_extract_all(t, '{pattern}') AS m, {value} AS v, string_split_regex(t, '{pattern}') AS g FROM d"
+    return f"SELECT rid, src, repo, {k} AS kind, regexp_extract_all(t, '{pattern}') AS m, {value} AS v, string_split_regex(t, '{pattern}') AS g FROM d"
 
 
 _NAMES = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
 OP9 = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS src, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS src, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
 every AS ({" UNION ALL ".join(_matches(k) for k in secrets.KINDS)}),
-each AS (SELECT rid, src, kind, unnest(m) AS x, unnest(v) AS value, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM every WHERE len(m) > 0),
+each AS (SELECT rid, src, repo, kind, unnest(m) AS x, unnest(v) AS value, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM every WHERE len(m) > 0),
 placed AS (SELECT *, sum(length(gap) + length(x)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM each),
-s AS (SELECT rid, src, kind, CAST(e - length(x) AS BIGINT) AS b, CAST(e AS BIGINT) AS e, value FROM placed WHERE kind <> 0 OR length(value) >= {secrets.LEAST_ASSIGNED}),
-own AS (SELECT value, count(DISTINCT src) AS owners FROM s GROUP BY value),
-told AS (SELECT s.*, CASE WHEN owners >= {secrets.WIDE_OWNERS} THEN 'copied' WHEN length(value) >= {secrets.LEAST_LIVE} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict,
+s AS (SELECT rid, src, repo, kind, CAST(e - length(x) AS BIGINT) AS b, CAST(e AS BIGINT) AS e, value FROM placed WHERE kind <> 0 OR length(value) >= {secrets.LEAST_ASSIGNED}),
+own AS (SELECT value, count(DISTINCT src) AS owners, count(DISTINCT repo) AS repos FROM s GROUP BY value),
+told AS (SELECT s.*, CASE WHEN owners >= {secrets.WIDE_OWNERS} OR repos >= {secrets.WIDE_REPOS} THEN 'copied' WHEN length(value) >= {secrets.LEAST_LIVE} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict,
     {_NAMES}[kind + 1] || ':' || b || ':' || e AS span FROM s JOIN own USING (value)),
-g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.KINDS))}, {", ".join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in ("live", "copied", "weak"))},
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.KINDS))}, {", ".join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in ("live", "copied", "weak"))}, max(owners) AS most_owners, max(repos) AS most_repos,
     string_agg(span, ',' ORDER BY b, kind) FILTER (kind < {len(secrets.BASE_KINDS)}) AS base, string_agg(span, ',' ORDER BY b, kind) AS spans FROM told GROUP BY rid)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*secrets.KINDS, "live", "copied", "weak"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*secrets.KINDS, "live", "copied", "weak"))}, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (rid)"""
 
 _ESCAPED = "replace(replace({0}, '&', '&amp;'), '<', '&lt;')"

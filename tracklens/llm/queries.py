@@ -64,7 +64,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, F.concat_ws("/", "source", "lang"), quoted("source"), keep=["doc_id"])
     return secrets.digests(found).select(
-        "doc_id", *[f"n_{k}" for k in secrets.KINDS], "base_sha256", "spans", "n_live", "n_copied", "n_weak"
+        "doc_id", *[f"n_{k}" for k in secrets.KINDS], "base_sha256", "spans", "n_live", "n_copied", "n_weak", "most_owners", "most_repos"
     )
 
 

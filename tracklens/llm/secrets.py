@@ -4,8 +4,8 @@ Candidates come from patterns. Their places follow from what is left of a text w
 split at the same pattern: a match starts where the pieces and matches before it end.
 
 Whether a candidate matters is then asked of the whole corpus: the digests of all candidates
-are counted by distinct repositories and owners. A value that many owners have was copied from
-documentation; a random-looking one that a single owner has looks live. Counts are reduced
+are counted by distinct repositories and owners. A value that many owners have, or many
+repositories, was copied from documentation; a random-looking one that few have looks live. Counts are reduced
 to distinct (digest, repository, owner) rows before they are moved by digest, so a value that
 stands in a third of all documents costs no more than its owners.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import join_counted, quoted, staged
+from tracklens.llm.common import before_each, join_counted, piece, quoted, staged, text_blocks
 
 #: Fixed patterns, in the syntax that Java and RE2 share. ``hex`` and ``access`` state their least length, which matches
 #: the same as dropping shorter maximal runs; ``assign`` is filtered afterwards, without retries.
@@ -38,8 +38,8 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 BASE_KINDS = KINDS[:3]
 LEAST_ASSIGNED = 6
-#: From this many distinct owners on, a value is a copied example.
-WIDE_OWNERS = 3
+#: From this many distinct owners on, or this many repositories of whomever, a value is a copied example.
+WIDE_OWNERS, WIDE_REPOS = 3, 5
 #: A live-looking value has a digit, a letter, this many characters, and no such word.
 LEAST_LIVE = 8
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your|test|xxxx|0000|1234"
@@ -55,33 +55,32 @@ def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(kind: str) -> str:
-    """SQL for the spans of one kind, from its matches, their values and the gaps before them."""
-    keep = f"length(s.value) >= {LEAST_ASSIGNED}" if kind == "assign" else "true"
-    return f"""CASE WHEN size(_m_{kind}) = 0 THEN {_NO_SPANS} ELSE filter(aggregate(
-        arrays_zip(_m_{kind}, _v_{kind}, _g_{kind}),
-        named_struct('at', 0, 'done', {_NO_SPANS}),
-        (a, x) -> named_struct(
-            'at', a.at + length(x._g_{kind}) + length(x._m_{kind}),
-            'done', array_append(a.done, named_struct('start', a.at + length(x._g_{kind}), 'kind_no', {KINDS.index(kind)},
-                'end', a.at + length(x._g_{kind}) + length(x._m_{kind}), 'value', x._v_{kind}))),
-        a -> a.done), s -> {keep}) END"""
+_NO_SPANS = "cast(array() as array<struct<start:int, kind_no:int, end:int, value:string>>)"
 
 
-_NO_SPANS = "cast(array() as array<struct<start:int, kind_no:int, end:int, value:string>>)"
+def _spans(kind: str) -> str:
+    """SQL for the spans of one kind, from its matches, their values, the gaps before them and where those start."""
+    keep = f"length(s.value) >= {LEAST_ASSIGNED}" if kind == "assign" else "true"
+    return f"""CASE WHEN size(_m_{kind}) = 0 THEN {_NO_SPANS} ELSE filter(transform(
+        arrays_zip(_m_{kind}, _v_{kind}, _g_{kind}, _r_{kind}),
+        x -> named_struct('start', x._r_{kind} + length(x._g_{kind}), 'kind_no', {KINDS.index(kind)},
+            'end', x._r_{kind} + length(x._g_{kind}) + length(x._m_{kind}), 'value', x._v_{kind})), s -> {keep}) END"""
 
 
 def candidates(df: DataFrame, text_col: str = "text", patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """``df`` with ``secrets``: all spans by start, then kind as listed; code points, end exclusive."""
-    wide = df.withColumn("_text", F.coalesce(quoted(text_col), F.lit("")))
+    names = [c for c in df.columns if c.lower() != "secrets"]
+    wide = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(names)], F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
     wide = wide.withColumns({f"_m_{k}": F.expr(f"regexp_extract_all(_text, {_literal(p)}, 0)") for k, p in patterns.items()})
-    some = "CASE WHEN size(_m_{0}) = 0 THEN cast(array() as array<string>) ELSE {1} END"
+    some = "CASE WHEN size(_m_{0}) = 0 THEN cast(array() as array<{2}>) ELSE {1} END"
     groups = {k: f"regexp_extract_all(_text, {_literal(patterns[k])}, 1)" if k == "assign" else f"_m_{k}" for k in KINDS}
     gaps = {k: f"slice(split(_text, {_literal(patterns[k])}, -1), 1, size(_m_{k}))" for k in KINDS}
-    wide = wide.withColumns({f"_v_{k}": F.expr(some.format(k, groups[k])) for k in KINDS} | {f"_g_{k}": F.expr(some.format(k, gaps[k])) for k in KINDS})
+    wide = wide.withColumns({f"_v_{k}": F.expr(some.format(k, groups[k], "string")) for k in KINDS} | {f"_g_{k}": F.expr(some.format(k, gaps[k], "string")) for k in KINDS})
+    wide = wide.withColumns({f"_l_{k}": F.expr(some.format(k, f"zip_with(_g_{k}, _m_{k}, (g, m) -> length(g) + length(m))", "int")) for k in KINDS})
+    wide = wide.withColumns({f"_r_{k}": F.when(F.size(f"_m_{k}") > 0, before_each(F.col(f"_l_{k}"), F.lit(0), lambda a, n: a + n)).otherwise(F.expr("cast(array() as array<int>)")) for k in KINDS})
     wide = wide.withColumns({f"_s_{k}": F.expr(_spans(k)) for k in KINDS})
-    wide = wide.withColumn("secrets", F.array_sort(F.concat(*[F.col(f"_s_{k}") for k in KINDS])))
-    return wide.drop("_text", *[f"_{x}_{k}" for k in KINDS for x in "mvgs"])
+    made = F.array_sort(F.concat(*[F.col(f"_s_{k}") for k in KINDS])).alias("secrets")
+    return wide.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], made)
 
 
 def live_looking(value: Column) -> Column:
@@ -121,7 +120,7 @@ def scan(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", kee
         "_row",
         F.struct(
             "s.start", "s.kind_no", "s.end", "n_owners", "n_repos",
-            F.when(F.col("n_owners") >= WIDE_OWNERS, "copied").when(live, "live").otherwise("weak").alias("verdict"),
+            F.when((F.col("n_owners") >= WIDE_OWNERS) | (F.col("n_repos") >= WIDE_REPOS), "copied").when(live, "live").otherwise("weak").alias("verdict"),
         ).alias("s"),
     )
     told = told.groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("secrets"))
@@ -131,28 +130,30 @@ def scan(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", kee
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Adds counts of base kinds and verdicts, and the joined spans."""
+    """Adds counts of base kinds and verdicts, the most owners and repositories of a value, and the joined spans."""
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     join = lambda a: f"array_join(transform({a}, s -> concat(element_at({names}, s.kind_no + 1), ':', s.start, ':', s.end)), ',')"
     of = lambda cond: F.expr(f"cast(size(filter(secrets, s -> {cond})) as bigint)")
     return found.withColumns(
         {f"n_{k}": of(f"s.kind_no = {i}") for i, k in enumerate(KINDS)}
         | {f"n_{v}": of(f"s.verdict = '{v}'") for v in ("live", "copied", "weak")}
+        | {f"most_{x}": F.expr(f"coalesce(array_max(transform(secrets, s -> s.n_{x})), 0)") for x in ("owners", "repos")}
         | {"base_sha256": F.sha2(F.expr(join(f"filter(secrets, s -> s.kind_no < {len(BASE_KINDS)})")), 256), "spans": F.expr(join("secrets"))}
     )
 
 
-def redacted(text: Column, verdicts: tuple[str, ...] = ("live",), spans: str = "secrets") -> Column:
-    """The text with its spans of these verdicts replaced; overlapping spans become one mark."""
-    wanted = ", ".join(f"'{v}'" for v in verdicts)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        return F.when(
-            s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.lit(MARK)).alias("out"))
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-
-    chosen = F.expr(f"filter({spans}, s -> s.verdict IN ({wanted}))")
-    whole = F.aggregate(chosen, state, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(chosen) > 0, whole).otherwise(text)
+def redact(df: DataFrame, text_col: str = "text", verdicts: tuple[str, ...] = ("live",), spans: str = "secrets") -> DataFrame:
+    """``df`` with the spans of these verdicts replaced in its text; overlapping spans become one mark."""
+    names = df.columns
+    at = names.index(text_col)
+    wide = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], F.filter(quoted(spans), lambda s: s["verdict"].isin(*verdicts)).alias("chosen"))
+    wide = wide.withColumn("ends", F.transform("chosen", lambda s: s["end"]))
+    # A mark begins where no span before it reaches; what is kept before it starts where those end.
+    wide = wide.withColumns({
+        "reach": before_each(F.col("ends"), F.lit(0), lambda a, e: F.greatest(a, e)),
+        "blocks": F.when(F.size("chosen") > 0, text_blocks(F.col(f"c{at}"))),
+    })
+    kept = F.filter(F.zip_with("chosen", "reach", lambda s, r: F.struct(r.alias("start"), s["start"].alias("end"))), lambda x: x["end"] >= x["start"])
+    told = F.array_join(F.transform(kept, lambda x: F.concat(piece(F.col("blocks"), x["start"], x["end"]), F.lit(MARK))), "")
+    whole = F.concat(told, piece(F.col("blocks"), F.array_max("ends"), F.length(f"c{at}")))
+    return wide.select(*[(F.when(F.size("chosen") > 0, whole).otherwise(F.col(f"c{i}")) if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
