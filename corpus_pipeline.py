@@ -36,7 +36,7 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs.select(*COLUMNS), F.concat_ws("/", "source", "lang"), quoted("source"), keep=COLUMNS, whole=True)
-    cleaned = found.withColumn("text", secrets.redacted(F.col("text")))
+    cleaned = secrets.redact(found)
     return cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
