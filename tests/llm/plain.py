@@ -44,7 +44,7 @@ def hits(docs, items):
     for name, text in items:
         w = words(text)
         for i in range(max(1, len(w) - 9)) if w else ():
-            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(name))
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(None if name is None else str(name))
     sizes, out = {len(x) for x in windows}, []
     for text in docs:
         w = words(text)
@@ -54,7 +54,7 @@ def hits(docs, items):
                 if (key := tuple(w[i : i + n])) in windows:
                     hit[i : i + n] = [True] * n
                     found |= windows[key]
-        out.append((len(w), sum(hit), len(found), sha(",".join(sorted(found))), any(hit)))
+        out.append((len(w), sum(hit), len(found), sha(",".join(sorted(found - {None}))), any(hit)))
     return out
 
 

@@ -53,11 +53,11 @@ def test_bpe_columns(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="abc ", max_size=60), max_size=6), st.lists(st.text(alphabet="abcd ", max_size=40), min_size=1, max_size=4))
 def test_suffix_array(docs, items):
-    bench = decontaminate.Benchmark([(str(i), t.encode()) for i, t in enumerate(items)], window=3)
-    shard = decontaminate._Shard(bench.vocabulary)
+    bench = decontaminate.Benchmark([(str(i), 0, t.encode()) for i, t in enumerate(items)], window=3)
+    shard = decontaminate._Shard()
     for d in docs:
         shard.add(d.encode())
-    words, left, doc, starts = shard.arrays()
+    words, left, doc, starts = shard.arrays(bench.vocabulary)
     size, where = decontaminate.SuffixArray(words, left, 1).longest(bench)
     texts = [d.split() for d in docs]
     for k in range(len(bench.words)):
@@ -73,6 +73,17 @@ def test_suffix_array(docs, items):
         assert size[k] == best
         if best:
             assert words[where[k] : where[k] + best].tolist() == own[:best] and left[where[k]] >= best
+    found = decontaminate.search_shard(shard, bench)
+    for n, t in enumerate(texts):
+        best = (0, 0, "", 0)
+        for i, other in enumerate(map(str.split, items)):
+            for p, q in ((p, q) for p in range(len(t)) for q in range(len(other))):
+                m = 0
+                while p + m < len(t) and q + m < len(other) and t[p + m] == other[q + m]:
+                    m += 1
+                if m >= 3 or m == len(other) > 0 == q:
+                    best = min(best, (-m, p, str(i), q))
+        assert found.get(n, decontaminate.NOTHING).longest == ((-best[0], *best[1:]) if best[0] else None)
 
 
 def test_many_words_and_long_matches(spark, monkeypatch):
@@ -85,13 +96,23 @@ def test_many_words_and_long_matches(spark, monkeypatch):
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = sorted((i, *w) for i, w in enumerate(plain.hits(docs, items)))
-    query = lambda: sorted(tuple(r) for r in decontaminate.digests(decontaminate.hits(d, b, keep=["doc_id"])).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
-    assert query() == want
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "match_word", "match_item", "match_item_word"]
+    query = lambda: sorted(tuple(r) for r in decontaminate.digests(decontaminate.hits(d, b, keep=["doc_id"])).select(*columns).collect())
+    once = query()
+    assert [r[:6] for r in once] == want and once[0][6:] == (60, len(docs[0].split()) - 60, "99", 0)
     best = {(r.item, r.item_word): r for r in decontaminate.longest_matches(d, b).collect()}
     assert best["99", 0].n_match == 60 and best["99", 0].doc == "0" and best["99", 30].n_match == 30
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1500)
-    assert query() == want
+    assert len(decontaminate.blocks_of(b, "item_id", "text")) > decontaminate.BLOCKS_AT_ONCE
+    assert query() == once
     assert decontaminate.clean(d, b).count() == sum(not w[-1] for w in want)
+    marked = d.withColumns({"_row": F.lit(7), "runs": F.lit("x"), "longest": F.lit(1), "k0": F.lit(2), "body": F.lit(3)})
+    kept = decontaminate.clean(marked, b)
+    assert kept.columns == marked.columns and {(r["_row"], r.runs, r.longest, r.k0, r.body) for r in kept.collect()} == {(7, "x", 1, 2, 3)}
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 16)
+    monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", 5)
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 300)
+    assert [r[:6] for r in query()] == want
 
 
 # ---- 3: ledger ----

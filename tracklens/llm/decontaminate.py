@@ -4,24 +4,29 @@ The training texts are cut into shards of whole documents. A task holds one shar
 its words as numbers of the benchmark's vocabulary, and the sorted array of its suffixes.
 Every suffix of every benchmark text is then searched in that array by bisection, all of
 them at once. The neighbours of its place give its longest verbatim match in the shard, and
-the bounds of its first words give every occurrence, and so the documents to remove.
+the bounds of its first words give every occurrence, and so the documents to remove. Suffixes
+that begin with the same window are bisected together and then extended each, which gives every
+document its longest verbatim match and the place of it.
 
 A suffix whose words are not all known to the benchmark as far as the shortest window reaches
 cannot hold a match and is left out of the array; nothing else is.
 
 The benchmark is the query set. It is dealt into blocks of at most ``BLOCK_BYTES`` by measured
-size, which are broadcast one after another, each in a pass over all documents (one pass for
-all usual benchmarks); the hits of several blocks are merged per document.
+size, items longer than ``PIECE_WORDS`` in overlapping pieces. A task holds ``BLOCKS_AT_ONCE``
+blocks and searches a shard for each of them while it has its words; further blocks are a further
+pass over the rows of the one before, which carry what was found so far, so that rows need no numbers.
 
 Defined results: null or wordless documents have no words and no hits; null or wordless items
-have no windows; items with a null id are left out; repeated items count once; repeated
-documents give repeated rows; empty tables give no hits, or no rows. Documents are searched
-whole: one longer than a shard is a shard of its own.
+have no windows; items with a null id are one item without a name, which counts among the items found
+but is not listed; repeated items count once; repeated documents give repeated rows; empty tables
+give no hits, or no rows; extra columns are kept, and one named as a result is replaced.
+Documents are searched whole: one longer than a shard is a shard of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,10 @@ WINDOW = 10
 DEPTH = 16
 SHARD_WORDS = 500_000
 BLOCK_BYTES = 16 << 20
+BLOCKS_AT_ONCE = 4
+PIECE_WORDS = 500_000
+#: Pairs of a benchmark suffix and a place that are extended at once.
+PAIRS_AT_ONCE = 2_000_000
 #: Word characters are digits, letters and everything beyond ASCII; the rest becomes a blank.
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -44,38 +53,50 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_TABLE).split()
 
 
+class Windows(NamedTuple):
+    size: int
+    least: np.ndarray
+    greatest: np.ndarray
+    #: Suffixes by window; window k has those from ``ends[k]`` to ``ends[k + 1]``.
+    suffixes: np.ndarray
+    ends: np.ndarray
+
+
 class Benchmark:
-    """One block of items: vocabulary, words end to end, and the windows of every item."""
+    """One block of items ``(id or None, first word, text)``: vocabulary, words end to end, and the windows of every item."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, int, bytes]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.names = sorted({name for name, _ in items})
+        last = lambda name: (name is None, name or "")
+        self.names = sorted({name for name, _, _ in items}, key=last)
         number = {name: k for k, name in enumerate(self.names)}
-        words, item, left = [], [], []
-        for name, text in sorted(set(items)):
+        words, item, left, at = [], [], [], []
+        for name, begin, text in sorted(set(items), key=lambda x: (last(x[0]), x[1:])):
             own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             words += own
             item += [number[name]] * len(own)
             left += range(len(own), 0, -1)
+            at += range(begin, begin + len(own))
             words.append(0)  # ends the item; no document word has this number
             item.append(-1)
             left.append(0)
+            at.append(-1)
         self.words = np.array(words, np.uint32)
-        self.item, self.left = np.array(item, np.int64), np.array(left, np.int64)
+        self.item, self.left, self.at = np.array(item, np.int64), np.array(left, np.int64), np.array(at, np.int64)
         first = np.r_[True, self.left[:-1] == 0][: len(item)]
         #: A suffix opens a window if the window fits into its item, or is all of a shorter item.
         opens = np.flatnonzero((self.left >= window) | (first & (self.left > 0)))
         length = np.minimum(self.left[opens], window)
         self.shortest = int(length.min()) if len(length) else window
-        #: By length of window: least and greatest key of each distinct one, and the items that have it.
-        self.windows: list[tuple[int, np.ndarray, np.ndarray, list[set[int]]]] = []
+        #: By length of window: least and greatest key of each distinct one, and the suffixes that begin with it.
+        self.windows: list[Windows] = []
         for size in np.unique(length).tolist():
             own = opens[length == size]
-            keys, at, which = np.unique(packed(self.words, own, size), return_index=True, return_inverse=True)
-            owners: list[set[int]] = [set() for _ in keys]
-            for k, i in zip(which.ravel().tolist(), self.item[own].tolist(), strict=True):
-                owners[k].add(i)
-            self.windows.append((size, packed(self.words, own[at], size), packed(self.words, own[at], size, fill=0xFFFFFFFF), owners))
+            keys, first_own, which = np.unique(packed(self.words, own, size), return_index=True, return_inverse=True)
+            order = np.argsort(which.ravel(), kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(which.ravel(), minlength=len(keys)))]
+            at_ = own[first_own]
+            self.windows.append(Windows(size, packed(self.words, at_, size), packed(self.words, at_, size, fill=0xFFFFFFFF), own[order], ends))
 
 
 def packed(words: np.ndarray, at: np.ndarray, size: np.ndarray | int, fill: int = 0) -> np.ndarray:
@@ -107,12 +128,26 @@ class SuffixArray:
         index = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         return which, self.at[index]
 
-    def occurrences(self, bench: Benchmark) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[set[int]]]]:
-        """By length: numbers of windows and the places where they stand, and their items."""
-        for size, least, greatest, owners in bench.windows:
-            low, high = np.searchsorted(self.keys, least, "left"), np.searchsorted(self.keys, greatest, "right")
-            which, place = self.between(low, high)
-            yield size, which, place, owners
+    def occurrences(self, bench: Benchmark) -> Iterator[tuple[Windows, np.ndarray, np.ndarray]]:
+        """By length: numbers of windows and the places where they stand."""
+        for windows in bench.windows:
+            low, high = np.searchsorted(self.keys, windows.least, "left"), np.searchsorted(self.keys, windows.greatest, "right")
+            yield windows, *self.between(low, high)
+
+    def extended(self, bench: Benchmark, windows: Windows, which: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Suffixes, places and lengths of the matches of these occurrences that start there, so many pairs at once."""
+        count = np.diff(windows.ends)[which]
+        done = np.r_[0, np.cumsum(count)]
+        cuts = np.unique(np.searchsorted(done, np.arange(0, done[-1] + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "left").clip(0, len(which)))
+        for a, b in zip(cuts, cuts[1:]):
+            of = np.repeat(np.arange(a, b), count[a:b])
+            suffix = windows.suffixes[np.arange(done[a], done[b]) - done[of] + windows.ends[which[of]]]
+            at = place[of]
+            # A match that the words before belong to is told where it begins.
+            inside = (suffix > 0) & (at > 0)
+            inside[inside] = (self.words[at[inside] - 1] > 0) & (bench.words[suffix[inside] - 1] == self.words[at[inside] - 1]) & (self.left[at[inside] - 1] == self.left[at[inside]] + 1)
+            suffix, at = suffix[~inside], at[~inside]
+            yield suffix, at, self._agree(bench, suffix, at)
 
     def longest(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
         """For every benchmark suffix the length of its longest match here, and its first place."""
@@ -150,22 +185,23 @@ class SuffixArray:
 
 
 class _Shard:
-    """Documents gathered until there are enough words."""
+    """The words of documents gathered until there are enough."""
 
-    def __init__(self, vocabulary: dict[bytes, int]) -> None:
-        self.vocabulary, self.words, self.sizes = vocabulary, [], []
+    def __init__(self) -> None:
+        self.words: list[list[bytes]] = []
         self.total = 0
 
     def add(self, text: bytes) -> None:
-        words = words_of(text)
-        get = self.vocabulary.get
-        self.words.append(np.fromiter((get(w, 0) for w in words), np.uint32, len(words)))
-        self.sizes.append(len(words))
-        self.total += len(words)
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array(self.sizes, np.int64)
-        words = np.concatenate([*self.words, np.zeros(0, np.uint32)])
+        self.words.append(words_of(text))
+        self.total += len(self.words[-1])
+
+    @property
+    def sizes(self) -> list[int]:
+        return [len(w) for w in self.words]
+
+    def arrays(self, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        get, sizes = vocabulary.get, np.array(self.sizes, np.int64)
+        words = np.fromiter((get(w, 0) for own in self.words for w in own), np.uint32, self.total)
         ends = np.cumsum(sizes)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         return words, np.repeat(ends, sizes) - np.arange(len(words)), doc, ends - sizes
@@ -177,109 +213,158 @@ def _runs(hit: np.ndarray, start: int, size: int) -> list[list[int]]:
     return own.reshape(-1, 2).tolist()
 
 
-def search_shard(shard: _Shard, bench: Benchmark) -> Iterator[tuple[list[list[int]], list[str]]]:
-    """For each document of the shard: its runs of hit words and the items found in it."""
-    words, left, doc, starts = shard.arrays()
+class Found(NamedTuple):
+    """What one document holds; ``longest`` is the length of a match, its word, and the item and word that it is of."""
+
+    runs: list[list[int]]
+    items: list[str]
+    unnamed: bool
+    longest: tuple[int, int, str | None, int] | None
+
+
+NOTHING = Found([], [], False, None)
+
+
+def search_shard(shard: _Shard, bench: Benchmark) -> dict[int, Found]:
+    """By number of the document, what each that has a hit holds."""
+    words, left, doc, starts = shard.arrays(bench.vocabulary)
     edge = np.zeros(len(words) + 1, np.int64)
     items: dict[int, set[int]] = {}
-    for size, which, place, owners in SuffixArray(words, left, bench.shortest).occurrences(bench):
+    best: dict[int, tuple] = {}
+    array = SuffixArray(words, left, bench.shortest)
+    for windows, which, place in array.occurrences(bench):
         np.add.at(edge, place, 1)
-        np.add.at(edge, place + size, -1)
+        np.add.at(edge, place + windows.size, -1)
         for d, w in np.unique(np.stack([doc[place], which], axis=1), axis=0).tolist():
-            items.setdefault(d, set()).update(owners[w])
+            items.setdefault(d, set()).update(bench.item[windows.suffixes[windows.ends[w] : windows.ends[w + 1]]].tolist())
+        for suffix, at, size in array.extended(bench, windows, which, place):
+            # The longest of each document; of equals the first in it, then the first item and place.
+            order = np.lexsort([bench.at[suffix], bench.item[suffix], at, -size, doc[at]])
+            _, firsts = np.unique(doc[at][order], return_index=True)
+            for k in order[firsts].tolist():
+                d = int(doc[at[k]])
+                mine = (-int(size[k]), int(at[k] - starts[d]), int(bench.item[suffix[k]]), int(bench.at[suffix[k]]))
+                best[d] = min(best.get(d, mine), mine)
     hit = np.cumsum(edge[:-1]) > 0
-    for d, (start, size) in enumerate(zip(starts.tolist(), shard.sizes, strict=True)):
-        if d in items:
-            yield _runs(hit, start, size), sorted(bench.names[i] for i in items[d])
+    found = {}
+    for d, own in items.items():
+        size, at, item, word = best[d]
+        names = [bench.names[i] for i in sorted(own)]
+        found[d] = Found(_runs(hit, starts[d], shard.sizes[d]), [n for n in names if n is not None], None in names, (-size, at, bench.names[item], word))
+    return found
+
+
+def merged(a: Found, b: Found) -> Found:
+    if a.longest is None or b.longest is None:
+        return a if b.longest is None else b
+    runs: list[list[int]] = []
+    for x, y in sorted(a.runs + b.runs):
+        if runs and runs[-1][1] >= x:
+            runs[-1][1] = max(runs[-1][1], y)
         else:
-            yield [], []
+            runs.append([x, y])
+    order = lambda m: (-m[0], m[1], m[2] is None, m[2] or "", m[3])
+    return Found(runs, sorted({*a.items, *b.items}), a.unnamed or b.unnamed, min(a.longest, b.longest, key=order))
 
 
+MATCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("word", T.LongType()), T.StructField("item", T.StringType()), T.StructField("item_word", T.LongType())])
 HITS = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))),
     T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("unnamed", T.BooleanType()),
+    T.StructField("longest", MATCH),
 ])
+_MATCH = pa.struct([("n", pa.int64()), ("word", pa.int64()), ("item", pa.string()), ("item_word", pa.int64())])
+_ARROW = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.bool_(), _MATCH]
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
-    """The items as blocks that are each proven to hold at most ``BLOCK_BYTES``, or one item.
+    """The items ``(item, begin, body)`` as blocks that are each proven to hold at most ``BLOCK_BYTES``, or one piece.
 
-    Only sizes of blocks come to the driver here. Items go by the hash of their id; while a block
-    is too large, there are twice as many.
+    Longer items are cut into pieces that overlap by all but one word of a window, so that every window lies in one.
+    Only sizes of blocks come to the driver here; while a block is too large, there are twice as many.
     """
-    items = benchmark.select(quoted(item_col).cast("string").alias("item"), quoted(text_col).alias("body")).filter("item IS NOT NULL").distinct()
-    items = staged(items, "benchmark-items")
+    items = benchmark.select(quoted(item_col).cast("string").alias("item"), quoted(text_col).alias("body"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                words = words_of(text)
+                for begin in range(0, max(1, len(words) - WINDOW + 1), PIECE_WORDS):
+                    body = b" ".join(words[begin : begin + PIECE_WORDS + WINDOW - 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([begin], pa.int64()), pa.array([body], pa.binary())], names=["item", "begin", "body"])
+
+    items = staged(items.mapInArrow(cut, "item string, begin long, body binary").filter("length(body) > 0").distinct(), "benchmark-items")
     n = 1
     while True:
-        dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)))
-        sizes = dealt.groupBy("block").agg(
-            F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + F.octet_length("item")).alias("size"), F.count_distinct("item").alias("many")
-        )
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "begin", "body"), F.lit(n)))
+        sizes = dealt.groupBy("block").agg(F.sum(F.length("body") + F.coalesce(F.octet_length("item"), F.lit(0))).alias("size"), F.count("*").alias("many"))
         if not sizes.filter((F.col("size") > BLOCK_BYTES) & (F.col("many") > 1)).limit(1).count():
-            return [dealt.filter(F.col("block") == b).select("item", "body") for b in range(n)]
+            return [dealt.filter(F.col("block") == b).select("item", "begin", "body") for b in range(n)]
         n *= 2
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``keep`` columns with ``n_words``, ``runs`` of hit words and the ``items`` found, per document."""
-    keep = documents.columns if keep is None else keep
+    """``keep`` columns with ``n_words``, ``runs`` of hit words, the ``items`` found, ``unnamed`` ones, and the ``longest`` match, per document."""
+    made = set(HITS.fieldNames())
+    keep = [c for c in (documents.columns if keep is None else keep) if c.lower() not in made]
+    found = documents.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(text_col).alias("body"))
+    kept = found.columns
     blocks = blocks_of(benchmark, item_col, item_text_col)
-    if len(blocks) == 1:
-        return _pass(documents, blocks[0], text_col, keep)
-    # Several passes: rows are told apart by their place, which a staged table fixes.
-    numbered = staged(documents.withColumn("_row", F.monotonically_increasing_id()), "documents-numbered")
-    passes = [_pass(numbered, block, text_col, ["_row"]) for block in blocks]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("_row").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    merged = merged.withColumn("runs", F.expr("""aggregate(array_sort(r), cast(array() as array<array<bigint>>), (done, x) -> CASE
-        WHEN size(done) > 0 AND element_at(done, -1)[1] >= x[0] THEN concat(slice(done, 1, size(done) - 1), array(array(element_at(done, -1)[0], greatest(element_at(done, -1)[1], x[1]))))
-        ELSE concat(done, array(x)) END)"""))
-    kept = [c for c in keep if c.lower() not in {f.name for f in HITS}]
-    return numbered.select("_row", *[quoted(c) for c in kept]).join(merged, "_row").select(*[quoted(c) for c in kept], *HITS.fieldNames())
-
-
-def _pass(documents: DataFrame, block: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    spark = documents.sparkSession
-    items = [(r["item"], (r["body"] or "").encode()) for r in block.collect()]  # at most BLOCK_BYTES
-    shared = spark.sparkContext.broadcast(items)
-    names = {f.name for f in HITS}
-    keep = [c for c in keep if c.lower() not in names]
-    wide = documents.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(text_col).alias("body"))
-    schema = T.StructType([*[T.StructField(c, wide.schema[f"k{i}"].dataType) for i, c in enumerate(keep)], *HITS])
-    kinds = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
+    for k in range(0, len(blocks), BLOCKS_AT_ONCE):
+        found = _pass(found if k == 0 else staged(found, "decontaminated"), blocks[k : k + BLOCKS_AT_ONCE], kept)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *HITS.fieldNames())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(shared.value)
 
-        def flush(shard: _Shard, rows: pa.RecordBatch) -> pa.RecordBatch:
-            out = list(search_shard(shard, bench))
-            made = [shard.sizes, [r for r, _ in out], [i for _, i in out]]
-            return pa.RecordBatch.from_arrays([*rows.columns[:-1], *[pa.array(m, k) for m, k in zip(made, kinds, strict=True)]], names=schema.fieldNames())
+def _collected(block: DataFrame) -> list[tuple[str | None, int, bytes]]:
+    return [(r["item"], r["begin"], bytes(r["body"])) for r in block.collect()]  # at most BLOCK_BYTES, or one piece
 
-        for batch in batches:
-            shard, start = _Shard(bench.vocabulary), 0
-            for k, text in enumerate(utf8(batch.columns[-1])):
-                shard.add(text)
-                if shard.total >= SHARD_WORDS:
-                    yield flush(shard, batch.slice(start, k + 1 - start))
-                    shard, start = _Shard(bench.vocabulary), k + 1
-            if start < batch.num_rows:
-                yield flush(shard, batch.slice(start))
 
-    return wide.mapInArrow(run, schema)
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Shard, pa.RecordBatch]]:
+    """Shards with their rows; the text is the column ``body``."""
+    for batch in batches:
+        shard, start = _Shard(), 0
+        for k, text in enumerate(utf8(batch.column("body"))):
+            shard.add(text)
+            if shard.total >= SHARD_WORDS:
+                yield shard, batch.slice(start, k + 1 - start)
+                shard, start = _Shard(), k + 1
+        if start < batch.num_rows:
+            yield shard, batch.slice(start)
+
+
+def _pass(found: DataFrame, blocks: list[DataFrame], kept: list[str]) -> DataFrame:
+    shared = [found.sparkSession.sparkContext.broadcast(_collected(b)) for b in blocks]
+    schema = T.StructType([*[found.schema[c] for c in kept], *HITS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        benches = [Benchmark(s.value) for s in shared]
+        for shard, rows in _shards(batches):
+            out = [NOTHING] * rows.num_rows
+            if "runs" in rows.schema.names:
+                before = zip(*[rows.column(c).to_pylist() for c in ("runs", "items", "unnamed", "longest")], strict=True)
+                out = [Found(r, i, u, tuple(m.values()) if m else None) for r, i, u, m in before]
+            for bench in benches:
+                for d, own in search_shard(shard, bench).items():
+                    out[d] = merged(out[d], own)
+            longest = [None if f.longest is None else dict(zip(("n", "word", "item", "item_word"), f.longest, strict=True)) for f in out]
+            made = [shard.sizes, [f.runs for f in out], [f.items for f in out], [f.unnamed for f in out], longest]
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *[pa.array(m, k) for m, k in zip(made, _ARROW, strict=True)]], names=schema.fieldNames())
+
+    return found.mapInArrow(run, schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Adds ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``."""
+    """Adds ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, and the longest match with its place."""
     return found.withColumns({
         "n_hit": F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0]),
-        "n_items": F.size("items").cast("long"),
+        "n_items": F.size("items").cast("long") + F.col("unnamed").cast("long"),
         "items_sha256": F.sha2(F.array_join(F.array_sort("items"), ","), 256),
+        "longest_match": F.coalesce("longest.n", F.lit(0)),
+        "match_word": F.col("longest.word"),
+        "match_item": F.col("longest.item"),
+        "match_item_word": F.col("longest.item_word"),
     }).withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -287,28 +372,25 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "d
     """For every benchmark suffix that matches anywhere: its longest verbatim match and where.
 
     Columns ``item, item_word, n_match, doc, doc_word``; of equally long matches the smallest
-    document and place. Each shard sends at most one row per suffix, which are reduced by key.
+    document and place. Each shard sends at most one row per suffix, which are reduced by key. A match that
+    runs beyond a piece of a very long item is told up to the piece's end.
     """
     spark, parts = documents.sparkSession, []
+    source = documents.select(quoted(id_col).cast("string").alias("doc"), quoted(text_col).alias("body"))
     for block in blocks_of(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast([(r["item"], (r["body"] or "").encode()) for r in block.collect()])
-        source = documents.select(quoted(id_col).cast("string").alias("doc"), quoted(text_col).alias("body"))
+        shared = spark.sparkContext.broadcast(_collected(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(shared.value)
-            begin = np.flatnonzero(np.r_[True, bench.left[:-1] == 0]) if len(bench.left) else np.zeros(0, np.int64)
-            offset = np.arange(len(bench.words)) - begin[np.searchsorted(begin, np.arange(len(bench.words)), "right") - 1] if len(begin) else begin
-            for batch in batches:
-                shard, ids = _Shard(bench.vocabulary), batch.column("doc").to_pylist()
-                for text in utf8(batch.column("body")):
-                    shard.add(text)
-                words, left, doc, starts = shard.arrays()
+            for shard, rows in _shards(batches):
+                ids = rows.column("doc").to_pylist()
+                words, left, doc, starts = shard.arrays(bench.vocabulary)
                 size, where = SuffixArray(words, left, 1).longest(bench)
                 ok = np.flatnonzero(size > 0)
                 at = where[ok]
                 yield pa.RecordBatch.from_pydict({
                     "item": pa.array([bench.names[i] for i in bench.item[ok]], pa.string()),
-                    "item_word": pa.array(offset[ok], pa.int64()),
+                    "item_word": pa.array(bench.at[ok], pa.int64()),
                     "n_match": pa.array(size[ok], pa.int64()),
                     "doc": pa.array([ids[d] for d in doc[at]], pa.string()),
                     "doc_word": pa.array(at - starts[doc[at]], pa.int64()),
@@ -325,9 +407,6 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "d
 def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without those that hold a benchmark window."""
     names = documents.columns
-    taken = {f.name for f in HITS} & {c.lower() for c in names}
-    if not taken:
-        return hits(documents, benchmark, text_col).filter(F.size("items") == 0).select(*[quoted(c) for c in names])
     inner = documents.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
-    done = hits(inner, benchmark, f"c{names.index(text_col)}").filter(F.size("items") == 0)
+    done = hits(inner, benchmark, f"c{names.index(text_col)}").filter(F.size("runs") == 0)
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

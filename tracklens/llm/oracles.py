@@ -13,16 +13,20 @@ _HIT_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, {_HIT_WORD}) AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_HIT_WORD}) AS w FROM benchmark WHERE item_id IS NOT NULL),
-win AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS k, least(len(w), 10) AS n
-    FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0) AS x),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_HIT_WORD}) AS w FROM benchmark),
+bn AS (SELECT *, row_number() OVER () AS text_no FROM b),
+win AS (SELECT item, text_no, i - 1 AS j, array_to_string(w[i:i + 9], ' ') AS k, least(len(w), 10) AS n
+    FROM (SELECT item, text_no, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM bn WHERE len(w) > 0) AS x),
 sizes AS (SELECT DISTINCT n FROM win),
 spot AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n) AS x),
-occ AS (SELECT rid, item, spot.n, i FROM spot JOIN win ON spot.k = win.k AND spot.n = win.n),
+occ AS (SELECT rid, item, text_no, j, spot.n, i FROM spot JOIN win ON spot.k = win.k AND spot.n = win.n),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM occ) AS x GROUP BY rid),
-items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item FROM occ) AS x GROUP BY rid)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item FROM occ) AS x GROUP BY rid),
+runs AS (SELECT rid, item, min(i) - 1 AS place, min(j) AS item_place, count(*) + any_value(n) - 1 AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, text_no, i - j ORDER BY i) AS run FROM occ) AS x GROUP BY rid, item, text_no, i - j, run),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY size DESC, place, item NULLS LAST, item_place) = 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+    CAST(coalesce(size, 0) AS BIGINT) AS longest_match, CAST(place AS BIGINT) AS match_word, longest.item AS match_item, CAST(item_place AS BIGINT) AS match_item_word
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN longest USING (rid)"""
 
 _MEASURED = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -22,7 +22,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return decontaminate.digests(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontaminate.digests(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "match_word", "match_item", "match_item_word")
+
+
+def decontaminate_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +85,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_decontaminate, op3_quality_rules, op4_bpe, op5_simhash, op6_lattice, op7_html, op8_warc, op9_secrets, op10_chat, quality_ablations)
+    for f in (op1_pii, op2_decontaminate, op3_quality_rules, op4_bpe, op5_simhash, op6_lattice, op7_html, op8_warc, op9_secrets, op10_chat, quality_ablations, decontaminate_matches)
 }
 
 
