@@ -374,6 +374,38 @@ def test_chat_parts(spark):
     assert got[1].formatted[a:b] == "a &amp; b"
 
 
+def test_chat_markup(spark):
+    """Attachments in texts become placeholders and come back as they were."""
+    rows = [
+        (1, 0, "user", "![a <b>](x.png) and ![](talk.MP3?t=1)\n![no](with blank) ![x]", 3),
+        (1, 1, "assistant", "see ![plan](p.pdf)![](q.pdf) &amp; <image:0/>", 4),
+        (2, 0, "assistant", "![only](z.gif)", 5),
+        (3, None, None, None, 6),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    got = {r.conv: r for r in chat.conversations(df).collect()}
+    assert got[1].formatted == "<turn>user\n<image:0/> and <audio:1/>\n![no](with blank) ![x]</turn>\n<turn>assistant\nsee <document:2/><document:3/> &amp;amp; &lt;image:0/></turn>\n"
+    assert [(a.kind, a.words, a.ref) for a in got[1].attachments] == [("image", "a <b>", "x.png"), ("audio", "", "talk.MP3?t=1"), ("document", "plan", "p.pdf"), ("document", "", "q.pdf")]
+    read = {r.conv_id: r for r in chat.digests(chat.conversations(df)).collect()}
+    for c in (1, 2, 3):
+        turns = [(r, t) for i, _, r, t, _ in rows if i == c]
+        assert (read[c].n_turns, read[c].turns_sha256, read[c].loss_chars, read[c].loss_sha256) == plain.chat(turns)
+    assert (read[1].n_attachments, read[1].expanded_tokens, read[3].n_attachments) == (4, 256 + 25 + 2 * 1024, 0)
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    import time
+
+    took = {}
+    for n in (4_000, 32_000):
+        df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text of turn ![i](a.png) "), F.col("id").cast("string")).alias("text"))
+        began = time.time()
+        r = chat.digests(chat.conversations(df)).first()
+        took[n] = time.time() - began
+        assert (r.n_turns, r.n_attachments) == (n, n)
+    assert took[32_000] < 12 * took[4_000]
+
+
 # ---- pipeline ----
 
 

@@ -6,7 +6,7 @@ are left to brute-force tests.
 
 from __future__ import annotations
 
-from tracklens.llm import quality, secrets
+from tracklens.llm import chat, quality, secrets
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _HIT_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -78,14 +78,23 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*secrets.KIND
 FROM d LEFT JOIN g USING (rid)"""
 
 _ESCAPED = "replace(replace({0}, '&', '&amp;'), '<', '&lt;')"
+_LINK = chat.MARKUP.replace("'", "''")
+_KIND = " ".join(f"WHEN regexp_matches(lower(ref), '\\.({endings.replace(' ', '|')})([?#].*)?$') THEN '{kind}'" for kind, endings in reversed(chat.ENDINGS.items()))
+_ROWS = rf"""c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')"""
 OP10 = rf"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+WITH {_ROWS},
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS t FROM c),
+f AS (SELECT conv_id, t, unnest(m) AS mark, generate_subscripts(m, 1) AS k FROM (SELECT conv_id, t, regexp_extract_all(text, '{_LINK}') AS m FROM r) AS x WHERE len(m) > 0),
+a AS (SELECT conv_id, mark, CASE {_KIND} ELSE 'image' END AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY t, k) - 1 AS number FROM (SELECT *, regexp_extract(mark, '\(([^()]*)\)$', 1) AS ref FROM f) AS x),
+b AS (SELECT conv_id, count(*) AS n, CAST(sum(CASE kind {" ".join(f"WHEN '{k}' THEN {n}" for k, n in chat.TOKENS_PER_UNIT.items())} END) AS BIGINT) AS tokens,
+    CAST(sum(length(kind) + length(CAST(number AS VARCHAR)) + 4 - length({_ESCAPED.format("mark")})) AS BIGINT) AS longer FROM a GROUP BY conv_id),
+s AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY t)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    CAST(sum(length('<turn></turn>') + 2 + length(replace({_ESCAPED.format("role")}, chr(10), '&nl;')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id"""
+    sha256(coalesce(string_agg(text, '' ORDER BY t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('<turn></turn>') + 2 + length(replace({_ESCAPED.format("role")}, chr(10), '&nl;')) + length({_ESCAPED.format("text")})) AS BIGINT) AS plain_chars FROM r GROUP BY conv_id)
+SELECT s.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, plain_chars + coalesce(longer, 0) AS formatted_chars, coalesce(n, 0) AS n_attachments, coalesce(tokens, 0) AS expanded_tokens
+FROM s LEFT JOIN b ON s.conv_id IS NOT DISTINCT FROM b.conv_id"""
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2,
