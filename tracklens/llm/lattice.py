@@ -5,13 +5,15 @@ Each piece has a probability; the forward recursion adds up all spellings in log
 word's score is its marginal probability, not that of one segmentation. Words are independent
 and a text ends with one end token, so a text's log10 probability is the sum over its tokens.
 
-Piece probabilities come from the training part of the corpus: the vocabulary's own scores (ranks
-of its merges, turned into a Zipf prior of weight ``PRIOR``) plus how often the pieces spell
-the training words. The base score is an add-one unigram model of whole words.
+Piece probabilities mix the vocabulary's own scores (ranks of its merges, as a Zipf distribution)
+with how often the pieces spell the training words. The vocabulary keeps the share ``PRIOR`` of all
+probability however large the corpus is; with no training words it has all. Pieces that lower-cased text
+cannot hold have none. The base score is an add-one unigram model of whole words.
 
 How the work is dealt: words are counted per task, then by word. Their marginals are computed
-once per distinct word. The most frequent words, at most ``COMMON_WORDS`` by a threshold
-found from a histogram of counts, go to all tasks; all others are joined by word, and
+once per distinct word. From then on a word of more than ``LONG_WORD`` bytes goes by its digest. The most
+frequent words, at most ``COMMON_WORDS`` by a threshold found from a histogram of counts and so at most
+that many times ``LONG_WORD`` bytes, go to all tasks; all others are joined by word, and
 as each of them is rare no join key is hot. Nothing else leaves the executors but sums.
 
 Defined results: a null or blank text is its end token alone; a null id counts as the empty text
@@ -25,6 +27,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
@@ -39,11 +42,13 @@ from tracklens.llm.common import quoted, staged, utf8
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
-PRIOR = 32_000.0
+PRIOR = 0.2
 ZIPF_SHIFT = 2.7
 COMMON_WORDS = 250_000
-#: Distinct words that a task holds before it sends its counts on.
-COUNTED_AT_ONCE = 200_000
+#: Distinct words, and bytes of them, that a task holds before it sends its counts on.
+COUNTED_AT_ONCE, BYTES_AT_ONCE = 200_000, 64 << 20
+#: Words of more bytes than this go by their digest.
+LONG_WORD = 64
 MARK = "▁".encode()
 END = b""  # no word is empty
 
@@ -56,17 +61,24 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def key_of(word: bytes) -> bytes:
+    """The word, or for a long one a digest behind a blank, which no word holds."""
+    return word if len(word) <= LONG_WORD else b" " + sha256(word).digest()
+
+
 def word_counts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(word, c, n)`` for all words and the end token: counts in the training part and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train: Counter[bytes] = Counter()
         held: Counter[bytes] = Counter()
+        size = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            words = list(train.keys() | held.keys())
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
+            words = sorted(train.keys() | held.keys(), key=len)
+            while words:
+                many = max(1, min(50_000, BYTES_AT_ONCE // max(1, len(words[-1]))))  # the longest of those that are left
+                part, words = words[-many:], words[:-many]
                 c = np.fromiter((train.get(w, 0) for w in part), np.int64, len(part))
                 n = c + np.fromiter((held.get(w, 0) for w in part), np.int64, len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(c), pa.array(n)], names=["word", "c", "n"])
@@ -78,8 +90,10 @@ def word_counts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 to = held if held_out(doc_id) else train
                 to.update(tokens(text))
                 to[END] += 1
-                if len(train) + len(held) > COUNTED_AT_ONCE:
+                size += len(text)  # no less than its distinct words
+                if len(train) + len(held) > COUNTED_AT_ONCE or size > BYTES_AT_ONCE:
                     yield from send()
+                    size = 0
         yield from send()
 
     counted = documents.select(quoted(id_col), quoted(text_col)).mapInArrow(run, "word binary, c long, n long")
@@ -118,12 +132,13 @@ class Lattice:
         mass: dict[bytes, float] = {}
         rank = {i: -sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))}
         last = max((r for r in rank.values() if r < 1e8), default=0.0)
-        prior = {i: 1 / (ZIPF_SHIFT + (last if sp.is_byte(i) or r >= 1e8 else r)) for i, r in rank.items()}
-        prior[-1] = 1 / ZIPF_SHIFT  # the end token
-        scale, total = PRIOR / sum(prior.values()), PRIOR + sum(counts.get(i, 0) for i in prior)
+        spelled = {i: bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).encode() for i in rank}
+        prior = {i: 1 / (ZIPF_SHIFT + (last if sp.is_byte(i) or r >= 1e8 else r)) for i, r in rank.items() if spelled[i] == spelled[i].lower()}
+        prior[-1], spelled[-1] = 1 / ZIPF_SHIFT, END
+        total, seen = sum(prior.values()), sum(counts.get(i, 0) for i in prior)
+        share = PRIOR if seen else 1.0
         for i, p in prior.items():
-            spelled = END if i == -1 else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).encode()
-            mass[spelled] = mass.get(spelled, 0.0) + (scale * p + counts.get(i, 0)) / total
+            mass[spelled[i]] = mass.get(spelled[i], 0.0) + share * p / total + (1 - share) * counts.get(i, 0) / max(1, seen)
         self.end = math.log10(mass.pop(END))
         #: Natural logarithm of each piece; None where the bytes only begin longer ones.
         self.pieces: dict[bytes, float | None] = {s[:k]: None for s in mass for k in range(1, len(s))}
@@ -153,14 +168,15 @@ class Lattice:
 
 
 def word_scores(words: DataFrame, path: str, counts: dict[int, int]) -> DataFrame:
-    """``(word, c, n, p)`` with the marginal log10 probability ``p`` of each distinct word."""
+    """``(word, c, n, p)`` with the marginal log10 probability ``p`` of each distinct word; long words by their digest."""
     shared = words.sparkSession.sparkContext.broadcast(counts)  # at most one number per piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(path, shared.value)
         for batch in batches:
-            p = [lattice.log10(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=["word", "c", "n", "p"])
+            found = batch.column(0).to_pylist()
+            p = [lattice.log10(w) for w in found]
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in found], pa.binary()), *batch.columns[1:], pa.array(p, pa.float64())], names=["word", "c", "n", "p"])
 
     return words.select("word", "c", "n").mapInArrow(run, "word binary, c long, n long, p double")
 
@@ -212,7 +228,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("id").to_pylist(), utf8(batch.column("body")), strict=True):
-                found = [*tokens(text), END]
+                found = [*map(key_of, tokens(text)), END]
                 at = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
                 there = at[at >= 0]
                 others = Counter(found[i] for i in np.flatnonzero(at < 0)) if len(there) < len(found) else {}
