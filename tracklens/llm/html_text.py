@@ -51,20 +51,23 @@ MAIN_TOKENS = frozenset("article body content entry main post story text".split(
 #: Start tags that end an open element of the same list.
 CLOSERS = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>""", re.S)
+#: A tag with quoted attributes; where a quote is never closed, the tag ends at its first ``>``.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([^>]*)>)|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "parent", "children", "depth", "own", "links", "order")
+    __slots__ = ("tag", "tokens", "parent", "children", "depth", "own", "links", "order", "in_link")
 
     def __init__(self, tag: str, tokens: frozenset[str], parent: Node | None, order: int) -> None:
         self.tag, self.tokens, self.parent, self.order = tag, tokens, parent, order
         self.children: list[Node] = []
         self.depth = parent.depth + 1 if parent else 0
         self.own = self.links = 0
+        #: Whether its text is a link's: it is one, or it is inline and its parent's text is.
+        self.in_link = tag == "a" or (tag in INLINE and parent is not None and parent.in_link)
         if parent:
             parent.children.append(self)
 
@@ -91,13 +94,14 @@ class Page:
 
     def _read(self, html: str) -> None:
         at, now = 0, self.nodes[0]
-        open_tags: dict[str, int] = {}
+        #: The open elements of each tag, innermost last; the deepest of several is the nearest.
+        open_tags: dict[str, list[Node]] = {}
 
         def pop_to(node: Node) -> Node:
             """Closes the node and all that is open inside it."""
             x = now
             while True:
-                open_tags[x.tag] -= 1
+                open_tags[x.tag].pop()
                 if x.tag not in INLINE:
                     self.flow.append((x, None))
                 if x is node:
@@ -105,26 +109,25 @@ class Page:
                 x = x.parent
 
         def nearest(tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> Node | None:
-            x = now
-            while x.parent is not None:
-                if x.tag in tags:
-                    return x
-                if x.tag in stop:
-                    return None
-                x = x.parent
-            return None
+            found = max((open_tags[t][-1] for t in tags if open_tags.get(t)), key=lambda x: x.depth, default=None)
+            if found is not None and any(open_tags[t][-1].depth > found.depth for t in stop if open_tags.get(t)):
+                return None
+            return found
 
-        for m in _TAG.finditer(html):
+        end_of_tags = html.rfind(">") + 1  # what follows holds no tag
+        for m in _TAG.finditer(html, 0, end_of_tags):
             if m.start() < at:
                 continue
             if m.start() > at:
                 self._text(now, html[at : m.start()])
             at = m.end()
             if m[2] is None:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(html)  # a comment that is never closed
                 continue
-            tag = m[2].lower()
+            tag, attributes = m[2].lower(), m[3] if m[3] is not None else m[4]
             if m[1]:
-                if open_tags.get(tag, 0) and (node := nearest((tag,))) is not None:
+                if (node := nearest((tag,))) is not None:
                     now = pop_to(node)
                 elif tag == "br" or tag == "p":
                     self.flow.append((now, None))
@@ -132,15 +135,15 @@ class Page:
             if tag == "br":
                 self.flow.append((now, " "))
                 continue
-            if tag not in INLINE and open_tags.get("p", 0) and (node := nearest(("p",), ("table", "button"))) is not None:
+            if tag not in INLINE and (node := nearest(("p",), ("table", "button"))) is not None:
                 now = pop_to(node)
-            if tag in CLOSERS and any(open_tags.get(t, 0) for t in CLOSERS[tag]) and (node := nearest(CLOSERS[tag], ("ul", "ol", "table", "dl", "select"))) is not None:
+            if tag in CLOSERS and (node := nearest(CLOSERS[tag], ("ul", "ol", "table", "dl", "select"))) is not None:
                 now = pop_to(node)
             if tag in VOID:
                 if tag not in INLINE:
                     self.flow.append((now, None))
                 continue
-            node = self._open(tag, m[3], now)
+            node = self._open(tag, attributes, now)
             if tag not in INLINE:
                 self.flow.append((node, None))
             if tag in RAW:
@@ -149,8 +152,8 @@ class Page:
                 close = html.find(">", end.start()) if end else -1
                 at = close + 1 if close >= 0 else len(html)
                 continue
-            if not m[3].endswith("/"):
-                open_tags[tag] = open_tags.get(tag, 0) + 1
+            if not attributes.endswith("/"):
+                open_tags.setdefault(tag, []).append(node)
                 now = node
         if at < len(html):
             self._text(now, html[at:])
@@ -160,14 +163,8 @@ class Page:
         self.flow.append((node, text))
         n = len(text) - text.count(" ") - text.count("\n")
         node.own += n
-        x: Node | None = node
-        while x is not None:
-            if x.tag == "a":
-                node.links += n
-                break
-            if x.tag not in INLINE:
-                break
-            x = x.parent
+        if node.in_link:
+            node.links += n
 
     def features(self) -> np.ndarray:
         """One row per element; see the names in ``FEATURES``."""
