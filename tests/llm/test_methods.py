@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -223,6 +224,41 @@ def test_lattice_rare_words_and_held_out(spark, monkeypatch):
     assert any(r.held_out and r.n_known < r.n_tokens for r in a.values()) and all(math.isfinite(r.score) for r in a.values())
 
 
+def test_vocabulary_keeps_its_share():
+    """However much is counted, unseen pieces keep their part; pieces that lower-cased text cannot hold have none."""
+    path = public_tokenizers.path(lattice.VOCABULARY)
+    few, many = lattice.Lattice(path, {300: 5}), lattice.Lattice(path, {300: 5 * 10**12})
+    assert few.pieces["▁the".encode()] == pytest.approx(many.pieces["▁the".encode()])
+    assert "▁The".encode() not in few.pieces or few.pieces["▁The".encode()] is None
+    assert not any(p is not None and s != s.lower() for s, p in few.pieces.items())
+
+
+def test_lattice_scores_of_a_table(spark):
+    """Scores of whole texts, words beyond the broadcast's length too, against all counts made in one place."""
+    rng = random.Random(6)
+    path = public_tokenizers.path(lattice.VOCABULARY)
+    rows = [(i, " ".join(rng.choice(["The", "cat", "é" * 50, "on", "w" * 90, f"x{i}"]) for _ in range(12))) for i in range(60)] + [(60, ""), (61, None)]
+    got = {r.doc_id: r for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    counts, sp = {}, lattice.processor(path)
+    for i, t in rows:
+        if not got[i].held_out:
+            for w in (t or "").lower().split():
+                for piece in sp.encode(w):
+                    counts[piece] = counts.get(piece, 0) + 1
+            counts[-1] = counts.get(-1, 0) + 1
+    lat = lattice.Lattice(path, counts)
+
+    def marginal(word):
+        data = lattice.MARK + word.encode()
+        ways = [1.0] + [0.0] * len(data)
+        for j in range(1, len(data) + 1):
+            ways[j] = sum(ways[i] * math.exp(p) for i in range(j) if (p := lat.pieces.get(data[i:j])) is not None)
+        return math.log10(ways[-1])
+
+    for i, t in rows:
+        assert got[i].score == pytest.approx(sum(map(marginal, (t or "").lower().split())) + lat.end, rel=1e-9)
+
+
 # ---- 7: trees and decoding ----
 
 
@@ -242,6 +278,51 @@ def test_extract(spark):
     assert bare[101] == "plain <text> only" and bare[103] == "unclosed one\n\ntwo three"
 
 
+@pytest.mark.parametrize("html", ["<b>x" * 100_000, "<a " * 100_000, "<ul><li><ul>" + "<b>x" * 50_000 + "<li></li>" * 50_000, "<p>" + "<i>" * 50_000 + "<li>y" * 50_000, "<!--" * 100_000 + ">", "<a '\">" * 100_000])
+def test_parsing_takes_time_in_proportion(html):
+    import time
+
+    began = time.time()
+    html_text.Page(html).features()
+    assert time.time() - began < 5
+
+
+def test_unclosed_comment_and_quote():
+    taken = lambda h: html_text.Page(h).text(np.ones(99, bool))
+    assert taken("<p>a<!-- b > c") == "a" and taken("<p>a</p><div title=\"x>b</div> c > d") == "a\n\nb\n\nc > d" and taken("a < b") == "a < b"
+
+
+#: Pages labelled by hand: what their main text is, and what it is not. None has an article element.
+BY_HAND = [
+    ('<body><div id="menu"><a href="/">Home</a> <a href="/n">News</a></div><div class="story"><h1>Rain at last</h1><p>After nine dry weeks the rain came back on Tuesday night.</p><p>Farmers in the valley had feared for their maize.</p></div><div class="sidebar"><p>Most read: ten tips for a green lawn</p></div></body>',
+     "Rain at last|After nine dry weeks the rain came back on Tuesday night.|Farmers in the valley had feared for their maize."),
+    ('<body><table><tr><td class="nav"><a href="a">One</a><br><a href="b">Two</a></td><td class="content"><p>The old bridge was closed for repairs that will last until spring.</p><p>A ferry takes walkers across in the meantime.</p></td></tr></table><div id="footer">Imprint, contact</div></body>',
+     "The old bridge was closed for repairs that will last until spring.|A ferry takes walkers across in the meantime."),
+    ('<body><header><h2>My blog</h2></header><section class="post"><h1>Bread without kneading</h1><p>Mix flour, water, salt and very little yeast in the evening.</p><ul><li>430 grams of flour</li><li>345 grams of water</li></ul><p>Bake it in a closed pot the next day.</p></section><section class="comments"><p>Great recipe, thanks!</p></section></body>',
+     "Bread without kneading|Mix flour, water, salt and very little yeast in the evening.|430 grams of flour|345 grams of water|Bake it in a closed pot the next day."),
+    ('<body><div class="cookie-notice"><p>We use cookies to improve this site.</p><button>Accept</button></div><div class="entry"><h1>Results of the vote</h1><p>The council accepted the plan by nineteen votes to four.</p><blockquote>It was about time, said the mayor.</blockquote></div><form><p>Subscribe to our letter</p></form></body>',
+     "Results of the vote|The council accepted the plan by nineteen votes to four.|It was about time, said the mayor."),
+    ('<body><div class="body text"><p>Light takes eight minutes from the sun to the earth.</p><div class="ad">Buy two, get one free</div><p>From the next star it takes more than four years.</p><aside>Related: what is a parsec?</aside></div></body>',
+     "Light takes eight minutes from the sun to the earth.|From the next star it takes more than four years."),
+    ('<body><nav><ul><li><a href="1">Start</a></li></ul></nav><main><h1>Opening hours</h1><p>We are open from ten to six, on Mondays until eight.</p></main><div class="social share"><a href="x">Share this</a></div><footer><p>All rights reserved</p></footer></body>',
+     "Opening hours|We are open from ten to six, on Mondays until eight."),
+]
+
+
+def test_text_of_pages_labelled_by_hand(spark, tiny):
+    """Precision and recall by words of text, for trees fitted on the given pages."""
+    model = html_text.fit(spark.read.parquet(f"{tiny}/pages.parquet"))
+    right = taken = wanted = 0
+    for html, text in BY_HAND:
+        page = html_text.Page(html)
+        got = page.text(html_text.decode(page, model.odds(page.features()))).split()
+        want = text.replace("|", " ").split()
+        both = sum((Counter(got) & Counter(want)).values())
+        right, taken, wanted = right + both, taken + len(got), wanted + len(want)
+    print("by hand: precision", right / taken, "recall", right / wanted)
+    assert right / taken > 0.9 and right / wanted > 0.9
+
+
 def test_held_out_nodes(spark, tiny):
     """Accuracy on nodes of pages that the trees have not seen."""
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
