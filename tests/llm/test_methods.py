@@ -552,6 +552,7 @@ def five_word_share(a, b):
 def test_near_dedup_leaves_no_copies(spark, monkeypatch, cell_rows):
     """Copies with some replaced words go, whatever their length and the size of blocks; texts below 0.8 stay."""
     monkeypatch.setattr(near_dup, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 4096 * cell_rows)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     rows, n = [], 0

@@ -22,6 +22,7 @@ none); repeated rows are repeated in the result; an empty table gives an empty r
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -190,14 +191,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 COPY_WIDTH, COPY_SHARE = 5, 0.8
 #: The second index: two texts at 0.8 meet in one of 20 bands of 5 minima with probability 0.9996.
 BANDS, BAND_ROWS = 20, 5
-#: Minima are held against each other by their lowest bits. Of 100, texts at 0.8 differ in 19; in more than so many with probability 2e-5.
-PLANES, DIFFERING = 4, 36
-#: Rounds in which each text that is not linked yet meets its likeliest partner, before all that are left meet.
-ROUNDS = 1
+#: Bytes of shingle sets in a block of a bucket.
+BLOCK_BYTES = 4 << 20
 #: Pairs of one text that go to one task.
 SHARE_ROWS = 500
 #: Bytes of sets of shingles that a task remembers while it compares.
-SETS_HELD = 64 << 20
+SETS_HELD = 16 << 20
 _ODD = np.random.default_rng(SEED).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MORE = np.random.default_rng(SEED + 1).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
 
@@ -230,44 +229,19 @@ def band_keys(least: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in least.reshape(BANDS, BAND_ROWS)]
 
 
-def lowest_bits(least: np.ndarray) -> list[int]:
-    """The lowest bits of every minimum: bit k of all of them, for each k, in two longs."""
-    bits = np.zeros((PLANES, 128), np.uint8)
-    for k in range(PLANES):
-        bits[k, : len(least)] = least >> np.uint64(k) & np.uint64(1)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel().tolist()
-
-
-SKETCH = [f"s{k}" for k in range(2 * PLANES)]
-
-
-def differing() -> Column:
-    """How many minima of ``s0_a, ...`` and ``s0_b, ...`` differ."""
-    words = []
-    for half in (0, 1):
-        either = F.lit(0).cast("long")
-        for k in range(PLANES):
-            name = SKETCH[2 * k + half]
-            either = either.bitwiseOR(F.col(f"{name}_a").bitwiseXOR(F.col(f"{name}_b")))
-        words.append(F.bit_count(either))
-    return words[0] + words[1]
-
-
-def with_sketch(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``set_id`` (the same for the same set of shingles), ``simhash``, ``bands`` and the longs of ``lowest_bits``."""
-    names = {"set_id": T.BinaryType(), "simhash": T.LongType(), "bands": T.ArrayType(T.LongType())} | {c: T.LongType() for c in SKETCH}
-    made = T.StructType([T.StructField(n, t) for n, t in names.items()])
-    kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * len(SKETCH)]
+def with_bands(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns with ``set_id`` (the same for the same set of shingles), ``simhash`` and ``bands``."""
+    made = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("simhash", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def work(columns: list[pa.Array]) -> list[pa.Array]:
-        rows = []
+        ids, prints, bands = [], [], []
         for text in utf8(columns[0]):
             hashes = shingle_hashes(text, COPY_WIDTH)
             distinct = np.unique(hashes)
-            least = minima(distinct)
-            rows.append((xxhash.xxh3_128_digest(distinct.tobytes()), simhash_of(hashes), band_keys(least), *lowest_bits(least)))
-        by = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-        return [pa.array(c, k) for c, k in zip(by, kinds, strict=True)]
+            ids.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+            prints.append(simhash_of(hashes))
+            bands.append(band_keys(minima(distinct)))
+        return [pa.array(ids, pa.binary()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
 
     return map_columns(df, [quoted(text_col)], keep, made, work)
 
@@ -317,24 +291,60 @@ def first_candidates(alive: DataFrame, members: DataFrame) -> DataFrame:
     return same.unionByName(near).unionByName(members.select(F.col("row").alias("a"), "b")).filter("a != b").distinct()
 
 
-def other_candidates(alive: DataFrame, members: DataFrame, linked: DataFrame) -> DataFrame | None:
-    """``(a, b, d)``: pairs of a bucket that no links join yet, ``d`` of their minima differing; nothing if there are no such buckets.
-
-    Only buckets with several components are looked at, and in them not the pairs within the largest one. A large
-    bucket is cut into blocks that meet in many tasks; pairs of which too many minima differ do not leave them.
+def links_between(left: pa.Table, right: pa.Table, least: float) -> Iterator[tuple[int, int]]:
+    """Pairs of linked rows of two blocks ``(row, comp, set)`` with different components, one for each row of ``left`` and component."""
+    sets = [np.frombuffer(x, np.uint64) for x in right["set"].to_pylist()]
+    if not sets or not left.num_rows:
+        return
+    size, comps, rows = np.array([len(x) for x in sets]), right["comp"].to_numpy(), right["row"].to_numpy()
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for row, comp, data in zip(left["row"].to_pylist(), left["comp"].to_pylist(), left["set"].to_pylist(), strict=True):
+        mine = np.frombuffer(data, np.uint64)
+        low = np.searchsorted(flat, mine, "left")
+        count = np.searchsorted(flat, mine, "right") - low
+        at = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((both >= least * (len(mine) + size - both)) & (comps != comp))
+        for k in near[np.unique(comps[near], return_index=True)[1]].tolist():
+            yield row, int(rows[k])
+
+
+def other_links(members: DataFrame, linked: DataFrame, texts_: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` between rows of a bucket that no links join yet, written.
+
+    Only buckets with several components are looked at: there every row outside the largest component meets all rows
+    of the bucket, as sets of shingles in blocks of bounded rows and bytes. Intersections are counted for a whole block at once;
+    what leaves a task is only links, never candidates.
     """
     named = linked.select(F.col("node").alias("row"), "root")
-    groups = staged(members.join(named, "row", "left").select("bucket", "row", "b", F.coalesce("root", "row").alias("comp")), "copy-groups")
+    groups = staged(members.join(named, "row", "left").select("bucket", "row", F.coalesce("root", "row").alias("comp")), "copy-groups")
     mixed = groups.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"))
     mixed = staged(mixed.filter("kinds > 1").select("bucket", "main", "n"), "copy-mixed")
-    if not mixed.limit(1).count():
-        return None
-    inside = join_counted(groups.filter("row != b"), mixed, "bucket", "n", groups.count()).join(alive.select("row", *SKETCH), "row")
-    inside = staged(inside, "copy-inside")
-    side = lambda df, x: df.select("bucket", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "comp", *SKETCH)])
-    left, right = blocked(inside.filter("comp != main"), "n", "row", "i", "j", F.col("row")), blocked(inside, "n", "row", "j", "i", F.col("row"))
-    pairs = side(left, "a").join(side(right, "b"), ["bucket", "i", "j"]).filter((F.col("comp_a") != F.col("comp_b")) & (differing() <= DIFFERING))
-    return pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), differing().alias("d"))
+    inside = staged(join_counted(groups, mixed, "bucket", "n", groups.count()).select("bucket", "row", "comp", "main"), "copy-inside")
+    made = T.StructType([T.StructField("set", T.BinaryType())])
+    asked = texts_.join(inside.select("row").distinct(), "row")
+    sets = staged(map_columns(asked, [F.col("text")], ["row"], made, lambda c: [pa.array([shingle_set(t).tobytes() for t in utf8(c[0])], pa.binary())]), "copy-sets")
+    wide = staged(inside.join(sets, "row"), "copy-wide")
+
+    outside, size = F.col("comp") != F.col("main"), F.length("set").cast("long")
+    blocks = lambda n, b: F.greatest(F.lit(1), F.ceil(n / F.lit(CELL_ROWS)), F.ceil(b / F.lit(BLOCK_BYTES))).cast("int")
+    cuts = wide.groupBy("bucket").agg(
+        F.count("*").alias("n"), blocks(F.count_if(outside), F.sum(F.when(outside, size).otherwise(0))).alias("most_i"), blocks(F.count("*"), F.sum(size)).alias("most_j")
+    )
+    dealt = join_counted(wide, cuts, "bucket", "n", wide.count())
+    own = lambda most: F.pmod(F.xxhash64("row"), F.col(most)).cast("int")
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+    left = dealt.filter(outside).select("bucket", own("most_i").alias("i"), every("most_j").alias("j"), "row", "comp", "set")
+    right = dealt.select(every("most_i").alias("i"), own("most_j").alias("j"), *[F.col(c).alias(c) for c in ("bucket", "row", "comp", "set")])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = list(links_between(a, b, least))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    keys = ["bucket", "i", "j"]
+    return staged(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "a long, b long").distinct(), "more-copies")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = COPY_SHARE) -> DataFrame:
@@ -343,8 +353,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Texts link whose distinct runs of five words have a Jaccard similarity of ``least`` or more. Candidates come from the
     SimHash grid over five-word shingles and, as at 0.8 two fingerprints differ in about ten bits, from bands of
     minima beside it; every link is confirmed by the texts. First each text meets the first text of its fingerprint
-    and of its buckets; then, for some rounds, the likeliest partner that it is not linked to; then all pairs of a
-    bucket that are still not linked meet. Rows of the same set of runs are one text.
+    and of its buckets; then those of a bucket that are still not linked meet all of it. Rows of the same set of
+    runs are one text.
 
     Null and blank texts are copies of each other; a null id comes after all others; of repeated rows one stays.
     """
@@ -352,10 +362,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     body = f"c{names.index(text_col)}"
     inner = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], quoted(id_col).alias("own")).withColumn("row", F.monotonically_increasing_id())
     # Written once with its numbers: whatever is read later, by however many tasks, a row keeps its number.
-    made = staged(with_sketch(inner, body, inner.columns), "sketches")
+    made = staged(with_bands(inner, body, inner.columns), "bands")
     rank = [F.col("own").isNull().alias("unnamed"), "own", "row"]
-    alive = made.groupBy("set_id").agg(F.min(F.struct(*rank, "simhash", "bands", *SKETCH)).alias("first"))
-    alive = staged(alive.select(*[f"first.{c}" for c in ("own", "row", "simhash", "bands", *SKETCH)]), "alive")
+    alive = made.groupBy("set_id").agg(F.min(F.struct(*rank, "simhash", "bands")).alias("first"))
+    alive = staged(alive.select(*[f"first.{c}" for c in ("own", "row", "simhash", "bands")]), "alive")
 
     each = alive.select("row", F.posexplode("bands").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
     full = staged(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("row").alias("b")).filter("n > 1"), "buckets")
@@ -364,16 +374,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     texts_ = made.select("row", F.col(body).alias("text"))
     found = confirmed(first_candidates(alive, members), texts_, least)
     linked = staged(components(found), "linked")
-    for k in range(ROUNDS + 1):
-        pairs = other_candidates(alive, members, linked)
-        if pairs is None:
-            break
-        if k < ROUNDS:
-            likeliest = pairs.groupBy("a").agg(F.min(F.struct("d", F.xxhash64("a", "b", F.lit(k)).alias("h"), "b")).alias("m"))
-            pairs = likeliest.select("a", F.col("m.b").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        found = found.unionByName(confirmed(pairs, texts_, least))
-        linked = staged(components(found), "linked")
+    linked = staged(components(found.unionByName(other_links(members, linked, texts_, least))), "linked")
 
     named = linked.join(alive.select(F.col("row").alias("node"), "own"), "node").select("root", "own", F.col("node").alias("row"))
     kept = named.groupBy("root").agg(F.min(F.struct(*rank)).alias("first")).select(F.col("first.row").alias("row"))
