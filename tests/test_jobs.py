@@ -148,3 +148,20 @@ def test_batch_wildcards(spark, tiny):
 def test_scan_all_ids(spark, tiny):
     t = tracks(spark, tiny)
     assert sorted(r.id for r in q.QUERIES["a3_scan_all_ids"](spark, tiny).collect()) == sorted(r.id for r in t.select("id").collect())
+
+
+def test_repeated_keys_repeat_no_rows(spark):
+    """Several updates of a key, or several answers of a service, leave one row for each track."""
+    from tracklens.operators import relational as rel
+
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, genre string")
+    updates = spark.createDataFrame([(1, "z"), (1, "y"), (1, None), (2, None), (2, None)], "id long, genre string")
+    get = lambda how: {r.id: r.genre for r in rel.apply_updates(base, updates, "id", {"genre": how}).collect()}
+    assert rel.apply_updates(base, updates, "id", {"genre": "overwrite"}).count() == 3
+    assert get("overwrite") == {1: "y", 2: None, 3: "c"} and get("keep_non_null") == {1: "y", 2: "b", 3: "c"}
+    tracks = spark.createDataFrame([(1, "m", "A", "T")], "id long, mb_id string, artist string, title string")
+    by_id = spark.createDataFrame([], "mb_id string, listeners long, status string")
+    by_name = spark.createDataFrame([("a", "t", 10, "ok"), ("A", "T", 5000000, "ok")], "artist string, title string, listeners long, status string")
+    second = spark.createDataFrame([("m", 1, "ok"), ("m", 2, "ok")], "mb_id string, total_user_count long, status string")
+    rows = rel.popularity_cascade(tracks, by_id, by_name, second).collect()
+    assert [(r.new_popularity, r.new_source) for r in rows] == [(100, "lastfm")]

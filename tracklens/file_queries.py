@@ -77,11 +77,11 @@ add("a8_stage", _staged, f"WITH c AS ({q.CHAIN_SQL}) SELECT release_type, count(
 
 def _reviewed(s: SparkSession, d: str) -> DataFrame:
     path = shared_path(s, "review")
-    dumps.write_review(filters.suspicious_duration(tracks(s, d), 200_000).select("id", "title", "version", "duration_ms"), path)
+    dumps.write_review(filters.suspicious_duration(tracks(s, d), 180_900).select("id", "title", "version", "duration_ms"), path)
     return dumps.read_review(s, path, "id long, title string, version string, duration_ms long")
 
 
-add("a9_write_review", _reviewed, "SELECT id, title, version, duration_ms FROM tracks WHERE duration_ms > 200000")
+add("a9_write_review", _reviewed, "SELECT id, title, version, duration_ms FROM tracks WHERE duration_ms > 180900")
 
 
 def _envelope(s: SparkSession, d: str) -> DataFrame:
@@ -143,6 +143,14 @@ def existing(s: SparkSession, d: str) -> DataFrame:
 add("a12_read_packets", lambda s, d: dumps.read_packets(s, packets(s, d), "dbmirror_pendingdata"), f"SELECT event_id AS xid, CASE WHEN user_id % 5 = 0 THEN 't' ELSE 'f' END AS iskey, CASE WHEN user_id % 7 = 0 THEN props ELSE '\"gid\" = ' || chr(39) || {GID} || chr(39) END AS payload FROM events")
 
 
+def packet_files(s: SparkSession, d: str) -> DataFrame:
+    """The names of the files of all packets."""
+    return s.read.text(f"{packets(s, d)}/*/dbmirror_pending").select(F.regexp_replace(F.input_file_name(), r"/dbmirror_pending/[^/]*$", "").alias("file"))
+
+
+add("f17_packet_number", lambda s, d: dumps.packet_numbers(packet_files(s, d)), "SELECT max(event_id % 3 + 1) AS max_sequence FROM events")
+
+
 def sync_packets(s: SparkSession, d: str) -> DataFrame:
     """Packets as a stream: each batch's new recordings are appended to the table; the checkpoint is the sequence."""
     folder, out = packets(s, d), shared_path(s, "synced")

@@ -20,9 +20,12 @@ def insert_ignore(new: DataFrame, existing: DataFrame, key: str, order: list[Col
 def apply_updates(base: DataFrame, updates: DataFrame, key: str, policy: dict[str, str]) -> DataFrame:
     """Base rows with the columns of ``policy`` taken from the updates by key.
 
-    ``overwrite`` takes null too where a key has an update; ``keep_non_null`` does not.
+    ``overwrite`` takes null too where a key has an update; ``keep_non_null`` does not. Of several
+    updates of a key the first by its values counts, nulls last, so that no base row is repeated.
     """
-    renamed = updates.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in policy])
+    values = F.struct(*[x for c in policy for x in (F.col(c).isNull().alias(f"n{c}"), F.col(c).alias(c))])
+    one = updates.groupBy(key).agg(F.min(values).alias("_u"))
+    renamed = one.select(key, F.lit(True).alias("_hit"), *[F.col("_u").getField(c).alias(f"_{c}") for c in policy])
     joined = base.join(renamed, key, "left")
     new = {
         c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) if how == "overwrite" else F.coalesce(F.col(f"_{c}"), F.col(c))
@@ -84,11 +87,11 @@ def popularity_cascade(tracks: DataFrame, by_mbid: DataFrame, by_name: DataFrame
     """Score and source: listeners by id, else by artist and title, else users by id; else unfound and 0.
 
     Lookup tables carry a status; a miss only counts where the service answered ``ok``. A key
-    found with no listeners is found: its score is 0.
+    found with no listeners is found: its score is 0. Of several answers for a key the largest counts.
     """
-    a = by_mbid.filter("status = 'ok'").select(F.col("mb_id"), F.col("listeners").alias("_a"))
-    b = by_name.filter("status = 'ok'").select(F.lower("artist").alias("_artist"), F.lower("title").alias("_title"), F.col("listeners").alias("_b"))
-    c = secondary.filter("status = 'ok'").select(F.col("mb_id"), F.col("total_user_count").alias("_c"))
+    a = by_mbid.filter("status = 'ok'").groupBy("mb_id").agg(F.max("listeners").alias("_a"))
+    b = by_name.filter("status = 'ok'").groupBy(F.lower("artist").alias("_artist"), F.lower("title").alias("_title")).agg(F.max("listeners").alias("_b"))
+    c = secondary.filter("status = 'ok'").groupBy("mb_id").agg(F.max("total_user_count").alias("_c"))
     joined = tracks.join(a, "mb_id", "left").join(b, (F.lower("artist") == F.col("_artist")) & (F.lower("title") == F.col("_title")), "left").join(c, "mb_id", "left")
     first = F.coalesce("_a", "_b")
     return joined.withColumns({
@@ -156,17 +159,19 @@ def status(tracks: DataFrame) -> DataFrame:
     return tracks.select(F.coalesce("popularity_source", F.lit("unscored")).alias("src")).rollup("src").agg(F.count("*").alias("n"))
 
 
-def capped_count(df: DataFrame, cap: int = 10_000) -> DataFrame:
-    """Counts to one over the cap and stops; shows the cap and a flag beyond it."""
+def capped_count(df: DataFrame, cap: int | None = 10_000) -> DataFrame:
+    """Counts to one over the cap and stops; shows the cap and a flag beyond it. Without a cap the count is exact."""
+    if cap is None:
+        return df.agg(F.count("*").alias("total")).withColumn("capped", F.lit(False))
     n = df.limit(cap + 1).agg(F.count("*").alias("n"))
     return n.select(F.least("n", F.lit(cap)).alias("total"), (F.col("n") > cap).alias("capped"))
 
 
-def song_count(df: DataFrame, cap: int = 10_000) -> DataFrame:
+def song_count(df: DataFrame, cap: int | None = 10_000) -> DataFrame:
     return capped_count(df.select(F.lower("title").alias("t"), F.lower("artist").alias("a")).distinct(), cap)
 
 
-def artist_count(df: DataFrame, cap: int = 10_000) -> DataFrame:
+def artist_count(df: DataFrame, cap: int | None = 10_000) -> DataFrame:
     return capped_count(df.select("artist").distinct(), cap)
 
 
@@ -294,6 +299,11 @@ def page(df: DataFrame, order: list[Column], number: int, per_page: int) -> Data
     return numbered.filter(F.col("_i") <= per_page).withColumn("position", F.col("_i") + (number - 1) * per_page).drop("_i")
 
 
+def candidate_cap(df: DataFrame, n: int = 400) -> DataFrame:
+    """The first ``n`` rows in relevance order, among which songs are then grouped."""
+    return df.orderBy(*relevance_order()).limit(n)
+
+
 def total_pages(total: Column, number: Column, per_page: Column) -> dict[str, Column]:
     return {
         "pages": F.least(F.lit(500), F.ceil(total / per_page)).cast("long"),

@@ -70,9 +70,9 @@ def curated_search(curated: DataFrame, text_: str) -> DataFrame:
 def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10) -> DataFrame:
     """A table ``(query_id, query)`` of typed searches answered in one job.
 
-    Words are joined by term and counted per query and track; duration windows are joined by
-    bucket. Searches without words take their rows from the windows alone, searches without
-    a window theirs from the words alone; a search that asks for nothing finds nothing. A wildcard
+    Words are joined by term and counted per query and track, and a window then is a filter on
+    what they found. Only searches without words take their rows from the windows, which are joined by
+    bucket; a search that asks for nothing finds nothing. A wildcard
     keeps those hits whose title or artist it matches; alone, it is looked up in the distinct
     titles and artists by runs of three characters.
     """
@@ -87,11 +87,12 @@ def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10) ->
     postings = text.build_postings(tracks, "id", COLUMNS).select(F.col("doc_id").alias("id"), "term").distinct()
     words = spec.filter(F.size("terms") > 0).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     by_words = words.join(postings, "term").groupBy("query_id", "id", "n").agg(F.count("*").alias("found")).filter("found = n").select("query_id", "id")
-    ranges = spec.filter(timed).select("query_id", F.col("low").alias("min_ms"), F.col("high").alias("max_ms"), (F.size("terms") > 0).alias("worded"))
-    by_time = rel.range_join(ranges, tracks.select("id", "duration_ms")).select("query_id", "id", "worded")
-    untimed = by_words.join(spec.filter(~timed).select("query_id"), "query_id", "left_semi")
-    both = by_words.join(by_time.filter("worded").select("query_id", "id"), ["query_id", "id"], "left_semi")
-    hits = untimed.unionByName(both).unionByName(by_time.filter("NOT worded").select("query_id", "id"))
+    lengths = tracks.select("id", "duration_ms")
+    bounds = spec.select("query_id", "low", "high")
+    inside = (F.col("low").isNull() | (F.col("duration_ms") >= F.col("low"))) & (F.col("high").isNull() | (F.col("duration_ms") <= F.col("high")))
+    by_words = by_words.join(bounds, "query_id").join(lengths, "id").filter((F.col("low").isNull() & F.col("high").isNull()) | inside).select("query_id", "id")
+    ranges = spec.filter(timed & (F.size("terms") == 0)).select("query_id", F.col("low").alias("min_ms"), F.col("high").alias("max_ms"))
+    hits = by_words.unionByName(rel.range_join(ranges, lengths).select("query_id", "id"))
     hits = hits.join(spec.select("query_id", "like"), "query_id")
     rows = hits.join(tracks, "id").filter(F.col("like").isNull() | expr.wildcard_match(F.col("title"), F.col("like")) | expr.wildcard_match(F.col("artist"), F.col("like")))
     alone = wildcard_hits(spec.filter((F.size("terms") == 0) & ~timed & F.col("like").isNotNull()), tracks)

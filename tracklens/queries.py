@@ -156,7 +156,7 @@ on_tracks(
 keep("c1_duration", SearchSpec(min_ms=185_000, max_ms=200_999), "duration_ms BETWEEN 185000 AND 200999")
 keep("c2_tolerance", SearchSpec(min_ms=190_000, max_ms=190_999, tolerance_ms=1500), "duration_ms BETWEEN 188500 AND 192499")
 keep("c3_title_contains", SearchSpec(title="*RING"), "title ILIKE '_%ring'")
-keep("c4_artist_contains", SearchSpec(artist="nd#1*"), "artist ILIKE 'nd#1%_'")
+keep("c4_artist_contains", SearchSpec(artist="brand#1*"), "artist ILIKE 'brand#1%_'")
 keep("c5_genre", SearchSpec(genre="rock"), "genre ILIKE '%rock%'")
 keep("c6_label", SearchSpec(label="label 1"), "label ILIKE '%label 1%'")
 keep("c7_artist_country", SearchSpec(country="ger*"), "artist_country ILIKE 'ger%_'")
@@ -181,7 +181,7 @@ on_tracks(
     f"SELECT id, artist FROM (SELECT id, {_CREDIT} AS artist FROM tracks) AS s WHERE artist IS NOT NULL AND NOT regexp_matches(lower(artist), ' feat| ft\\. | ft | vs | presents | pres\\. |;')",
 )
 on_tracks("c19_importable", lambda t: filters.importable(t).select("id"), "SELECT id FROM tracks WHERE title <> '' AND mb_id IS NOT NULL AND duration_ms > 0 AND isrc IS NOT NULL")
-on_tracks("c20_suspicious_duration", lambda t: filters.suspicious_duration(t, 200_000).select("id", "duration_ms"), "SELECT id, duration_ms FROM tracks WHERE duration_ms > 200000")
+on_tracks("c20_suspicious_duration", lambda t: filters.suspicious_duration(t, 180_900).select("id", "duration_ms"), "SELECT id, duration_ms FROM tracks WHERE duration_ms > 180900")
 on_tracks("c21_unscored", lambda t: filters.unscored(t, True).select("id"), "SELECT id FROM tracks WHERE popularity IS NULL OR popularity_source = 'unfound'")
 
 VOTES_SQL = "SELECT l_partkey AS entity, c_mktsegment AS name, count(*) AS votes FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
@@ -366,6 +366,8 @@ add("e13_rescue_join", lambda s, d: rel.rescue_join(tracks(s, d).filter("popular
 
 on_tracks("f1_status", rel.status, "SELECT coalesce(popularity_source, 'unscored') AS src, count(*) AS n FROM tracks GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM tracks")
 on_tracks("f2_capped_count", lambda t: rel.capped_count(t.filter("bpm > 60"), 1000), "SELECT least(n, 1000) AS total, n > 1000 AS capped FROM (SELECT count(*) AS n FROM tracks WHERE bpm > 60) AS s")
+on_tracks("f2_exact_count", lambda t: rel.capped_count(t.filter("bpm > 60"), None), "SELECT count(*) AS total, false AS capped FROM tracks WHERE bpm > 60")
+on_tracks("f3_exact_song_count", lambda t: rel.song_count(t, None), "SELECT count(*) AS total, false AS capped FROM (SELECT DISTINCT lower(title), lower(artist) FROM tracks) AS x")
 on_tracks("f3_song_count", rel.song_count, "SELECT least(n, 10000) AS total, n > 10000 AS capped FROM (SELECT count(*) AS n FROM (SELECT DISTINCT lower(title), lower(artist) FROM tracks) AS x) AS s")
 on_tracks("f4_artist_count", rel.artist_count, "SELECT least(n, 10000) AS total, n > 10000 AS capped FROM (SELECT count(DISTINCT artist) AS n FROM tracks) AS s")
 SCORE_SQL = "SELECT artist, CAST(sum(p) AS BIGINT) AS score FROM (SELECT artist, coalesce(popularity, 0) AS p, row_number() OVER (PARTITION BY artist ORDER BY coalesce(popularity, 0) DESC, id) AS r FROM tracks) AS s WHERE r <= 20 GROUP BY artist"
@@ -418,7 +420,7 @@ paged("h1_order_relevance", rel.relevance_order, RELEVANCE_SQL, 1, 100)
 paged("h2_order_duration", lambda: rel.duration_order("desc"), "duration_ms DESC, id", 2, 40)
 on_tracks("h3_order_artists", lambda t: rel.page(rel.artist_score(t), rel.artist_order("relevance"), 1, 10).select(F.col("position").cast("long").alias("position"), "artist", "score"), f"SELECT row_number() OVER (ORDER BY score DESC, artist) AS position, artist, score FROM ({SCORE_SQL}) AS s ORDER BY score DESC, artist LIMIT 10")
 paged("h4_page", rel.relevance_order, RELEVANCE_SQL, 4, 50)
-on_tracks("h5_candidate_cap", lambda t: t.orderBy(*rel.relevance_order()).limit(400).select("id"), f"SELECT id FROM tracks ORDER BY {RELEVANCE_SQL} LIMIT 400")
+on_tracks("h5_candidate_cap", lambda t: rel.candidate_cap(t).select("id"), f"SELECT id FROM tracks ORDER BY {RELEVANCE_SQL} LIMIT 400")
 on_tracks("h6_versions_cap", lambda t: t.filter("artist = 'Brand#5'").orderBy(*rel.headline_order()).limit(20).select("id"), f"SELECT id FROM tracks WHERE artist = 'Brand#5' ORDER BY {HEAD_SQL} DESC, duration_ms, id LIMIT 20")
 on_tracks("h7_work_batch", lambda t: rel.work_batch(queue_of(t), 80), f"SELECT * FROM ({QUEUE_SQL}) AS q WHERE priority = (SELECT max(priority) FROM ({QUEUE_SQL}) AS r) ORDER BY track_id LIMIT 80")
 on_tracks("h8_total_pages", lambda t: t.groupBy("artist").agg(F.count("*").alias("total")).select("artist", *[c.alias(n) for n, c in rel.total_pages(F.col("total"), F.lit(2), F.lit(7)).items()]), "SELECT artist, CAST(least(500, ceil(count(*) / 7.0)) AS BIGINT) AS pages, 8 AS shown_from, least(count(*), 14) AS shown_to FROM tracks GROUP BY 1")
