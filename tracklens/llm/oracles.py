@@ -70,7 +70,7 @@ each AS (SELECT rid, src, repo, kind, unnest(m) AS x, unnest(v) AS value, unnest
 placed AS (SELECT *, sum(length(gap) + length(x)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM each),
 s AS (SELECT rid, src, repo, kind, CAST(e - length(x) AS BIGINT) AS b, CAST(e AS BIGINT) AS e, value FROM placed WHERE kind <> 0 OR length(value) >= {secrets.LEAST_ASSIGNED}),
 own AS (SELECT value, count(DISTINCT src) AS owners, count(DISTINCT repo) AS repos FROM s GROUP BY value),
-told AS (SELECT s.*, CASE WHEN owners >= {secrets.WIDE_OWNERS} OR repos >= {secrets.WIDE_REPOS} THEN 'copied' WHEN length(value) >= {secrets.LEAST_LIVE} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict,
+told AS (SELECT s.*, owners, repos, CASE WHEN owners >= {secrets.WIDE_OWNERS} OR repos >= {secrets.WIDE_REPOS} THEN 'copied' WHEN length(value) >= {secrets.LEAST_LIVE} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict,
     {_NAMES}[kind + 1] || ':' || b || ':' || e AS span FROM s JOIN own USING (value)),
 g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.KINDS))}, {", ".join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in ("live", "copied", "weak"))}, max(owners) AS most_owners, max(repos) AS most_repos,
     string_agg(span, ',' ORDER BY b, kind) FILTER (kind < {len(secrets.BASE_KINDS)}) AS base, string_agg(span, ',' ORDER BY b, kind) AS spans FROM told GROUP BY rid)
