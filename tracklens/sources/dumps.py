@@ -72,8 +72,9 @@ def read_packets(spark: SparkSession, folder: str, table: str, stream: bool = Fa
 
 
 def packet_numbers(df: DataFrame, file_col: str = "file") -> DataFrame:
-    """The highest packet number in file names."""
-    return df.agg(F.max(F.regexp_extract(F.col(file_col), r"(\d+)(?:\.tar)?(?:/[^/]*)?$", 1).try_cast("long")).alias("max_sequence"))
+    """The highest packet number in the names of packets, which are the last part of their paths: ``3``, ``packet-3.tar.bz2``."""
+    name = F.element_at(F.split(F.rtrim(F.col(file_col), F.lit("/")), "/"), -1)
+    return df.agg(F.max(F.regexp_extract(name, r"(\d+)(?:\.tar(?:\.\w+)?)?$", 1).try_cast("long")).alias("max_sequence"))
 
 
 def result_envelope(page: DataFrame, total: DataFrame, number: int, per_page: int) -> DataFrame:
