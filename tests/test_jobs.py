@@ -165,3 +165,29 @@ def test_repeated_keys_repeat_no_rows(spark):
     second = spark.createDataFrame([("m", 1, "ok"), ("m", 2, "ok")], "mb_id string, total_user_count long, status string")
     rows = rel.popularity_cascade(tracks, by_id, by_name, second).collect()
     assert [(r.new_popularity, r.new_source) for r in rows] == [(100, "lastfm")]
+
+
+STEMMED = [(1, "Loving You", "A", "x"), (2, "love", "B", "loved"), (3, "glove", "Lover", "y"), (4, "Lové", "C", "z"), (5, "you loves", "D", "w"), (6, None, None, "relational loves")]
+
+
+def test_searches_stem(spark, tmp_path):
+    """Searches in one plan, with a stored index and in a batch find every word of the same stem, as a pass over all rows does."""
+    from tracklens.operators import text
+    from tracklens.operators.filters import SearchSpec
+    from tracklens.plans import search
+
+    t = spark.createDataFrame(STEMMED, "id long, title string, artist string, album string").withColumn("duration_ms", F.lit(1).cast("long"))
+    t = rel.ensure_columns(t, TRACKS)
+    fold = lambda x: (x or "").lower().replace("é", "e")
+    index = text.store_index(t, "id", search.COLUMNS, f"{tmp_path}/index")
+    stems = lambda x: {porter_stem(w) for w in x.lower().split()}
+    asked = dict(enumerate(("LOVES you", "relate", "nothing", "loving", "lover")))
+    want = {k: {r[0] for r in STEMMED if stems(a) <= stems(" ".join(fold(c) for c in r[1:]))} for k, a in asked.items()}
+    assert {r.id for r in search.search_tracks(t, SearchSpec(keywords=asked[0], per_page=50)).collect()} == want[0] == {1, 5}
+    assert {r.id for r in search.search_tracks(t, SearchSpec(keywords=asked[3], per_page=50), index).collect()} == want[3]
+    batch = spark.createDataFrame(list(asked.items()), "query_id long, query string")
+    assert {(r.query_id, r.id) for r in search.batch_search(batch, t).collect()} == {(k, i) for k, ids in want.items() for i in ids}
+    assert search.answer(t, SearchSpec(keywords="you loving", per_page=50), index).collect()[0].stemmed_word == "loving"
+    plan = index.postings(["love"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert {(r.doc_id, r.length) for r in index.lengths().collect()} == {(r[0], sum(len(fold(c).split()) for c in r[1:])) for r in STEMMED}

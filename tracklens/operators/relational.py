@@ -304,6 +304,11 @@ def candidate_cap(df: DataFrame, n: int = 400) -> DataFrame:
     return df.orderBy(*relevance_order()).limit(n)
 
 
+def versions_cap(df: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` rows of one song in headline order."""
+    return df.orderBy(*headline_order()).limit(n)
+
+
 def total_pages(total: Column, number: Column, per_page: Column) -> dict[str, Column]:
     return {
         "pages": F.least(F.lit(500), F.ceil(total / per_page)).cast("long"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklens.functions import expr
@@ -36,6 +38,43 @@ def stem_vocabulary(terms: DataFrame) -> DataFrame:
     return terms.distinct().select("term", stems("term").alias("stem"))
 
 
+def query_terms(keywords: str) -> list[str]:
+    """Words of a query as an index with stems holds them."""
+    return [porter_stem(t) for t in keywords.lower().split()]
+
+
+#: Buckets of terms that a stored index is laid out in, and parts of a bucket, so that a term that a third of all rows hold is written by several tasks.
+TERM_BUCKETS, BUCKET_PARTS = 32, 4
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """Postings laid out by bucket of their term, and the length of each document, written once."""
+
+    spark: SparkSession
+    path: str
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """All postings, or those of some terms: then only their buckets are read."""
+        rows = self.spark.read.parquet(f"{self.path}/postings")
+        if terms is not None:
+            rows = rows.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % TERM_BUCKETS for t in terms})) & F.col("term").isin(sorted(set(terms))))
+        return rows.drop("bucket")
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/lengths")
+
+
+def store_index(df: DataFrame, id_col: str, cols: list[str], path: str) -> StoredIndex:
+    """Cuts the texts into words once and keeps stems with their places under ``path``."""
+    postings = build_postings(df, id_col, cols, stem=True).withColumn("bucket", (F.crc32("term") % TERM_BUCKETS).cast("int"))
+    postings = postings.repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(BUCKET_PARTS))).sortWithinPartitions("bucket", "term")
+    postings.write.partitionBy("bucket").parquet(f"{path}/postings")
+    index = StoredIndex(df.sparkSession, path)
+    doc_stats(index.postings()).write.parquet(f"{path}/lengths")
+    return index
+
+
 def match_all(postings: DataFrame, terms: list[str]) -> DataFrame:
     """Documents that have every term in some column."""
     wanted = sorted(set(terms))
@@ -124,6 +163,16 @@ def weighted_text_rank(df: DataFrame, id_col: str, terms: list[str]) -> DataFram
     return ranked.filter(F.col("terms") == len(wanted)).select("doc_id", "rank")
 
 
+def stemmed_words(rows: DataFrame, tokens: DataFrame, text: Column) -> DataFrame:
+    """The same for many searches at once: rows of pages and tokens both carry their ``query_id``.
+
+    Both meet by search; a page has at most 200 rows and a search few words, so no search is a large group.
+    """
+    held = rows.select("query_id", expr.fold_accents(F.lower(text)).alias("held"))
+    missed = tokens.filter(F.length("token") >= 3).join(held, "query_id").filter(~F.col("held").contains(expr.fold_accents(F.lower("token"))))
+    return missed.groupBy("query_id").agg(F.min_by("token", "pos").alias("stemmed_word"))
+
+
 # ---- the stemmer of Porter (1980), An algorithm for suffix stripping ----------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracklens.functions import expr
 from tracklens.operators import filters, relational as rel
 from tracklens.schemas import TRACKS
+from tracklens.sources import dumps
 
 
 def _recordings(dump: dict[str, DataFrame]) -> DataFrame:
@@ -105,6 +106,16 @@ def score_popularity(tracks: DataFrame, by_mbid: DataFrame, by_name: DataFrame,
     return rel.apply_updates(tracks, found, "id", {"popularity": "keep_non_null", "popularity_source": "keep_non_null"})
 
 
+def score_queue(tracks: DataFrame, queue: DataFrame, by_mbid: DataFrame, by_name: DataFrame, secondary: DataFrame, after: int | None = None, batch: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tracks with scores for the waiting ones (or the next batch), the queue without those, and the summary of the new scores."""
+    scored = score_popularity(tracks, by_mbid, by_name, secondary, after, batch)
+    done = filters.unscored(tracks).select("id")
+    if after is not None and batch is not None:
+        done = rel.cursor_batch(done, after, batch)
+    new = done.join(scored.select("id", "popularity_source"), "id")
+    return scored, rel.drain_queue(queue, done.withColumnRenamed("id", "track_id")), rel.scoring_summary(new)
+
+
 def rescue_unfound(tracks: DataFrame, secondary: DataFrame, dry_run: bool = False) -> DataFrame:
     waiting = tracks.filter("popularity_source = 'unfound'")
     found = rel.rescue_join(waiting.select("id", "mb_id"), secondary)
@@ -115,14 +126,16 @@ def rescue_unfound(tracks: DataFrame, secondary: DataFrame, dry_run: bool = Fals
     return rel.apply_updates(tracks, found, "id", {"popularity": "keep_non_null", "popularity_source": "keep_non_null"})
 
 
-def fix_durations(tracks: DataFrame, first: DataFrame, second: DataFrame, authority: DataFrame, limit: int = 3_600_000) -> DataFrame:
+def fix_durations(tracks: DataFrame, first: DataFrame, second: DataFrame, authority: DataFrame, limit: int = 3_600_000, review: str | None = None) -> DataFrame:
     """Both passes over suspicious durations: ``id, duration_ms, outcome, new_ms``.
 
     What the sources do not settle is held against the authority: another length is taken, the
-    same or none makes the duration unknown.
+    same or none makes the duration unknown. With a path, those rows are also written there as a review file.
     """
     suspects = filters.suspicious_duration(tracks, limit).select("id", "mb_id", "title", "artist", "duration_ms")
     judged = rel.duration_candidates(suspects, first, second)
+    if review is not None:
+        dumps.write_review(judged.filter("outcome = 'review'").select("id", "mb_id", "title", "artist", "duration_ms"), review)
     settled = judged.filter("outcome != 'review'").select("id", "duration_ms", "outcome", F.col("found_ms").alias("new_ms"))
     again = rel.duration_recheck(judged.filter("outcome = 'review'").select("id", "mb_id", "duration_ms"), authority)
     again = again.select("id", "duration_ms", F.when(F.col("new_ms").isNotNull(), "updated").otherwise("nulled").alias("outcome"), "new_ms")

@@ -9,33 +9,38 @@ from tracklens.functions import expr
 from tracklens.functions.search_log import normalize_search_log
 from tracklens.operators import filters, relational as rel, text
 from tracklens.operators.filters import SearchSpec
+from tracklens.sources import dumps
 
 COLUMNS = ["title", "artist", "album"]
 
 
 def _matched(tracks: DataFrame, spec: SearchSpec, postings: DataFrame | None) -> DataFrame:
-    """Tracks that meet the words and the predicates; words go through the index."""
+    """Tracks that meet the words and the predicates; words go through the index of stems."""
     if filters.nothing_asked(spec):
         return tracks.filter(F.lit(False))
     df = tracks
     for c in filters.clauses(spec, tracks):
         df = df.filter(c)
     if spec.keywords:
-        postings = text.build_postings(tracks, "id", COLUMNS) if postings is None else postings
-        terms = [t.lower() for t in spec.keywords.split()]
-        df = df.join(text.match_all(postings, terms).withColumnRenamed("doc_id", "id"), "id", "left_semi")
+        postings = text.build_postings(tracks, "id", COLUMNS, stem=True) if postings is None else postings
+        df = df.join(text.match_all(postings, text.query_terms(spec.keywords)).withColumnRenamed("doc_id", "id"), "id", "left_semi")
     return df
 
 
-def search_tracks(tracks: DataFrame, spec: SearchSpec, postings: DataFrame | None = None) -> DataFrame:
-    """One page of tracks, or of songs with ``version_count`` if grouped, in the order asked for."""
+def search_tracks(tracks: DataFrame, spec: SearchSpec, index: text.StoredIndex | None = None) -> DataFrame:
+    """One page of tracks, or of songs with ``version_count`` if grouped, in the order asked for.
+
+    With a stored index only the buckets of the words asked for are read; without, it is built in the plan.
+    """
+    postings = index.postings(text.query_terms(spec.keywords)) if index and spec.keywords else None
     df = _matched(tracks, spec, postings)
     if spec.group:
         df = rel.headline(df)
     order = rel.relevance_order() if spec.sort == "relevance" else rel.duration_order(spec.sort)
     if spec.keywords and spec.sort == "relevance":
-        postings = text.build_postings(tracks, "id", COLUMNS) if postings is None else postings
-        scored = text.bm25(postings, text.doc_stats(postings), [t.lower() for t in spec.keywords.split()], text.WEIGHTS)
+        postings = text.build_postings(tracks, "id", COLUMNS, stem=True) if postings is None else postings
+        lengths = index.lengths() if index else text.doc_stats(postings)
+        scored = text.bm25(postings, lengths, text.query_terms(spec.keywords), text.WEIGHTS)
         df = df.join(scored.withColumnRenamed("doc_id", "id"), "id").withColumn("bm25", F.round("bm25", 9))
         order = rel.relevance_order("bm25")
     return rel.page(df, order, spec.page, spec.per_page)
@@ -46,14 +51,34 @@ def search_totals(tracks: DataFrame, spec: SearchSpec, postings: DataFrame | Non
     return rel.song_count(df) if spec.group else rel.capped_count(df)
 
 
+def answer(tracks: DataFrame, spec: SearchSpec, index: text.StoredIndex | None = None) -> DataFrame:
+    """A search as one answer: the envelope of its page and totals, and the first word that only stems matched."""
+    page = search_tracks(tracks, spec, index)
+    body = dumps.result_envelope(page, search_totals(tracks, spec, index and spec.keywords and index.postings(text.query_terms(spec.keywords)) or None), spec.page, spec.per_page)
+    if not spec.keywords:
+        return body.withColumn("stemmed_word", F.lit(None).cast("string"))
+    asked = F.array(*[F.lit(w) for w in spec.keywords.lower().split()])
+    hint = page.agg(F.first(asked).alias("asked"), F.collect_list(expr.fold_accents(F.lower(F.concat_ws(" ", *COLUMNS)))).alias("held"))  # a page: 200 rows at most
+    missed = F.filter("asked", lambda w: (F.length(w) >= 3) & F.exists("held", lambda h: ~h.contains(expr.fold_accents(w))))
+    return body.withColumn("stemmed_word", hint.select(F.get(missed, F.lit(0)).alias("w")).scalar())
+
+
+def artist_totals(tracks: DataFrame, spec: SearchSpec) -> DataFrame:
+    """The number of artists, without collaborations, that a search for artists finds."""
+    df = tracks
+    for c in filters.clauses(spec, tracks):
+        df = df.filter(c)
+    return rel.artist_count(filters.non_empty_name(df.filter(filters.not_collaboration(F.col("artist")))))
+
+
 def search_artists(tracks: DataFrame, spec: SearchSpec, postings: DataFrame | None = None, phrase: str | None = None) -> DataFrame:
     """One page of artists without collaborations, by name or by the sum of their best tracks."""
     df = tracks
     for c in filters.clauses(spec, tracks):
         df = df.filter(c)
     if phrase:
-        postings = text.build_postings(tracks, "id", ["artist"]) if postings is None else postings
-        hits = text.match_phrase(postings, "artist", phrase.lower().split())
+        postings = text.build_postings(tracks, "id", ["artist"], stem=True) if postings is None else postings
+        hits = text.match_phrase(postings, "artist", text.query_terms(phrase))
         df = df.join(hits.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     scores = rel.artist_score(df.filter(filters.not_collaboration(F.col("artist"))))
     return rel.page(filters.non_empty_name(scores), rel.artist_order(spec.sort), spec.page, spec.per_page)
@@ -70,7 +95,7 @@ def curated_search(curated: DataFrame, text_: str) -> DataFrame:
 def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10) -> DataFrame:
     """A table ``(query_id, query)`` of typed searches answered in one job.
 
-    Words are joined by term and counted per query and track, and a window then is a filter on
+    Words are stems, as in the index: each stands for the words of the catalogue with its stem. They are joined by term and counted per query and track, and a window then is a filter on
     what they found. Only searches without words take their rows from the windows, which are joined by
     bucket; a search that asks for nothing finds nothing. A wildcard
     keeps those hits whose title or artist it matches; alone, it is looked up in the distinct
@@ -84,8 +109,10 @@ def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10) ->
         "core": F.lower(F.regexp_replace(F.coalesce("wildcard", F.lit("")), r"^\*+|\*+$", "")),
     }).select("query_id", "low", "high", "terms", "like", "core")
     timed = F.col("low").isNotNull() | F.col("high").isNotNull()
-    postings = text.build_postings(tracks, "id", COLUMNS).select(F.col("doc_id").alias("id"), "term").distinct()
-    words = spec.filter(F.size("terms") > 0).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    postings = text.build_postings(tracks, "id", COLUMNS, stem=True).select(F.col("doc_id").alias("id"), "term").distinct()
+    words = spec.filter(F.size("terms") > 0).select("query_id", F.explode("terms").alias("term"))
+    words = words.join(text.stem_vocabulary(words.select("term")), "term").select("query_id", F.col("stem").alias("term")).distinct()
+    words = words.join(words.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
     by_words = words.join(postings, "term").groupBy("query_id", "id", "n").agg(F.count("*").alias("found")).filter("found = n").select("query_id", "id")
     lengths = tracks.select("id", "duration_ms")
     bounds = spec.select("query_id", "low", "high")

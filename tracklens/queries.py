@@ -240,6 +240,23 @@ add(
     ),
     f"{T}, r AS (SELECT lower(title || ' ' || artist || ' ' || album) AS held FROM tracks ORDER BY id LIMIT 50), k AS (SELECT id AS pos, split_part(title, ' ', 1) AS token FROM tracks WHERE id < 12) SELECT arg_min(token, pos) AS stemmed_word FROM k WHERE length(token) >= 3 AND EXISTS (SELECT 1 FROM r WHERE NOT contains(held, token))",
 )
+_FIRST_TEN = "SELECT a.id AS query_id, b.id, lower(b.title || ' ' || b.artist || ' ' || b.album) AS held, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS r FROM tracks a JOIN tracks b ON a.artist = b.artist AND a.id % 20 = 0"
+
+
+def _stemmed_words(t: DataFrame) -> DataFrame:
+    """Each twentieth track asks with the words of its title; its page is the first ten tracks of its artist."""
+    asked = t.filter("id % 20 = 0")
+    pages = rel.top_n_per(t, "artist", [F.col("id")], 10).join(asked.select(F.col("id").alias("query_id"), "artist"), "artist")
+    words = asked.select(F.col("id").alias("query_id"), F.posexplode(F.split("title", " ")).alias("pos", "token"))
+    return text.stemmed_words(pages, words, F.concat_ws(" ", "title", "artist", "album"))
+
+
+on_tracks(
+    "d8_stemmed_words",
+    _stemmed_words,
+    f"{T}, p AS ({_FIRST_TEN}), w AS (SELECT id AS query_id, generate_subscripts(x, 1) AS pos, unnest(x) AS token FROM (SELECT id, string_split(title, ' ') AS x FROM tracks WHERE id % 20 = 0) AS s) "
+    "SELECT query_id, arg_min(token, pos) AS stemmed_word FROM w JOIN p USING (query_id) WHERE r <= 10 AND length(token) >= 3 AND NOT contains(held, token) GROUP BY query_id",
+)
 on_tracks(
     "d9_weighted_text_rank",
     lambda t: text.weighted_text_rank(t, "id", ["blue", "live"]).select(F.col("doc_id").alias("id"), F.round("rank", 6).alias("rank")),
@@ -421,7 +438,7 @@ paged("h2_order_duration", lambda: rel.duration_order("desc"), "duration_ms DESC
 on_tracks("h3_order_artists", lambda t: rel.page(rel.artist_score(t), rel.artist_order("relevance"), 1, 10).select(F.col("position").cast("long").alias("position"), "artist", "score"), f"SELECT row_number() OVER (ORDER BY score DESC, artist) AS position, artist, score FROM ({SCORE_SQL}) AS s ORDER BY score DESC, artist LIMIT 10")
 paged("h4_page", rel.relevance_order, RELEVANCE_SQL, 4, 50)
 on_tracks("h5_candidate_cap", lambda t: rel.candidate_cap(t).select("id"), f"SELECT id FROM tracks ORDER BY {RELEVANCE_SQL} LIMIT 400")
-on_tracks("h6_versions_cap", lambda t: t.filter("artist = 'Brand#5'").orderBy(*rel.headline_order()).limit(20).select("id"), f"SELECT id FROM tracks WHERE artist = 'Brand#5' ORDER BY {HEAD_SQL} DESC, duration_ms, id LIMIT 20")
+on_tracks("h6_versions_cap", lambda t: rel.versions_cap(t.filter("artist = 'Brand#5'")).select("id"), f"SELECT id FROM tracks WHERE artist = 'Brand#5' ORDER BY {HEAD_SQL} DESC, duration_ms, id LIMIT 20")
 on_tracks("h7_work_batch", lambda t: rel.work_batch(queue_of(t), 80), f"SELECT * FROM ({QUEUE_SQL}) AS q WHERE priority = (SELECT max(priority) FROM ({QUEUE_SQL}) AS r) ORDER BY track_id LIMIT 80")
 on_tracks("h8_total_pages", lambda t: t.groupBy("artist").agg(F.count("*").alias("total")).select("artist", *[c.alias(n) for n, c in rel.total_pages(F.col("total"), F.lit(2), F.lit(7)).items()]), "SELECT artist, CAST(least(500, ceil(count(*) / 7.0)) AS BIGINT) AS pages, 8 AS shown_from, least(count(*), 14) AS shown_to FROM tracks GROUP BY 1")
 on_tracks("h9_cursor_batch", lambda t: rel.cursor_batch(filters.unscored(t), 500, 60).select("id"), "SELECT id FROM tracks WHERE popularity IS NULL AND id > 500 ORDER BY id LIMIT 60")
@@ -457,6 +474,8 @@ LOVE = SearchSpec(title="*ring", min_ms=181_000, max_ms=210_999, page=1, per_pag
 on_tracks("j10_search_tracks", lambda t: search.search_tracks(t, LOVE).select(F.col("position").cast("long").alias("position"), "id", "title", "duration_ms"), f"SELECT row_number() OVER (ORDER BY {RELEVANCE_SQL}) AS position, id, title, duration_ms FROM tracks WHERE title ILIKE '_%ring' AND duration_ms BETWEEN 181000 AND 210999 ORDER BY {RELEVANCE_SQL} LIMIT 50")
 on_tracks("j10_search_grouped", lambda t: search.search_tracks(t, SearchSpec(wildcard="*ol*", group=True, per_page=200)).select(F.col("position").cast("long").alias("position"), "id", "version_count"), f"SELECT row_number() OVER (ORDER BY {RELEVANCE_SQL}) AS position, id, version_count FROM (SELECT *, row_number() OVER (PARTITION BY lower(title), lower(artist) ORDER BY {HEAD_SQL} DESC, duration_ms, id) AS rn, count(*) OVER (PARTITION BY lower(title), lower(artist)) AS version_count FROM tracks WHERE title ILIKE '_%ol%_' OR artist ILIKE '_%ol%_') AS s WHERE rn = 1 ORDER BY {RELEVANCE_SQL} LIMIT 200")
 on_tracks("j10_search_keywords", lambda t: search.search_tracks(t, SearchSpec(keywords="blue economy", per_page=50)).select("id", "title"), f"SELECT id, title FROM tracks WHERE starts_with(title, 'blue') AND album = 'ECONOMY' ORDER BY {RELEVANCE_SQL} LIMIT 50")
+on_tracks("j11_artist_totals", lambda t: search.artist_totals(t, SearchSpec(mode="artists", min_ms=180_000, max_ms=220_000)), "SELECT count(DISTINCT artist) AS total, false AS capped FROM tracks WHERE duration_ms BETWEEN 180000 AND 220000")
+on_tracks("j11_artist_phrase", lambda t: search.search_artists(t, SearchSpec(mode="artists", per_page=10), phrase="brand 13").select(F.col("position").cast("long").alias("position"), "artist", "score"), "SELECT row_number() OVER (ORDER BY score DESC, artist) AS position, artist, score FROM (" + SCORE_SQL.replace("FROM tracks)", "FROM tracks WHERE artist = 'Brand#13')") + ") AS s ORDER BY score DESC, artist LIMIT 10")
 on_tracks("j11_search_artists", lambda t: search.search_artists(t, SearchSpec(mode="artists", min_ms=180_000, max_ms=220_000, per_page=10)).select(F.col("position").cast("long").alias("position"), "artist", "score"), "SELECT row_number() OVER (ORDER BY score DESC, artist) AS position, artist, score FROM (" + SCORE_SQL.replace("FROM tracks)", "FROM tracks WHERE duration_ms BETWEEN 180000 AND 220000)") + ") AS s ORDER BY score DESC, artist LIMIT 10")
 on_tracks("j12_versions", lambda t: search.versions(t, "hot bolt", "Brand#7").select("id", "duration_ms"), "SELECT id, duration_ms FROM tracks WHERE title = 'hot bolt' AND artist = 'Brand#7'")
 on_tracks("j13_status", rel.status, ORACLES["f1_status"])
@@ -497,6 +516,24 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     return score_popularity(tracks(s, d), *lookups(s, d)).select("id", "popularity", "popularity_source")
 
 
+def _queue_scored(part: int, after: int | None = None, batch: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        from tracklens.plans.enrich import score_queue
+
+        return score_queue(tracks(s, d), queue_of(tracks(s, d)), *lookups(s, d), after, batch)[part]
+
+    return run
+
+
+add("j7_scoring_queue_left", _queue_scored(1, 20, 60), f"{T} SELECT * FROM ({QUEUE_SQL}) AS q WHERE track_id NOT IN (SELECT id FROM tracks WHERE popularity IS NULL AND id > 20 ORDER BY id LIMIT 60)")
+add(
+    "j7_scoring_summary",
+    _queue_scored(2),
+    f"{CASCADE_SQL}, n AS (SELECT coalesce(ns, popularity_source) AS src FROM tracks JOIN k USING (id) WHERE popularity IS NULL) "
+    "SELECT count(*) FILTER (src = 'lastfm') AS lastfm, count(*) FILTER (src = 'listenbrainz') AS listenbrainz, count(*) FILTER (src = 'unfound') AS unfound, round(avg(CASE WHEN src IN ('lastfm', 'listenbrainz') THEN 100.0 ELSE 0.0 END), 1) AS hit_percent FROM n",
+)
+
+
 def _rescued(s: SparkSession, d: str) -> DataFrame:
     from tracklens.plans.enrich import rescue_unfound
 
@@ -517,19 +554,17 @@ add("j9_fix_durations", _fixed, f"{DUR_SQL} SELECT id, duration_ms, CASE WHEN ou
 
 # ---- K: streams, in their table form ---------------------------------------------------------
 
-EVENTS_SQL = "SELECT *, event_type || ':' || CAST(user_id AS STRING) AS key FROM events"
-
-
 def requests(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def impressions(s: SparkSession, d: str) -> DataFrame:
-    """Each event shows one track: its number modulo the parts there are at the smallest size."""
-    return read(s, d, "events").selectExpr("event_id AS search_id", "event_id % 200 AS track_id", "CAST(1 + user_id % 7 AS INT) AS raw_count", "CASE WHEN event_type = 'click' THEN 'artists' ELSE 'tracks' END AS mode")
+    """Each event shows one track of the whole catalogue: its number modulo the highest id."""
+    top = rel.max_id(tracks(s, d)).scalar()
+    return read(s, d, "events").withColumn("top", top).selectExpr("event_id AS search_id", "event_id % (top + 1) AS track_id", "CAST(1 + user_id % 7 AS INT) AS raw_count", "CASE WHEN event_type = 'click' THEN 'artists' ELSE 'tracks' END AS mode")
 
 
-SHOWN_SQL = "SELECT event_id % 200 AS track_id, 1 + user_id % 7 AS raw_count FROM events WHERE event_type <> 'click'"
+SHOWN_SQL = "SELECT event_id % (SELECT max(p_partkey) + 1 FROM part) AS track_id, 1 + user_id % 7 AS raw_count FROM events WHERE event_type <> 'click'"
 add("k1_search_counter", lambda s, d: stream.search_counter(requests(s, d)), "SELECT count(*) AS total_searches FROM events")
 add("k2_search_credit", lambda s, d: stream.search_credit(impressions(s, d), tracks(s, d)).select("track_id", F.round("credit", 6).alias("credit")), f"{T}, i AS ({SHOWN_SQL}) SELECT track_id, round(sum(1.0 / raw_count), 6) AS credit FROM i JOIN tracks ON id = track_id WHERE popularity_source IS NULL OR popularity_source = 'unfound' GROUP BY 1")
 add("k3_priority_bump", lambda s, d: stream.priority_bump(impressions(s, d), tracks(s, d)), f"{T}, i AS ({SHOWN_SQL}) SELECT DISTINCT track_id FROM i JOIN tracks ON id = track_id WHERE popularity_source IS NULL")
@@ -539,6 +574,19 @@ add(
     lambda s, d: stream.micro_scoring(queue_of(tracks(s, d)), tracks(s, d), *lookups(s, d))[0],
     f"{CASCADE_SQL} SELECT id, np AS new_popularity, ns AS new_source FROM k WHERE id IN (SELECT track_id FROM ({QUEUE_SQL}) AS q WHERE priority = 1 ORDER BY track_id LIMIT 80)",
 )
+on_tracks("k7_queue_left", lambda t: rel.drain_queue(queue_of(t), rel.work_batch(queue_of(t), 80)), f"SELECT * FROM ({QUEUE_SQL}) AS q WHERE track_id NOT IN (SELECT track_id FROM ({QUEUE_SQL}) AS r WHERE priority = 1 ORDER BY track_id LIMIT 80)")
+
+
+def _ticked(s: SparkSession, d: str) -> DataFrame:
+    t = tracks(s, d)
+    return stream.written_back(t.select("id", "popularity", "popularity_source"), stream.micro_scoring(queue_of(t), t, *lookups(s, d))[0])
+
+
+add(
+    "k7_written_back",
+    _ticked,
+    f"{CASCADE_SQL}, tick AS (SELECT track_id FROM ({QUEUE_SQL}) AS q WHERE priority = 1 ORDER BY track_id LIMIT 80) SELECT t.id, CASE WHEN track_id IS NULL THEN t.popularity ELSE np END AS popularity, CASE WHEN track_id IS NULL THEN t.popularity_source ELSE ns END AS popularity_source FROM tracks t JOIN k USING (id) LEFT JOIN tick ON track_id = t.id",
+)
 add("k8_genre_fill", lambda s, d: stream.genre_fill(tracks(s, d), votes(s, d).select(F.concat(F.lit("mb-"), F.col("entity").cast("string")).alias("mb_id"), "name", "count", F.ascii("name").alias("position"))).select("id", "genre"), f"{T}, v AS ({VOTES_SQL}), g AS (SELECT entity, arg_max(name, votes * 1000 - ascii(name)) AS genre FROM v GROUP BY 1) SELECT id, g.genre FROM tracks JOIN g ON entity = id WHERE tracks.genre IS NULL")
 
 

@@ -91,13 +91,22 @@ def new_recordings(pending: DataFrame, data: DataFrame, landed: DataFrame, exist
 
 
 def micro_scoring(queue: DataFrame, tracks: DataFrame, by_mbid: DataFrame, by_name: DataFrame, secondary: DataFrame, n: int = 80) -> tuple[DataFrame, DataFrame]:
-    """One tick: the scores of the next batch, and the queue without it."""
+    """One tick: the scores of the next batch, and the queue without it.
+
+    ``written_back`` puts the scores into the tracks.
+    """
     batch = rel.work_batch(queue, n)
     rows = rel.queue_rows(batch, tracks).select("id", "mb_id", "artist", "title")
     scores = rel.popularity_cascade(rows, by_mbid, by_name, secondary).select("id", "new_popularity", "new_source")
     return scores, rel.drain_queue(queue, batch)
 
 
+def written_back(tracks: DataFrame, scores: DataFrame) -> DataFrame:
+    """The tracks with the scores of a tick."""
+    found = scores.select("id", F.col("new_popularity").alias("popularity"), F.col("new_source").alias("popularity_source"))
+    return rel.apply_updates(tracks, found, "id", {"popularity": "overwrite", "popularity_source": "overwrite"})
+
+
 def genre_fill(tracks: DataFrame, tags: DataFrame) -> DataFrame:
     """Rows without genre get the tag with most votes."""
     none = tracks.filter("genre IS NULL").drop("genre")
