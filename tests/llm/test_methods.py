@@ -1,5 +1,6 @@
 """What the methods promise beyond their queries: intermediate results, exactness, recovery, plans."""
 
+import gzip
 import math
 import random
 from collections import Counter
@@ -358,12 +359,63 @@ def test_warc_rows(spark):
     df = spark.createDataFrame([(1, "u1", "same é"), (2, "u2", "same é"), (3, None, None), (4, "u4", "ab")], "page_id long, url string, html string")
     path = new_path(spark, "warc-test")
     archive = warc.write_archives(df, path, least_bytes=3)
-    rows = {r.metadata.page_id: r for r in warc.assemble(warc.read_records(spark, path, archive)).collect()}
+    assert warc.archive_of(spark, path) == archive
+    records = warc.read_records(spark, path).collect()
+    assert [r.record_id for r in records if r.type == "warcinfo"] == [f"<urn:uuid:{archive}>"] and all(r.whole for r in records)
+    framed = warc._records(warc.framed_records(spark, path), "", F.col("length") == F.octet_length("body")).collect()
+    assert sorted(map(str, framed)) == sorted(map(str, records))
+    rows = {r.metadata.page_id: r for r in warc.assemble(warc.read_records(spark, path)).collect()}
     assert rows[1].capture.type == "response" and rows[1].payload == "same é" and rows[1].request.body.startswith("GET u1 HTTP/1.1")
     assert rows[2].capture.type == "revisit" and rows[2].capture.refers_to == rows[1].id and rows[2].payload == ""
     assert rows[3].capture.type == rows[4].capture.type == "response" and rows[3].payload == ""
     with pytest.raises(Exception, match="cut short"):
-        warc.assemble(warc.read_records(spark, path, archive).withColumn("whole", F.lit(False))).collect()
+        warc.assemble(warc.read_records(spark, path).withColumn("whole", F.lit(False))).collect()
+
+
+def by_hand(kind, name, body, more=""):
+    data = body.encode()
+    return f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID:<urn:x:{name}>\r\n{more}Content-length: {len(data)}\r\n\r\n".encode() + data + b"\r\n\r\n"
+
+
+BODIES = ["plain", "", "holds WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "ends in WARC/", "WARC/WARC/", "WARC/1.0\r\nWARC-Warcinfo-ID: <urn:uuid:00000000-0000-0000-0000-000000000000>\r\né", "\r\n\r\n\r\n", "x" * 300_000]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_by_hand(spark, tmp_path, packed):
+    """An archive of another writer: no marks, other cases of names, payloads with version lines, a gzip member for each record."""
+    (tmp_path / "a").mkdir()
+    for part in range(2):
+        records = [by_hand("response", f"{part}-{i}", "HTTP/1.1 200 OK\r\n\r\n" + b, f"WARC-Concurrent-To: <urn:x:r{i}>\r\n") for i, b in enumerate(BODIES)]
+        (tmp_path / f"a/{part}.warc{'.gz' if packed else ''}").write_bytes(b"".join(gzip.compress(r) if packed else r for r in records))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "50000")
+    try:
+        records = warc.read_records(spark, f"file://{tmp_path}/a")
+        got = {r.id: r.payload for r in warc.assemble(records).collect()}
+        assert got == {f"<urn:x:{p}-{i}>": b for p in range(2) for i, b in enumerate(BODIES)}
+        assert {r.concurrent_to for r in records.collect()} == {f"<urn:x:r{i}>" for i in range(len(BODIES))}
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_warc_damage(spark, tmp_path):
+    """A record cut short, and one without a length, are told; the next one is read."""
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Record-ID: <a>\r\n\r\nno length\r\n\r\n" + by_hand("response", "b", "whole") + by_hand("response", "c", "cut short")[:-9])
+    assert {(r.record_id, r.whole) for r in warc.read_records(spark, f"file://{tmp_path}/a.warc").collect()} == {("<a>", False), ("<urn:x:b>", True), ("<urn:x:c>", False)}
+
+
+def test_warc_revisits_are_checked(spark):
+    """A revisit's size and digest are its response's; a digest that is not that of the payload is an error."""
+    df = spark.createDataFrame([(1, "u1", "same"), (2, "u2", "same")], "page_id long, url string, html string")
+    path = new_path(spark, "warc-test")
+    warc.write_archives(df, path)
+    records = warc.read_records(spark, path)
+    assert {(r.page_id, r.payload_bytes, r.refers_to) for r in warc.capture_digests(warc.assemble(records)).collect()} == {(1, 4, None), (2, 4, 1)}
+    for kind in ("response", "revisit"):
+        wrong = records.withColumn("digest", F.when(F.col("type") == kind, F.lit("OTHER")).otherwise(F.col("digest")))
+        with pytest.raises(Exception, match="not that of its payload"):
+            warc.capture_digests(warc.assemble(wrong)).collect()
 
 
 # ---- 1, 9: spans ----

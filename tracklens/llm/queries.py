@@ -60,8 +60,8 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    archive = warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.capture_digests(warc.assemble(warc.read_records(spark, path, archive)))
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.capture_digests(warc.assemble(warc.read_records(spark, path)))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

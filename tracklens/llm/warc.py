@@ -5,20 +5,24 @@ payload) and a metadata record. The request and the metadata name the capture re
 belong to in ``WARC-Concurrent-To``; a revisit names its response in ``WARC-Refers-To``.
 Reading joins the records on these identifiers into one nested row per capture.
 
-Records are separated by a mark: the version line followed by ``WARC-Warcinfo-ID``, a header
-field that names the archive. Its UUID is drawn when an archive is written, after all payloads
-are fixed, so that no payload holds it, and files can be split anywhere. Every record read is
-held against its ``Content-Length``.
+An archive has a warcinfo record, in a file of its own, and every other record names it in its second line. Its UUID is
+drawn when the archive is written, after all payloads are fixed, so that no payload holds it: in an
+archive of this kind the two lines are a mark that files can be split at anywhere, and every record
+is held against its ``Content-Length``. Other archives are framed by ``Content-Length`` alone, each file
+by one task that holds one record at a time.
 
-Defined results: a null html is the empty payload; a null page id cannot be referred to and its
+Defined results: a revisit whose response is not in the archive keeps what its own records say; a null html is the empty payload; a null page id cannot be referred to and its
 records are told apart by row; rows with equal ids and payloads are a response and revisits of
 it; an empty table gives no captures; extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +42,9 @@ def sha1_base32(data: Column) -> Column:
     return F.concat(*out)
 
 
-def _record(archive: str, headers: list[tuple[str, Column]], body: Column) -> Column:
-    """A record behind its version line; a header whose value is null is left out."""
-    lines = [F.lit(f"{VERSION}\r\nWARC-Warcinfo-ID: <urn:uuid:{archive}>\r\n")]
+def _record(archive: str | None, headers: list[tuple[str, Column]], body: Column) -> Column:
+    """A record behind its version line, in an archive; a header whose value is null is left out."""
+    lines = [F.lit(f"{VERSION}\r\n" + (f"WARC-Warcinfo-ID: <urn:uuid:{archive}>\r\n" if archive else ""))]
     lines += [F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")), F.lit("")) for k, v in headers]
     lines += [F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")), body]
     return F.concat(*lines)
@@ -66,7 +70,7 @@ def captures_of(pages: DataFrame, least_bytes: int, id_col: str, url_col: str, h
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
-    """Writes gzip files of WARC records under ``path`` and returns the archive's UUID."""
+    """Writes gzip files of WARC records under ``path`` and returns the archive's UUID, which its warcinfo record has."""
     archive = str(uuid.uuid4())
     rows = captures_of(pages, least_bytes, id_col, url_col, html_col)
     one_line = lambda c: F.regexp_replace(c, r"[\r\n]", "%0A")  # noqa: E731  a header is one line
@@ -98,22 +102,98 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", urn("metadata", F.col("row"))), ("WARC-Date", F.lit(_DATE)), ("WARC-Target-URI", url), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("payload-bytes: "), F.col("size").cast("string"), F.lit("\r\n")),
     )
-    records = rows.select(F.explode(F.array(request, capture, metadata)).alias("value"))
+    info = _record(
+        None,
+        [("WARC-Type", F.lit("warcinfo")), ("WARC-Record-ID", F.lit(f"<urn:uuid:{archive}>")), ("WARC-Date", F.lit(_DATE)), ("Content-Type", F.lit("application/warc-fields"))],
+        F.lit("format: WARC File Format 1.1\r\n"),
+    )
+    records = pages.sparkSession.range(1, numPartitions=1).select(info.alias("value")).unionByName(rows.select(F.explode(F.array(request, capture, metadata)).alias("value")))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
     return archive
 
 
-def read_records(spark: SparkSession, path: str, archive: str) -> DataFrame:
+def archive_of(spark: SparkSession, path: str) -> str | None:
+    """The UUID in the second line of the first file; none if the line is another."""
+    second = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 1
+    first = spark.read.option("lineSep", "\r\n").text(path).select("value", second.alias("second")).filter("second").head(1)
+    named = re.fullmatch(r"WARC-Warcinfo-ID: <urn:uuid:([0-9a-f-]{36})>", first[0].value) if first else None
+    return named[1] if named else None
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of files, cut at the start of version lines and in order, as records by ``Content-Length``."""
+    schema = pa.schema([("head", pa.string()), ("body", pa.binary()), ("length", pa.int64())])
+    piece, need, file, out, size = bytearray(), None, None, [], 0
+
+    def record() -> tuple[str, bytes, int | None]:
+        at = piece.find(b"\r\n\r\n")
+        head = bytes(piece[: at + 2] if at >= 0 else piece)
+        said = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
+        rest = bytes(piece[at + 4 :]) if at >= 0 else b""
+        length = int(said[1]) if said else None
+        # What stands behind the two line ends that close a record belongs to no record: its body then is longer than it says.
+        body = rest[:length] if length is not None and len(rest) >= length and not rest[length:].strip(b"\r\n") else rest
+        return head.partition(b"\r\n")[2].decode("utf-8", "replace"), body, length
+
+    def table() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types, strict=True)], schema=schema)
+
+    for batch in batches:
+        for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            value = value.as_py()
+            if piece and (name != file or need is not None and len(piece) >= need):
+                out.append(record())
+                size += len(out[-1][1])
+                piece, need = bytearray(), None
+            file = name
+            if not piece and not value.strip(b"\r\n"):
+                continue
+            piece += b"WARC/" + value
+            at = piece.find(b"\r\n\r\n") if need is None else -1
+            if at >= 0:
+                said = re.search(rb"(?im)^content-length:[ \t]*(\d+)", piece[: at + 2])
+                need = at + 4 + int(said[1]) if said else 0
+            if size > 1 << 24:
+                yield table()
+                out, size = [], 0
+    if piece:
+        out.append(record())
+    if out:
+        yield table()
+
+
+def framed_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of any WARC files, framed by ``Content-Length``: ``head`` without the version line, ``body``, ``length``.
+
+    A payload may hold version lines. Pieces of a file meet in one task, sorted on disk; a file is what a task reads.
+    """
+    raw = spark.read.option("lineSep", "WARC/").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value")
+    )
+    pieces = raw.repartition("file").sortWithinPartitions("file", "start", "at").select("file", "value")
+    rows = pieces.mapInArrow(_framed, "head string, body binary, length long")
+    return rows.withColumn("body", F.col("body").cast("string"))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records as ``type, record_id, concurrent_to, refers_to, digest, url, body, whole``.
 
-    ``whole`` is false where the body is not as long as its header says.
+    ``whole`` is false where the body is not as long as its header says, or the header does not say.
     """
+    archive = archive_of(spark, path)
+    if archive is None:
+        return _records(framed_records(spark, path), "(?i)", F.coalesce(F.col("length") == F.octet_length("body"), F.lit(False)))
     mark = f"{VERSION}\r\nWARC-Warcinfo-ID: <urn:uuid:{archive}>\r\n"
     raw = spark.read.option("lineSep", mark).text(path).filter(F.octet_length("value") > 0)
     # Headers have no blank line; the body ends before the two line ends that close a record.
     cut = F.instr("value", "\r\n\r\n")
     raw = raw.select(F.substring("value", F.lit(1), cut + 1).alias("head"), F.substring(F.col("value"), cut + 4, F.length("value") - cut - 7).alias("body"))
-    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?:^|\n){name}: ([^\r\n]*)", 1), F.lit(""))
+    length = F.nullif(F.regexp_extract("head", r"(?:^|\n)Content-Length: ([^\r\n]*)", 1), F.lit(""))
+    return _records(raw, "", length.cast("long") == F.octet_length("body"))
+
+
+def _records(raw: DataFrame, flags: str, whole: Column) -> DataFrame:
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"{flags}(?:^|\n){name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
     return raw.select(
         field("WARC-Type").alias("type"),
         field("WARC-Record-ID").alias("record_id"),
@@ -122,7 +202,7 @@ def read_records(spark: SparkSession, path: str, archive: str) -> DataFrame:
         F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("digest"),
         field("WARC-Target-URI").alias("url"),
         "body",
-        (field("Content-Length").cast("long") == F.octet_length("body")).alias("whole"),
+        whole.alias("whole"),
     )
 
 
@@ -156,21 +236,27 @@ def assemble(records: DataFrame) -> DataFrame:
 def capture_digests(assembled: DataFrame) -> DataFrame:
     """Per page: size and digest of the full payload, type, and the page that a revisit refers to.
 
-    Both are recomputed from the payload of a response; a revisit's come from its own records.
+    Both are recomputed from the payload of the response, for a revisit from that which it refers to. A digest
+    in a record that is not that of the payload is an error.
     """
     is_response = F.col("capture.type") == "response"
     rows = assembled.select(
         "id",
         F.col("metadata.page_id").alias("page_id"),
         F.when(is_response, F.col("payload_bytes")).otherwise(F.col("metadata.payload_bytes")).alias("payload_bytes"),
-        F.when(is_response, F.col("payload_digest")).otherwise(F.col("capture.digest")).alias("payload_digest"),
+        F.when(is_response, F.col("payload_digest")).alias("found"),
+        F.col("capture.digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
         F.col("capture.refers_to").alias("target"),
     )
-    rows = staged(rows, "capture-digests")
+    told = lambda c: F.raise_error(F.concat(F.lit("a WARC digest is not that of its payload: "), c))
+    held = F.when(F.col("found") != F.col("payload_digest"), told(F.col("id"))).otherwise(F.coalesce("found", "payload_digest"))
+    rows = staged(rows.withColumn("payload_digest", held).drop("found"), "capture-digests")
     plain, revisits = rows.filter("target IS NULL"), rows.filter("target IS NOT NULL")
     counted = revisits.groupBy("target").agg(F.count("*").alias("n"))
-    targets = rows.filter("record_type = 'response'").select(F.col("id").alias("target"), F.col("page_id").alias("refers_to"))
+    targets = rows.filter("record_type = 'response'").select(F.col("id").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     referred = join_counted(revisits, counted.join(targets, "target", "left"), "target", "n", revisits.count())
+    same = F.when(F.col("digest") != F.col("payload_digest"), told(F.col("id"))).otherwise(F.coalesce("digest", "payload_digest"))
+    referred = referred.withColumns({"payload_digest": same, "payload_bytes": F.coalesce("bytes", "payload_bytes")})
     return plain.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(referred.select(*columns))
