@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions.expr import DURATION, duration_ms, window_ms
 
+#: The forms of time that a typed search may have.
 BETWEEN = rf"(?i)between\s+({DURATION})\s+and\s+({DURATION})"
 RANGE = rf"(?i)({DURATION})\s*(?:to|-)\s*({DURATION})"
 OVER = rf">\s*({DURATION})"

@@ -58,7 +58,7 @@ def _between(c: Column, low: float | None, high: float | None) -> Column | None:
 
 
 def _text(c: Column, value: str | None) -> Column | None:
-    return None if not value or expr.pattern_of(value) == "%" else expr.contains_value(c, value)
+    return None if not value or expr.stars_only(value) else expr.contains_value(c, value)
 
 
 def duration(spec: SearchSpec, c: Column) -> Column | None:
@@ -80,7 +80,7 @@ def starts_with(c: Column, value: str) -> Column:
 
 
 def wildcard(spec: SearchSpec, df: DataFrame) -> Column | None:
-    if not spec.wildcard or expr.pattern_of(spec.wildcard) == "%":
+    if not spec.wildcard or expr.stars_only(spec.wildcard):
         return None
     artist = expr.contains_value(df["artist"], spec.wildcard)
     return artist if spec.mode == "artists" else expr.contains_value(df["title"], spec.wildcard) | artist
