@@ -109,15 +109,15 @@ def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10) ->
         "core": F.lower(F.regexp_replace(F.coalesce("wildcard", F.lit("")), r"^\*+|\*+$", "")),
     }).select("query_id", "low", "high", "terms", "like", "core")
     timed = F.col("low").isNotNull() | F.col("high").isNotNull()
-    postings = text.build_postings(tracks, "id", COLUMNS, stem=True).select(F.col("doc_id").alias("id"), "term").distinct()
-    words = spec.filter(F.size("terms") > 0).select("query_id", F.explode("terms").alias("term"))
-    words = words.join(text.stem_vocabulary(words.select("term")), "term").select("query_id", F.col("stem").alias("term")).distinct()
-    words = words.join(words.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
-    by_words = words.join(postings, "term").groupBy("query_id", "id", "n").agg(F.count("*").alias("found")).filter("found = n").select("query_id", "id")
-    lengths = tracks.select("id", "duration_ms")
-    bounds = spec.select("query_id", "low", "high")
     inside = (F.col("low").isNull() | (F.col("duration_ms") >= F.col("low"))) & (F.col("high").isNull() | (F.col("duration_ms") <= F.col("high")))
-    by_words = by_words.join(bounds, "query_id").join(lengths, "id").filter((F.col("low").isNull() & F.col("high").isNull()) | inside).select("query_id", "id")
+    lengths = tracks.select("id", "duration_ms")
+    postings = text.build_postings(tracks, "id", COLUMNS, stem=True).select(F.col("doc_id").alias("id"), "term").distinct().join(lengths, "id")
+    words = spec.filter(F.size("terms") > 0).select("query_id", "low", "high", F.explode("terms").alias("term"))
+    words = words.join(text.stem_vocabulary(words.select("term")), "term").select("query_id", "low", "high", F.col("stem").alias("term")).distinct()
+    words = words.join(words.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+    # The window is tested where a word meets a track, so that what lies outside is never grouped.
+    by_words = words.join(postings, "term").filter((F.col("low").isNull() & F.col("high").isNull()) | inside)
+    by_words = by_words.groupBy("query_id", "id", "n").agg(F.count("*").alias("found")).filter("found = n").select("query_id", "id")
     ranges = spec.filter(timed & (F.size("terms") == 0)).select("query_id", F.col("low").alias("min_ms"), F.col("high").alias("max_ms"))
     hits = by_words.unionByName(rel.range_join(ranges, lengths).select("query_id", "id"))
     hits = hits.join(spec.select("query_id", "like"), "query_id")
