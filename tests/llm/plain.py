@@ -175,3 +175,48 @@ def chat(turns):
     all_ = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
     loss = "".join(t or "" for r, t in turns if r == "assistant")
     return len(turns), sha(all_), len(loss), sha(loss)
+
+
+def ranked(docs, items, top=10):
+    """``(item, rank, doc, score)`` by scoring every document for every item."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    words = lambda t: term.findall((t or "").translate(ASCII_LOWER))
+    counted = [(i, Counter(words(t))) for i, t in docs]
+    counted = [(i, c, sum(c.values())) for i, c in counted if c]
+    n_docs, n_terms = len(counted), sum(n for *_, n in counted)
+    df = Counter(t for _, c, _ in counted for t in c)
+    out = []
+    for item, text in items:
+        asked = set(words(text)) & df.keys()
+        scores = []
+        for i, c, n in counted:
+            m = 10 + 90 * n * n_docs // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in asked if t in c)
+            scores.append((-s, i is None, i or 0, i))
+        out += [(item, k + 1, i, -s) for k, (s, _, _, i) in enumerate(sorted(scores)[:top]) if s]
+    return out
+
+
+def exact_dedup(docs):
+    """``(doc, keep, size, kept, digest)``; of repeated rows of the smallest id the first stays."""
+    key = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = {}
+    for k, (i, t) in enumerate(docs):
+        groups.setdefault(key(t), []).append((i is None, i or 0, k, i))
+    first = {t: min(g) for t, g in groups.items()}
+    return [(i, first[key(t)][3], len(groups[key(t)]), first[key(t)][2] == k, sha(key(t))) for k, (i, t) in enumerate(docs)]
+
+
+def fim(doc_id, text):
+    """``(n, form, prefix_chars, middle_chars, output, text)``."""
+    t = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", t)
+    d = sha(f"7:{'' if doc_id is None else doc_id}")
+    h = [int(d[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not t or re.search("<[PSM]>", t) or h[2] % 100 >= 100:
+        return len(units), "plain", None, None, t, t
+    if h[3] % 100 < 50:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}", t
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}", t

@@ -23,6 +23,7 @@ HARD_TEXTS = [
     "a " * 30, "### $$ %% && || << >> * " * 5, "Ünïcode wörds ÄÖÜ ß 日本語 😀 " * 4,
     "&lt; </turn>\n<turn>assistant\n &amp;lt; \\n \r\n", "don't we'll I'M  x   \t\n y1234 ½ ²",
     "w" * 5000, " ".join(f"w{i % 97}" for i in range(4000)), "é" * 3000 + " " * 50 + "!" * 300,
+    "\n", "é\n\n😀\nß", "a <M> b\nc", "line\n" * 999, " the\t\tthe \n the", "the the the", "the  the\x0bthe",
 ]
 
 
@@ -174,6 +175,30 @@ def test_op10(spark, docs):
     assert compare(q.op10_chat(spark, docs), connect(docs), q.oracle_sql()["op10_chat"]) == ""
 
 
+def test_op11(spark, docs):
+    rows = table(spark, docs, "documents", "doc_id", "text")
+    items = table(spark, docs, "benchmark", "item_id", "text")
+    want = plain.ranked(rows, items)
+    assert any(i is None for i, *_ in want) and any(d is None for _, _, d, _ in want) and len(want) > 300
+    same([tuple(r) for r in q.op11_ranked(spark, docs).collect()], want)
+    assert compare(q.op11_ranked(spark, docs), connect(docs), q.oracle_sql()["op11_ranked"]) == ""
+
+
+def test_op12(spark, docs):
+    rows = table(spark, docs, "documents", "doc_id", "text")
+    got = [tuple(r) for r in q.op12_exact_dedup(spark, docs).collect()]
+    same(got, plain.exact_dedup(rows))
+    assert sum(r[3] for r in got) == len({r[4] for r in got})
+    assert compare(q.op12_exact_dedup(spark, docs), connect(docs), q.oracle_sql()["op12_exact_dedup"]) == ""
+
+
+def test_op13(spark, docs):
+    want = [(i, *plain.fim(i, t)) for i, t in table(spark, docs, "documents", "doc_id", "text")]
+    assert {w[2] for w in want} == {"plain", "spm", "psm"}
+    same([tuple(r) for r in q.op13_fim(spark, docs).collect()], [(*w[:5], plain.sha(w[5]), plain.sha(w[6])) for w in want])
+    assert compare(q.op13_fim(spark, docs), connect(docs), q.oracle_sql()["op13_fim"]) == ""
+
+
 def test_empty_tables(spark, docs, tmp_path):
     for name in ("documents", "benchmark", "conversations", "pages"):
         spark.read.parquet(f"{docs}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

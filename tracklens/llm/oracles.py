@@ -6,9 +6,10 @@ are left to brute-force tests.
 
 from __future__ import annotations
 
-from tracklens.llm import chat, quality, secrets
+from tracklens.llm import chat, fim, quality, secrets
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _HIT_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 OP2 = f"""
@@ -96,6 +97,34 @@ s AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) ||
 SELECT s.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, plain_chars + coalesce(longer, 0) AS formatted_chars, coalesce(n, 0) AS n_attachments, coalesce(tokens, 0) AS expanded_tokens
 FROM s LEFT JOIN b ON s.conv_id IS NOT DISTINCT FROM b.conv_id"""
 
+OP11 = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, {_TERM}) AS w FROM documents),
+d AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM t WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) AS x GROUP BY rid, term),
+i AS (SELECT row_number() OVER () AS no, item_id, list_distinct(regexp_extract_all({_LOWER}, {_TERM})) AS w FROM benchmark),
+q AS (SELECT no, item_id, unnest(w) AS term FROM i),
+v AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, total GROUP BY term, docs),
+s AS (SELECT no, item_id, rid, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM q JOIN v USING (term) JOIN p USING (term) JOIN d USING (rid), total GROUP BY no, item_id, rid, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST, rid) = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+
+_DRAWN = ", ".join(f"CAST('0x' || substr(x, {8 * i - 7}, 8) AS BIGINT) AS h{i}" for i in (1, 2, 3, 4))
+OP13 = rf"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+l AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, {_DRAWN} FROM h),
+c AS (SELECT *, CAST(len(l) AS BIGINT) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b FROM l),
+p AS (SELECT doc_id, t, n, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:n], '') AS s,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= {fim.RATE} THEN 'plain' WHEN h4 % 100 < {fim.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2,
     "op3_quality_rules": OP3,
@@ -103,4 +132,7 @@ ORACLES: dict[str, str] = {
     "op8_warc": OP8,
     "op9_secrets": OP9,
     "op10_chat": OP10,
+    "op11_ranked": OP11,
+    "op12_exact_dedup": OP12,
+    "op13_fim": OP13,
 }

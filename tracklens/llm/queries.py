@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm import bpe, chat, decontaminate, html_text, lattice, near_dup, pii, quality, secrets, warc
+from tracklens.llm import bpe, chat, decontaminate, exact_dedup, fim, html_text, lattice, near_dup, pii, quality, ranked, secrets, warc
 from tracklens.llm.common import new_path, quoted, table
 from tracklens.llm.oracles import ORACLES
 
@@ -83,9 +83,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.conversations(rows.unionByName(probe)))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return exact_dedup.deduplicate(docs, exact_dedup.temporary_index(spark, docs.schema["doc_id"].dataType.simpleString()), keep=["doc_id"])
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents"), keep=["doc_id"]), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_decontaminate, op3_quality_rules, op4_bpe, op5_simhash, op6_lattice, op7_html, op8_warc, op9_secrets, op10_chat, quality_ablations, decontaminate_matches)
+    for f in (op1_pii, op2_decontaminate, op3_quality_rules, op4_bpe, op5_simhash, op6_lattice, op7_html, op8_warc, op9_secrets, op10_chat, op11_ranked, op12_exact_dedup, op13_fim, quality_ablations, decontaminate_matches)
 }
 
 
