@@ -220,3 +220,27 @@ def fim(doc_id, text):
     if h[3] % 100 < 50:
         return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}", t
     return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}", t
+
+
+def redacted(docs, provider):
+    """The texts of ``(text, source, lang)`` with a mark for every secret whose value fewer than three owners and five repositories have."""
+    patterns = [r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", provider]
+    found = []
+    for text, *_ in docs:
+        spans = [(*m.span(), k, m[m.re.groups]) for k, p in enumerate(patterns) for m in re.finditer(p, text or "")]
+        found.append(sorted(s for s in spans if s[2] or len(s[3]) >= 6))
+    owners, repos = {}, {}
+    for (_, source, lang), spans in zip(docs, found):
+        for *_, value in spans:
+            owners.setdefault(value, set()).add(source)
+            repos.setdefault(value, set()).add("/".join(x for x in (source, lang) if x is not None))
+    words = re.compile(r"(?<![A-Za-z0-9])(?:example|sample|changeme|placeholder|dummy|your|test|x{4,}|0000|1234)(?![A-Za-z0-9])", re.I | re.A)
+    out = []
+    for (text, *_), spans in zip(docs, found):
+        done, reach = [], 0
+        for a, b, kind, value in spans:
+            if len(owners[value]) < 3 and len(repos[value]) < 5 and (kind or (len(value) >= 8 and not words.search(value))):
+                done += [text[reach:a], "[SECRET]"] if a >= reach else []
+                reach = max(reach, b)
+        out.append("".join(done) + (text or "")[reach:])
+    return out

@@ -43,8 +43,15 @@ WIDE_OWNERS, WIDE_REPOS = 3, 5
 #: A live-looking value has a digit, a letter, this many characters, and no such word.
 LEAST_LIVE = 8
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your|test|xxxx|0000|1234"
-#: For redaction: a private key from its header to its END line or, where that is missing, its last line of the body.
-WHOLE_KEY = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,\\-]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----|(?:(?:\s|\\[rn])+[A-Za-z0-9+/=]{16,})*)"
+#: For redaction: a private key from its header to its END line or, where that is missing, to the last line of its body.
+#: Repeated groups are possessive, which Java's engine goes through in a loop; others recurse and overflow the stack on long keys.
+#: What a header is followed by is read up to the next header only, so many headers take time in proportion.
+_BREAK = r"(?:\s|\\[rn])"
+WHOLE_KEY = (
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----"
+    r"(?:(?:[A-Za-z0-9+/=\s:,.\\]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}++(?:(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]{{1,200}}|[A-Za-z0-9+/=]{{16,}}))*+(?:{_BREAK}++[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
+)
 WHOLE_PATTERNS = PATTERNS | {"provider": PATTERNS["provider"].rpartition("|")[0] + "|" + WHOLE_KEY}
 #: Placeholder words count only as whole words of assigned values.
 PLACEHOLDER_WORD = r"(?i)(?<![A-Za-z0-9])(?:example|sample|changeme|placeholder|dummy|your|test|x{4,}|0000|1234)(?![A-Za-z0-9])"
