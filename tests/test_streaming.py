@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tracklens import file_queries, queries as q
 from tracklens.schemas import read, tracks
-from tracklens.streaming import ops
+from tracklens.sources import staging
+from tracklens.streaming import cache, ops, packets
 
 
 def run(spark, tmp_path, df, op, mode, files=3):
@@ -67,3 +68,106 @@ def test_cached_dedup_by_client(spark, tiny):
     got = {tuple(r) for r in q.QUERIES["k4_cached_dedup_by_client"](spark, tiny).collect()}
     rows = read(spark, tiny, "events").select(F.expr(file_queries.CLIENT_KEY), F.unix_millis(F.col("ts").cast("timestamp")), "event_id").collect()
     assert got == sequential([tuple(r) for r in rows], 300_000)
+
+
+def batches_of(spark, rows, cuts):
+    schema = "key string, ms long, event_id long"
+    return [spark.createDataFrame(rows[a:b], schema) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+
+
+def test_batches_equal_one_and_may_be_run_again(spark, tmp_path):
+    """Whatever a stream is cut into, and if a batch is run twice, the result is that of one pass."""
+    import random
+
+    r = random.Random(3)
+    rows = sorted([(r.choice(["a", "b", None, "c"]), r.randrange(0, 5_000_000), i) for i in range(900)] + [("a", 100, 1000), ("a", 100, 1001)], key=lambda x: (x[1], x[2]))
+    want = sequential(rows, 300_000)
+    assert {tuple(x) for x in cache.cached_dedup(spark.createDataFrame(rows, "key string, ms long, event_id long")).collect()} == want
+    for k, cuts in enumerate(([450], [1, 2, 300, 301, 899], [])):
+        dedup = cache.CachedDedup(spark, f"{tmp_path}/{k}")
+        for number, batch in enumerate(batches_of(spark, rows, cuts)):
+            dedup.process(batch, number)
+            dedup.process(batch, number)
+        assert {tuple(x) for x in dedup.kept().collect()} == want
+
+
+def test_state_goes_when_no_answer_lives(spark, tmp_path):
+    dedup = cache.CachedDedup(spark, f"{tmp_path}/s", ttl_seconds=300, lateness_seconds=60)
+    rows = [("a", 0, 1), ("b", 100_000, 2), ("c", 359_999, 3), ("c", 10_000_000, 4)]
+    for number, batch in enumerate(batches_of(spark, rows, [3, 3, 4])):  # the second batch is empty
+        dedup.process(batch, number)
+    assert {tuple(r) for r in dedup.state(0).collect()} == {("a", 0), ("b", 100_000), ("c", 359_999)}
+    assert dedup.state(1).count() == 3 and {tuple(r) for r in dedup.state(2).collect()} == {("c", 10_000_000)}
+
+
+def test_one_key_with_many_rows_moves_one_row_for_each_time(spark):
+    """A million requests of one key at a hundred times: what is dealt by key are the hundred."""
+    df = spark.range(1_000_000).select(F.concat(F.lit("k"), (F.col("id") % 1).cast("string")).alias("key"), (F.col("id") % 100 * 10_000).alias("ms"), F.col("id").alias("event_id"))
+    assert {r.event_id for r in cache.cached_dedup(df).collect()} == {0, 30, 60, 90}
+    plan = cache.cached_dedup(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and plan.index("MapInArrow") < plan.index("Exchange hashpartitioning(key#")
+
+
+# ---- packets ---------------------------------------------------------------------------------
+
+GID = "{:08d}-0000-4000-8000-000000000000"
+
+
+def land(spark, folder, number, gids, op="i"):
+    line = lambda *c: "\t".join(map(str, c))
+    for table, lines in (
+        ("dbmirror_pending", [line(i, '"musicbrainz"."recording"', op, i) for i in range(len(gids))]),
+        ("dbmirror_pendingdata", [line(i, "f", f"\"gid\" = '{GID.format(g)}'") for i, g in enumerate(gids)]),
+    ):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}.landing/{number}/{table}")
+    staging.moved(spark, f"{folder}.landing/{number}", f"{folder}/{number}")
+
+
+@pytest.fixture()
+def answers(spark):
+    schema = "id string, title string, length long, disambiguation string, isrcs array<string>, `artist-credit` array<struct<name: string, joinphrase: string, artist: struct<name: string>>>, releases array<struct<title: string, date: string>>"
+    credit = [("A", " & ", ("x",)), (None, "", ("B",))]
+    rows = [(GID.format(g), f"t{g}", 1000 * g, "", [f"I{g}", "Z"] if g != 4 else [], credit, [("late", "2001"), ("early", "1999-05")]) for g in range(1, 9)]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_packets_go_by_their_numbers(spark, tmp_path, answers):
+    folder, state = f"{tmp_path}/log", f"{tmp_path}/state"
+    existing = spark.createDataFrame([(GID.format(2),)], "mb_id string")
+    begin = lambda: packets.PacketSync(spark, folder, state, answers, existing)
+    assert begin().run() == [] and begin().position() is None and begin().tracks().count() == 0
+    land(spark, folder, 7, [1])
+    assert begin().run() == [] and begin().position() == 7  # noted, not read
+    land(spark, folder, 10, [3, 6])
+    assert begin().run() == [] and begin().tracks().count() == 0  # 8 and 9 are missing
+    land(spark, folder, 8, [2, 3, 3, 4, 99])
+    assert begin().run() == [8]
+    land(spark, folder, 9, [5], op="u")
+    sync = begin()
+    sync.follow(f"{tmp_path}/offsets")
+    assert sync.position() == 10 and sync.run() == []
+    assert {(r.mb_id, r.isrc, r.artist, r.album, r.release_year) for r in sync.tracks().collect()} == {(GID.format(g), f"I{g}", "A & B", "early", 1999) for g in (3, 6)}
+    assert {(r.mb_id, r.priority, r.packet) for r in sync.queue().collect()} == {(GID.format(3), 0, 8), (GID.format(6), 0, 10)}
+    assert {tuple(r) for r in sync.summary().collect()} == {(8, 1, 1, 2, 0), (10, 1, 1, 0, 0)}
+
+
+def test_a_packet_that_was_cut_off_is_taken_again(spark, tmp_path, answers, monkeypatch):
+    folder = f"{tmp_path}/log"
+    sync = packets.PacketSync(spark, folder, f"{tmp_path}/state", answers, spark.createDataFrame([], "mb_id string"), start=0)
+    land(spark, folder, 1, [1, 2])
+    land(spark, folder, 2, [2, 3])
+    real = packets.mark
+
+    def dies(s, path, text=""):
+        if path.endswith("/position/2"):
+            raise RuntimeError("lost")
+        real(s, path, text)
+
+    monkeypatch.setattr(packets, "mark", dies)
+    with pytest.raises(RuntimeError):
+        sync.run()
+    assert sync.position() == 1 and sync.tracks().count() == 2  # what was written of 2 is not seen
+    monkeypatch.setattr(packets, "mark", real)
+    assert sync.run() == [2] and sync.tracks().count() == sync.tracks().select("mb_id").distinct().count() == 3
+    with pytest.raises(FileExistsError):
+        staging.mark(spark, f"{tmp_path}/state/position/2")

@@ -13,8 +13,10 @@ from tracklens.operators import filters, relational as rel, text
 from tracklens.plans import enrich
 from tracklens.schemas import TRACKS, read, tracks
 from tracklens.sources import dumps
-from tracklens.sources.staging import shared_path, written
+from tracklens.sources.staging import moved, shared_path
 from tracklens.streaming import ops as stream
+from tracklens.streaming.cache import CachedDedup
+from tracklens.streaming.packets import PacketSync
 
 add, T = q.add, q.T
 
@@ -152,19 +154,10 @@ add("f17_packet_number", lambda s, d: dumps.packet_numbers(packet_files(s, d)),
 
 
 def sync_packets(s: SparkSession, d: str) -> DataFrame:
-    """Packets as a stream: each batch's new recordings are appended to the table; the checkpoint is the sequence."""
-    folder, out = packets(s, d), shared_path(s, "synced")
-    data, answers, known = dumps.read_packets(s, folder, "dbmirror_pendingdata"), landed(s, d), existing(s, d)
-    schema = stream.new_recordings(dumps.read_packets(s, folder, "dbmirror_pending"), data, answers, known).schema
-
-    def append(batch: DataFrame, _: int) -> None:
-        so_far = known.unionByName(s.read.schema(schema).parquet(out).select("mb_id"))
-        rows = stream.new_recordings(batch, data, answers, so_far)
-        written(rows, "packet").write.mode("append").parquet(out)
-
-    s.createDataFrame([], schema).write.parquet(out)
-    stream.run_available(dumps.read_packets(s, folder, "dbmirror_pending", stream=True), shared_path(s, "offsets"), append)
-    return s.read.schema(schema).parquet(out)
+    """Packets as a stream over their folder, from the first on."""
+    sync = PacketSync(s, packets(s, d), shared_path(s, "synced"), landed(s, d), existing(s, d), start=0)
+    sync.follow(shared_path(s, "offsets"))
+    return sync.tracks()
 
 
 add(
@@ -175,20 +168,52 @@ add(
 )
 
 
+def out_of_order(s: SparkSession, d: str) -> PacketSync:
+    """A baseline, then packets that land as 3, 1, 2, with a new process after each.
+
+    The packet that was there first is only noted. Some recordings stand in several packets.
+    """
+    waiting, folder, state, e = shared_path(s, "packets"), shared_path(s, "log"), shared_path(s, "synced"), read(s, d, "events")
+    begin = lambda: PacketSync(s, folder, state, landed(s, d), existing(s, d))
+    for k in range(4):
+        part = e.filter((F.col("event_id") % 4 == k) | ((F.col("event_id") % 12 == 1) & F.lit(k == 3)))
+        for table, columns in (("dbmirror_pending", q.PENDING), ("dbmirror_pendingdata", q.PAYLOAD)):
+            part.selectExpr(*columns).select(F.concat_ws("\t", *[F.col(c.rpartition(" ")[2]).cast("string") for c in columns])).write.text(f"{waiting}/{k}/{table}")
+    for k in (0, 3, 1, 2):
+        moved(s, f"{waiting}/{k}", f"{folder}/{k}")
+        begin().run()
+    return begin()
+
+
+_SYNCED = f"""{GID} AS mb_id, event_id, user_id, value FROM events WHERE user_id % 2 = 0 AND event_type = 'click' AND user_id % 5 <> 0 AND user_id % 7 <> 0"""
+_NEW = "event_id % 4 <> 0 AND event_id % 5 <> 0 AND user_id % 4 <> 0 AND floor(value * 1000) > 0"
+add(
+    "k6_packets_in_order",
+    lambda s, d: out_of_order(s, d).tracks().select("mb_id", "title", "isrc", "album"),
+    f"SELECT mb_id, 'song ' || CAST(user_id AS STRING) AS title, 'C' || CAST(event_id AS STRING) AS isrc, 'first' AS album FROM (SELECT {_SYNCED}) AS s WHERE {_NEW}",
+)
+add("k6_packet_queue", lambda s, d: out_of_order(s, d).queue(), f"SELECT mb_id, CAST(0 AS INT) AS priority, event_id % 4 AS packet FROM (SELECT {_SYNCED}) AS s WHERE {_NEW}")
+add(
+    "k6_packet_summary",
+    lambda s, d: out_of_order(s, d).summary(),
+    f"""WITH r AS (SELECT {_SYNCED}), p AS (SELECT *, event_id % 4 AS packet, false AS again FROM r WHERE event_id % 4 <> 0 UNION ALL SELECT *, 3, true FROM r WHERE event_id % 12 = 1),
+    o AS (SELECT packet, CASE WHEN event_id % 5 = 0 OR (again AND user_id % 4 <> 0 AND floor(value * 1000) > 0) THEN 'already_had' WHEN user_id % 4 = 0 THEN 'no_isrc' WHEN floor(value * 1000) <= 0 THEN 'refused' ELSE 'inserted' END AS outcome FROM p)
+    SELECT packet, {", ".join(f"count(*) FILTER (outcome = '{x}') AS {x}" for x in ("inserted", "already_had", "no_isrc", "refused"))} FROM o GROUP BY packet""",
+)
+
+
 def dedup_stream(s: SparkSession, d: str, key: str = "event_type") -> DataFrame:
-    """Requests of one key, by default a kind, within 300 seconds of the one that filled the cache are dropped."""
-    folder, out = shared_path(s, "requests"), shared_path(s, "counted")
+    """Requests of one key, by default a kind, within 300 seconds of the one that filled the cache are dropped.
+
+    The earlier half of the time lands first; the stream stops after it and goes on with the rest.
+    """
+    folder, offsets, dedup = shared_path(s, "requests"), shared_path(s, "offsets"), CachedDedup(s, shared_path(s, "counted"))
     e = read(s, d, "events").select(F.expr(key).alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
-    e.write.parquet(folder)
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(name)
-    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        kept = stream.cached_dedup(s.readStream.schema(e.schema).parquet(folder))
-        stream.run_available(kept, shared_path(s, "offsets"), lambda batch, _: batch.write.mode("append").parquet(out), mode="append")
-    finally:
-        s.conf.set(name, before)
-    return s.read.schema("key string, event_id long").parquet(out)
+    middle = e.agg(F.floor((F.min("ms") + F.max("ms")) / 2).alias("m")).first()["m"]
+    for half in (F.col("ms") <= F.lit(middle), F.coalesce(F.col("ms") > F.lit(middle), F.lit(False))):
+        e.filter(half).write.mode("append").parquet(folder)
+        stream.run_available(s.readStream.schema(e.schema).parquet(folder), offsets, dedup.process)
+    return dedup.kept()
 
 
 CLIENT_KEY = "event_type || ':' || CAST(user_id AS STRING)"

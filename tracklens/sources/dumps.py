@@ -71,6 +71,11 @@ def read_packets(spark: SparkSession, folder: str, table: str, stream: bool = Fa
     return _named(reader.text(f"{folder}/*/{table}"), table)
 
 
+def read_packet(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """One file kind of the packet in ``folder``."""
+    return _named(spark.read.text(f"{folder}/{table}"), table)
+
+
 def packet_numbers(df: DataFrame, file_col: str = "file") -> DataFrame:
     """The highest packet number in the names of packets, which are the last part of their paths: ``3``, ``packet-3.tar.bz2``."""
     name = F.element_at(F.split(F.rtrim(F.col(file_col), F.lit("/")), "/"), -1)
