@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklens import queries as q
-from tracklens.operators import filters, relational as rel, text
+from tracklens.operators import filters, relational as rel, text, word_index
 from tracklens.plans import enrich
 from tracklens.schemas import TRACKS, read, tracks
 from tracklens.sources import dumps
@@ -330,16 +330,63 @@ add("j9_review_file", _duration_review, f"{q.DUR_SQL} SELECT o.id, t.mb_id, t.ti
 
 def _stored_search(s: SparkSession, d: str) -> DataFrame:
     t = tracks(s, d)
-    index = text.store_index(t, "id", q.search.COLUMNS, shared_path(s, "index"))
+    index = word_index.store_index(t, "id", q.search.COLUMNS, shared_path(s, "index"))
     return q.search.search_tracks(t, q.SearchSpec(keywords="blue economy", per_page=50), index).select("id", "title")
 
 
 add("j10_search_stored", _stored_search, q.ORACLES["j10_search_keywords"])
 
 
+def _updated_index(s: SparkSession, d: str, compact: bool = False) -> word_index.StoredIndex:
+    """An index of the tracks that then follows two changes: new titles, new rows and rows that go; then titles again."""
+    t = tracks(s, d).select("id", *q.search.COLUMNS)
+    index = word_index.store_index(t.filter("id % 7 <> 0"), "id", q.search.COLUMNS, shared_path(s, "index"), stem=False)
+    now = t.filter("id % 11 <> 0").withColumn("title", F.expr("CASE WHEN id % 6 = 0 THEN concat('new ', title) ELSE title END"))
+    changed, gone = word_index.changed_text(t.filter("id % 7 <> 0"), now, q.search.COLUMNS)
+    index.update(changed, gone)
+    later = now.withColumn("title", F.expr("CASE WHEN id % 12 = 0 THEN album ELSE title END"))
+    index.update(word_index.changed_text(now, later, q.search.COLUMNS)[0])
+    if compact:
+        index.compact()
+    return index
+
+
+_UPDATED = "u AS (SELECT id, CASE WHEN id % 12 = 0 THEN album WHEN id % 6 = 0 THEN 'new ' || title ELSE title END AS title, artist, album FROM tracks WHERE id % 11 <> 0)"
+_UPDATED_POSTINGS = rf"""{q.T}, {_UPDATED}, c AS (SELECT id, 'title' AS col, title AS x FROM u UNION ALL SELECT id, 'artist', artist FROM u UNION ALL SELECT id, 'album', album FROM u),
+    w AS (SELECT id, col, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') AS w FROM c)
+    SELECT id AS doc_id, col, CAST(generate_subscripts(w, 1) - 1 AS INT) AS pos, unnest(w) AS term FROM w WHERE len(w) > 0"""
+add("d1_index_updated", lambda s, d: _updated_index(s, d).postings(), _UPDATED_POSTINGS)
+add("d1_index_compacted", lambda s, d: _updated_index(s, d, compact=True).postings(), _UPDATED_POSTINGS)
+add("d1_index_lengths", lambda s, d: _updated_index(s, d).lengths(), f"WITH p AS ({_UPDATED_POSTINGS}) SELECT doc_id, count(*) AS length FROM p GROUP BY doc_id")
+add(
+    "d4_prefixes_stored",
+    lambda s, d: text.match_column(_updated_index(s, d).postings(prefixes=["ne", "wid"]), "title", ["ne", "wid"]),
+    rf"{q.T}, {_UPDATED} SELECT id AS doc_id FROM u WHERE regexp_matches(title, '\bne') AND regexp_matches(title, '\bwid')",
+)
+
+
+def _title_words(s: SparkSession, d: str) -> DataFrame:
+    t = tracks(s, d)
+    index = word_index.store_index(t, "id", q.search.COLUMNS, shared_path(s, "index"))
+    return q.search.search_tracks(t, q.SearchSpec(title_words="Wid*", artist_words="brand 2", min_ms=180_000, per_page=200), index).select("id", F.col("position").cast("long").alias("position"))
+
+
+add("j10_title_words", _title_words, rf"SELECT id, position FROM (SELECT id, row_number() OVER (ORDER BY {q.RELEVANCE_SQL}) AS position FROM tracks WHERE regexp_matches(title, '\bwid') AND artist LIKE '%#2%' AND duration_ms >= 180000) AS s WHERE position <= 200")
+
+
+def _exact_total(s: SparkSession, d: str) -> DataFrame:
+    t = tracks(s, d)
+    body = q.search.answer(t, q.SearchSpec(min_ms=0, per_page=1), cap=None)
+    return body.select(F.get_json_object("body", "$.total").cast("long").alias("total"), F.get_json_object("body", "$.capped").cast("boolean").alias("capped"))
+
+
+add("j10_exact_total", _exact_total, "SELECT count(*) AS total, false AS capped FROM tracks")
+add("j12_every_version", lambda s, d: q.search.versions(tracks(s, d), "Blue Widget", "brand#3", limit=None).select("id"), "SELECT id FROM tracks WHERE lower(title) = 'blue widget' AND lower(artist) = 'brand#3'")
+
+
 def _answered(s: SparkSession, d: str) -> DataFrame:
     t = tracks(s, d)
-    index = text.store_index(t, "id", q.search.COLUMNS, shared_path(s, "index"))
+    index = word_index.store_index(t, "id", q.search.COLUMNS, shared_path(s, "index"))
     body = q.search.answer(t, q.SearchSpec(keywords="blues economies", per_page=20), index)
     got = lambda p: F.get_json_object("body", p)
     return body.select(got("$.total").cast("long").alias("total"), got("$.hasMore").cast("boolean").alias("has_more"), got("$.results[0].id").cast("long").alias("first_id"), "stemmed_word")

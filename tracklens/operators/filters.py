@@ -38,6 +38,9 @@ class SearchSpec:
     artist_len_max: int | None = None
     title_starts: str | None = None
     artist_starts: str | None = None
+    #: Each word begins a word of the column, through the index.
+    title_words: str | None = None
+    artist_words: str | None = None
     mode: str = "tracks"
     sort: str = "relevance"
     group: bool = False

@@ -272,10 +272,15 @@ def headline_order() -> list[Column]:
 
 
 def headline(df: DataFrame) -> DataFrame:
-    """One row per song, its best version, with ``version_count``; one sort serves both windows."""
-    w = Window.partitionBy(*song_keys())
-    ranked = df.withColumns({"_n": F.row_number().over(w.orderBy(*headline_order())), "version_count": F.count("*").over(w)})
-    return ranked.filter("_n = 1").drop("_n")
+    """One row per song, its best version, with ``version_count``.
+
+    Best row and count are one aggregate, merged within partitions before rows move, so that a song, or what has no title,
+    may hold any part of the table.
+    """
+    names = df.columns
+    better = F.struct(expr.headline_score(F.col("popularity"), F.col("version")).alias("s"), (-F.coalesce("duration_ms", F.lit(2**62))).alias("d"), (-F.col("id")).alias("i"))
+    best = df.groupBy(*song_keys()).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in names]), better).alias("_best"), F.count("*").alias("version_count"))
+    return best.select(*[F.col(f"_best.`{c}`").alias(c) for c in names], "version_count")
 
 
 def relevance_order(second: str = "duration_ms") -> list[Column]:
@@ -299,12 +304,12 @@ def page(df: DataFrame, order: list[Column], number: int, per_page: int) -> Data
     return numbered.filter(F.col("_i") <= per_page).withColumn("position", F.col("_i") + (number - 1) * per_page).drop("_i")
 
 
-def candidate_cap(df: DataFrame, n: int = 400) -> DataFrame:
+def candidate_cap(df: DataFrame, n: int = 4000) -> DataFrame:
     """The first ``n`` rows in relevance order, among which songs are then grouped."""
     return df.orderBy(*relevance_order()).limit(n)
 
 
-def versions_cap(df: DataFrame, n: int = 20) -> DataFrame:
+def versions_cap(df: DataFrame, n: int = 500) -> DataFrame:
     """The first ``n`` rows of one song in headline order."""
     return df.orderBy(*headline_order()).limit(n)
 

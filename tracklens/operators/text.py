@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.functions import expr
@@ -17,14 +18,36 @@ RANK_WEIGHTS = {"title": 1.0, "artist": 0.4, "album": 0.2, "version": 0.1}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def build_postings(df: DataFrame, id_col: str, cols: list[str], stem: bool = False) -> DataFrame:
-    """``(doc_id, col, pos, term)``: words lower-cased, accents folded, stemmed if asked."""
-    tokens = F.array(*[F.struct(F.lit(c).alias("col"), expr.word_tokens(expr.fold_accents(F.coalesce(F.col(c), F.lit("")))).alias("words")) for c in cols])
-    each = df.select(F.col(id_col).alias("doc_id"), F.explode(tokens).alias("t")).select("doc_id", "t.col", F.posexplode("t.words").alias("pos", "term"))
-    if not stem:
-        return each
-    stems = stem_vocabulary(each.select("term"))
-    return each.join(stems, "term").select("doc_id", "col", "pos", F.col("stem").alias("term"))
+def build_postings(df: DataFrame, id_col: str, cols: list[str], stem: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, col, pos, term)`` and the columns to ``carry``: words lower-cased, accents folded, stemmed if asked."""
+    words = [expr.word_tokens(expr.fold_accents(F.coalesce(F.col(c), F.lit("")))) for c in cols]
+    tokens = F.array(*[F.struct(F.lit(c).alias("col"), (stemmed(w) if stem else w).alias("words")) for c, w in zip(cols, words, strict=True)])
+    each = df.select(F.col(id_col).alias("doc_id"), *carry, F.explode(tokens).alias("t"))
+    return each.select("doc_id", "t.col", F.posexplode("t.words").alias("pos", "term"), *carry)
+
+
+#: Words whose stems a task remembers.
+REMEMBERED = 100_000
+
+
+def stemmed(words: Column) -> Column:
+    """Arrays of words as their stems, where they are cut: a task stems each distinct word of a batch once, and nothing is joined."""
+
+    @F.arrow_udf("array<string>")
+    def stems(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, str] = {}
+        for array in batches:
+            each = array.flatten().dictionary_encode()
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in each.dictionary.to_pylist():
+                if w not in known:
+                    known[w] = porter_stem(w)
+            values = pa.array([known[w] for w in each.dictionary.to_pylist()], pa.string()).take(each.indices)
+            sizes = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+    return stems(words)
 
 
 def stem_vocabulary(terms: DataFrame) -> DataFrame:
@@ -43,38 +66,6 @@ def query_terms(keywords: str) -> list[str]:
     return [porter_stem(t) for t in keywords.lower().split()]
 
 
-#: Buckets of terms that a stored index is laid out in, and parts of a bucket, so that a term that a third of all rows hold is written by several tasks.
-TERM_BUCKETS, BUCKET_PARTS = 32, 4
-
-
-@dataclass(frozen=True)
-class StoredIndex:
-    """Postings laid out by bucket of their term, and the length of each document, written once."""
-
-    spark: SparkSession
-    path: str
-
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
-        """All postings, or those of some terms: then only their buckets are read."""
-        rows = self.spark.read.parquet(f"{self.path}/postings")
-        if terms is not None:
-            rows = rows.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % TERM_BUCKETS for t in terms})) & F.col("term").isin(sorted(set(terms))))
-        return rows.drop("bucket")
-
-    def lengths(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lengths")
-
-
-def store_index(df: DataFrame, id_col: str, cols: list[str], path: str) -> StoredIndex:
-    """Cuts the texts into words once and keeps stems with their places under ``path``."""
-    postings = build_postings(df, id_col, cols, stem=True).withColumn("bucket", (F.crc32("term") % TERM_BUCKETS).cast("int"))
-    postings = postings.repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(BUCKET_PARTS))).sortWithinPartitions("bucket", "term")
-    postings.write.partitionBy("bucket").parquet(f"{path}/postings")
-    index = StoredIndex(df.sparkSession, path)
-    doc_stats(index.postings()).write.parquet(f"{path}/lengths")
-    return index
-
-
 def match_all(postings: DataFrame, terms: list[str]) -> DataFrame:
     """Documents that have every term in some column."""
     wanted = sorted(set(terms))
@@ -133,12 +124,13 @@ def bm25(postings: DataFrame, stats: DataFrame, terms: list[str], weights: dict[
     return scored.groupBy("doc_id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("n")).filter(F.col("n") == len(wanted)).drop("n")
 
 
-def match_song(df: DataFrame, title: str, artist: str, limit: int = 500) -> DataFrame:
-    """All recordings of one song in headline order."""
+def match_song(df: DataFrame, title: str, artist: str, limit: int | None = 500) -> DataFrame:
+    """The recordings of one song in headline order, so many of them, or all."""
     from tracklens.operators.relational import headline_order
 
     same = (F.lower("title") == title.lower()) & (F.lower("artist") == artist.lower())
-    return df.filter(same).orderBy(*headline_order()).limit(limit)
+    found = df.filter(same).orderBy(*headline_order())
+    return found if limit is None else found.limit(limit)
 
 
 def stemmed_word(rows: DataFrame, tokens: DataFrame, text: Column) -> DataFrame:

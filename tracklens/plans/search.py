@@ -9,11 +9,34 @@ from tracklens.functions import expr
 from tracklens.functions.search_log import normalize_search_log
 from tracklens.operators import filters, relational as rel, text
 from tracklens.operators.filters import SearchSpec
+from tracklens.operators.word_index import StoredIndex
 from tracklens.sources import dumps
+from tracklens.sources.staging import written
 
 COLUMNS = ["title", "artist", "album"]
 
 
+def _asked_of(spec: SearchSpec) -> tuple[list[str], dict[str, list[str]]]:
+    """The stems of the keywords, and those that words of a column begin with."""
+    prefixes = {c: text.query_terms(expr_words(v)) for c, v in (("title", spec.title_words), ("artist", spec.artist_words)) if v}
+    return text.query_terms(spec.keywords or ""), {c: p for c, p in prefixes.items() if p}
+
+
+def expr_words(value: str) -> str:
+    """The letters and digits of a typed value, for looking its words up."""
+    return "".join(x if x.isalnum() else " " for x in value)
+
+
+def _postings(tracks: DataFrame, spec: SearchSpec, index: StoredIndex | None) -> DataFrame | None:
+    """The postings that a search needs: those of its words and prefixes from a stored index, or else all."""
+    terms, prefixes = _asked_of(spec)
+    if not terms and not prefixes:
+        return None
+    if index is None:
+        return text.build_postings(tracks, "id", COLUMNS, stem=True)
+    return index.postings(terms, [p for ps in prefixes.values() for p in ps])
+
+
 def _matched(tracks: DataFrame, spec: SearchSpec, postings: DataFrame | None) -> DataFrame:
     """Tracks that meet the words and the predicates; words go through the index of stems."""
     if filters.nothing_asked(spec):
@@ -21,24 +44,25 @@ def _matched(tracks: DataFrame, spec: SearchSpec, postings: DataFrame | None) ->
     df = tracks
     for c in filters.clauses(spec, tracks):
         df = df.filter(c)
-    if spec.keywords:
-        postings = text.build_postings(tracks, "id", COLUMNS, stem=True) if postings is None else postings
-        df = df.join(text.match_all(postings, text.query_terms(spec.keywords)).withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    terms, prefixes = _asked_of(spec)
+    if terms:
+        df = df.join(text.match_all(postings, terms).withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    for c, p in prefixes.items():
+        df = df.join(text.match_column(postings, c, p).withColumnRenamed("doc_id", "id"), "id", "left_semi")
     return df
 
 
-def search_tracks(tracks: DataFrame, spec: SearchSpec, index: text.StoredIndex | None = None) -> DataFrame:
+def search_tracks(tracks: DataFrame, spec: SearchSpec, index: StoredIndex | None = None) -> DataFrame:
     """One page of tracks, or of songs with ``version_count`` if grouped, in the order asked for.
 
-    With a stored index only the buckets of the words asked for are read; without, it is built in the plan.
+    With a stored index only the ranges of the words asked for are read; without, it is built in the plan.
     """
-    postings = index.postings(text.query_terms(spec.keywords)) if index and spec.keywords else None
+    postings = _postings(tracks, spec, index)
     df = _matched(tracks, spec, postings)
     if spec.group:
         df = rel.headline(df)
     order = rel.relevance_order() if spec.sort == "relevance" else rel.duration_order(spec.sort)
     if spec.keywords and spec.sort == "relevance":
-        postings = text.build_postings(tracks, "id", COLUMNS, stem=True) if postings is None else postings
         lengths = index.lengths() if index else text.doc_stats(postings)
         scored = text.bm25(postings, lengths, text.query_terms(spec.keywords), text.WEIGHTS)
         df = df.join(scored.withColumnRenamed("doc_id", "id"), "id").withColumn("bm25", F.round("bm25", 9))
@@ -46,15 +70,20 @@ def search_tracks(tracks: DataFrame, spec: SearchSpec, index: text.StoredIndex |
     return rel.page(df, order, spec.page, spec.per_page)
 
 
-def search_totals(tracks: DataFrame, spec: SearchSpec, postings: DataFrame | None = None) -> DataFrame:
-    df = _matched(tracks, spec, postings)
-    return rel.song_count(df) if spec.group else rel.capped_count(df)
+#: Totals are counted so far.
+TOTAL_CAP = 10_000
+
+
+def search_totals(tracks: DataFrame, spec: SearchSpec, index: StoredIndex | None = None, cap: int | None = TOTAL_CAP) -> DataFrame:
+    """How many tracks, or songs if grouped, a search finds: up to the cap, or without one exactly."""
+    df = _matched(tracks, spec, _postings(tracks, spec, index))
+    return rel.song_count(df, cap) if spec.group else rel.capped_count(df, cap)
 
 
-def answer(tracks: DataFrame, spec: SearchSpec, index: text.StoredIndex | None = None) -> DataFrame:
+def answer(tracks: DataFrame, spec: SearchSpec, index: StoredIndex | None = None, cap: int | None = TOTAL_CAP) -> DataFrame:
     """A search as one answer: the envelope of its page and totals, and the first word that only stems matched."""
     page = search_tracks(tracks, spec, index)
-    body = dumps.result_envelope(page, search_totals(tracks, spec, index and spec.keywords and index.postings(text.query_terms(spec.keywords)) or None), spec.page, spec.per_page)
+    body = dumps.result_envelope(page, search_totals(tracks, spec, index, cap), spec.page, spec.per_page)
     if not spec.keywords:
         return body.withColumn("stemmed_word", F.lit(None).cast("string"))
     asked = F.array(*[F.lit(w) for w in spec.keywords.lower().split()])
@@ -84,48 +113,116 @@ def search_artists(tracks: DataFrame, spec: SearchSpec, postings: DataFrame | No
     return rel.page(filters.non_empty_name(scores), rel.artist_order(spec.sort), spec.page, spec.per_page)
 
 
-def versions(tracks: DataFrame, title: str, artist: str) -> DataFrame:
-    return text.match_song(tracks, title, artist)
+def versions(tracks: DataFrame, title: str, artist: str, limit: int | None = 500) -> DataFrame:
+    return text.match_song(tracks, title, artist, limit)
 
 
 def curated_search(curated: DataFrame, text_: str) -> DataFrame:
     return rel.songs_per_year(filters.curated_contains(curated, text_))
 
 
-def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10) -> DataFrame:
+#: Filters that a search of a batch may bring as columns of these names: how, and of which column of the tracks. A null asks for nothing.
+BATCH_FILTERS: dict[str, tuple[str, str]] = {
+    "title": ("text", "title"), "artist": ("text", "artist"), "genre": ("text", "genre"), "label": ("text", "label"), "country": ("text", "artist_country"), "language": ("part", "language"),
+    "year_from": ("from", "release_year"), "year_to": ("to", "release_year"), "bpm_min": ("from", "bpm"), "bpm_max": ("to", "bpm"),
+    "release_type": ("is", "release_type"), "artist_type": ("is", "artist_type"), "artist_gender": ("is", "artist_gender"),
+    "title_len_min": ("long", "title"), "title_len_max": ("short", "title"), "artist_len_min": ("long", "artist"), "artist_len_max": ("short", "artist"),
+    "title_starts": ("starts", "title"), "artist_starts": ("starts", "artist"),
+}
+#: What a hit carries until the best are known: what ranks it.
+_RANKED_BY = ("duration_ms", "popularity", "search_count")
+
+
+def _meets(kind: str, asked: Column, c: Column) -> Column:
+    """Whether a track meets one filter of a search; a track without the value does not."""
+    test = {
+        "text": lambda: expr.wildcard_match(c, expr.like_pattern(asked)),
+        "part": lambda: F.ilike(c, F.concat(F.lit("%"), F.regexp_replace(asked, r"[\\%_]", r"\\$0"), F.lit("%"))),
+        "from": lambda: c >= asked, "to": lambda: c <= asked, "is": lambda: c == asked,
+        "long": lambda: F.length(c) >= asked, "short": lambda: F.length(c) <= asked,
+        "starts": lambda: F.startswith(F.lower(c), F.lower(F.regexp_replace(asked, r"\*", ""))),
+    }[kind]()
+    idle = asked.isNull()
+    if kind in ("text", "part", "starts"):
+        idle = idle | asked.rlike(r"^\**$")
+    return idle | F.coalesce(test, F.lit(False))
+
+
+def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10, index: StoredIndex | None = None) -> DataFrame:
     """A table ``(query_id, query)`` of typed searches answered in one job.
 
-    Words are stems, as in the index: each stands for the words of the catalogue with its stem. They are joined by term and counted per query and track, and a window then is a filter on
-    what they found. Only searches without words take their rows from the windows, which are joined by
-    bucket; a search that asks for nothing finds nothing. A wildcard
-    keeps those hits whose title or artist it matches; alone, it is looked up in the distinct
-    titles and artists by runs of three characters.
+    The table may have the columns of ``BATCH_FILTERS``, ``tolerance_ms``, ``sort`` (relevance, asc, desc), ``page`` and ``per_page``
+    (default ``per_query``); a null is the default. A search that asks for nothing finds nothing.
+
+    Words are stems, as in the index: each stands for the words of the catalogue with its stem. They are joined by term and counted per
+    search and track; searches without words take their rows from their windows, joined by bucket, and those with neither from
+    the whole catalogue, unless they are a wildcard alone, which is looked up in the distinct titles and artists by its rarest run of three characters.
+    Hits are narrow: an id, what ranks it and what their search asks for. Only those that a wildcard or filter concerns meet the columns that it needs, the best
+    of each search are kept within partitions before rows move, and only they meet the wide rows.
     """
-    spec = normalize_search_log(queries, "query").withColumns({
-        "low": F.coalesce("min_ms", "exact_ms"),
-        "high": F.coalesce("max_ms", F.col("exact_ms") + F.col("window_ms") - 1),
+    have = [c for c in BATCH_FILTERS if c in queries.columns]
+    given = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in queries.columns else F.lit(default)
+    plain = queries.select(
+        "query_id", "query", F.struct(F.lit(0).alias("none"), *[F.col(c).alias(c) for c in have]).alias("filters"),
+        given("tolerance_ms", 0).alias("tolerance"), given("sort", "relevance").alias("sort"), given("page", 1).alias("page"), given("per_page", per_query).alias("per_page"),
+    )
+    spec = normalize_search_log(plain, "query").withColumns({
+        "low": F.coalesce("min_ms", "exact_ms") - F.col("tolerance"),
+        "high": F.coalesce("max_ms", F.col("exact_ms") + F.col("window_ms") - 1) + F.col("tolerance"),
         "terms": F.array_distinct(expr.word_tokens(F.coalesce("keywords", F.lit("")))),
         "like": F.when(~F.coalesce("wildcard", F.lit("")).rlike(r"^\**$"), expr.like_pattern(F.col("wildcard"))),
         "core": F.lower(F.regexp_replace(F.coalesce("wildcard", F.lit("")), r"^\*+|\*+$", "")),
-    }).select("query_id", "low", "high", "terms", "like", "core")
-    timed = F.col("low").isNotNull() | F.col("high").isNotNull()
+        "filtered": sum([F.col(f"filters.{c}").isNotNull().cast("int") for c in have], F.lit(0)) > 0,
+    })
+    want = F.struct("like", "filtered", "filters", "sort", "page", "per_page").alias("want")
+    # Written once: the table of searches is read on several ways, and what it asks for decides which of them there are.
+    spec = written(spec.select("query_id", "low", "high", "terms", "like", "core", "filtered", want), "searches")
+    worded, timed, like = F.size("terms") > 0, F.col("low").isNotNull() | F.col("high").isNotNull(), F.col("like").isNotNull()
+    ways = {
+        "words": worded, "windows": timed & ~worded, "stars": ~worded & ~timed & like, "whole": ~worded & ~timed & ~like & F.col("filtered"),
+        "tested": like | F.col("filtered"), "plain": ~like & ~F.col("filtered"),
+    }
+    asked = spec.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in ways.items()], F.coalesce(F.max(F.col("want.page") * F.col("want.per_page")), F.lit(0)).alias("last")).first()
     inside = (F.col("low").isNull() | (F.col("duration_ms") >= F.col("low"))) & (F.col("high").isNull() | (F.col("duration_ms") <= F.col("high")))
-    lengths = tracks.select("id", "duration_ms")
-    postings = text.build_postings(tracks, "id", COLUMNS, stem=True).select(F.col("doc_id").alias("id"), "term").distinct().join(lengths, "id")
-    words = spec.filter(F.size("terms") > 0).select("query_id", "low", "high", F.explode("terms").alias("term"))
-    words = words.join(text.stem_vocabulary(words.select("term")), "term").select("query_id", "low", "high", F.col("stem").alias("term")).distinct()
-    words = words.join(words.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
-    # The window is tested where a word meets a track, so that what lies outside is never grouped.
-    by_words = words.join(postings, "term").filter((F.col("low").isNull() & F.col("high").isNull()) | inside)
-    by_words = by_words.groupBy("query_id", "id", "n").agg(F.count("*").alias("found")).filter("found = n").select("query_id", "id")
-    ranges = spec.filter(timed & (F.size("terms") == 0)).select("query_id", F.col("low").alias("min_ms"), F.col("high").alias("max_ms"))
-    hits = by_words.unionByName(rel.range_join(ranges, lengths).select("query_id", "id"))
-    hits = hits.join(spec.select("query_id", "like"), "query_id")
-    rows = hits.join(tracks, "id").filter(F.col("like").isNull() | expr.wildcard_match(F.col("title"), F.col("like")) | expr.wildcard_match(F.col("artist"), F.col("like")))
-    alone = wildcard_hits(spec.filter((F.size("terms") == 0) & ~timed & F.col("like").isNotNull()), tracks)
-    rows = rows.drop("like").unionByName(alone.join(tracks, "id").select(*[c for c in rows.columns if c != "like"]))
-    w = Window.partitionBy("query_id").orderBy(*rel.relevance_order())
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= per_query)
+    narrow, shape, found = tracks.select("id", *_RANKED_BY), ["query_id", "want", "id", *_RANKED_BY], []
+    if asked["words"]:
+        if index is None:
+            postings = text.build_postings(tracks, "id", COLUMNS, stem=True, carry=_RANKED_BY).select(F.col("doc_id").alias("id"), "term", *_RANKED_BY).distinct()
+        else:
+            postings = index.postings().select(F.col("doc_id").alias("id"), "term").distinct().join(narrow, "id")
+        words = spec.filter(worded).select("query_id", "low", "high", "want", F.array_distinct(text.stemmed(F.col("terms"))).alias("stems"))
+        words = words.select("query_id", "low", "high", "want", F.size("stems").alias("n"), F.explode("stems").alias("term"))
+        # The window is tested where a word meets a track, so that what lies outside is never grouped.
+        by_words = words.join(postings, "term").filter(inside).groupBy("query_id", "id", "n").agg(F.count("*").alias("found"), *[F.any_value(c).alias(c) for c in ("want", *_RANKED_BY)])
+        found.append(by_words.filter("found = n"))
+    if asked["windows"]:
+        found.append(rel.range_join(spec.filter(ways["windows"]).select("query_id", "want", F.col("low").alias("min_ms"), F.col("high").alias("max_ms")), narrow))
+    if asked["stars"]:
+        found.append(wildcard_hits(spec.filter(ways["stars"]), tracks).join(narrow, "id"))
+    if asked["whole"]:
+        every = spec.filter(ways["whole"]).select("query_id", "want", F.lit(0).cast("long").alias("min_ms"), F.lit(None).cast("long").alias("max_ms"))
+        placed = narrow.withColumns({"_ms": F.col("duration_ms"), "duration_ms": F.coalesce("duration_ms", F.lit(0).cast("long"))})  # without a time, too
+        found.append(rel.range_join(every, placed).withColumn("duration_ms", F.col("_ms")))
+    hits = spec.limit(0).join(narrow, F.lit(False)) if not found else found[0]
+    hits = hits.select(*shape)
+    for more in found[1:]:
+        hits = hits.unionByName(more.select(*shape))
+    hits = hits.select("query_id", "id", *_RANKED_BY, "want.*")
+    if asked["tested"]:
+        columns = sorted({"title", "artist", *[BATCH_FILTERS[c][1] for c in have]})
+        met = F.col("like").isNull() | F.coalesce(expr.wildcard_match(F.col("t.title"), F.col("like")) | expr.wildcard_match(F.col("t.artist"), F.col("like")), F.lit(False))
+        for c in have:
+            kind, of = BATCH_FILTERS[c]
+            met = met & _meets(kind, F.col(f"filters.{c}"), F.col(f"t.{of}"))
+        checked = hits.filter(ways["tested"]).join(tracks.select("id", F.struct(*columns).alias("t")), "id").filter(met).drop("t")
+        hits = hits.filter(ways["plain"]).unionByName(checked) if asked["plain"] else checked
+    up = lambda c: F.when(F.col("sort") == c, F.lit(1)).otherwise(0)
+    by_rank = F.when(F.col("sort") == "relevance", expr.rank_score(F.col("popularity"), F.col("search_count"))).desc_nulls_last()
+    by_time = F.when(up("desc") == 1, -F.col("duration_ms")).otherwise(F.col("duration_ms"))
+    w = Window.partitionBy("query_id").orderBy(by_rank, F.when((up("asc") == 1) & F.col("duration_ms").isNull(), 0).otherwise(1), by_time.asc_nulls_last(), F.col("id"))
+    best = hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= asked["last"])
+    best = best.filter((F.col("position") > (F.col("page") - 1) * F.col("per_page")) & (F.col("position") <= F.col("page") * F.col("per_page")))
+    return best.select("query_id", "id", "position").join(tracks, "id")
 
 
 def _grams(c: Column, size: int) -> Column:
@@ -133,16 +230,24 @@ def _grams(c: Column, size: int) -> Column:
     return F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+#: Parts of a run of characters, so that names with a common one are dealt to several tasks.
+GRAM_PARTS = 16
+
+
 def wildcard_hits(spec: DataFrame, tracks: DataFrame) -> DataFrame:
-    """``(query_id, id)`` of searches that are a wildcard alone (``like``, ``core``).
+    """``(query_id, want, id)`` of searches that are a wildcard alone (``like``, ``core``, and ``want``, which is carried on).
 
-    The first three characters of the core (or all, if it has fewer) meet the runs of that length
-    in the distinct titles and artists; the pattern then decides.
+    Runs of three characters of the distinct titles and artists are counted, those that are asked for; the rarest run of a core (or the core, if it is
+    shorter) then meets the names that hold it, in parts, and the pattern decides.
     """
     names = tracks.select("id", F.explode(F.array("title", "artist")).alias("name")).filter("name IS NOT NULL")
     each = names.select("name").distinct()
     low = F.lower(F.col("name"))
-    runs = F.array_distinct(F.concat(*[_grams(low, n) for n in (1, 2, 3)]))
-    asked = spec.withColumn("gram", F.substring("core", 1, 3))
-    found = asked.join(each.select("name", F.explode(runs).alias("gram")), "gram").filter(expr.wildcard_match(F.col("name"), F.col("like")))
-    return found.select("query_id", "name").join(names, "name").select("query_id", "id").distinct()
+    asked = spec.select("query_id", "like", "want", F.explode(F.array_distinct(F.when(F.length("core") >= 3, _grams(F.col("core"), 3)).otherwise(F.array("core")))).alias("gram"))
+    runs = each.select("name", F.explode(F.array_distinct(F.concat(*[_grams(low, n) for n in (1, 2, 3)]))).alias("gram"))
+    runs = runs.join(asked.select("gram").distinct(), "gram", "left_semi")
+    counts = runs.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("query_id", "like").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.any_value("want").alias("want"))
+    rarest = rarest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(GRAM_PARTS - 1))))
+    found = rarest.join(runs.withColumn("part", F.pmod(F.hash("name"), F.lit(GRAM_PARTS))), ["gram", "part"]).filter(expr.wildcard_match(F.col("name"), F.col("like")))
+    return found.select("query_id", "want", "name").join(names, "name").groupBy("query_id", "id").agg(F.any_value("want").alias("want"))  # a name meets a search once

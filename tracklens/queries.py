@@ -263,19 +263,67 @@ on_tracks(
     "SELECT id, CAST(1.1 AS DOUBLE) AS rank FROM tracks WHERE contains(title, 'blue') AND version = 'live'",
 )
 BATCH = "CASE id % 4 WHEN 0 THEN title WHEN 1 THEN '3:' || lpad(CAST(id % 60 AS STRING), 2, '0') || '.5' WHEN 2 THEN split_part(title, ' ', 1) || ' 3:0' || CAST(id % 10 AS STRING) ELSE split_part(title, ' ', 2) || ' >3:1' || CAST(id % 10 AS STRING) END"
+_ASK = "id % 20 = 0"
+_KIND = BATCH.replace("CASE id % 4", "CASE (id DIV 20) % 4")
+
+
+def _positions(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("position").cast("long").alias("position"), "id")
+
+
+
+def _asked(t: DataFrame, query: str, **filters_: str) -> DataFrame:
+    """Each twentieth track asks, with filters of its own."""
+    return t.filter(_ASK).select(F.col("id").alias("query_id"), F.expr(query).alias("query"), *[F.expr(e).alias(c) for c, e in filters_.items()])
+
+
+_SECONDS = "(3 * 60 + query_id % 60) * 1000"
+_BATCH_SQL = f"""q AS (SELECT id AS query_id, (id // 20) % 4 AS kind, title FROM tracks WHERE {_ASK}),
+    p AS (SELECT query_id, kind, CASE kind WHEN 1 THEN NULL WHEN 3 THEN split_part(title, ' ', 2) ELSE split_part(title, ' ', 1) END AS w, CASE WHEN kind = 0 THEN split_part(title, ' ', 2) END AS w2,
+        CASE kind WHEN 1 THEN {_SECONDS} + 500 WHEN 3 THEN (3 * 60 + 10 + query_id % 10) * 1000 WHEN 2 THEN (3 * 60 + query_id % 10) * 1000 ELSE 0 END AS lo,
+        CASE kind WHEN 1 THEN {_SECONDS} + 599 WHEN 2 THEN (3 * 60 + query_id % 10) * 1000 + 999 ELSE 99999999 END AS hi FROM q)"""
+_HOLDS = "(split_part(t.title, ' ', 1) = {0} OR split_part(t.title, ' ', 2) = {0} OR lower(t.album) = {0})"
 on_tracks(
     "d10_batch_search",
-    lambda t: search.batch_search(t.filter("id % 20 = 3 OR id % 20 = 6").select(F.col("id").alias("query_id"), F.expr(BATCH).alias("query")), t).select("query_id", F.col("position").cast("long").alias("position"), "id"),
-    f"""{T}, q AS (SELECT id AS query_id, id % 4 AS kind, title, {BATCH} AS query FROM tracks WHERE id % 20 = 3 OR id % 20 = 6),
-    p AS (SELECT query_id, kind, CASE kind WHEN 3 THEN split_part(title, ' ', 2) ELSE split_part(title, ' ', 1) END AS w,
-        CASE WHEN kind = 3 THEN (3 * 60 + 10 + query_id % 10) * 1000 WHEN kind = 2 THEN (3 * 60 + query_id % 10) * 1000 END AS lo, CASE WHEN kind = 2 THEN (3 * 60 + query_id % 10) * 1000 + 999 ELSE 99999999 END AS hi FROM q),
-    h AS (SELECT query_id, t.*, row_number() OVER (PARTITION BY query_id ORDER BY {RANK_SQL} DESC NULLS LAST, duration_ms, id) AS position FROM p JOIN tracks t ON (split_part(t.title, ' ', 1) = w OR split_part(t.title, ' ', 2) = w OR lower(t.album) = w) AND t.duration_ms BETWEEN lo AND hi)
+    lambda t: _positions(search.batch_search(_asked(t, _KIND), t)),
+    f"""{T}, {_BATCH_SQL}, h AS (SELECT query_id, t.*, row_number() OVER (PARTITION BY query_id ORDER BY {RANK_SQL} DESC NULLS LAST, duration_ms, id) AS position
+        FROM p JOIN tracks t ON (w IS NULL OR {_HOLDS.format('w')}) AND (w2 IS NULL OR {_HOLDS.format('w2')}) AND t.duration_ms BETWEEN lo AND hi)
     SELECT query_id, position, id FROM h WHERE position <= 10""",
 )
 
 STARRED = "CASE (id DIV 20) % 4 WHEN 0 THEN '*' || substr(title, 2, 4) || '*' WHEN 1 THEN split_part(title, ' ', 1) || ' *' || substr(artist, 3, 4) || '*' WHEN 2 THEN substr(title, 1, 4) || '* >3:00' ELSE title END"
-# Held against every track in tests; ids divisible by 20 ask.
-on_tracks("d10_batch_wildcards", lambda t: search.batch_search(t.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.expr(STARRED).alias("query")), t).select("query_id", F.col("position").cast("long").alias("position"), "id"))
+# A star inside what was typed may part it into words; these are held against every track in tests.
+on_tracks("d10_batch_wildcards", lambda t: _positions(search.batch_search(_asked(t, STARRED), t)))
+
+STARS = "CASE (id DIV 20) % 4 WHEN 0 THEN '*' || substr(artist, 3, 4) || '*' WHEN 1 THEN split_part(title, ' ', 1) || ' *' || substr(artist, 5, 4) WHEN 2 THEN substr(title, 1, 3) || '* >3:00' ELSE '*' || substr(title, -4, 4) END"
+on_tracks(
+    "d10_batch_stars",
+    lambda t: _positions(search.batch_search(_asked(t, STARS), t)),
+    f"""{T}, p AS (SELECT id AS query_id, (id // 20) % 4 AS kind, CASE (id // 20) % 4 WHEN 0 THEN '_%' || substr(artist, 3, 4) || '%_' WHEN 1 THEN '_%' || substr(artist, 5, 4) WHEN 2 THEN substr(title, 1, 3) || '%_' ELSE '_%' || substr(title, -4, 4) END AS pattern,
+        CASE WHEN (id // 20) % 4 = 1 THEN split_part(title, ' ', 1) END AS w FROM tracks WHERE {_ASK}),
+    h AS (SELECT query_id, t.*, row_number() OVER (PARTITION BY query_id ORDER BY {RANK_SQL} DESC NULLS LAST, duration_ms, id) AS position
+        FROM p JOIN tracks t ON (t.title ILIKE pattern OR t.artist ILIKE pattern) AND (w IS NULL OR {_HOLDS.format('w')}) AND (kind <> 2 OR t.duration_ms >= 180000))
+    SELECT query_id, position, id FROM h WHERE position <= 10""",
+)
+
+# One search in each kind: by words, by time, by filters alone; each with other filters, order and page.
+_FILTERED = {
+    "genre": "CASE WHEN (id DIV 20) % 2 = 0 THEN substr(genre, 1, 3) || '*' END", "year_from": "CAST(CASE WHEN (id DIV 20) % 3 <> 1 THEN 1965 + id % 30 END AS INT)", "year_to": "CAST(CASE WHEN (id DIV 20) % 5 = 0 THEN 2010 END AS INT)",
+    "bpm_min": "CASE WHEN (id DIV 20) % 7 = 0 THEN 30.5D END", "artist": "CASE WHEN (id DIV 20) % 3 = 1 THEN '*' || substr(artist, 4, 9) END", "title_len_min": "CAST(CASE WHEN (id DIV 20) % 4 = 3 THEN 11 END AS INT)",
+    "tolerance_ms": "CAST(id % 3 * 500 AS INT)", "sort": "CASE (id DIV 20) % 3 WHEN 0 THEN 'relevance' WHEN 1 THEN 'asc' ELSE 'desc' END", "page": "CAST(1 + (id DIV 20) % 2 AS INT)", "per_page": "CAST(3 + (id DIV 20) % 4 AS INT)",
+}
+_FILTERED_QUERY = "CASE (id DIV 20) % 3 WHEN 0 THEN split_part(title, ' ', 1) WHEN 1 THEN '' ELSE '3:' || lpad(CAST(id % 60 AS STRING), 2, '0') END"
+on_tracks(
+    "d10_batch_filters",
+    lambda t: _positions(search.batch_search(_asked(t, _FILTERED_QUERY, **_FILTERED), t)),
+    f"""{T}, p AS (SELECT id AS query_id, (id // 20) AS k, {", ".join(f"{e.replace('id DIV 20', 'id // 20').replace('30.5D', 'CAST(30.5 AS DOUBLE)')} AS q_{c}" for c, e in _FILTERED.items())},
+        CASE WHEN (id // 20) % 3 = 0 THEN split_part(title, ' ', 1) END AS w, CASE WHEN (id // 20) % 3 = 2 THEN (3 * 60 + id % 60) * 1000 END AS ms FROM tracks WHERE {_ASK}),
+    h AS (SELECT query_id, q_page, q_per_page, t.*, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN q_sort = 'relevance' THEN {RANK_SQL} END DESC NULLS LAST, CASE WHEN q_sort = 'desc' THEN -duration_ms ELSE duration_ms END NULLS LAST, id) AS position
+        FROM p JOIN tracks t ON (w IS NULL OR {_HOLDS.format('w')}) AND (ms IS NULL OR t.duration_ms BETWEEN ms - q_tolerance_ms AND ms + 999 + q_tolerance_ms)
+        AND (q_genre IS NULL OR t.genre ILIKE replace(q_genre, '*', '') || '%_') AND (q_year_from IS NULL OR t.release_year >= q_year_from) AND (q_year_to IS NULL OR t.release_year <= q_year_to)
+        AND (q_bpm_min IS NULL OR t.bpm >= q_bpm_min) AND (q_artist IS NULL OR t.artist ILIKE '_%' || replace(q_artist, '*', '')) AND (q_title_len_min IS NULL OR length(t.title) >= q_title_len_min))
+    SELECT query_id, position, id FROM h WHERE position > (q_page - 1) * q_per_page AND position <= q_page * q_per_page""",
+)
 
 # ---- E: joins ------------------------------------------------------------------------------
 
@@ -437,8 +485,8 @@ paged("h1_order_relevance", rel.relevance_order, RELEVANCE_SQL, 1, 100)
 paged("h2_order_duration", lambda: rel.duration_order("desc"), "duration_ms DESC, id", 2, 40)
 on_tracks("h3_order_artists", lambda t: rel.page(rel.artist_score(t), rel.artist_order("relevance"), 1, 10).select(F.col("position").cast("long").alias("position"), "artist", "score"), f"SELECT row_number() OVER (ORDER BY score DESC, artist) AS position, artist, score FROM ({SCORE_SQL}) AS s ORDER BY score DESC, artist LIMIT 10")
 paged("h4_page", rel.relevance_order, RELEVANCE_SQL, 4, 50)
-on_tracks("h5_candidate_cap", lambda t: rel.candidate_cap(t).select("id"), f"SELECT id FROM tracks ORDER BY {RELEVANCE_SQL} LIMIT 400")
-on_tracks("h6_versions_cap", lambda t: rel.versions_cap(t.filter("artist = 'Brand#5'")).select("id"), f"SELECT id FROM tracks WHERE artist = 'Brand#5' ORDER BY {HEAD_SQL} DESC, duration_ms, id LIMIT 20")
+on_tracks("h5_candidate_cap", lambda t: rel.candidate_cap(t).select("id"), f"SELECT id FROM tracks ORDER BY {RELEVANCE_SQL} LIMIT 4000")
+on_tracks("h6_versions_cap", lambda t: rel.versions_cap(t.filter("artist = 'Brand#5'")).select("id"), f"SELECT id FROM tracks WHERE artist = 'Brand#5' ORDER BY {HEAD_SQL} DESC, duration_ms, id LIMIT 500")
 on_tracks("h7_work_batch", lambda t: rel.work_batch(queue_of(t), 80), f"SELECT * FROM ({QUEUE_SQL}) AS q WHERE priority = (SELECT max(priority) FROM ({QUEUE_SQL}) AS r) ORDER BY track_id LIMIT 80")
 on_tracks("h8_total_pages", lambda t: t.groupBy("artist").agg(F.count("*").alias("total")).select("artist", *[c.alias(n) for n, c in rel.total_pages(F.col("total"), F.lit(2), F.lit(7)).items()]), "SELECT artist, CAST(least(500, ceil(count(*) / 7.0)) AS BIGINT) AS pages, 8 AS shown_from, least(count(*), 14) AS shown_to FROM tracks GROUP BY 1")
 on_tracks("h9_cursor_batch", lambda t: rel.cursor_batch(filters.unscored(t), 500, 60).select("id"), "SELECT id FROM tracks WHERE popularity IS NULL AND id > 500 ORDER BY id LIMIT 60")
