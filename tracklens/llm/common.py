@@ -13,6 +13,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,12 +93,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
+    if _scratch:
+        _scratch[-1].append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end; what is to outlast them must be written to a path made before."""
+    mine: list[str] = []
+    _scratch.append(mine)
+    try:
+        yield
+    finally:
+        _scratch.remove(mine)
+        for path in mine:
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a staged table; a session that has ended needs no cleaning."""
     if spark.sparkContext._jsc is None:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklens.llm.common import join_counted, map_columns, new_path, quoted, remove, staged, utf8
+from tracklens.llm.common import join_counted, map_columns, new_path, quoted, remove, scratch, staged, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -246,14 +246,24 @@ def with_bands(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return map_columns(df, [quoted(text_col)], keep, made, work)
 
 
+#: Up to so many row numbers (8 MB) are broadcast to pick texts where they lie; beyond, texts are moved to meet them.
+PICKED_ROWS = 1_000_000
+
+
+def texts_of(texts_: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts ``(row, text)`` of some distinct ``rows``, which are few beside all texts where few have copies."""
+    return texts_.join(F.broadcast(rows) if rows.count() <= PICKED_ROWS else rows, "row", "left_semi")
+
+
 def confirmed(pairs: DataFrame, texts_: DataFrame, least: float) -> DataFrame:
     """Those of the distinct pairs ``(a, b)`` whose texts share enough, written; the pairs of a hot ``b`` go to many tasks."""
     pairs = staged(pairs.select("a", "b"), "copy-pairs")
     counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
     pairs = join_counted(pairs, counts, "b", "n", pairs.count())
     pairs = pairs.withColumn("share", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / F.lit(SHARE_ROWS))).cast("int"))
-    one = texts_.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
-    other = pairs.select("b", "share").distinct().join(texts_.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+    ends = [staged(pairs.select(F.col(c).alias("row")).distinct(), "copy-ends") for c in ("a", "b")]
+    one = texts_of(texts_, ends[0]).select(F.col("row").alias("a"), F.col("text").alias("text_a"))
+    other = pairs.select("b", "share").distinct().join(texts_of(texts_, ends[1]).select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
     wide = pairs.select("a", "b", "share").join(one, "a").join(other, ["b", "share"])
     made = T.StructType([T.StructField("similar", T.DoubleType())])
 
@@ -324,7 +334,7 @@ def other_links(members: DataFrame, linked: DataFrame, texts_: DataFrame, least:
     mixed = staged(mixed.filter("kinds > 1").select("bucket", "main", "n"), "copy-mixed")
     inside = staged(join_counted(groups, mixed, "bucket", "n", groups.count()).select("bucket", "row", "comp", "main"), "copy-inside")
     made = T.StructType([T.StructField("set", T.BinaryType())])
-    asked = texts_.join(inside.select("row").distinct(), "row")
+    asked = texts_of(texts_, staged(inside.select("row").distinct(), "copy-asked"))
     sets = staged(map_columns(asked, [F.col("text")], ["row"], made, lambda c: [pa.array([shingle_set(t).tobytes() for t in utf8(c[0])], pa.binary())]), "copy-sets")
     wide = staged(inside.join(sets, "row"), "copy-wide")
 
@@ -363,23 +373,25 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     inner = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], quoted(id_col).alias("own")).withColumn("row", F.monotonically_increasing_id())
     # Written once with its numbers: whatever is read later, by however many tasks, a row keeps its number.
     made = staged(with_bands(inner, body, inner.columns), "bands")
-    rank = [F.col("own").isNull().alias("unnamed"), "own", "row"]
-    alive = made.groupBy("set_id").agg(F.min(F.struct(*rank, "simhash", "bands")).alias("first"))
-    alive = staged(alive.select(*[f"first.{c}" for c in ("own", "row", "simhash", "bands")]), "alive")
-
-    each = alive.select("row", F.posexplode("bands").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
-    full = staged(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("row").alias("b")).filter("n > 1"), "buckets")
-    total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = staged(join_counted(each, full, "bucket", "n", total), "members")
-    texts_ = made.select("row", F.col(body).alias("text"))
-    found = confirmed(first_candidates(alive, members), texts_, least)
-    linked = staged(components(found), "linked")
-    linked = staged(components(found.unionByName(other_links(members, linked, texts_, least))), "linked")
-
-    named = linked.join(alive.select(F.col("row").alias("node"), "own"), "node").select("root", "own", F.col("node").alias("row"))
-    kept = named.groupBy("root").agg(F.min(F.struct(*rank)).alias("first")).select(F.col("first.row").alias("row"))
-    gone = named.select("row").join(kept, "row", "left_anti")
-    stay = staged(alive.select("row").join(gone, "row", "left_anti"), "stay")
+    path = new_path(df.sparkSession, "stay")
+    with scratch(df.sparkSession):
+        rank = [F.col("own").isNull().alias("unnamed"), "own", "row"]
+        alive = made.groupBy("set_id").agg(F.min(F.struct(*rank, "simhash", "bands")).alias("first"))
+        alive = staged(alive.select(*[f"first.{c}" for c in ("own", "row", "simhash", "bands")]), "alive")
+
+        each = alive.select("row", F.posexplode("bands").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
+        full = staged(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("row").alias("b")).filter("n > 1"), "buckets")
+        total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        members = staged(join_counted(each, full, "bucket", "n", total), "members")
+        texts_ = made.select("row", F.col(body).alias("text"))
+        found = confirmed(first_candidates(alive, members), texts_, least)
+        linked = staged(components(found), "linked")
+        linked = staged(components(found.unionByName(other_links(members, linked, texts_, least))), "linked")
+
+        named = linked.join(alive.select(F.col("row").alias("node"), "own"), "node").select("root", "own", F.col("node").alias("row"))
+        kept = named.groupBy("root").agg(F.min(F.struct(*rank)).alias("first")).select(F.col("first.row").alias("row"))
+        gone = named.select("row").join(kept, "row", "left_anti")
+        stay = staged(alive.select("row").join(gone, "row", "left_anti"), "stay", path)
     return made.join(stay, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
