@@ -731,3 +731,17 @@ def test_pipeline_redacts_whole_secrets(spark):
 def test_iban_before_other_groups(text, iban):
     found = [text[s.start : s.end] for s in pii.scan(text) if s.kind == "iban"]
     assert found[0] == iban and len(found) == 1 + ("DE89" in text[5:])
+
+
+def test_rows_picked_by_bits(spark, tmp_path, monkeypatch):
+    made = spark.range(0, 70_000, 1, 3).select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("c0"))
+    made.write.parquet(f"{tmp_path}/made")
+    made = spark.read.parquet(f"{tmp_path}/made")
+    for rule in ("pmod(c0, 10) > 0", "pmod(c0, 1000) = 7", "false", "true"):
+        want = sorted(r.c0 for r in made.filter(rule).select("c0").collect())
+        for most in (near_dup.BITMAPS, 0):
+            with monkeypatch.context() as m:
+                m.setattr(near_dup, "BITMAPS", most)
+                got = near_dup.rows_in(made, made.filter(rule).select("row"))
+                assert got.columns == made.columns
+                assert sorted(r.c0 for r in got.collect()) == want

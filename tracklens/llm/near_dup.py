@@ -357,6 +357,23 @@ def other_links(members: DataFrame, linked: DataFrame, texts_: DataFrame, least:
     return staged(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "a long, b long").distinct(), "more-copies")
 
 
+#: Up to so many bitmaps of 4 kB (16 MB) are broadcast to leave out rows where they lie; beyond, rows are moved to meet their numbers.
+BITMAPS = 4096
+
+
+def rows_in(made: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``made`` whose numbers are among the distinct ``rows``, which may be most: one bit for each number is what meets them."""
+    number = F.col("row") + 1  # the first row of a partition then falls into the bitmap of the others
+    numbers = rows.select(F.bitmap_bucket_number(number).alias("part"), F.bitmap_bit_position(number).alias("at")).repartition("part")
+    bits = staged(numbers.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")), "row-bits")
+    if bits.count() > BITMAPS:
+        return made.join(rows, "row", "left_semi")
+    at = F.bitmap_bit_position(number).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    picked = made.join(F.broadcast(bits), F.bitmap_bucket_number(number) == F.col("part"))
+    return picked.filter(F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*made.columns)
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = COPY_SHARE) -> DataFrame:
     """The rows of ``df`` without near copies: of the rows that links join one stays, the one with the smallest id.
 
@@ -392,7 +409,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         kept = named.groupBy("root").agg(F.min(F.struct(*rank)).alias("first")).select(F.col("first.row").alias("row"))
         gone = named.select("row").join(kept, "row", "left_anti")
         stay = staged(alive.select("row").join(gone, "row", "left_anti"), "stay", path)
-    return made.join(stay, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return rows_in(made, stay).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def hex_fingerprint(fp: str = "simhash") -> Column:
