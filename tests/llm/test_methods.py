@@ -745,3 +745,10 @@ def test_rows_picked_by_bits(spark, tmp_path, monkeypatch):
                 got = near_dup.rows_in(made, made.filter(rule).select("row"))
                 assert got.columns == made.columns
                 assert sorted(r.c0 for r in got.collect()) == want
+
+
+def test_one_bucket_of_each_membership(spark):
+    rows = {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 2], 4: [2, 3], 5: [3], 6: [0, 1, 6], 7: [0, 2, 5], 8: [2, 3], 9: [0, 1, 6]}
+    each = spark.createDataFrame([(b, r) for b, rs in rows.items() for r in rs], "bucket long, row long")
+    got = {tuple(r) for r in near_dup.distinct_buckets(each).select("bucket", "n", "b").collect()}
+    assert got == {(1, 3, 1), (3, 2, 1), (4, 2, 2), (6, 3, 0), (7, 3, 0)}

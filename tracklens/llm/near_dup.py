@@ -291,6 +291,16 @@ def confirmed(pairs: DataFrame, texts_: DataFrame, least: float) -> DataFrame:
     return staged(done.filter(F.col("similar") >= least).select("a", "b"), "copies")
 
 
+def distinct_buckets(each: DataFrame) -> DataFrame:
+    """``(bucket, n, b)`` of the buckets of several rows, one of all buckets with the same rows, as close copies share most bands; ``b`` is the first row.
+
+    The rows of a bucket are told by their number, the first of them and the exclusive or of their digests. 64 bits are enough
+    for that: only the few buckets of one first row are ever held against each other.
+    """
+    full = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("row").alias("b"), F.bit_xor(F.xxhash64("row")).alias("rows")).filter("n > 1")
+    return full.groupBy("n", "b", "rows").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "b")
+
+
 def first_candidates(alive: DataFrame, members: DataFrame) -> DataFrame:
     """``(a, b)``: every text with the first of its fingerprint and of each of its buckets, and the first texts of linked fingerprints."""
     prints = staged(alive.groupBy("simhash").agg(F.min("row").alias("b"), F.count("*").alias("n")), "copy-prints")
@@ -397,7 +407,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         alive = staged(alive.select(*[f"first.{c}" for c in ("own", "row", "simhash", "bands")]), "alive")
 
         each = alive.select("row", F.posexplode("bands").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
-        full = staged(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("row").alias("b")).filter("n > 1"), "buckets")
+        full = staged(distinct_buckets(each), "buckets")
         total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         members = staged(join_counted(each, full, "bucket", "n", total), "members")
         texts_ = made.select("row", F.col(body).alias("text"))
