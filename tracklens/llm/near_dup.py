@@ -120,11 +120,10 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, groups: int | Non
     vectors = prints.select("simhash").distinct().withColumn("v", segment_counts(F.col("simhash")))
     masks = grid_masks(max_distance, groups or groups_for(vectors.count(), max_distance))
     # One number for the cell: which groups agree, and on what. Other cells may share it; the check below decides.
-    cells = vectors.select(
-        "simhash", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "counts")
-    ).withColumn("cell", F.xxhash64("choice", "counts"))
+    cells = vectors.select("simhash", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "counts"))
+    cells = cells.select("simhash", "choice", F.xxhash64("choice", "counts").alias("cell"))
     full = cells.groupBy("cell").count().filter(F.col("count") > 1)
-    shared = cells.join(full, "cell")
+    shared = cells.join(full, "cell").withColumn("v", segment_counts(F.col("simhash")))  # derived again rather than moved
     # In a large cell every block meets every block: each pair meets in exactly one of the tasks.
     left = blocked(shared, "count", "simhash", "i", "j", F.col("simhash")).select("cell", "i", "j", "choice", F.col("simhash").alias("a"), F.col("v").alias("va"))
     right = blocked(shared, "count", "simhash", "j", "i", F.col("simhash")).select("cell", "i", "j", F.col("simhash").alias("b"), F.col("v").alias("vb"))
