@@ -44,14 +44,14 @@ def ensure_columns(df: DataFrame, schema) -> DataFrame:
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name.lower() not in have})
 
 
-def scan_ids(df: DataFrame, low: int, high: int, n: int, key: str = "id") -> DataFrame:
-    """Keys in [low, high), dealt by range into ``n`` partitions."""
-    return df.filter((F.col(key) >= low) & (F.col(key) < high)).select(key).repartitionByRange(n, key)
+def scan_ids(df: DataFrame, low: int, high: int, key: str = "id") -> DataFrame:
+    """Keys in [low, high): only their column is read, and of sorted files only those of the range. Nothing is shuffled."""
+    return df.filter((F.col(key) >= low) & (F.col(key) < high)).select(key)
 
 
 def scan_all_ids(df: DataFrame, key: str = "id") -> DataFrame:
-    """All keys from the least to the greatest, dealt by range; the table's size tells how many ranges."""
-    return df.filter(F.col(key).isNotNull()).select(key).repartitionByRange(key)
+    """All keys. The files' splits deal them, so the table's size tells how many tasks there are."""
+    return df.filter(F.col(key).isNotNull()).select(key)
 
 
 # ---- joins ---------------------------------------------------------------------------------
@@ -100,22 +100,6 @@ def popularity_cascade(tracks: DataFrame, by_mbid: DataFrame, by_name: DataFrame
     }).drop("_a", "_b", "_c", "_artist", "_title")
 
 
-def range_join(queries: DataFrame, tracks: DataFrame, bucket_ms: int = 1000, widest: int = 300_000) -> DataFrame:
-    """Each query's tracks with ``min_ms <= duration_ms <= max_ms``.
-
-    Windows of at most ``widest`` are cut into buckets and joined by bucket; wider ones by coarse
-    buckets of that width, an open side reaching to the longest track. Both are equi-joins.
-    """
-    longest = tracks.agg(F.max("duration_ms")).scalar()
-    q = queries.withColumns({"_low": F.coalesce("min_ms", F.lit(0)), "_high": F.least(F.coalesce("max_ms", longest), longest)}).filter("_low <= _high")
-    parts = []
-    for width, keep in ((bucket_ms, F.col("_high") - F.col("_low") <= widest), (widest, F.col("_high") - F.col("_low") > widest)):
-        cut = q.filter(keep).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))))
-        dealt = tracks.withColumn("_bucket", F.floor(F.col("duration_ms") / width))
-        parts.append(cut.join(dealt, "_bucket").filter(F.col("duration_ms").between(F.col("_low"), F.col("_high"))).drop("_bucket", "_low", "_high"))
-    return parts[0].unionByName(parts[1])
-
-
 def duration_candidates(tracks: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """A second opinion on durations: outcome ``confirmed``, ``source1``, ``source2`` or ``review``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions import expr
 from tracklens.functions.search_log import normalize_search_log
-from tracklens.operators import filters, relational as rel, text
+from tracklens.operators import filters, ranges, relational as rel, text
 from tracklens.operators.filters import SearchSpec
 from tracklens.operators.word_index import StoredIndex
 from tracklens.sources import dumps
@@ -196,13 +196,13 @@ def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10, ind
         by_words = words.join(postings, "term").filter(inside).groupBy("query_id", "id", "n").agg(F.count("*").alias("found"), *[F.any_value(c).alias(c) for c in ("want", *_RANKED_BY)])
         found.append(by_words.filter("found = n"))
     if asked["windows"]:
-        found.append(rel.range_join(spec.filter(ways["windows"]).select("query_id", "want", F.col("low").alias("min_ms"), F.col("high").alias("max_ms")), narrow))
+        found.append(ranges.range_join(spec.filter(ways["windows"]).select("query_id", "want", F.col("low").alias("min_ms"), F.col("high").alias("max_ms")), narrow))
     if asked["stars"]:
         found.append(wildcard_hits(spec.filter(ways["stars"]), tracks).join(narrow, "id"))
     if asked["whole"]:
         every = spec.filter(ways["whole"]).select("query_id", "want", F.lit(0).cast("long").alias("min_ms"), F.lit(None).cast("long").alias("max_ms"))
         placed = narrow.withColumns({"_ms": F.col("duration_ms"), "duration_ms": F.coalesce("duration_ms", F.lit(0).cast("long"))})  # without a time, too
-        found.append(rel.range_join(every, placed).withColumn("duration_ms", F.col("_ms")))
+        found.append(ranges.range_join(every, placed).withColumn("duration_ms", F.col("_ms")))
     hits = spec.limit(0).join(narrow, F.lit(False)) if not found else found[0]
     hits = hits.select(*shape)
     for more in found[1:]:

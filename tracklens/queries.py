@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions import expr
 from tracklens.functions.search_log import normalize_search_log
-from tracklens.operators import filters, relational as rel, text
+from tracklens.operators import filters, ranges, relational as rel, text
 from tracklens.operators.filters import SearchSpec
 from tracklens.plans import search
 from tracklens.schemas import TRACK_SQL, read, tracks
@@ -403,11 +403,28 @@ add("e8_popularity_cascade", lambda s, d: rel.popularity_cascade(tracks(s, d).se
 RANGES = "CASE WHEN id % 3 = 0 THEN duration_ms - 40 WHEN id % 3 = 1 THEN NULL ELSE duration_ms + 1000 END AS min_ms", "CASE WHEN id % 3 = 0 THEN duration_ms + 40 WHEN id % 3 = 1 THEN 180100 + id ELSE NULL END AS max_ms"
 on_tracks(
     "e9_range_join",
-    lambda t: rel.range_join(t.filter("id % 10 = 0").selectExpr("id AS query_id", *RANGES), t.select("id", "duration_ms")).select("query_id", "id"),
+    lambda t: ranges.range_join(t.filter("id % 10 = 0").selectExpr("id AS query_id", *RANGES), t.select("id", "duration_ms")).select("query_id", "id"),
     f"SELECT query_id, t.id FROM (SELECT id AS query_id, {', '.join(RANGES)} FROM tracks WHERE id % 10 = 0) q JOIN tracks t ON t.duration_ms >= coalesce(min_ms, 0) AND t.duration_ms <= coalesce(max_ms, 999999999)",
 )
 
 
+WINDOWS_SQL = f"SELECT id AS query_id, {', '.join(RANGES)} FROM tracks WHERE id % 10 = 0"
+IN_WINDOW = "t.duration_ms >= coalesce(min_ms, 0) AND t.duration_ms <= coalesce(max_ms, 999999999)"
+on_tracks(
+    "e9_range_totals",
+    lambda t: ranges.window_totals(t.filter("id % 10 = 0").selectExpr("id AS query_id", *RANGES), t.select("duration_ms")).select("query_id", "total"),
+    f"SELECT query_id, count(t.id) AS total FROM ({WINDOWS_SQL}) q LEFT JOIN tracks t ON {IN_WINDOW} GROUP BY 1",
+)
+on_tracks(
+    "e9_range_pages",
+    lambda t: ranges.window_page(
+        t.filter("id % 10 = 0").selectExpr("id AS query_id", *RANGES, "CAST(1 + id % 3 AS INT) AS page"), t.select("id", "duration_ms"), F.col("page"), 15
+    ).select("query_id", "position", "total", "id"),
+    f"""SELECT query_id, position, total, id FROM (SELECT query_id, t.id, row_number() OVER (PARTITION BY query_id ORDER BY t.duration_ms, t.id) AS position, count(*) OVER (PARTITION BY query_id) AS total
+    FROM ({WINDOWS_SQL}) q JOIN tracks t ON {IN_WINDOW}) WHERE (position - 1) // 15 = query_id % 3""",
+)
+
+
 def duration_sources(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = t.filter("id % 4 = 0").select("artist", F.upper("title").alias("track_name"), F.expr("duration_ms + (id % 3) * 100").alias("track_time_ms"), F.col("id").alias("position"))
     second = t.filter("id % 4 = 1").select("artist", "title", F.expr("duration_ms + (id % 2) * 50").alias("duration_ms"))
@@ -497,7 +514,7 @@ on_tracks("i4_drain_queue", lambda t: rel.drain_queue(queue_of(t), rel.work_batc
 
 # ---- A: sources and sinks, on tables -------------------------------------------------------
 
-on_tracks("a3_scan_ids", lambda t: rel.scan_ids(t, 100, 900, 4), "SELECT id FROM tracks WHERE id >= 100 AND id < 900")
+on_tracks("a3_scan_ids", lambda t: rel.scan_ids(t, 100, 900), "SELECT id FROM tracks WHERE id >= 100 AND id < 900")
 on_tracks("a3_scan_all_ids", rel.scan_all_ids, "SELECT id FROM tracks")
 on_tracks("a4_insert_ignore", lambda t: rel.insert_ignore(t.select("artist", "album", "id"), t.filter("artist LIKE '%1%'").select("artist"), "artist", [F.col("id")]), "SELECT artist, arg_min(album, id) AS album, min(id) AS id FROM tracks WHERE artist NOT LIKE '%1%' GROUP BY artist")
 on_tracks(
