@@ -12,7 +12,7 @@ from tracklens import queries as q
 from tracklens.operators import filters, relational as rel, text, word_index
 from tracklens.plans import enrich
 from tracklens.schemas import TRACKS, read, tracks
-from tracklens.sources import dumps
+from tracklens.sources import dumps, keyed, parts
 from tracklens.sources.staging import moved, shared_path
 from tracklens.streaming import ops as stream
 from tracklens.streaming.cache import CachedDedup
@@ -77,6 +77,35 @@ def _staged(s: SparkSession, d: str) -> DataFrame:
 add("a8_stage", _staged, f"WITH c AS ({q.CHAIN_SQL}) SELECT release_type, count(*) AS n FROM c GROUP BY 1")
 
 
+def _staged_by_part(s: SparkSession, d: str) -> DataFrame:
+    """The events come as many files; the second call finds every part done and reads nothing of them."""
+    source, path = shared_path(s, "event-files"), shared_path(s, "stage-parts")
+    q.read(s, d, "events").select("event_id", "event_type", "value").repartition(12).write.parquet(source)
+    build = lambda files: s.read.parquet(*files).filter("event_type <> 'view'")
+    parts.stage_parts(s, source, path, build)
+    return parts.stage_parts(s, source, path, build).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+add("a8_stage_parts", _staged_by_part, "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_type <> 'view' GROUP BY 1")
+
+
+def _stored_updates(s: SparkSession, d: str) -> DataFrame:
+    """Inserts, updates and deletes in a table stored by key bucket."""
+    t = tracks(s, d).select("id", "genre", "label")
+    table = keyed.KeyedTable.create(t.filter("id % 5 <> 0"), shared_path(s, "tracks-by-key"), "id")
+    table.insert(t.filter("id % 10 = 0").unionByName(t.filter("id % 10 = 1").withColumn("label", F.lit("not taken"))))
+    table.update(t.filter("id % 7 = 0").select("id", F.expr("CASE WHEN id % 2 = 0 THEN 'new' END").alias("genre"), F.lit(None).cast("string").alias("label")), {"genre": "keep_non_null", "label": "overwrite"})
+    table.delete(t.filter("id % 11 = 0").select("id"))
+    return table.read()
+
+
+add(
+    "a5_stored_updates",
+    _stored_updates,
+    f"{T} SELECT id, CASE WHEN id % 14 = 0 THEN 'new' ELSE genre END AS genre, CASE WHEN id % 7 <> 0 THEN label END AS label FROM tracks WHERE (id % 5 <> 0 OR id % 10 = 0) AND id % 11 <> 0",
+)
+
+
 def _reviewed(s: SparkSession, d: str) -> DataFrame:
     path = shared_path(s, "review")
     dumps.write_review(filters.suspicious_duration(tracks(s, d), 180_900).select("id", "title", "version", "duration_ms"), path)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracklens.sources.staging import written
 
-PARTS = 256
+PARTS = 128
 #: Values that one row of counts stands for.
 WIDTH = 1000
 
@@ -30,36 +30,35 @@ def split_points(rows: DataFrame, key: str, parts: int = PARTS) -> list[int]:
     return rows.agg(F.percentile_approx(key, at, F.lit(100 * parts))).first()[0] or []  # at most ``parts`` numbers
 
 
-def _passed(x: Column, splits: list[int], equal: bool) -> Column:
-    """How many split points are below ``x``, or not above it; bisection as nested conditions."""
-    distinct = sorted(set(splits))
+def _passed(column: str, splits: list[int], equal: bool) -> Column:
+    """How many split points are below the column, or not above it; bisection as nested conditions."""
+    distinct, over = sorted(set(splits)), ">=" if equal else ">"
     below = [sum(s < d for s in splits) for d in distinct] + [len(splits)]
 
-    def among(low: int, high: int) -> Column:
+    def among(low: int, high: int) -> str:
         if low == high:
-            return F.lit(below[low])
+            return str(below[low])
         middle = (low + high) // 2
-        beyond = x >= distinct[middle] if equal else x > distinct[middle]
-        return F.when(beyond, among(middle + 1, high)).otherwise(among(low, middle))
+        return f"CASE WHEN `{column}` {over} {distinct[middle]} THEN {among(middle + 1, high)} ELSE {among(low, middle)} END"
 
-    return among(0, len(distinct))
+    return F.expr(among(0, len(distinct)))
 
 
-def first_part(low: Column, splits: list[int]) -> Column:
-    """The first part that can hold values from ``low`` on."""
+def first_part(low: str, splits: list[int]) -> Column:
+    """The first part that can hold values from those of the column ``low`` on."""
     return _passed(low, splits, equal=False)
 
 
-def last_part(high: Column, splits: list[int]) -> Column:
-    """The last part that can hold values up to ``high``."""
+def last_part(high: str, splits: list[int]) -> Column:
+    """The last part that can hold values up to those of the column ``high``."""
     return _passed(high, splits, equal=True)
 
 
 def dealt(rows: DataFrame, key: str, splits: list[int]) -> DataFrame:
     """Rows with their ``_part``; those of a value that fills several parts are spread by the digest of the row."""
-    at, to = first_part(F.col(key), splits), last_part(F.col(key), splits)
+    own = rows.filter(F.col(key).isNotNull()).withColumns({"_at": first_part(key, splits), "_to": last_part(key, splits)})
     # One digest for each row: the same whenever a lost task is run again.
-    return rows.filter(F.col(key).isNotNull()).withColumn("_part", (at + F.pmod(F.xxhash64(*rows.columns), to - at + 1)).cast("int"))
+    return own.withColumn("_part", (F.col("_at") + F.pmod(F.xxhash64(*rows.columns), F.col("_to") - F.col("_at") + 1)).cast("int")).drop("_at", "_to")
 
 
 def range_join(queries: DataFrame, tracks: DataFrame, bucket_ms: int = 1000, widest: int = 300_000) -> DataFrame:
@@ -73,11 +72,11 @@ def range_join(queries: DataFrame, tracks: DataFrame, bucket_ms: int = 1000, wid
     longest = tracks.agg(F.max("duration_ms")).scalar()
     q = queries.withColumns({"_low": F.coalesce("min_ms", F.lit(0)), "_high": F.least(F.coalesce("max_ms", longest), longest)}).filter("_low <= _high")
     rows, wide = dealt(tracks, "duration_ms", splits), F.col("_high") - F.col("_low") > widest
-    parts = lambda low, high: F.explode(F.sequence(first_part(low, splits), last_part(high, splits)))
+    parts = F.explode(F.sequence(first_part("_begin", splits), last_part("_end", splits)))
     short = q.filter(~wide).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_low") / bucket_ms), F.floor(F.col("_high") / bucket_ms))))
     begin = F.col("_bucket") * bucket_ms
-    short = short.withColumn("_part", parts(F.greatest("_low", begin), F.least("_high", begin + bucket_ms - 1)))
-    long = q.filter(wide).withColumn("_part", parts(F.col("_low"), F.col("_high")))
+    short = short.withColumns({"_begin": F.greatest("_low", begin), "_end": F.least("_high", begin + bucket_ms - 1)}).withColumn("_part", parts).drop("_begin", "_end")
+    long = q.filter(wide).withColumns({"_begin": F.col("_low"), "_end": F.col("_high")}).withColumn("_part", parts).drop("_begin", "_end")
     inside = F.col("duration_ms").between(F.col("_low"), F.col("_high"))
     by_bucket = short.join(rows.withColumn("_bucket", F.floor(F.col("duration_ms") / bucket_ms)), ["_bucket", "_part"]).filter(inside).drop("_bucket", "_part", "_low", "_high")
     return by_bucket.unionByName(long.join(rows, "_part").filter(inside).drop("_part", "_low", "_high"))

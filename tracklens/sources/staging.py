@@ -64,3 +64,9 @@ def moved(spark: SparkSession, old: str, new: str) -> None:
     fs.mkdirs(to.getParent())
     if not fs.rename(where, to):
         raise FileExistsError(new)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder and what is in it."""
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
