@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -88,6 +89,55 @@ def test_suffix_array(docs, items):
         assert found.get(n, decontaminate.NOTHING).longest == ((-best[0], *best[1:]) if best[0] else None)
 
 
+_RUNS = st.lists(st.tuples(st.sampled_from(["a", "b", "a b", "unknown"]), st.integers(1, 40)), max_size=4).map(lambda runs: " ".join(w for w, n in runs for _ in range(n)))
+
+
+@pytest.mark.parametrize("lies", [False, True])
+@settings(max_examples=40, deadline=None)
+@given(docs=st.lists(_RUNS, max_size=3), items=st.lists(_RUNS.filter(lambda t: "unknown" not in t), min_size=1, max_size=2), pairs=st.sampled_from([3, 2_000_000]))
+def test_runs_of_words(lies, docs, items, pairs):
+    """Lengths by digests, first places and longest matches in texts of repeated words; and where a digest tells too much."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontaminate, "STEPS", 2)
+        m.setattr(decontaminate, "PAIRS_AT_ONCE", pairs)
+        if lies:
+            m.setattr(decontaminate, "_PRIMES", ((7, 3), (5, 2)))
+        bench = decontaminate.Benchmark([(str(i), 0, t.encode()) for i, t in enumerate(items)], window=3)
+        shard = decontaminate._Shard()
+        for d in docs:
+            shard.add(d.encode())
+        words, left, doc, starts = shard.arrays(bench.vocabulary)
+        size, where = decontaminate.SuffixArray(words, left, 1).longest(bench)
+        found = decontaminate.search_shard(shard, bench)
+
+    def agreed(k, p):
+        n, most = 0, min(bench.left[k], left[p])
+        while n < most and bench.words[k + n] == words[p + n]:
+            n += 1
+        return n
+
+    every = [[agreed(k, p) for p in range(len(words))] for k in range(len(bench.words))]
+    for k, own in enumerate(every):
+        best = max(own, default=0)
+        assert size[k] == best and (not best or where[k] == own.index(best))
+    for n, begin in enumerate(starts.tolist()):
+        whole = [bench.left[k] if k == 0 or bench.left[k - 1] == 0 else 0 for k in range(len(bench.words))]
+        ways = [(-m, p - begin, bench.names[bench.item[k]], int(bench.at[k])) for k, own in enumerate(every) for p, m in enumerate(own) if doc[p] == n and (m >= 3 or 0 < m == whole[k])]
+        assert found.get(n, decontaminate.NOTHING).longest == ((-min(ways)[0], *min(ways)[1:]) if ways else None)
+
+
+def test_equal_words_take_linear_time():
+    text = b" ".join([b"0"] * 64_000)
+    bench, shard = decontaminate.Benchmark([("a", 0, text)]), decontaminate._Shard()
+    shard.add(text)
+    began = time.process_time()
+    assert decontaminate.search_shard(shard, bench)[0].longest == (64_000, 0, "a", 0)
+    words, left, _, _ = shard.arrays(bench.vocabulary)
+    size, where = decontaminate.SuffixArray(words, left, 1).longest(bench)
+    assert size[:-1].tolist() == list(range(64_000, 0, -1)) and not where[:-1].any()
+    assert time.process_time() - began < 20
+
+
 def test_many_words_and_long_matches(spark, monkeypatch):
     """Vocabularies beyond a byte, matches beyond the sorted depth, several shards and blocks."""
     rng = random.Random(3)

@@ -26,6 +26,7 @@ Documents are searched whole: one longer than a shard is a shard of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -45,6 +46,12 @@ BLOCKS_AT_ONCE = 4
 PIECE_WORDS = 500_000
 #: Pairs of a benchmark suffix and a place that are extended at once.
 PAIRS_AT_ONCE = 2_000_000
+#: Windows of the benchmark whose keys, 64 bytes each, are held at once while a shard is searched.
+KEYS_AT_ONCE = 200_000
+#: Words compared one by one; what agrees beyond is measured by digests of ranges, and the best are compared again.
+STEPS = 64
+#: Two primes below 2**31 and their bases: digests of ranges are sums of words times powers, modulo each.
+_PRIMES = ((2_147_483_647, 1_000_003), (2_147_483_629, 998_244_353))
 #: Word characters are digits, letters and everything beyond ASCII; the rest becomes a blank.
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -55,11 +62,16 @@ def words_of(text: bytes) -> list[bytes]:
 
 class Windows(NamedTuple):
     size: int
-    least: np.ndarray
-    greatest: np.ndarray
-    #: Suffixes by window; window k has those from ``ends[k]`` to ``ends[k + 1]``.
+    #: A suffix that begins with each window, by the windows' order; keys are made from it where they are searched.
+    opened: np.ndarray
+    #: Suffixes by window, those of a window by the word before; window k has those from ``ends[k]`` to ``ends[k + 1]``.
     suffixes: np.ndarray
     ends: np.ndarray
+    #: Window and word before of each, as one number: ascending.
+    before: np.ndarray
+    #: Distinct items by window, in the same way.
+    items: np.ndarray
+    item_ends: np.ndarray
 
 
 class Benchmark:
@@ -70,20 +82,15 @@ class Benchmark:
         last = lambda name: (name is None, name or "")
         self.names = sorted({name for name, _, _ in items}, key=last)
         number = {name: k for k, name in enumerate(self.names)}
-        words, item, left, at = [], [], [], []
+        # Columns of each item, then joined: nothing but the vocabulary is held as Python numbers.
+        columns: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint32), *[np.zeros(0, np.int32)] * 3)]
         for name, begin, text in sorted(set(items), key=lambda x: (last(x[0]), x[1:])):
-            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            words += own
-            item += [number[name]] * len(own)
-            left += range(len(own), 0, -1)
-            at += range(begin, begin + len(own))
-            words.append(0)  # ends the item; no document word has this number
-            item.append(-1)
-            left.append(0)
-            at.append(-1)
-        self.words = np.array(words, np.uint32)
-        self.item, self.left, self.at = np.array(item, np.int64), np.array(left, np.int64), np.array(at, np.int64)
-        first = np.r_[True, self.left[:-1] == 0][: len(item)]
+            own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint32)
+            n = len(own)
+            # The last row ends the item; no document word has its number.
+            columns.append((np.r_[own, np.uint32(0)], np.r_[np.full(n, number[name], np.int32), np.int32(-1)], np.arange(n, -1, -1, dtype=np.int32), np.r_[np.arange(begin, begin + n, dtype=np.int32), np.int32(-1)]))
+        self.words, self.item, self.left, self.at = (np.concatenate(c) for c in zip(*columns, strict=True))
+        first = np.r_[True, self.left[:-1] == 0][: len(self.item)]
         #: A suffix opens a window if the window fits into its item, or is all of a shorter item.
         opens = np.flatnonzero((self.left >= window) | (first & (self.left > 0)))
         length = np.minimum(self.left[opens], window)
@@ -92,21 +99,73 @@ class Benchmark:
         self.windows: list[Windows] = []
         for size in np.unique(length).tolist():
             own = opens[length == size]
-            keys, first_own, which = np.unique(packed(self.words, own, size), return_index=True, return_inverse=True)
-            order = np.argsort(which.ravel(), kind="stable")
-            ends = np.r_[0, np.cumsum(np.bincount(which.ravel(), minlength=len(keys)))]
-            at_ = own[first_own]
-            self.windows.append(Windows(size, packed(self.words, at_, size), packed(self.words, at_, size, fill=0xFFFFFFFF), own[order], ends))
+            opened, which = distinct(self.words, own, size)
+            bounds = np.arange(len(opened) + 1)
+            before = (which << 32) | self.before(own)
+            order = np.argsort(before, kind="stable")
+            in_item = np.unique((which << 32) | self.item[own])
+            self.windows.append(Windows(
+                size, opened, own[order], np.searchsorted(before[order] >> 32, bounds),
+                before[order], in_item & 0xFFFFFFFF, np.searchsorted(in_item >> 32, bounds),
+            ))
+        self._digests: list[np.ndarray] | None = None
+
+    def before(self, suffixes: np.ndarray) -> np.ndarray:
+        """The words before; 0 where an item begins."""
+        return np.where(suffixes > 0, self.words[suffixes - 1], 0).astype(np.int64)
+
+    @property
+    def digests(self) -> list[np.ndarray]:
+        if self._digests is None:
+            self._digests = running(self.words)
+        return self._digests
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    found = np.ones(1, np.uint64)
+    while len(found) < n:
+        found = np.r_[found, found * np.uint64(pow(base, len(found), prime)) % np.uint64(prime)]
+    return found
+
+
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    return _powers(base, prime, 1 << max(1, n - 1).bit_length())[:n]
+
+
+def running(words: np.ndarray) -> list[np.ndarray]:
+    """For each prime the sums over the words before every place; words are numbered below 2**31, so products and sums of a shard fit."""
+    made = []
+    for prime, base in _PRIMES:
+        terms = words.astype(np.uint64) * powers(base, prime, len(words)) % np.uint64(prime)
+        made.append(np.r_[np.zeros(1, np.uint64), np.cumsum(terms)] % np.uint64(prime))
+    return made
 
 
 def packed(words: np.ndarray, at: np.ndarray, size: np.ndarray | int, fill: int = 0) -> np.ndarray:
     """``size`` words from each place on, filled up to ``DEPTH``, as byte strings that sort like the words."""
-    column = np.arange(DEPTH, dtype=np.int32)
-    index = at.astype(np.int32)[:, None] + column
-    np.minimum(index, max(0, len(words) - 1), out=index)
-    rows = words[index].astype(">u4") if len(at) else np.zeros((0, DEPTH), ">u4")
-    rows[column >= np.broadcast_to(np.asarray(size), len(at))[:, None]] = fill
-    return np.ascontiguousarray(rows).view(f"S{4 * DEPTH}").ravel()
+    column, size = np.arange(DEPTH, dtype=np.int32), np.broadcast_to(np.asarray(size), len(at))
+    rows = np.zeros((len(at), DEPTH), ">u4")
+    for k in range(0, len(at), KEYS_AT_ONCE):
+        own = slice(k, k + KEYS_AT_ONCE)
+        index = at[own].astype(np.int32)[:, None] + column
+        np.minimum(index, max(0, len(words) - 1), out=index)
+        rows[own] = words[index]
+        rows[own][column >= size[own][:, None]] = fill
+    return rows.view(f"S{4 * DEPTH}").ravel()
+
+
+def distinct(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places with equal windows the first, in the windows' order, and of every place the number of its window."""
+    keys = packed(words, at, size)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(at), bool)
+    for a in range(1, len(at), KEYS_AT_ONCE):
+        b = min(a + KEYS_AT_ONCE, len(at))
+        new[a:b] = keys[order[a:b]] != keys[order[a - 1 : b - 1]]
+    which = np.empty(len(at), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return at[order[new]], which
 
 
 class SuffixArray:
@@ -120,6 +179,7 @@ class SuffixArray:
         keys = packed(words, at, left[at])
         order = np.argsort(keys, kind="stable")
         self.at, self.keys = at[order], keys[order]
+        self._digests: list[np.ndarray] | None = None
 
     def between(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each of the ranges its number and the places in it, one row per place."""
@@ -131,23 +191,41 @@ class SuffixArray:
     def occurrences(self, bench: Benchmark) -> Iterator[tuple[Windows, np.ndarray, np.ndarray]]:
         """By length: numbers of windows and the places where they stand."""
         for windows in bench.windows:
-            low, high = np.searchsorted(self.keys, windows.least, "left"), np.searchsorted(self.keys, windows.greatest, "right")
-            yield windows, *self.between(low, high)
-
-    def extended(self, bench: Benchmark, windows: Windows, which: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Suffixes, places and lengths of the matches of these occurrences that start there, so many pairs at once."""
-        count = np.diff(windows.ends)[which]
+            yield windows, *self.between(*self.bounds(bench, windows.opened, windows.size))
+
+    def bounds(self, bench: Benchmark, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of these benchmark suffixes the range of those here that begin with the same words."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in range(0, len(at), KEYS_AT_ONCE):
+            own = at[k : k + KEYS_AT_ONCE]
+            found.append((np.searchsorted(self.keys, packed(bench.words, own, size), "left"), np.searchsorted(self.keys, packed(bench.words, own, size, fill=0xFFFFFFFF), "right")))
+        return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+    def begins(self, windows: Windows, bench: Benchmark, which: np.ndarray, place: np.ndarray, exact: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Suffixes, places and lengths of the matches that begin at these occurrences, so many pairs at once.
+
+        A match that the words before belong to is told where it begins. So a place meets the suffixes of its window but
+        for those with its own word before, which lie together: a run of one word makes as many pairs as it has words, not their square.
+        """
+        inner = (place > 0) & (self.left[place - 1] == self.left[place] + 1)
+        own = (which.astype(np.int64) << 32) | np.where(inner, self.words[place - 1], 0)
+        known = (own & 0xFFFFFFFF) > 0
+        skip_from = np.where(known, np.searchsorted(windows.before, own, "left"), windows.ends[which + 1])
+        skip_to = np.where(known, np.searchsorted(windows.before, own, "right"), windows.ends[which + 1])
+        low = np.stack([windows.ends[which], skip_to], axis=1).ravel()
+        count = np.stack([skip_from, windows.ends[which + 1]], axis=1).ravel() - low
+        places = np.repeat(place, 2)
+        low, places, count = low[count > 0], places[count > 0], count[count > 0]
         done = np.r_[0, np.cumsum(count)]
-        cuts = np.unique(np.searchsorted(done, np.arange(0, done[-1] + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "left").clip(0, len(which)))
-        for a, b in zip(cuts, cuts[1:]):
-            of = np.repeat(np.arange(a, b), count[a:b])
-            suffix = windows.suffixes[np.arange(done[a], done[b]) - done[of] + windows.ends[which[of]]]
-            at = place[of]
-            # A match that the words before belong to is told where it begins.
-            inside = (suffix > 0) & (at > 0)
-            inside[inside] = (self.words[at[inside] - 1] > 0) & (bench.words[suffix[inside] - 1] == self.words[at[inside] - 1]) & (self.left[at[inside] - 1] == self.left[at[inside]] + 1)
-            suffix, at = suffix[~inside], at[~inside]
-            yield suffix, at, self._agree(bench, suffix, at)
+        for begin in range(0, int(done[-1]), PAIRS_AT_ONCE):
+            pair = np.arange(begin, min(begin + PAIRS_AT_ONCE, int(done[-1])))
+            of = np.searchsorted(done, pair, "right") - 1
+            suffix, at = windows.suffixes[low[of] + pair - done[of]], places[of]
+            yield suffix, at, self._agree(bench, suffix, at, exact)
+
+    def verified(self, bench: Benchmark, suffix: np.ndarray, place: np.ndarray, size: np.ndarray) -> bool:
+        """Whether matches of these lengths are there word by word."""
+        return all(np.array_equal(self.words[p : p + n], bench.words[s : s + n]) for s, p, n in zip(suffix.tolist(), place.tolist(), size.tolist(), strict=True) if n > STEPS)
 
     def longest(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
         """For every benchmark suffix the length of its longest match here, and its first place."""
@@ -155,34 +233,98 @@ class SuffixArray:
         best, where = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
         if not len(self.at) or not n:
             return best, where
-        keys = packed(bench.words, np.arange(n), bench.left)
-        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        # The neighbours in order agree longest, so their agreement is the length up to DEPTH; then
-        # all suffixes that agree so far are looked at, as their order says nothing of what follows.
-        near = np.stack([self.at[np.maximum(low - 1, 0)], self.at[np.minimum(low, len(self.at) - 1)]])
-        size = np.maximum(*[self._agree(bench, np.arange(n), side) for side in near])
-        size = np.minimum(size, DEPTH)
-        some = np.flatnonzero(size > 0)
-        low = np.searchsorted(self.keys, packed(bench.words, some, size[some]), "left")
-        high = np.searchsorted(self.keys, packed(bench.words, some, size[some], fill=0xFFFFFFFF), "right")
-        which, place = self.between(low, high)
-        full = self._agree(bench, some[which], place)
-        np.maximum.at(best, some[which], full)
-        top = full == best[some[which]]
-        np.minimum.at(where, some[which][top], place[top])
+        least = _Least(self.at)
+        for k in range(0, n, KEYS_AT_ONCE):
+            own = np.arange(k, min(k + KEYS_AT_ONCE, n))
+            low = np.searchsorted(self.keys, packed(bench.words, own, bench.left[own]), "left")
+            # The neighbours in order agree longest, so their agreement is the length up to DEPTH.
+            for near in (self.at[np.maximum(low - 1, 0)], self.at[np.minimum(low, len(self.at) - 1)]):
+                best[own] = np.maximum(best[own], self._agree(bench, own, near, most=DEPTH))
+            some = own[best[own] > 0]
+            low = np.searchsorted(self.keys, packed(bench.words, some, best[some]), "left")
+            high = np.searchsorted(self.keys, packed(bench.words, some, best[some], fill=0xFFFFFFFF), "right")
+            where[some] = least.of(low, high)
+        full = np.flatnonzero(best == DEPTH)
+        if len(full):
+            self._beyond(bench, full, best, where)
         return best, where
 
-    def _agree(self, bench: Benchmark, suffix: np.ndarray, place: np.ndarray) -> np.ndarray:
+    def _beyond(self, bench: Benchmark, full: np.ndarray, best: np.ndarray, where: np.ndarray, exact: bool = False) -> None:
+        """The lengths of ``DEPTH`` words and more.
+
+        A match of a suffix is the rest of one that begins at it or before, so the matches that begin tell all: at each suffix the one
+        that ends last counts, of those that end there the one with the first place. Both are a running maximum.
+        """
+        opened, which = distinct(bench.words, full, DEPTH)
+        before = (which << 32) | bench.before(full)
+        order = np.argsort(before, kind="stable")
+        ends, none = np.searchsorted(before[order] >> 32, np.arange(len(opened) + 1)), np.zeros(0, np.int64)
+        windows = Windows(DEPTH, opened, full[order], ends, before[order], none, none)
+        of, place = self.between(*self.bounds(bench, opened, DEPTH))
+        last = np.full(len(bench.words), -1, np.int64)
+        for suffix, at, size in self.begins(windows, bench, of, place, exact):
+            np.maximum.at(last, suffix, ((suffix + size) << 32) - (at - suffix + (1 << 31)))
+        last = np.maximum.accumulate(last)
+        end = (last >> 32) + 1  # what is taken off is between 0 and 2**32
+        apart = (end << 32) - last - (1 << 31)
+        at = np.arange(len(last))
+        own = np.flatnonzero((last >= 0) & (end - at >= DEPTH))
+        told = own[np.r_[True, last[own][1:] != last[own][:-1]]] if len(own) else own
+        if not exact and not self.verified(bench, told, told + apart[told], end[told] - told):
+            return self._beyond(bench, full, best, where, exact=True)
+        best[own], where[own] = end[own] - own, own + apart[own]
+        return None
+
+    def _agree(self, bench: Benchmark, suffix: np.ndarray, place: np.ndarray, exact: bool = False, most: int | None = None) -> np.ndarray:
+        """How many words agree; beyond ``STEPS``, and unless ``exact``, by digests, which can only tell too many."""
+        limit = np.minimum(bench.left[suffix], self.left[place])
+        if most is not None:
+            limit = np.minimum(limit, most)
         size = np.zeros(len(suffix), np.int64)
-        live = np.arange(len(suffix))
-        while len(live):
-            k = size[live]
-            ok = (k < bench.left[suffix[live]]) & (k < self.left[place[live]])
-            live, k = live[ok], k[ok]
+        live, k = np.flatnonzero(limit > 0), 0
+        while len(live) and (exact or most is not None or k < STEPS):
             live = live[bench.words[suffix[live] + k] == self.words[place[live] + k]]
-            size[live] += 1
+            k += 1
+            size[live] = k
+            live = live[limit[live] > k]
+        if len(live):
+            size[live] = self._by_digest(bench, suffix[live], place[live], limit[live], k)
         return size
 
+    def _by_digest(self, bench: Benchmark, suffix: np.ndarray, place: np.ndarray, limit: np.ndarray, known: int) -> np.ndarray:
+        """Bisection for the greatest length whose digests are equal."""
+        if self._digests is None:
+            self._digests = running(self.words)
+        power = [powers(base, prime, max(len(self.words), len(bench.words)) + 1) for prime, base in _PRIMES]
+        low, high = np.full(len(suffix), known, np.int64), limit.copy()
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            equal = np.ones(len(suffix), bool)
+            for (prime, _), mine, theirs, p in zip(_PRIMES, self._digests, bench.digests, power, strict=True):
+                m = np.uint64(prime)
+                a = (mine[place + middle] + m - mine[place]) % m * p[suffix] % m
+                b = (theirs[suffix + middle] + m - theirs[suffix]) % m * p[place] % m
+                equal &= a == b
+            low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
+        return low
+
+
+class _Least:
+    """The least value of ranges, by minima over ranges of powers of two."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.levels = [values]
+        while len(self.levels[-1]) > (size := 1 << (len(self.levels) - 1)):
+            self.levels.append(np.minimum(self.levels[-1][:-size], self.levels[-1][size:]))
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """None of the ranges is empty."""
+        found, level = np.empty(len(low), np.int64), np.frexp(high - low)[1] - 1
+        for k in np.unique(level).tolist():
+            own = np.flatnonzero(level == k)
+            found[own] = np.minimum(self.levels[k][low[own]], self.levels[k][high[own] - (1 << k)])
+        return found
+
 
 class _Shard:
     """The words of documents gathered until there are enough."""
@@ -225,6 +367,17 @@ class Found(NamedTuple):
 NOTHING = Found([], [], False, None)
 
 
+def _longest_of_each(array: SuffixArray, bench: Benchmark, windows: Windows, which: np.ndarray, place: np.ndarray, doc: np.ndarray, exact: bool) -> tuple[np.ndarray, ...]:
+    """Suffix, place, length and document of the longest match of each document; of equals the first in it, then the first item and place."""
+    kept = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for more in array.begins(windows, bench, which, place, exact):
+        suffix, at, size = (np.r_[a, b] for a, b in zip(kept, more, strict=True))
+        order = np.lexsort([bench.at[suffix], bench.item[suffix], at, -size, doc[at]])
+        _, firsts = np.unique(doc[at][order], return_index=True)
+        kept = tuple(x[order[firsts]] for x in (suffix, at, size))
+    return (*kept, doc[kept[1]])
+
+
 def search_shard(shard: _Shard, bench: Benchmark) -> dict[int, Found]:
     """By number of the document, what each that has a hit holds."""
     words, left, doc, starts = shard.arrays(bench.vocabulary)
@@ -236,15 +389,14 @@ def search_shard(shard: _Shard, bench: Benchmark) -> dict[int, Found]:
         np.add.at(edge, place, 1)
         np.add.at(edge, place + windows.size, -1)
         for d, w in np.unique(np.stack([doc[place], which], axis=1), axis=0).tolist():
-            items.setdefault(d, set()).update(bench.item[windows.suffixes[windows.ends[w] : windows.ends[w + 1]]].tolist())
-        for suffix, at, size in array.extended(bench, windows, which, place):
-            # The longest of each document; of equals the first in it, then the first item and place.
-            order = np.lexsort([bench.at[suffix], bench.item[suffix], at, -size, doc[at]])
-            _, firsts = np.unique(doc[at][order], return_index=True)
-            for k in order[firsts].tolist():
-                d = int(doc[at[k]])
-                mine = (-int(size[k]), int(at[k] - starts[d]), int(bench.item[suffix[k]]), int(bench.at[suffix[k]]))
-                best[d] = min(best.get(d, mine), mine)
+            items.setdefault(d, set()).update(windows.items[windows.item_ends[w] : windows.item_ends[w + 1]].tolist())
+        for exact in (False, True):
+            own = _longest_of_each(array, bench, windows, which, place, doc, exact)
+            if exact or array.verified(bench, *own[:3]):
+                break
+        for suffix, at, size, d in zip(*map(np.ndarray.tolist, own), strict=True):
+            mine = (-size, int(at - starts[d]), int(bench.item[suffix]), int(bench.at[suffix]))
+            best[d] = min(best.get(d, mine), mine)
     hit = np.cumsum(edge[:-1]) > 0
     found = {}
     for d, own in items.items():
