@@ -50,6 +50,30 @@ def test_bpe_columns(spark):
     assert [bytes(r.decoded) for r in out] == [b"a b", b"", b""] and [r.n_tokens for r in out] == [2, 0, 0]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 3), st.integers(0, 900), st.integers(0, 30), st.text(alphabet="ab e0", max_size=12))
+def test_bpe_edits_of_long_pieces(kind, start, size, new):
+    """Edits whose effect ends soon, later or never: the table equals a new one."""
+    v = bpe.vocabulary(PATH)
+    data = [b"the lattice of words " * 45, b"a" * 900, b"ab" * 450, b"0" * 450 + b"e " * 225][kind]
+    table = bpe.PrefixTable(v, data)
+    end = min(start + size, len(data))
+    start = min(start, end)
+    table.replace(start, end, new.encode())
+    want = bpe.PrefixTable(v, data[:start] + new.encode() + data[end:])
+    assert table.data == want.data and table.last == want.last
+
+
+def test_bpe_edit_near_the_start_stops_early():
+    v, words = bpe.vocabulary(PATH), random.Random(5)
+    data = " ".join("".join(words.choices("aeinrst", k=words.randint(2, 9))) for _ in range(33_000)).encode()[:200_000]
+    table = bpe.PrefixTable(v, data)
+    began = time.process_time()
+    table.replace(10, 11, b"xyz")
+    assert time.process_time() - began < 0.1
+    assert table.last == bpe.PrefixTable(v, data[:10] + b"xyz" + data[11:]).last
+
+
 # ---- 2: suffix arrays ----
 
 

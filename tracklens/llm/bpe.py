@@ -38,6 +38,7 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes_of = {r: t for t, r in self.rank.items()}
+        self.longest = max(map(len, self.rank))
         self.text_of = {r: str(r) for r in self.bytes_of}
         #: Whether a byte string is a token or only the end of longer ones.
         self.ends = {t[k:]: None for t in self.rank for k in range(1, len(t))} | self.rank
@@ -139,10 +140,14 @@ class PrefixTable:
         For each new end, tokens are tried from the longest down: the one that may follow the
         last token of what stands before it is the last token of this prefix.
         """
-        v, old = self.vocabulary, len(self.data)
         self.data += more
+        self._fill(len(self.data))
+
+    def _fill(self, to: int) -> None:
+        """Adds the entries of prefixes of up to ``to`` bytes."""
+        v = self.vocabulary
         data, last, ends, unmade, pairs = self.data, self.last, v.ends, v.unmade, v._pairs
-        for j in range(old + 1, len(data) + 1):
+        for j in range(len(last), to + 1):
             found, i = [], j - 1
             while i >= 0 and (part := data[i:j]) in ends:
                 if (token := ends[part]) is not None and token not in unmade:
@@ -154,10 +159,22 @@ class PrefixTable:
                     break
 
     def replace(self, start: int, end: int, new: bytes) -> None:
-        """Edits the piece; only prefixes that reach into the edit are encoded again."""
-        tail = self.data[end:]
-        self.data, self.last = self.data[:start], self.last[: start + 1]
-        self.append(new + tail)
+        """Edits the piece and encodes again from the edit on, until the old entries hold again.
+
+        An entry depends on the bytes and entries of as many prefixes as the longest token has bytes. When so many behind
+        the edit are what they were, all others are too.
+        """
+        old, at, longest = self.last, start + len(new), self.vocabulary.longest
+        shift = at - end
+        self.data, self.last = self.data[:start] + new + self.data[end:], old[: start + 1]
+        self._fill(at)
+        while at < len(self.data):
+            to = min(at + longest, len(self.data))
+            self._fill(to)
+            if to - at == longest and self.last[at + 1 :] == old[at + 1 - shift : to + 1 - shift]:
+                self.last += old[to + 1 - shift :]
+                return
+            at = to
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the prefix of ``end`` bytes, all of them by default."""
