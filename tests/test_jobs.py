@@ -280,3 +280,22 @@ def test_batch_filters_equal_single_searches(spark, tiny):
             assert mine == want, (q_, c)
         some += bool(mine)
     assert some > 25
+
+
+def test_searches_that_ask_the_same_are_answered_once(spark, tiny, monkeypatch):
+    """Forty askers of three searches: words meet the tracks for one search each, and every asker gets its own page."""
+    from tracklens.plans import search
+
+    t, met, plain = tracks(spark, tiny), [], search.word_hits
+    monkeypatch.setattr(search, "word_hits", lambda spec, rows: (met.append(spec.count()), plain(spec, rows))[1])
+    texts = ["blue", "BLUE ", "ring *#1*", "blue >3:01"]
+    rows = [(i, texts[i % 4], 1 + i // 4 % 3, 3) for i in range(40)]
+    got = {}
+    for r in search.batch_search(spark.createDataFrame(rows, "query_id long, query string, page int, per_page int"), t).collect():
+        got.setdefault(r.query_id, []).append((r.position, r.id))
+    assert met == [3]
+    every = {}
+    for r in search.batch_search(spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "query_id long, query string"), t, 9).collect():
+        every.setdefault(r.query_id, []).append((r.position, r.id))
+    want = {i: [p for p in sorted(every.get(i % 4, [])) if (n - 1) * 3 < p[0] <= n * 3] for i, _, n, _ in rows}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v} and len(got) >= 30

@@ -133,19 +133,40 @@ BATCH_FILTERS: dict[str, tuple[str, str]] = {
 _RANKED_BY = ("duration_ms", "popularity", "search_count")
 
 
+def _typed(value: Column) -> Column:
+    """A typed value as ``core`` in lower case and whether stars begin or end it, as ``expr.like_pattern`` reads it; null if it asks for nothing."""
+    core = F.lower(F.regexp_replace(value, r"^\*+|\*+\z", ""))
+    return F.when(~value.rlike(r"^\**$"), F.struct(core.alias("core"), F.startswith(value, F.lit("*")).alias("before"), F.endswith(value, F.lit("*")).alias("after")))
+
+
+def _holds(c: Column, typed: Column) -> Column:
+    """The same as a LIKE of the value's pattern, without making a pattern for every pair of a search and a track."""
+    low, core, longer = F.lower(c), typed["core"], F.length(F.lower(c)) > F.length(typed["core"])
+    return (
+        F.when(typed["before"] & typed["after"], F.contains(F.substring(low, F.lit(2), F.length(low) - 2), core))
+        .when(typed["before"], F.endswith(low, core) & longer)
+        .when(typed["after"], F.startswith(low, core) & longer)
+        .otherwise(F.contains(low, core))
+    )
+
+
+def _asked_for(kind: str, value: Column) -> Column:
+    """What a filter is compared with, prepared once for each search; null asks for nothing."""
+    if kind == "text":
+        return _typed(value)
+    if kind in ("part", "starts"):
+        return F.when(~value.rlike(r"^\**$"), F.lower(value if kind == "part" else F.regexp_replace(value, r"\*", "")))
+    return value
+
+
 def _meets(kind: str, asked: Column, c: Column) -> Column:
-    """Whether a track meets one filter of a search; a track without the value does not."""
+    """Whether a track meets one prepared filter of a search; a track without the value does not."""
     test = {
-        "text": lambda: expr.wildcard_match(c, expr.like_pattern(asked)),
-        "part": lambda: F.ilike(c, F.concat(F.lit("%"), F.regexp_replace(asked, r"[\\%_]", r"\\$0"), F.lit("%"))),
+        "text": lambda: _holds(c, asked), "part": lambda: F.contains(F.lower(c), asked), "starts": lambda: F.startswith(F.lower(c), asked),
         "from": lambda: c >= asked, "to": lambda: c <= asked, "is": lambda: c == asked,
         "long": lambda: F.length(c) >= asked, "short": lambda: F.length(c) <= asked,
-        "starts": lambda: F.startswith(F.lower(c), F.lower(F.regexp_replace(asked, r"\*", ""))),
     }[kind]()
-    idle = asked.isNull()
-    if kind in ("text", "part", "starts"):
-        idle = idle | asked.rlike(r"^\**$")
-    return idle | F.coalesce(test, F.lit(False))
+    return asked.isNull() | F.coalesce(test, F.lit(False))
 
 
 def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10, index: StoredIndex | None = None) -> DataFrame:
@@ -154,75 +175,90 @@ def batch_search(queries: DataFrame, tracks: DataFrame, per_query: int = 10, ind
     The table may have the columns of ``BATCH_FILTERS``, ``tolerance_ms``, ``sort`` (relevance, asc, desc), ``page`` and ``per_page``
     (default ``per_query``); a null is the default. A search that asks for nothing finds nothing.
 
-    Words are stems, as in the index: each stands for the words of the catalogue with its stem. They are joined by term and counted per
-    search and track; searches without words take their rows from their windows, joined by bucket, and those with neither from
-    the whole catalogue, unless they are a wildcard alone, which is looked up in the distinct titles and artists by its rarest run of three characters.
-    Hits are narrow: an id, what ranks it and what their search asks for. Only those that a wildcard or filter concerns meet the columns that it needs, the best
+    Searches that ask for the same, whatever their page, are answered once, as far as the last of their pages goes; each asker then gets its page.
+
+    Words are stems, as in the index: each stands for the words of the catalogue with its stem. A search meets the tracks that hold its rarest
+    stem, and those hold their other stems beside them, so that nothing is grouped; searches without words take their rows from their windows, joined by bucket,
+    and those with neither from the whole catalogue, unless they are a wildcard alone, which is looked up in the distinct titles and artists by its rarest run of three characters.
+    What the searches may look at is written once, narrow, so wildcards and filters are tested where a search meets a track; the best
     of each search are kept within partitions before rows move, and only they meet the wide rows.
     """
     have = [c for c in BATCH_FILTERS if c in queries.columns]
     given = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in queries.columns else F.lit(default)
     plain = queries.select(
-        "query_id", "query", F.struct(F.lit(0).alias("none"), *[F.col(c).alias(c) for c in have]).alias("filters"),
+        "query_id", "query", F.struct(F.lit(0).alias("none"), *[_asked_for(BATCH_FILTERS[c][0], F.col(c)).alias(c) for c in have]).alias("filters"),
+        (sum([F.col(c).isNotNull().cast("int") for c in have], F.lit(0)) > 0).alias("filtered"),
         given("tolerance_ms", 0).alias("tolerance"), given("sort", "relevance").alias("sort"), given("page", 1).alias("page"), given("per_page", per_query).alias("per_page"),
     )
     spec = normalize_search_log(plain, "query").withColumns({
         "low": F.coalesce("min_ms", "exact_ms") - F.col("tolerance"),
         "high": F.coalesce("max_ms", F.col("exact_ms") + F.col("window_ms") - 1) + F.col("tolerance"),
-        "terms": F.array_distinct(expr.word_tokens(F.coalesce("keywords", F.lit("")))),
-        "like": F.when(~F.coalesce("wildcard", F.lit("")).rlike(r"^\**$"), expr.like_pattern(F.col("wildcard"))),
-        "core": F.lower(F.regexp_replace(F.coalesce("wildcard", F.lit("")), r"^\*+|\*+$", "")),
-        "filtered": sum([F.col(f"filters.{c}").isNotNull().cast("int") for c in have], F.lit(0)) > 0,
+        "stems": F.array_sort(F.array_distinct(text.stemmed(expr.word_tokens(F.coalesce("keywords", F.lit("")))))),
+        "like": _typed(F.coalesce("wildcard", F.lit(""))),
     })
-    want = F.struct("like", "filtered", "filters", "sort", "page", "per_page").alias("want")
+    shape = ["stems", "low", "high", "like", "filtered", "filters", "sort"]
     # Written once: the table of searches is read on several ways, and what it asks for decides which of them there are.
-    spec = written(spec.select("query_id", "low", "high", "terms", "like", "core", "filtered", want), "searches")
-    worded, timed, like = F.size("terms") > 0, F.col("low").isNotNull() | F.col("high").isNotNull(), F.col("like").isNotNull()
-    ways = {
-        "words": worded, "windows": timed & ~worded, "stars": ~worded & ~timed & like, "whole": ~worded & ~timed & ~like & F.col("filtered"),
-        "tested": like | F.col("filtered"), "plain": ~like & ~F.col("filtered"),
-    }
-    asked = spec.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in ways.items()], F.coalesce(F.max(F.col("want.page") * F.col("want.per_page")), F.lit(0)).alias("last")).first()
+    spec = written(spec.select("query_id", "page", "per_page", *shape, F.to_json(F.struct(*shape)).alias("key")), "searches")
+    each = spec.groupBy("key").agg(F.max(F.col("page") * F.col("per_page")).alias("last"), *[F.any_value(c).alias(c) for c in shape])
+    each = written(each.withColumn("search", F.monotonically_increasing_id()), "distinct-searches")
+    worded, timed, like = F.size("stems") > 0, F.col("low").isNotNull() | F.col("high").isNotNull(), F.col("like").isNotNull()
+    ways = {"words": worded, "windows": timed & ~worded, "stars": ~worded & ~timed & like, "whole": ~worded & ~timed & ~like & F.col("filtered")}
+    asked = each.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in ways.items()], F.coalesce(F.max("last"), F.lit(0)).alias("last")).first()
+    askers = spec.select("query_id", "page", "per_page", "key").join(each.select("key", "search"), "key").drop("key")
+    each = each.drop("key")
     inside = (F.col("low").isNull() | (F.col("duration_ms") >= F.col("low"))) & (F.col("high").isNull() | (F.col("duration_ms") <= F.col("high")))
-    narrow, shape, found = tracks.select("id", *_RANKED_BY), ["query_id", "want", "id", *_RANKED_BY], []
+
+    columns = ["id", *_RANKED_BY, *sorted({"title", "artist", *[BATCH_FILTERS[c][1] for c in have]})]
+    rows = tracks.repartition(int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # few files may hold many tracks
+    if asked["words"] and index is None:
+        words = F.concat(*[expr.word_tokens(expr.fold_accents(F.coalesce(F.col(c), F.lit("")))) for c in COLUMNS])
+        rows = rows.select(*columns, F.array_distinct(text.stemmed(words)).alias("held"))
+    elif asked["words"]:
+        rows = rows.select(*columns).join(index.postings().groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("term").alias("held")), "id", "left")
+    else:
+        rows = rows.select(*columns)
+    rows = written(rows, "tracks-asked")
+    narrow = rows.select(*columns)
+
+    # Numbers and equal values are compared before texts.
+    met = F.lit(True)
+    for c in sorted(have, key=lambda c: BATCH_FILTERS[c][0] in ("text", "part", "starts")):
+        kind, of = BATCH_FILTERS[c]
+        met = met & _meets(kind, F.col(f"filters.{c}"), F.col(of))
+    met = met & (F.col("like").isNull() | F.coalesce(_holds(F.col("title"), F.col("like")), F.lit(False)) | F.coalesce(_holds(F.col("artist"), F.col("like")), F.lit(False)))
+    found = []
     if asked["words"]:
-        if index is None:
-            postings = text.build_postings(tracks, "id", COLUMNS, stem=True, carry=_RANKED_BY).select(F.col("doc_id").alias("id"), "term", *_RANKED_BY).distinct()
-        else:
-            postings = index.postings().select(F.col("doc_id").alias("id"), "term").distinct().join(narrow, "id")
-        words = spec.filter(worded).select("query_id", "low", "high", "want", F.array_distinct(text.stemmed(F.col("terms"))).alias("stems"))
-        words = words.select("query_id", "low", "high", "want", F.size("stems").alias("n"), F.explode("stems").alias("term"))
-        # The window is tested where a word meets a track, so that what lies outside is never grouped.
-        by_words = words.join(postings, "term").filter(inside).groupBy("query_id", "id", "n").agg(F.count("*").alias("found"), *[F.any_value(c).alias(c) for c in ("want", *_RANKED_BY)])
-        found.append(by_words.filter("found = n"))
+        found.append(word_hits(each.filter(ways["words"]), rows).filter(inside))
     if asked["windows"]:
-        found.append(ranges.range_join(spec.filter(ways["windows"]).select("query_id", "want", F.col("low").alias("min_ms"), F.col("high").alias("max_ms")), narrow))
+        found.append(ranges.range_join(each.filter(ways["windows"]).withColumns({"min_ms": F.col("low"), "max_ms": F.col("high")}), narrow))
     if asked["stars"]:
-        found.append(wildcard_hits(spec.filter(ways["stars"]), tracks).join(narrow, "id"))
+        found.append(wildcard_hits(each.filter(ways["stars"]), narrow))
     if asked["whole"]:
-        every = spec.filter(ways["whole"]).select("query_id", "want", F.lit(0).cast("long").alias("min_ms"), F.lit(None).cast("long").alias("max_ms"))
+        every = each.filter(ways["whole"]).withColumns({"min_ms": F.lit(0).cast("long"), "max_ms": F.lit(None).cast("long")})
         placed = narrow.withColumns({"_ms": F.col("duration_ms"), "duration_ms": F.coalesce("duration_ms", F.lit(0).cast("long"))})  # without a time, too
         found.append(ranges.range_join(every, placed).withColumn("duration_ms", F.col("_ms")))
-    hits = spec.limit(0).join(narrow, F.lit(False)) if not found else found[0]
-    hits = hits.select(*shape)
+    kept = ["search", "sort", "last", "id", *_RANKED_BY]
+    hits = each.limit(0).join(narrow, F.lit(False)).select(*kept) if not found else found[0].filter(met).select(*kept)
     for more in found[1:]:
-        hits = hits.unionByName(more.select(*shape))
-    hits = hits.select("query_id", "id", *_RANKED_BY, "want.*")
-    if asked["tested"]:
-        columns = sorted({"title", "artist", *[BATCH_FILTERS[c][1] for c in have]})
-        met = F.col("like").isNull() | F.coalesce(expr.wildcard_match(F.col("t.title"), F.col("like")) | expr.wildcard_match(F.col("t.artist"), F.col("like")), F.lit(False))
-        for c in have:
-            kind, of = BATCH_FILTERS[c]
-            met = met & _meets(kind, F.col(f"filters.{c}"), F.col(f"t.{of}"))
-        checked = hits.filter(ways["tested"]).join(tracks.select("id", F.struct(*columns).alias("t")), "id").filter(met).drop("t")
-        hits = hits.filter(ways["plain"]).unionByName(checked) if asked["plain"] else checked
+        hits = hits.unionByName(more.filter(met).select(*kept))
     up = lambda c: F.when(F.col("sort") == c, F.lit(1)).otherwise(0)
     by_rank = F.when(F.col("sort") == "relevance", expr.rank_score(F.col("popularity"), F.col("search_count"))).desc_nulls_last()
     by_time = F.when(up("desc") == 1, -F.col("duration_ms")).otherwise(F.col("duration_ms"))
-    w = Window.partitionBy("query_id").orderBy(by_rank, F.when((up("asc") == 1) & F.col("duration_ms").isNull(), 0).otherwise(1), by_time.asc_nulls_last(), F.col("id"))
-    best = hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= asked["last"])
-    best = best.filter((F.col("position") > (F.col("page") - 1) * F.col("per_page")) & (F.col("position") <= F.col("page") * F.col("per_page")))
-    return best.select("query_id", "id", "position").join(tracks, "id")
+    w = Window.partitionBy("search").orderBy(by_rank, F.when((up("asc") == 1) & F.col("duration_ms").isNull(), 0).otherwise(1), by_time.asc_nulls_last(), F.col("id"))
+    best = hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= asked["last"]).filter(F.col("position") <= F.col("last"))
+    shown = best.select("search", "id", "position").join(tracks, "id")
+    pages = shown.join(askers, "search").filter((F.col("position") > (F.col("page") - 1) * F.col("per_page")) & (F.col("position") <= F.col("page") * F.col("per_page")))
+    return pages.select("id", "query_id", "position", *[c for c in tracks.columns if c != "id"])
+
+
+def word_hits(spec: DataFrame, rows: DataFrame) -> DataFrame:
+    """Searches ``(search, stems, ...)`` with the tracks whose stems ``held`` have all of theirs: a search meets those with its rarest stem, and they tell the rest."""
+    asked = spec.select("search", F.explode("stems").alias("term"))
+    terms = rows.select(F.explode("held").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    counts = terms.groupBy("term").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "term").groupBy("search").agg(F.min_by("term", F.struct("n", "term")).alias("term"))  # a stem that no track holds decides below
+    met = written(spec.join(rarest, "search"), "worded-searches")
+    return met.join(rows.withColumn("term", F.explode("held")), "term").filter(F.size(F.array_except("stems", "held")) == 0)
 
 
 def _grams(c: Column, size: int) -> Column:
@@ -234,20 +270,22 @@ def _grams(c: Column, size: int) -> Column:
 GRAM_PARTS = 16
 
 
-def wildcard_hits(spec: DataFrame, tracks: DataFrame) -> DataFrame:
-    """``(query_id, want, id)`` of searches that are a wildcard alone (``like``, ``core``, and ``want``, which is carried on).
+def wildcard_hits(spec: DataFrame, rows: DataFrame) -> DataFrame:
+    """Searches ``(search, like, ...)`` that are a wildcard alone, with their tracks.
 
     Runs of three characters of the distinct titles and artists are counted, those that are asked for; the rarest run of a core (or the core, if it is
-    shorter) then meets the names that hold it, in parts, and the pattern decides.
+    shorter) then meets the names that hold it, in parts, and the pattern decides. A track is met by its title, or else by its artist, so once.
     """
-    names = tracks.select("id", F.explode(F.array("title", "artist")).alias("name")).filter("name IS NOT NULL")
-    each = names.select("name").distinct()
-    low = F.lower(F.col("name"))
-    asked = spec.select("query_id", "like", "want", F.explode(F.array_distinct(F.when(F.length("core") >= 3, _grams(F.col("core"), 3)).otherwise(F.array("core")))).alias("gram"))
-    runs = each.select("name", F.explode(F.array_distinct(F.concat(*[_grams(low, n) for n in (1, 2, 3)]))).alias("gram"))
+    names = rows.select(F.explode(F.array("title", "artist")).alias("name")).filter("name IS NOT NULL").distinct()
+    low, core = F.lower(F.col("name")), F.col("like.core")
+    asked = spec.select("search", "like", F.explode(F.array_distinct(F.when(F.length(core) >= 3, _grams(core, 3)).otherwise(F.array(core)))).alias("gram"))
+    runs = names.select("name", F.explode(F.array_distinct(F.concat(*[_grams(low, n) for n in (1, 2, 3)]))).alias("gram"))
     runs = runs.join(asked.select("gram").distinct(), "gram", "left_semi")
     counts = runs.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(counts, "gram", "left").groupBy("query_id", "like").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.any_value("want").alias("want"))
+    rarest = asked.join(counts, "gram", "left").groupBy("search").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.any_value("like").alias("like"))
     rarest = rarest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(GRAM_PARTS - 1))))
-    found = rarest.join(runs.withColumn("part", F.pmod(F.hash("name"), F.lit(GRAM_PARTS))), ["gram", "part"]).filter(expr.wildcard_match(F.col("name"), F.col("like")))
-    return found.select("query_id", "want", "name").join(names, "name").groupBy("query_id", "id").agg(F.any_value("want").alias("want"))  # a name meets a search once
+    found = rarest.join(runs.withColumn("part", F.pmod(F.hash("name"), F.lit(GRAM_PARTS))), ["gram", "part"]).filter(_holds(F.col("name"), F.col("like")))
+    found = written(found.select("search", "name").join(spec, "search"), "names-found")
+    by_title = found.join(rows, F.col("name") == F.col("title"))
+    by_artist = found.join(rows, F.col("name") == F.col("artist")).filter(~F.coalesce(_holds(F.col("title"), F.col("like")), F.lit(False)))
+    return by_title.unionByName(by_artist)
