@@ -42,6 +42,15 @@ def test_pairs_totals_and_pages(spark):
         assert sorted((r.query_id, r.position, r.total, r.id) for r in got) == sorted((k, p, len(own), i) for k, own in want.items() for p, i in enumerate(own, 1) if 7 < p <= 14)
 
 
+def test_pairs_of_one_file_are_made_by_several_tasks(spark, tmp_path):
+    """2,000 tracks lie in one file, a third with one time; no task makes more than half of the pairs."""
+    spark.createDataFrame(_rows(4, 2000), "id long, duration_ms long").coalesce(1).write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([(i, None, None) for i in range(20)], SHAPE).coalesce(1).write.parquet(f"{tmp_path}/w")
+    t, w = spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/w")
+    made = [r["count"] for r in ranges.range_join(w, t).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 20 * t.filter("duration_ms IS NOT NULL").count() and max(made) < sum(made) / 2
+
+
 def test_empty_tables(spark):
     t, w = spark.createDataFrame([], "id long, duration_ms long"), spark.createDataFrame(_windows(3), SHAPE)
     assert ranges.range_join(w, t).count() == 0 and ranges.window_page(w, t).count() == 0
