@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import re
 import time
 from collections import Counter
 
@@ -826,3 +827,33 @@ def test_one_bucket_of_each_membership(spark):
     each = spark.createDataFrame([(b, r) for b, rs in rows.items() for r in rs], "bucket long, row long")
     got = {tuple(r) for r in near_dup.distinct_buckets(each).select("bucket", "n", "b").collect()}
     assert got == {(1, 3, 1), (3, 2, 1), (4, 2, 2), (6, 3, 0), (7, 3, 0)}
+
+
+def test_texts_and_sets_move_as_seldom_as_can_be(spark, monkeypatch):
+    """Where nothing but what is asked for is broadcast: cells move once, sets to their rows and to their blocks, texts to their pairs."""
+    plans, write = {}, near_dup.staged
+
+    def seen(df, label, path=None):
+        plans[label] = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return write(df, label, path)
+
+    monkeypatch.setattr(near_dup, "staged", seen)
+    monkeypatch.setattr(near_dup, "SHARE_ROWS", 2)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in range(0, 60, 4)] + ["all else"]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dup.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 15]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+    def moves(label, column):
+        rows = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plans[label])
+        return sum(bool(re.search(rf"\b{column}#", x)) for x in rows)
+
+    assert moves("more-copies", "set") == 2
+    assert (moves("copies", "text_a"), moves("copies", "text_b")) == (2, 1)
+    assert moves("cells", "choice") == 1
+    assert "copy-wide" not in plans

@@ -117,13 +117,16 @@ def blocked(rows: DataFrame, n: str, own: str, mine: str, other: str, key: Colum
 
 def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, groups: int | None = None) -> DataFrame:
     """Pairs ``(a, b, distance)``, a < b, of the distinct values of ``prints.simhash`` that link."""
-    vectors = prints.select("simhash").distinct().withColumn("v", segment_counts(F.col("simhash")))
+    vectors = prints.select("simhash").distinct()
     masks = grid_masks(max_distance, groups or groups_for(vectors.count(), max_distance))
     # One number for the cell: which groups agree, and on what. Other cells may share it; the check below decides.
-    cells = vectors.select("simhash", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "counts"))
-    cells = cells.select("simhash", "choice", F.xxhash64("choice", "counts").alias("cell"))
-    full = cells.groupBy("cell").count().filter(F.col("count") > 1)
-    shared = cells.join(full, "cell").withColumn("v", segment_counts(F.col("simhash")))  # derived again rather than moved
+    # A cell follows from fingerprint and choice: it is the key that rows are dealt by and is not moved with them.
+    cells = vectors.select("simhash", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("choice"))
+    cell = F.xxhash64("choice", segment_counts(F.col("simhash")).bitwiseAND(F.get(F.array(*[F.lit(m) for m in masks]), F.col("choice"))))
+    full = cells.groupBy(cell.alias("cell")).count().filter(F.col("count") > 1)
+    # Written, as both sides of the join below are made of it: all cells move once to meet those that are shared.
+    shared = staged(cells.join(full, cell == F.col("cell")).select("simhash", "choice", "cell", "count"), "cells")
+    shared = shared.withColumn("v", segment_counts(F.col("simhash")))
     # In a large cell every block meets every block: each pair meets in exactly one of the tasks.
     left = blocked(shared, "count", "simhash", "i", "j", F.col("simhash")).select("cell", "i", "j", "choice", F.col("simhash").alias("a"), F.col("v").alias("va"))
     right = blocked(shared, "count", "simhash", "j", "i", F.col("simhash")).select("cell", "i", "j", F.col("simhash").alias("b"), F.col("v").alias("vb"))
@@ -259,10 +262,14 @@ def confirmed(pairs: DataFrame, texts_: DataFrame, least: float) -> DataFrame:
     pairs = staged(pairs.select("a", "b"), "copy-pairs")
     counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
     pairs = join_counted(pairs, counts, "b", "n", pairs.count())
-    pairs = pairs.withColumn("share", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / F.lit(SHARE_ROWS))).cast("int"))
+    shares = F.ceil(F.col("n") / F.lit(SHARE_ROWS)).cast("int")
+    pairs = pairs.withColumn("share", F.pmod(F.xxhash64("a"), shares).cast("int"))
     ends = [staged(pairs.select(F.col(c).alias("row")).distinct(), "copy-ends") for c in ("a", "b")]
     one = texts_of(texts_, ends[0]).select(F.col("row").alias("a"), F.col("text").alias("text_a"))
-    other = pairs.select("b", "share").distinct().join(texts_of(texts_, ends[1]).select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+    # Only the few hot rows have several shares: they are told where the texts lie, and each text moves once.
+    several = staged(counts.filter(F.col("n") > SHARE_ROWS).select("b", shares.alias("shares")), "copy-shares")
+    other = texts_of(texts_, ends[1]).select(F.col("row").alias("b"), F.col("text").alias("text_b")).join(F.broadcast(several) if several.count() <= PICKED_ROWS else several, "b", "left")
+    other = other.select("b", "text_b", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
     wide = pairs.select("a", "b", "share").join(one, "a").join(other, ["b", "share"])
     made = T.StructType([T.StructField("similar", T.DoubleType())])
 
@@ -342,28 +349,37 @@ def other_links(members: DataFrame, linked: DataFrame, texts_: DataFrame, least:
     mixed = groups.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"))
     mixed = staged(mixed.filter("kinds > 1").select("bucket", "main", "n"), "copy-mixed")
     inside = staged(join_counted(groups, mixed, "bucket", "n", groups.count()).select("bucket", "row", "comp", "main"), "copy-inside")
-    made = T.StructType([T.StructField("set", T.BinaryType())])
+    made = T.StructType([T.StructField("set", T.BinaryType()), T.StructField("size", T.LongType())])
+
+    def work(columns: list[pa.Array]) -> list[pa.Array]:
+        found = [shingle_set(t).tobytes() for t in utf8(columns[0])]
+        return [pa.array(found, pa.binary()), pa.array([len(x) for x in found], pa.int64())]
+
     asked = texts_of(texts_, staged(inside.select("row").distinct(), "copy-asked"))
-    sets = staged(map_columns(asked, [F.col("text")], ["row"], made, lambda c: [pa.array([shingle_set(t).tobytes() for t in utf8(c[0])], pa.binary())]), "copy-sets")
-    wide = staged(inside.join(sets, "row"), "copy-wide")
+    sets = staged(map_columns(asked, [F.col("text")], ["row"], made, work), "copy-sets")
 
-    outside, size = F.col("comp") != F.col("main"), F.length("set").cast("long")
+    # Blocks are cut by the sizes of the sets; the sets move only when every row knows its blocks.
+    outside = F.col("comp") != F.col("main")
+    sized = staged(inside.join(sets.select("row", "size"), "row").select("bucket", "row", "comp", "size", outside.alias("outside")), "copy-sized")
     blocks = lambda n, b: F.greatest(F.lit(1), F.ceil(n / F.lit(CELL_ROWS)), F.ceil(b / F.lit(BLOCK_BYTES))).cast("int")
-    cuts = wide.groupBy("bucket").agg(
-        F.count("*").alias("n"), blocks(F.count_if(outside), F.sum(F.when(outside, size).otherwise(0))).alias("most_i"), blocks(F.count("*"), F.sum(size)).alias("most_j")
+    cuts = sized.groupBy("bucket").agg(
+        F.count("*").alias("n"), blocks(F.count_if("outside"), F.sum(F.when(F.col("outside"), F.col("size")).otherwise(0))).alias("most_i"), blocks(F.count("*"), F.sum("size")).alias("most_j")
     )
-    dealt = join_counted(wide, cuts, "bucket", "n", wide.count())
     own = lambda most: F.pmod(F.xxhash64("row"), F.col(most)).cast("int")
+    dealt = join_counted(sized, cuts, "bucket", "n", sized.count()).withColumns({"own_i": own("most_i"), "own_j": own("most_j")})
+    # Every row is asked in its own column of blocks; one outside the largest component asks in its own line of them. Where both meet it is one row.
     every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
-    left = dealt.filter(outside).select("bucket", own("most_i").alias("i"), every("most_j").alias("j"), "row", "comp", "set")
-    right = dealt.select(every("most_i").alias("i"), own("most_j").alias("j"), *[F.col(c).alias(c) for c in ("bucket", "row", "comp", "set")])
+    names = ["bucket", "i", "j", "row", "comp", "asks", "asked"]
+    right = dealt.withColumn("i", every("most_i")).withColumns({"j": F.col("own_j"), "asks": F.col("outside") & (F.col("i") == F.col("own_i")), "asked": F.lit(True)})
+    left = dealt.filter("outside and most_j > 1").withColumn("j", every("most_j")).filter("j != own_j").withColumns({"i": F.col("own_i"), "asks": F.lit(True), "asked": F.lit(False)})
+    placed = staged(right.select(*names).unionByName(left.select(*names)), "copy-placed")
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = list(links_between(a, b, least))
+    def meet(block: pa.Table) -> pa.Table:
+        found = list(links_between(block.filter(block["asks"]), block.filter(block["asked"]), least))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    keys = ["bucket", "i", "j"]
-    return staged(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "a long, b long").distinct(), "more-copies")
+    wide = placed.join(sets.select("row", "set"), "row")
+    return staged(wide.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long").distinct(), "more-copies")
 
 
 #: Up to so many bitmaps of 4 kB (16 MB) are broadcast to leave out rows where they lie; beyond, rows are moved to meet their numbers.
