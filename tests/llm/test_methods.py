@@ -857,3 +857,17 @@ def test_texts_and_sets_move_as_seldom_as_can_be(spark, monkeypatch):
     assert (moves("copies", "text_a"), moves("copies", "text_b")) == (2, 1)
     assert moves("cells", "choice") == 1
     assert "copy-wide" not in plans
+
+
+def test_cells_are_not_broadcast(spark, monkeypatch):
+    """There are 20 cells for each fingerprint, but the planner takes them for as small as the fingerprints."""
+    plans, write = {}, near_dup.staged
+
+    def seen(df, label, path=None):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, path)
+
+    monkeypatch.setattr(near_dup, "staged", seen)
+    prints = write(spark.createDataFrame([(0,), (7,), (1 << 40,)], "simhash long"), "test-prints")
+    assert {tuple(r) for r in near_dup.links(prints).collect()} == {(0, 7, 3), (0, 1 << 40, 1)}
+    assert "Broadcast" not in plans["cells"]

@@ -125,7 +125,8 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, groups: int | Non
     cell = F.xxhash64("choice", segment_counts(F.col("simhash")).bitwiseAND(F.get(F.array(*[F.lit(m) for m in masks]), F.col("choice"))))
     full = cells.groupBy(cell.alias("cell")).count().filter(F.col("count") > 1)
     # Written, as both sides of the join below are made of it: all cells move once to meet those that are shared.
-    shared = staged(cells.join(full, cell == F.col("cell")).select("simhash", "choice", "cell", "count"), "cells")
+    # The planner takes a generated table for as small as its source and would broadcast all cells, hence the hint.
+    shared = staged(cells.join(full.hint("merge"), cell == F.col("cell")).select("simhash", "choice", "cell", "count"), "cells")
     shared = shared.withColumn("v", segment_counts(F.col("simhash")))
     # In a large cell every block meets every block: each pair meets in exactly one of the tasks.
     left = blocked(shared, "count", "simhash", "i", "j", F.col("simhash")).select("cell", "i", "j", "choice", F.col("simhash").alias("a"), F.col("v").alias("va"))
