@@ -51,6 +51,16 @@ def test_pairs_of_one_file_are_made_by_several_tasks(spark, tmp_path):
     assert sum(made) == 20 * t.filter("duration_ms IS NOT NULL").count() and max(made) < sum(made) / 2
 
 
+def test_no_table_of_pairs_is_broadcast(spark, tmp_path):
+    """Tracks and windows of a small file are many rows: neither goes through the driver."""
+    spark.createDataFrame(_rows(5, 500), "id long, duration_ms long").coalesce(1).write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame(_windows(5), SHAPE).coalesce(1).write.parquet(f"{tmp_path}/w")
+    pairs = ranges.range_join(spark.read.parquet(f"{tmp_path}/w"), spark.read.parquet(f"{tmp_path}/t"))
+    assert sorted((r.query_id, r.id) for r in pairs.collect()) == sorted((k, i) for k, own in _want(_windows(5), _rows(5, 500)).items() for i in own)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()  # with what was changed while it ran
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_empty_tables(spark):
     t, w = spark.createDataFrame([], "id long, duration_ms long"), spark.createDataFrame(_windows(3), SHAPE)
     assert ranges.range_join(w, t).count() == 0 and ranges.window_page(w, t).count() == 0
